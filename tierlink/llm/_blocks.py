@@ -1,44 +1,117 @@
-"""Whole documents dealt into blocks of bounded size, and the exchange between blocks and buckets.
+"""Whole documents packed into blocks of bounded size, and the exchange between blocks and buckets.
 
-A *block* is a set of whole documents of a few MB, given by a hash of the row. A *bucket* is a
-hash range of keys. Blocks send each bucket one packed array of their distinct keys, so a key
-that a third of all rows hold arrives at its bucket at most once from each block, and a shuffle
-carries thousands of keys a row. Buckets answer each block with the keys it has to know about.
-Blocks are functions of the row alone: a lost executor's blocks are rebuilt alike.
+A *block* is one compressed row that holds a few MB of whole documents. A *bucket* is a hash range
+of keys. Blocks send each bucket one packed array of their distinct keys, so a key that a third of
+all rows hold arrives at its bucket at most once from each block, and a shuffle carries thousands
+of keys a row. Buckets answer each block with bits about the keys it sent, in the order it sent
+them. Blocks are cut from the input's partitions in order, so a lost executor's blocks are rebuilt
+alike; the input should be a table (or anything else whose partitions come out alike again).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierlink.llm._bytes import column_bytes, runs
+
 BLOCK = "__tl_block"
+BLOB = "__tl_blob"
+BUCKET = "__tl_bucket"
 BLOCK_BYTES = 4 << 20
+_FAST = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+
+
+def pack_table(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=_FAST) as writer:
+        writer.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(blob: bytes) -> pa.Table:
+    """The documents of a block."""
+    return pa.ipc.open_stream(blob).read_all().combine_chunks()
+
+
+def in_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, blob): the rows of each partition in turn, ``block_bytes`` of text at a time."""
+    place = docs.columns.index(text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, k, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
 
-def blocked(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with a block column, and the number of blocks (one pass to add up the text bytes)."""
+        def emit() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([pack_table(pa.Table.from_batches(held))], pa.binary())], names=[BLOCK, BLOB])
+
+        for batch in batches:
+            _, off = column_bytes(batch.column(place))
+            at = 0
+            while at < batch.num_rows:
+                upto = int(np.searchsorted(off, off[at] + block_bytes - size, "right")) - 1
+                upto = min(max(upto, at + (not size)), batch.num_rows)
+                if upto > at:
+                    held.append(batch.slice(at, upto - at))
+                    size += int(off[upto] - off[at])
+                if upto < batch.num_rows or size >= block_bytes:
+                    yield emit()
+                    k, held, size = k + 1, [], 0
+                at = upto
+        if held:
+            yield emit()
+
+    return docs.mapInArrow(run, f"{BLOCK} long, {BLOB} binary")
+
+
+def buckets_for(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:
+    """Number of buckets for the text's size: fewer than blocks, so packed rows stay large."""
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    n = max(1, -(-total // block_bytes))
-    keys = [c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]
-    return docs.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")), n
+    return max(8, total // (6 * block_bytes))
+
+
+class Sent:
+    """A block's distinct keys in the order it sends them: by bucket, then by value."""
+
+    def __init__(self, bucket: np.ndarray, value: np.ndarray, n_buckets: int):
+        order = np.lexsort((value, bucket))
+        b, v = bucket[order], value[order]
+        new = np.ones(len(v), bool)
+        new[1:] = (v[1:] != v[:-1]) | (b[1:] != b[:-1])
+        first = np.flatnonzero(new)
+        self.first = order[first]  # lexsort is stable: the first occurrence
+        self.inverse = np.empty(len(v), np.int64)
+        self.inverse[order] = np.cumsum(new) - 1
+        self.count = np.diff(np.append(first, len(v)))
+        self.values = v[first]
+        self.bounds = np.searchsorted(b[first], np.arange(n_buckets + 1))
 
+    def flagged(self) -> np.ndarray:
+        """Values with the lowest bit set on those found twice or more in the block."""
+        return self.values | (self.count > 1).astype(self.values.dtype)
 
-def buckets_for(n_blocks: int) -> int:
-    """Fewer buckets than blocks: the packed rows stay large enough as both numbers grow."""
-    return max(8, n_blocks // 6)
+    def bits(self, answers: dict[int, bytes]) -> np.ndarray:
+        """One flag for each distinct key, from the packed bits of each bucket."""
+        out = np.zeros(len(self.values), bool)
+        for b, raw in answers.items():
+            i, j = self.bounds[b], self.bounds[b + 1]
+            out[i:j] = np.unpackbits(np.frombuffer(raw, np.uint8), count=j - i).astype(bool)
+        return out
 
 
-def canonical(t: pa.Table, text: str) -> pa.Table:
-    """Rows of a block in an order that doesn't depend on how the shuffle delivered them."""
-    simple = [c for c in t.column_names if c != text and (pa.types.is_integer(t.schema.field(c).type) or pa.types.is_string(t.schema.field(c).type) or pa.types.is_large_string(t.schema.field(c).type))]
-    keys = [(c, "ascending") for c in simple] + [(text, "ascending")]
-    return t.sort_by(keys) if t.num_rows > 1 else t
+def bucket_runs(blobs: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds of each block's values, order, run starts, run lengths, whether a run repeats) of one bucket."""
+    buf, off = column_bytes(blobs)
+    raw = np.frombuffer(buf.tobytes(), kind)
+    order = np.argsort(raw & ~kind(1), kind="stable")
+    first, count = runs((raw & ~kind(1))[order])
+    many = (count > 1) | ((np.bitwise_or.reduceat(raw[order], first) & kind(1)) > 0) if len(first) else np.zeros(0, bool)
+    return off // raw.itemsize, order, first, count, many
 
 
-def packed(bucket: np.ndarray, value: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values ordered by (bucket, value) and the bounds of each bucket among them."""
-    order = np.lexsort((value, bucket))
-    return value[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+def packed_bits(flags: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [np.packbits(flags[i:j]).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]

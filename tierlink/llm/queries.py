@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tierlink.llm.decontaminate import op5_query
 from tierlink.llm.near_dedup import op2_query
+from tierlink.llm.packing import op4_query
 from tierlink.llm.quality_rules import OP8_SQL, op8_query
 from tierlink.llm.suffix_dedup import op9_query
 
 QUERIES = {
     "op2_near_dedup": op2_query,
+    "op4_packing": op4_query,
+    "op5_decontaminate": op5_query,
     "op8_quality_rules": op8_query,
     "op9_suffix_dedup": op9_query,
 }
