@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from tierlink.llm.decontaminate import op5_query
+from tierlink.llm.html_extract import op10_query
+from tierlink.llm.language_id import op1_query
 from tierlink.llm.near_dedup import op2_query
 from tierlink.llm.packing import op4_query
 from tierlink.llm.quality_rules import OP8_SQL, op8_query
 from tierlink.llm.suffix_dedup import op9_query
+from tierlink.llm.toxicity import op6_query
 
 QUERIES = {
+    "op1_language_id": op1_query,
     "op2_near_dedup": op2_query,
     "op4_packing": op4_query,
     "op5_decontaminate": op5_query,
+    "op6_toxicity": op6_query,
     "op8_quality_rules": op8_query,
     "op9_suffix_dedup": op9_query,
+    "op10_html_extract": op10_query,
 }
 
 ORACLE_SQL = {
