@@ -11,31 +11,32 @@ generalisation DCv) stops at that depth:
    lie inside them and get one name. With v = 133 and \\|D\\| = 12, 9 % of positions are sampled.
 2. *Recurse on names.* A sampled suffix with a name of its own differs from all others and is
    final. The rest go on: only positions within v - 1 before a repeated name stay.
+   Content-defined chunks are named along the way: positions inside a chunk of ``min_len`` bytes
+   or more that occurs elsewhere are repeats at once, and only its first occurrence goes on.
 3. *Merge the remaining suffixes.* Each position left is ordered by the name of its whole
    ``min_len``-byte prefix, composed from prefix sums in constant time.
 4. *Compare adjacent prefixes.* In the sorted order equal neighbours are repeats; their windows'
    union is removed.
 
-Names are fingerprints: ~32 bits within a bucket in step 1 (a clash only keeps a position for
-step 3), 63 bits besides the bucket in step 3. Sorting runs in blocks and buckets (see
+Names are fingerprints: 31 bits within a bucket in step 1 (a clash only keeps a position for
+step 3), 63 bits besides the bucket for chunks and in step 3. Sorting runs in blocks and buckets (see
 ``_blocks``): no task holds a group of copies, only one entry of it for each block.
 
 Nulls and empty texts have no bytes to remove. Repeated rows (also of one id) count as separate
 documents. A document is worked on whole, so memory grows with the longest document, not with
-the number of its copies.
+the number of its copies. The input is read once into compressed blocks; see ``_blocks`` for what
+that asks of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlink.llm._blocks import BLOCK, BLOCK_BYTES, blocked, buckets_for, canonical, packed
-from tierlink.llm._bytes import U64, Fingerprints, binary_rows, column_bytes, row_slices, runs
+from tierlink.llm._blocks import BLOB, BLOCK, BLOCK_BYTES, BUCKET, Sent, bucket_runs, buckets_for, in_blocks, packed_bits, unpack
+from tierlink.llm._bytes import U64, Fingerprints, binary_rows, column_bytes
 
 # Perfect difference covers (modulus, residues).
 COVERS = {
@@ -44,107 +45,112 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
-BLOB = "__tl_blob"
-BUCKET = "__tl_bucket"
-SENT = f"{BUCKET} int, {BLOCK} int, {BLOB} binary"
-ANSWER = f"{BLOCK} int, {BUCKET} int, {BLOB} binary"
+CHUNK_GRAM, CHUNK_MASK, CHUNK_SPAN = 24, 63, 8  # a cut every 64 bytes or so; a chunk spans 8 of them
+SENT = f"{BUCKET} int, {BLOCK} long, names binary, chunks binary"
+ANSWER = f"{BLOCK} long, {BUCKET} int, names binary, chunks binary, first binary"
 
 
 def cover_for(min_len: int) -> tuple[int, tuple[int, ...]]:
     """Largest cover that leaves tuples of at least a third of the string."""
     fits = [v for v in COVERS if min_len - v + 1 >= max(16, min_len // 3)]
-    return (v := max(fits), COVERS[v]) if fits else (1, (0,))
-
-
-def sampled(off: np.ndarray, v: int, cover: tuple[int, ...], t: int) -> np.ndarray:
-    """Sampled positions with a whole tuple before their document's end."""
-    n = int(off[-1])
-    size = np.diff(off)
-    hit = np.zeros(v, bool)
-    hit[list(cover)] = True
-    inner = np.arange(n, dtype=np.int64) - np.repeat(off[:-1], size)
-    left = np.repeat(size, size) - inner
-    return np.flatnonzero(hit[inner % v] & (left >= t))
-
-
-def tuple_keys(buf: np.ndarray, off: np.ndarray, v: int, cover, t: int, n_buckets: int):
-    """(position, bucket, name) of each sampled tuple of one slice."""
-    pos = sampled(off, v, cover, t)
-    h = Fingerprints(buf).of(pos, pos + t)
-    return pos, ((h >> U64(33)) % U64(n_buckets)).astype(np.int32), (h.astype(np.uint32) & np.uint32(0xFFFFFFFE))
-
-
-def window_keys(buf: np.ndarray, pos: np.ndarray, min_len: int, n_buckets: int):
-    prints = Fingerprints(buf)
-    h = prints.of(pos, pos + min_len)
-    bucket = ((h * U64(0xD6E8FEB86659FD93)) >> U64(33)) % U64(n_buckets)
-    return bucket.astype(np.int32), h & ~U64(1)
-
-
-def sent(block: int, bucket: np.ndarray, value: np.ndarray, n_buckets: int) -> pa.Table:
-    """One row a bucket: its distinct values, the lowest bit set on those found twice or more."""
-    value, bounds = packed(bucket, value, n_buckets)
-    first, count = runs(value)  # equal values share their bucket, so runs stay within the bounds
-    one = value[first] | (count > 1).astype(value.dtype)
-    cut = np.searchsorted(first, bounds)
-    used = np.flatnonzero(np.diff(cut))
-    blobs = binary_rows(one, cut).take(pa.array(used))
-    return pa.table({BUCKET: pa.array(used, pa.int32()), BLOCK: pa.array(np.full(len(used), block), pa.int32()), BLOB: blobs})
-
-
-def repeated(kind) -> Callable[[pa.Table], pa.Table]:
-    """Step over one bucket: tell each block which of its values occur elsewhere or twice."""
+    return (max(fits), COVERS[max(fits)]) if fits else (1, (0,))
+
+
+class Block:
+    """The steps over one block's texts; each is a function of the texts and the answers so far."""
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray, min_len: int, n_buckets: int):
+        self.buf, self.off, self.min_len, self.n_buckets = buf, off, min_len, n_buckets
+        self.v, cover = cover_for(min_len)
+        self.t = min_len - self.v + 1
+        self.prints = Fingerprints(buf)
+        size = np.diff(off)
+        inner = np.arange(len(buf), dtype=np.int32) - np.repeat(off[:-1], size).astype(np.int32)
+        self.left = np.repeat(size, size).astype(np.int32) - inner  # bytes to the document's end
+        hit = np.zeros(self.v, bool)
+        hit[list(cover)] = True
+        self.pos = np.flatnonzero(hit[inner % self.v] & (self.left >= self.t))
+        self.begin = (self.pos - inner[self.pos]).astype(np.int64)  # of the position's document
+
+    def _sent(self, start: np.ndarray, end: np.ndarray, narrow: bool = False) -> Sent:
+        h = self.prints.of(start, end)
+        bucket = ((h * U64(0xD6E8FEB86659FD93)) >> U64(33)) % U64(self.n_buckets)
+        return Sent(bucket.astype(np.int32), (h.astype(np.uint32) & np.uint32(0xFFFFFFFE)) if narrow else h & ~U64(1), self.n_buckets)
+
+    def tuples(self) -> Sent:
+        return self._sent(self.pos, self.pos + self.t, narrow=True)
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray, Sent]:
+        """(start, end, names) of the content-defined chunks of ``min_len`` bytes or more."""
+        whole = np.flatnonzero(self.left >= CHUNK_GRAM)
+        h = self.prints.of(whole, whole + CHUNK_GRAM)
+        cut = whole[(h & U64(CHUNK_MASK)) == 0]
+        start, end = cut[:-CHUNK_SPAN], cut[CHUNK_SPAN:]
+        ok = (end - start >= self.min_len) & (end - start < self.left[start])
+        start, end = start[ok], end[ok]
+        return start, end, self._sent(start, end)
+
+    def windows(self, names: dict[int, bytes], chunks: dict[int, bytes], firsts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, Sent]:
+        """(starts known to repeat, starts left, their names) once the first answers are in."""
+        n = len(self.buf)
+        sent = self.tuples()
+        pos = self.pos[sent.bits(names)[sent.inverse]]
+        begin = self.begin[sent.bits(names)[sent.inverse]]
+        mark = np.zeros(n + 1, np.int32)
+        np.add.at(mark, np.maximum(pos - (self.v - 1), begin), 1)
+        np.add.at(mark, pos + 1, -1)
+        left = np.cumsum(mark[:-1]) > 0
+        start, end, sent = self.chunks()
+        repeats = sent.bits(chunks)
+        known = self._inside(start, end, repeats[sent.inverse])
+        first = np.zeros(len(start), bool)  # first occurrences of all: they stand for the others
+        first[sent.first] = sent.bits(firsts)
+        stay = left & (~known | self._inside(start, end, first)) & (self.left >= self.min_len)
+        on = np.flatnonzero(stay)
+        return np.flatnonzero(known), on, self._sent(on, on + self.min_len)
+
+    def _inside(self, start: np.ndarray, end: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Window starts whose window lies in one of those chunks."""
+        mark = np.zeros(len(self.buf) + 1, np.int32)
+        np.add.at(mark, start[which], 1)
+        np.add.at(mark, end[which] - self.min_len + 1, -1)
+        return np.cumsum(mark[:-1]) > 0
+
+    def removed(self, starts: list[np.ndarray]) -> np.ndarray:
+        mark = np.zeros(len(self.buf) + 1, np.int32)
+        for s in starts:
+            np.add.at(mark, s, 1)
+            np.add.at(mark, s + self.min_len, -1)
+        return np.cumsum(mark[:-1]) > 0
+
+
+def sent_rows(block: int, names: Sent, chunks: Sent | None, n_buckets: int) -> pa.Table:
+    """One row for each bucket that gets anything."""
+    cuts = [names.bounds, chunks.bounds if chunks else np.zeros(n_buckets + 1, np.int64)]
+    used = np.flatnonzero(sum(np.diff(c) for c in cuts))
+    blobs = [binary_rows(x.flagged() if x else np.zeros(0, U64), c).take(pa.array(used)) for x, c in zip((names, chunks), cuts, strict=True)]
+    return pa.table({BUCKET: pa.array(used, pa.int32()), BLOCK: pa.array(np.full(len(used), block), pa.int64()), "names": blobs[0], "chunks": blobs[1]})
+
+
+def answers(kind):
+    """Step over one bucket: sort the names, compare neighbours, answer each block in bits."""
 
     def merge(t: pa.Table) -> pa.Table:
         t = t.sort_by(BLOCK)
-        blocks = t.column(BLOCK).to_numpy()
-        buf, off = column_bytes(t.column(BLOB))
-        raw = np.frombuffer(buf.tobytes(), kind)
-        owner = np.repeat(np.arange(len(blocks)), np.diff(off) // raw.itemsize)
-        value = raw & ~kind(1)
-        order = np.argsort(value, kind="stable")
-        first, count = runs(value[order])
-        many = (count > 1) | (np.bitwise_or.reduceat(raw[order], first) & kind(1) > 0) if len(first) else np.zeros(0, bool)
-        keep = np.zeros(len(raw), bool)
-        keep[order] = np.repeat(many, count)
-        bounds = np.searchsorted(owner[keep], np.arange(len(blocks) + 1))
-        used = np.flatnonzero(np.diff(bounds))
-        return pa.table({BLOCK: pa.array(blocks[used], pa.int32()), BUCKET: pa.array(np.full(len(used), t.column(BUCKET)[0].as_py()), pa.int32()), BLOB: binary_rows(value[keep], bounds).take(pa.array(used))})
+        out = []
+        for column, k in (("names", kind), ("chunks", U64)):
+            bounds, order, first, count, many = bucket_runs(t.column(column), k)
+            flags, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            flags[order] = np.repeat(many, count)
+            leads[order[first]] = many
+            out += [packed_bits(flags, bounds)] + ([packed_bits(leads, bounds)] if column == "chunks" else [])
+        return pa.table({BLOCK: t.column(BLOCK), BUCKET: t.column(BUCKET), "names": pa.array(out[0], pa.binary()), "chunks": pa.array(out[1], pa.binary()), "first": pa.array(out[2], pa.binary())})
 
     return merge
 
 
-def answered(t: pa.Table, kind) -> dict[int, np.ndarray]:
-    """Sorted repeated values of one block, by bucket."""
-    return {b: np.frombuffer(x, kind) for b, x in zip(t.column(BUCKET).to_pylist(), t.column(BLOB).to_pylist(), strict=True)}
-
-
-def found(bucket: np.ndarray, value: np.ndarray, by_bucket: dict[int, np.ndarray]) -> np.ndarray:
-    """Mask of the keys that are among the answers."""
-    hit = np.zeros(len(value), bool)
-    order = np.argsort(bucket, kind="stable")
-    first, count = runs(bucket[order])
-    for i, n in zip(first, count, strict=True):
-        own = order[i : i + n]
-        known = by_bucket.get(int(bucket[own[0]]))
-        if known is not None and len(known):
-            at = np.searchsorted(known, value[own])
-            at[at == len(known)] = 0
-            hit[own] = known[at] == value[own]
-    return hit
-
-
-def starts_left(buf, off, names: dict[int, np.ndarray], v: int, cover, t: int, min_len: int, n_buckets: int) -> np.ndarray:
-    """Window starts that step 2 keeps: within v - 1 bytes before a repeated name."""
-    pos, bucket, value = tuple_keys(buf, off, v, cover, t, n_buckets)
-    pos = pos[found(bucket, value, names)]
-    doc = np.searchsorted(off, pos, "right") - 1
-    mark = np.zeros(int(off[-1]) + 1, np.int32)
-    np.add.at(mark, np.maximum(pos - (v - 1), off[doc]), 1)
-    np.add.at(mark, pos + 1, -1)
-    on = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-    doc = np.searchsorted(off, on, "right") - 1
-    return on[on + min_len <= off[doc + 1]]
+def by_bucket(t: pa.Table, column: str) -> dict[int, bytes]:
+    return dict(zip(t.column(BUCKET).to_pylist(), t.column(column).to_pylist(), strict=True))
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", min_len: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -152,79 +158,44 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_len: int = 200, block_
     taken = {"n_bytes", "n_removed", "n_spans", "kept"} & set(docs.columns)
     if taken:
         raise ValueError(f"columns {sorted(taken)} are in use; rename them first")
-    v, cover = cover_for(min_len)
-    t = min_len - v + 1
-    spread, n_blocks = blocked(docs, text, block_bytes)
-    n_buckets = buckets_for(n_blocks)
-
-    def slices(table: pa.Table):
-        buf, off = column_bytes(table.column(text))
-        for i, j in row_slices(off, block_bytes):
-            yield buf[off[i] : off[j]], off[i : j + 1] - off[i]
-
-    def gather(block: int, parts: list, kind) -> pa.Table:
-        bucket = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int32)
-        value = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, kind)
-        return sent(block, bucket, value, n_buckets)
-
-    def name_samples(table: pa.Table) -> pa.Table:
-        block = table.column(BLOCK)[0].as_py()
-        return gather(block, [tuple_keys(b, o, v, cover, t, n_buckets)[1:] for b, o in slices(table)], np.uint32)
-
-    def name_windows(key, table: pa.Table, names: pa.Table) -> pa.Table:
-        if not table.num_rows or not names.num_rows:
-            return sent(0, np.zeros(0, np.int32), np.zeros(0, U64), n_buckets)
-        known = answered(names, np.uint32)
-        parts = []
-        for b, o in slices(table):
-            start = starts_left(b, o, known, v, cover, t, min_len, n_buckets)
-            parts.append(window_keys(b, start, min_len, n_buckets))
-        return gather(key[0].as_py(), parts, U64)
-
-    def cut(key, table: pa.Table, names: pa.Table, windows: pa.Table) -> pa.Table:
-        known, repeats = answered(names, np.uint32), answered(windows, U64)
-        kept, removed, spans = [], [], []
-        for b, o in slices(table):
-            gone = np.zeros(len(b) + 1, np.int32)
-            if repeats:
-                start = starts_left(b, o, known, v, cover, t, min_len, n_buckets)
-                start = start[found(*window_keys(b, start, min_len, n_buckets), repeats)]
-                np.add.at(gone, start, 1)
-                np.add.at(gone, start + min_len, -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            opens = gone.copy()
-            opens[1:] &= ~gone[:-1]
-            if len(b):
-                opens[o[:-1][o[:-1] < len(b)]] = gone[o[:-1][o[:-1] < len(b)]]
-            runs_before = np.concatenate([[0], np.cumsum(opens)])
-            removed.append(total[o[1:]] - total[o[:-1]])
-            spans.append(runs_before[o[1:]] - runs_before[o[:-1]])
-            kept.append(binary_rows(b[~gone], o - total[o]))
-        size = np.diff(column_bytes(table.column(text))[1])
-        out = table.drop_columns([BLOCK])
-        for name, value in (("n_bytes", size), ("n_removed", np.concatenate(removed)), ("n_spans", np.concatenate(spans))):
-            out = out.append_column(name, pa.array(value, pa.int64()))
-        return out.append_column("kept", pa.concat_arrays(kept))
+    n_buckets = buckets_for(docs, text, block_bytes)
+
+    def opened(t: pa.Table) -> tuple[pa.Table, Block]:
+        rows = unpack(t.column(BLOB)[0].as_py())
+        return rows, Block(*column_bytes(rows.column(text)), min_len, n_buckets)
+
+    def name_samples(t: pa.Table) -> pa.Table:
+        _, block = opened(t)
+        return sent_rows(t.column(BLOCK)[0].as_py(), block.tuples(), block.chunks()[2], n_buckets)
+
+    def name_windows(key, t: pa.Table, first: pa.Table) -> pa.Table:
+        _, block = opened(t)
+        _, _, windows = block.windows(*(by_bucket(first, c) for c in ("names", "chunks", "first")))
+        return sent_rows(key[0].as_py(), windows, None, n_buckets)
+
+    def cut(key, t: pa.Table, replies: pa.Table) -> pa.Table:
+        rows, block = opened(t)
+        second = np.array(replies.column("second").to_pylist(), bool)
+        first, last = replies.filter(pa.array(~second)), replies.filter(pa.array(second))
+        known, left, windows = block.windows(*(by_bucket(first, c) for c in ("names", "chunks", "first")))
+        gone = block.removed([known, left[windows.bits(by_bucket(last, "names"))[windows.inverse]]])
+        off = block.off
+        total = np.concatenate([[0], np.cumsum(gone)])
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        starts = off[:-1][off[:-1] < len(gone)]
+        opens[starts] = gone[starts]
+        spans = np.concatenate([[0], np.cumsum(opens)])
+        for name, value in (("n_bytes", np.diff(off)), ("n_removed", total[off[1:]] - total[off[:-1]]), ("n_spans", spans[off[1:]] - spans[off[:-1]])):
+            rows = rows.append_column(name, pa.array(value, pa.int64()))
+        return rows.append_column("kept", binary_rows(block.buf[~gone], off - total[off]))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    returned = f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary"
-
-    def cut_one(key, table: pa.Table, replies: pa.Table) -> pa.Table:
-        wide = np.array(replies.column("__tl_wide").to_pylist(), bool)
-        return cut(key, table, replies.filter(pa.array(~wide)), replies.filter(pa.array(wide)))
-
-    by_block = spread.groupBy(BLOCK)
-    names = by_block.applyInArrow(name_samples, SENT).groupBy(BUCKET).applyInArrow(repeated(np.uint32), ANSWER)
-    windows = by_block.cogroup(names.groupBy(BLOCK)).applyInArrow(name_windows, SENT).groupBy(BUCKET).applyInArrow(repeated(U64), ANSWER)
-    replies = names.withColumn("__tl_wide", F.lit(False)).unionByName(windows.withColumn("__tl_wide", F.lit(True)))
-
-    def final(key, table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.Table.from_batches([], pa.schema([*table.drop_columns([BLOCK]).schema, ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
-        return cut_one(key, table, replies)
-
-    return by_block.cogroup(replies.groupBy(BLOCK)).applyInArrow(final, returned)
+    blocks = in_blocks(docs, text, block_bytes).groupBy(BLOCK)
+    first = blocks.applyInArrow(name_samples, SENT).groupBy(BUCKET).applyInArrow(answers(np.uint32), ANSWER)
+    second = blocks.cogroup(first.groupBy(BLOCK)).applyInArrow(name_windows, SENT).groupBy(BUCKET).applyInArrow(answers(U64), ANSWER)
+    replies = first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
+    return blocks.cogroup(replies.groupBy(BLOCK)).applyInArrow(cut, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
