@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """``df``, computed once, with a broadcast hint if its rows measure ``most_bytes`` at most.
+
+    A larger one is left to a shuffled join.
+    """
+    fixed = materialize(df)
+    size = fixed.agg(F.sum(F.octet_length(F.to_json(F.struct(*fixed.columns)))).alias("b")).first()["b"] or 0
+    return F.broadcast(fixed) if size <= most_bytes else fixed
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver found it.
 
