@@ -5,6 +5,7 @@ from __future__ import annotations
 from tierlink.llm.decontaminate import op5_query
 from tierlink.llm.html_extract import op10_query
 from tierlink.llm.language_id import op1_query
+from tierlink.llm.license_scan import OP7_SQL, op7_query
 from tierlink.llm.near_dedup import op2_query
 from tierlink.llm.packing import op4_query
 from tierlink.llm.quality_rules import OP8_SQL, op8_query
@@ -17,11 +18,13 @@ QUERIES = {
     "op4_packing": op4_query,
     "op5_decontaminate": op5_query,
     "op6_toxicity": op6_query,
+    "op7_license_scan": op7_query,
     "op8_quality_rules": op8_query,
     "op9_suffix_dedup": op9_query,
     "op10_html_extract": op10_query,
 }
 
 ORACLE_SQL = {
+    "op7_license_scan": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
 }
