@@ -323,7 +323,8 @@ def _match(pattern):
     return run
 
 
-query("g01_pattern_1edge", PAT + ", m AS (SELECT round(b.distance + a.distance + CASE WHEN a.distance <= 0.6 THEN rc.distance ELSE 0 END, 6) AS score, b.name = a.name AS reuse, b.name || '>' || e.relation || '>' || a.name AS edges FROM e JOIN nc b ON b.q = 'nation_1' AND b.name = e.head JOIN nc a ON a.q = 'asia' AND a.name = e.tail JOIN rc ON rc.q = 'in region' AND rc.name = e.relation) SELECT score, edges FROM m ORDER BY score, reuse, edges LIMIT 20")(_match([("nation_1", "in region", "asia")]))
+# the region has fewest candidates, so it is the root; no edge leaves a region, so backward edges match
+query("g01_pattern_1edge", PAT + ", m AS (SELECT round(a.distance + b.distance + CASE WHEN b.distance <= 0.6 THEN rc.distance ELSE 0 END + 0.25, 6) AS score, b.name = a.name AS reuse, a.name || '>' || e.relation || '>' || b.name AS edges FROM e JOIN nc b ON b.q = 'nation_1' AND b.name = e.head JOIN nc a ON a.q = 'asia' AND a.name = e.tail JOIN rc ON rc.q = 'in region' AND rc.name = e.relation) SELECT score, edges FROM m ORDER BY score, reuse, edges LIMIT 20")(_match([("nation_1", "in region", "asia")]))
 query("g01_pattern_wildcard", PAT + ", m AS (SELECT round(b.distance + rc.distance, 6) AS score, e.head = e.tail AS reuse, e.head || '>' || e.relation || '>' || e.tail AS edges FROM e JOIN nc b ON b.q = 'nation_1' AND b.name = e.head JOIN rc ON rc.q = 'in region' AND rc.name = e.relation) SELECT score, edges FROM m ORDER BY score, reuse, edges LIMIT 20")(_match([("nation_1", "in region", "UNKNOWN region")]))
 ORACLE_SQL["g01_pattern_reverse"] = (PAT + ", bw AS (SELECT src, rel, dst, min(p) AS p FROM (SELECT head AS src, relation AS rel, tail AS dst, 0.0::DOUBLE AS p FROM e UNION ALL SELECT tail, relation, head, 0.25 FROM e) GROUP BY ALL), m AS (SELECT round(b.distance + rc.distance + p, 6) AS score, src = dst AS reuse, src || '>' || rel || '>' || dst AS edges FROM bw JOIN nc b ON b.q = 'asia' AND b.name = src AND b.name = 'asia' JOIN rc ON rc.q = 'in region' AND rc.name = rel) SELECT score, edges FROM m ORDER BY score, reuse, edges LIMIT 20")
 
