@@ -6,6 +6,7 @@ from tierlink.llm.decontaminate import op5_query
 from tierlink.llm.html_extract import op10_query
 from tierlink.llm.language_id import op1_query
 from tierlink.llm.license_scan import OP7_SQL, op7_query
+from tierlink.llm.lm_scoring import op3_query
 from tierlink.llm.near_dedup import op2_query
 from tierlink.llm.packing import op4_query
 from tierlink.llm.quality_rules import OP8_SQL, op8_query
@@ -15,6 +16,7 @@ from tierlink.llm.toxicity import op6_query
 QUERIES = {
     "op1_language_id": op1_query,
     "op2_near_dedup": op2_query,
+    "op3_lm_scoring": op3_query,
     "op4_packing": op4_query,
     "op5_decontaminate": op5_query,
     "op6_toxicity": op6_query,
