@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tierlink.functions.numeric import sigmoid, softmax
 
@@ -148,7 +149,7 @@ def variadic_concat(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("__s", "pos")) - 1).drop("__s")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(pred: pd.Series, gold: pd.Series) -> pd.Series:
     """ROUGE-L F of two token arrays; the common subsequence by bit-parallel dynamic programming."""
 
