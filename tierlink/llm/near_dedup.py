@@ -10,8 +10,9 @@ accidental collisions of compressed registers, then confirmed on full sets.
 Groups never meet in one task. Equal sets collapse into one class first. Within a band key,
 classes form stars around the least id of each of ``SALTS`` sub-keys and those around the key's
 least id: a number of pairs linear in the rows. Where a key still holds several components,
-every member proposes its nearest members of other components (1, then 8, 64, ... until none is
-left untested), in tiles of bounded size, until no candidate pair joins two components.
+pairs of different components that pass the screen are confirmed: in keys of up to ``SMALL``
+members by joining their sets, in larger ones in tiles of bounded size that hold their members'
+sets, best estimate first, where a pair whose components are joined by then needs no link.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and are linked with
 nothing; null ids are linked with nothing and keep their row; rows of one id count as one
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.llm._bytes import LOWER, U64, Fingerprints, binary_rows, column_bytes, distinct_per_doc, mix, row_slices, shingles, words
+from tierlink.llm._columns import without
 from tierlink.operators.components import connected_components
 from tierlink.session import materialize
 
@@ -35,12 +37,15 @@ REGISTERS, ROWS = 96, 4
 MANTISSA = 10
 SALTS = 16
 SLICE_BYTES = 4 << 20
-TILE = 1024
+TILE = 512
+SMALL = 64
 #: Standard errors by which an estimate may fall short of the threshold before a pair is let go.
-MARGIN = 6.0
+MARGIN = 4.75
 
 _probe = np.random.default_rng(20250101)
 PROBES = np.stack([_probe.permutation(REGISTERS) for _ in range(REGISTERS)])  # [bucket, attempt]
+#: Result columns; input columns of these names are replaced.
+RESULT = ("n_shingles", "component_id", "kept")
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +114,7 @@ def passes(est: np.ndarray, na: np.ndarray, nb: np.ndarray, used_least: float) -
     """Screen that a pair at the threshold fails with negligible probability; small sets always pass."""
     least = np.minimum(na, nb)
     ratio = least / np.maximum(np.maximum(na, nb), 1)
-    registers = np.minimum(least, REGISTERS) * 0.6
+    registers = REGISTERS * (1 - np.exp(-least / REGISTERS))
     slack = MARGIN * np.sqrt(used_least * (1 - used_least) / np.maximum(registers, 1))
     return (ratio >= used_least - 1e-9) & (est >= used_least - slack)
 
@@ -185,49 +190,124 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def nearest_elsewhere(mixed: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Pairs that members of a key propose to other components: for each its ``most`` best estimates.
+def pair_indices(size: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs i < j of each run of ``size`` rows; rows of two tiles pair across only."""
+    ends = np.repeat(np.cumsum(size), size)
+    rows = np.arange(len(ends))
+    later = ends - rows - 1
+    i = np.repeat(rows, later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    crossed = np.repeat(np.maximum.reduceat(side, np.cumsum(size) - size), size)[i] > 0
+    ok = ~crossed | (side[i] != side[j])
+    return i[ok], j[ok]
 
-    ``mixed``: (key, id, label, n, regs). Keys of over ``TILE`` members are cut into tiles, and each
-    pair of tiles is a group, so no task holds an unbounded key.
+
+def open_pairs(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(rows i, rows j, estimates, end of the groups) of screened pairs with different labels.
+
+    ``t`` holds whole groups (key, p, q) one after another; about 2 ** 21 pairs are made at a time.
     """
-    size = mixed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-    sized = mixed.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    left = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("mine", F.lit(True))
-    left = left.withColumns({"p": F.col("tile"), "q": F.col("other")})
-    right = left.where("tile <> other").withColumns({"p": F.col("other"), "q": F.col("tile"), "mine": F.lit(False)})
-    both = left.unionByName(right).select("key", "p", "q", "mine", "id", "label", "n", "regs")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
-        n = t.column("n").to_numpy().astype(float)
-        regs = np.frombuffer(column_bytes(t.column("regs"))[0].tobytes(), np.uint16).reshape(-1, REGISTERS)
-        mine = np.array(t.column("mine").to_pylist(), bool)
-        same_tile = t.column("p")[0].as_py() == t.column("q")[0].as_py()
-        rows, cols = np.flatnonzero(mine), np.arange(len(ids)) if same_tile else np.flatnonzero(~mine)
-        out_a, out_b = [], []
-        for i in rows:
-            j = cols[label[cols] != label[i]]
-            if not len(j):
-                continue
-            est = estimate(regs[i][None, :], regs[j], n[i : i + 1], n[j])
-            ok = passes(est, np.full(len(j), n[i]), n[j], similarity)
-            j, est = j[ok], est[ok]
-            best = j[np.lexsort((ids[j], -est))[:most]]
-            out_a.append(np.minimum(ids[i], ids[best]))
-            out_b.append(np.maximum(ids[i], ids[best]))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    label, n, side = (t.column(c).to_numpy() for c in ("label", "n", "side"))
+    regs = np.frombuffer(column_bytes(t.column("regs"))[0].tobytes(), np.uint16).reshape(-1, REGISTERS)
+    group = np.stack([t.column(c).to_numpy() for c in ("key", "p", "q")])
+    first = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(0)]))
+    counts = np.diff(np.append(first, len(label)))
+    begin = 0
+    while begin < len(first):
+        upto = begin + max(1, int(np.searchsorted(np.cumsum(counts[begin:].astype(np.int64) ** 2), 1 << 22, "right")))
+        r = slice(first[begin], first[upto - 1] + counts[upto - 1])
+        i, j = pair_indices(counts[begin:upto], side[r])
+        i, j = i + r.start, j + r.start
+        ok = label[i] != label[j]
+        i, j = i[ok], j[ok]
+        est = np.zeros(len(i))
+        keep = np.zeros(len(i), bool)
+        for k in range(0, len(i), 50_000):
+            x, y = i[k : k + 50_000], j[k : k + 50_000]
+            na, nb = n[x].astype(float), n[y].astype(float)
+            est[k : k + 50_000] = estimate(regs[x], regs[y], na, nb)
+            keep[k : k + 50_000] = passes(est[k : k + 50_000], na, nb, similarity)
+        yield i[keep], j[keep], est[keep], r.stop
+        begin = upto
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by (key, p, q), so no call is needed for each key."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        group = np.stack([t.column(c).to_numpy() for c in ("key", "p", "q")])
+        same = (group == group[:, -1:]).all(0)
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # rows before the last group
+        held = t.slice(cut)
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def small_key_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """Every screened pair (a, b) of different components in keys of up to ``SMALL`` members."""
+    zero = F.lit(0)
+    dealt = mixed.select("key", zero.alias("p"), zero.alias("q"), zero.alias("side"), "id", "label", "n", "regs").repartition("key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            ids = t.column("id").to_numpy()
+            for i, j, _, _ in open_pairs(t, similarity):
+                pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    return both.groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
+
+def large_key_links(mixed: DataFrame, sets: DataFrame, similarity: float, percent: int) -> DataFrame:
+    """Links (a, b) that join components in keys of over ``SMALL`` members, confirmed on full sets in place.
+
+    Keys are cut into tiles of about ``TILE`` members, each pair of tiles is handled apart. Screened
+    pairs are confirmed best estimate first; pairs whose components are joined by then need no link.
+    """
+    tiled = mixed.withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.withColumns({"p": F.least("tile", "other"), "q": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
+    dealt = dealt.join(sets, "id").select("key", "p", "q", "side", "id", "label", "n", "regs", "set").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            ids, label, members = t.column("id").to_numpy(), t.column("label").to_numpy(), t.column("set")
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    parent[x] = x = parent.get(parent[x], parent[x])
+                return x
+
+            a, b = [], []
+            opened: dict[int, np.ndarray] = {}
+            for i, j, est, _ in open_pairs(t, similarity):
+                for k in np.argsort(-est, kind="stable"):
+                    x, y = int(i[k]), int(j[k])
+                    u, v = root(int(label[x])), root(int(label[y]))
+                    if u == v:
+                        continue
+                    for r in (x, y):
+                        if r not in opened:
+                            opened[r] = np.frombuffer(members[r].as_py(), U64)
+                    both = len(np.intersect1d(opened[x], opened[y], assume_unique=True))
+                    if 100 * both >= percent * (len(opened[x]) + len(opened[y]) - both):
+                        parent[max(u, v)] = min(u, v)
+                        a.append(min(ids[x], ids[y]))
+                        b.append(max(ids[x], ids[y]))
+                opened.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` plus ``n_shingles`` (long), ``component_id`` (long) and ``kept`` (boolean)."""
-    taken = {"n_shingles", "component_id", "kept"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in use; rename them first")
+    docs = without(docs, RESULT)
     similarity = percent / 100
     sketched = materialize(sketch_table(docs, id_col, text, k))
     linkable = sketched.where("n > 0 and id is not null")
@@ -247,29 +327,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     sets = materialize(set_table(docs.join(near.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text, k).dropDuplicates(["id"]))
     tested = materialize(screened(pairs, near, similarity))
     links = materialize(confirmed(tested, sets, percent))
-    most = 1
-    while True:
-        labels = connected_components(links, "a", "b")
-        named = near.select("id", "n", "regs").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        at = keyed.select("key", "id").join(named.select("id", "label"), "id")
-        open_keys = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-        mixed = at.join(open_keys, "key", "left_semi").join(named.select("id", "n", "regs"), "id")
-        proposed = materialize(nearest_elsewhere(mixed, similarity, most))
-        fresh = materialize(proposed.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if proposed.isEmpty() or most > 10**9:
-                break
-            most = most * 8 if most < 4096 else 10**10
-            continue
-        tested = tested.unionByName(fresh)
-        links = materialize(links.unionByName(confirmed(fresh, sets, percent)))
+    labels = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    named = near.select("id", "n", "regs").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    at = keyed.select("key", "id").join(named.select("id", "label"), "id")
+    open_keys = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x < y").select("key", "size")
+    mixed = materialize(at.join(open_keys, "key").join(named.select("id", "n", "regs"), "id"))
+    fresh = small_key_pairs(mixed.where(F.col("size") <= SMALL), similarity).join(tested, ["a", "b"], "left_anti")
+    links = links.unionByName(materialize(confirmed(fresh, sets, percent)))
+    links = links.unionByName(materialize(large_key_links(mixed.where(F.col("size") > SMALL), sets, similarity, percent)))
 
     joined = connected_components(member.unionByName(links), "a", "b")
-    sizes = sketched.select("id", "n")
-    # one pass over the input rows in their own order of columns; rows of one id share the component
-    per_id = sizes.where("id is not null").groupBy("id").agg(F.max("n").alias("__n")).join(joined.withColumnRenamed("node", "id"), "id", "left")
+    per_id = sketched.select("id", "n").where("id is not null").groupBy("id").agg(F.max("n").alias("__n")).join(joined.toDF("id", "__component"), "id", "left")
     out = docs.join(per_id.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left")
-    return out.withColumns({"n_shingles": F.coalesce("__n", F.lit(0).cast("long")), "component_id": F.coalesce("component", F.col(id_col).cast("long"))}).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).drop("__id", "__n", "component")
+    return out.withColumns({"n_shingles": F.coalesce("__n", F.lit(0).cast("long")), "component_id": F.coalesce("__component", F.col(id_col).cast("long"))}).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))).drop("__id", "__n", "__component")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
