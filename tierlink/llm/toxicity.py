@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, row_slices, words
+from tierlink.llm._columns import without
 
 # Sets of identity terms that are swapped for each other.
 IDENTITY_SETS = (
@@ -137,12 +138,13 @@ def train(rows: list[np.ndarray], y: np.ndarray, known: Known, ridge: float, pen
     return w[:d], float(w[d])
 
 
-def fit(labelled: DataFrame, id_col: str, text: str, label: str, per_class: int = PER_CLASS, features: int = FEATURES, ridge: float = 1e-5, penalty: float = 1.0) -> Model | None:
-    """Model of a bounded sample of ``labelled`` rows (label 0 or 1); None without both classes."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, per_class: int = PER_CLASS, features: int = FEATURES, ridge: float = 1e-5, penalty: float = 1.0) -> Model | None:
+    """Model of a bounded sample of labelled ``docs`` (label 0 or 1); None without both classes."""
     order = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")
-    ids = labelled.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
-    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("i").distinct()
-    sample = labelled.where(F.col(label).isin(0, 1)).join(chosen, F.col(id_col) == F.col("i"), "left_semi").select(F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
+    ids = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").distinct()
+    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("i", "y")
+    # at most 2 * per_class rows, so the broadcast is bounded and the texts aren't shuffled
+    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("i")).select("y", F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,8 +188,7 @@ def fit(labelled: DataFrame, id_col: str, text: str, label: str, per_class: int
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` plus the toxicity score (double, 0 to 1)."""
-    if name in docs.columns:
-        raise ValueError(f"column {name} is in use; rename it first")
+    docs = without(docs, {name})
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +206,6 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).select("doc_id", "toxic")
-    model = fit(docs.join(labels, "doc_id"), "doc_id", "text", "toxic")
+    model = fit(docs, labels, "doc_id", "text", "toxic")
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
