@@ -11,8 +11,8 @@ field group is the container named as content or else the one with most text out
 
 Wrappers come from at most ``sample`` pages a host, chosen by hash; every page is extracted with
 its host's wrapper, and tokens that the wrapper hasn't seen follow the same rules of their own.
-A hot host's pages are never gathered: its few sample pages are, and wrappers are joined to
-pages, a join whose skew AQE can split.
+A hot host's pages are never gathered: its few sample pages are. Wrappers are broadcast if they
+measure little, else joined to pages by host, a join whose skew AQE can split.
 
 Defined cases: a null or empty html gives an empty text; a page without a host (null or odd url)
 shares the wrapper of pages alike; repeated rows give equal rows; other columns pass through;
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierlink.session import broadcast_if_small
+
 SAMPLE = 8
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -226,6 +228,7 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
     named = pages.select(host_of(url).alias("host"), F.xxhash64(url, id_col).alias("h"))
     order = Window.partitionBy("host").orderBy("h")
     chosen = named.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("host", "h")
+    chosen = broadcast_if_small(chosen)
     picked = pages.select(host_of(url).alias("host"), F.xxhash64(url, id_col).alias("h"), F.col(html).alias("html")).where("html is not null").join(chosen, ["host", "h"], "left_semi")
 
     def run(t: pa.Table) -> pa.Table:
@@ -239,11 +242,10 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
     """``pages`` without ``html``, plus ``text`` (string) and ``n_chars`` (long)."""
     rest = [c for c in pages.columns if c != html]
-    taken = {"text", "n_chars"} & set(rest)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in use; rename them first")
-    found = wrappers(pages, id_col, url, html, sample).withColumnRenamed("host", "__host")
-    wide = pages.withColumn("__h", host_of(url)).join(found, F.col("__h") == F.col("__host"), "left").select(*rest, html, "wrapper")
+    rest = [c for c in rest if c.lower() not in {"text", "n_chars"}]
+    found = wrappers(pages, id_col, url, html, sample).toDF("__host", "__wrapper")
+    found = broadcast_if_small(found)
+    wide = pages.withColumn("__h", host_of(url)).join(found, F.col("__h") == F.col("__host"), "left").select(*[F.col(f"`{c}`") for c in rest], html, "__wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str | None, dict] = {None: infer([])}
