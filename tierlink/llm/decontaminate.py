@@ -4,7 +4,8 @@ Texts are sequences of words (ASCII lower case). A document leaks an item of n w
 windows of n words has a word edit distance of at most ``floor(rate * n)`` to the item.
 
 1. *Count filter.* A window that close keeps at least n - 1 - 2 * floor(rate * n) of the item's
-   word pairs. Windows with fewer pairs known from any item are skipped; this loses nothing.
+   word pairs. Windows with fewer pairs known from any item, each counted as often as an item has
+   one at most, are skipped; this loses nothing.
 2. *CGK embedding.* Each window left, and each item, walks 3n random steps: step j writes the word
    at the pointer and moves on by one random bit of (walk, j, word). Equal stretches bring the
    walks of two sequences back together, so a small edit distance becomes a small Hamming distance.
@@ -32,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, row_slices, words
+from tierlink.llm._columns import without
 
 RATE = 0.2
 WALKS, TABLES, BITS = 6, 10, 4
 MIN_WORDS = 5
+SPAN = 9
 SLICE_BYTES = 4 << 20
 LEAK = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("word_start", pa.int64()), ("byte_start", pa.int64()), ("byte_end", pa.int64())])
 LEAK_SQL = "array<struct<item_id:bigint,distance:int,n_words:int,word_start:bigint,byte_start:bigint,byte_end:bigint>>"
@@ -100,6 +103,7 @@ class Index:
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.pairs & U64((1 << 20) - 1)).astype(np.int64)] = True
         self.sizes = {}
+        self.cap = max((int(np.unique(p, return_counts=True)[1].max()) for p in pairs), default=1)
         for n in sorted({len(w) for _, w in items}):
             own = [(i, w) for i, w in items if len(w) == n]
             seq = np.stack([w for _, w in own])
@@ -107,6 +111,8 @@ class Index:
             order = np.argsort(keys, axis=0, kind="stable")
             self.sizes[n] = (np.array([i for i, _ in own]), seq, np.take_along_axis(keys, order, 0), order, int(rate * n))
 
+        self.least = min((-(-max(1, n - 1 - 2 * int(rate * n)) // -(-(n - 1) // SPAN)) for n in self.sizes), default=1)
+
     def known_pairs(self, word: np.ndarray) -> np.ndarray:
         h = pair_hash(word)
         hit = self.bitmap[(h & U64((1 << 20) - 1)).astype(np.int64)]
@@ -122,14 +128,30 @@ class Index:
             return
         hit = self.known_pairs(word) & (doc[1:] == doc[:-1])
         total = np.concatenate([[0], np.cumsum(hit)])
+        # some SPAN neighbouring pairs of a window hold their share of the pairs it needs
+        upto = np.minimum(np.arange(len(hit)) + SPAN, len(hit))
+        dense = np.flatnonzero(total[upto] - total[:-1] >= self.least)
+        reach = max(self.sizes)
+        mark = np.zeros(len(word) + 1, np.int32)
+        np.add.at(mark, np.maximum(dense - reach, 0), 1)
+        np.add.at(mark, dense + 1, -1)
+        near = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        if not len(near):
+            return
+        pair = pair_hash(word)
         for n, (ids, seq, keys, order, most) in self.sizes.items():
-            if len(word) < n:
-                continue
-            first = np.arange(len(word) - n + 1)
+            first = near[near + n <= len(word)]
             need = max(1, n - 1 - 2 * most)
-            first = first[(total[n - 1 :] - total[: len(total) - n + 1] >= need) & (doc[n - 1 :] == doc[: len(doc) - n + 1])]
+            first = first[(total[first + n - 1] - total[first] >= need) & (doc[first + n - 1] == doc[first])]
             for i in range(0, len(first), 20_000):
-                yield from self._verified(word, first[i : i + 20_000], n, ids, seq, keys, order, most)
+                some = first[i : i + 20_000]
+                inside = some[:, None] + np.arange(n - 1)
+                known = np.where(hit[inside], pair[inside], U64(0))
+                known.sort(axis=1)
+                extra = (known[:, self.cap :] == known[:, : -self.cap]) & (known[:, self.cap :] > 0) if n - 1 > self.cap else np.zeros((len(some), 0), bool)
+                some = some[(known > 0).sum(1) - extra.sum(1) >= need]  # a pair counts as often as an item has it at most
+                if len(some):
+                    yield from self._verified(word, some, n, ids, seq, keys, order, most)
 
     def _verified(self, word, first, n, ids, seq, keys, order, most):
         windows = word[first[:, None] + np.arange(n)]
@@ -169,8 +191,7 @@ def item_chunks(benchmark: DataFrame, id_col: str, text: str, min_words: int, ch
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, walks: int = WALKS, tables: int = TABLES, bits: int = BITS, min_words: int = MIN_WORDS, chunk_words: int = 200_000) -> DataFrame:
     """``docs`` plus ``leaks``: for each leaked item its nearest window (first of equals)."""
-    if "leaks" in docs.columns:
-        raise ValueError("column leaks is in use; rename it first")
+    docs = without(docs, {"leaks"})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = docs.columns.index(text)
     out = docs.withColumn("leaks", F.array().cast(LEAK_SQL))
