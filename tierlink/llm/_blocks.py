@@ -10,7 +10,7 @@ alike; the input should be a table (or anything else whose partitions come out a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlink.llm._bytes import column_bytes, runs
+from tierlink.llm._bytes import U64, column_bytes, runs
 
 BLOCK = "__tl_block"
 BLOB = "__tl_blob"
@@ -39,15 +39,20 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
-def in_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, blob): the rows of each partition in turn, ``block_bytes`` of text at a time."""
+def in_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, prepare: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+    """(block, blob): the rows of each partition in turn, ``block_bytes`` of text at a time.
+
+    ``prepare`` turns a block's rows into what is stored of them.
+    """
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
 
         def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([pack_table(pa.Table.from_batches(held))], pa.binary())], names=[BLOCK, BLOB])
+            rows = pa.Table.from_batches(held)
+            blob = pack_table(prepare(rows.combine_chunks()) if prepare else rows)
+            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([blob], pa.binary())], names=[BLOCK, BLOB])
 
         for batch in batches:
             _, off = column_bytes(batch.column(place))
@@ -75,20 +80,29 @@ def buckets_for(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> i
 
 
 class Sent:
-    """A block's distinct keys in the order it sends them: by bucket, then by value."""
-
-    def __init__(self, bucket: np.ndarray, value: np.ndarray, n_buckets: int):
-        order = np.lexsort((value, bucket))
-        b, v = bucket[order], value[order]
+    """A block's distinct keys in the order it sends them: by bucket, then by value.
+
+    Buckets are ranges of the fingerprint, so one sort of 64-bit keys orders both. ``narrow`` keeps
+    31 bits of the value besides the bucket; ``keep_first`` makes ``first`` the first occurrence.
+    """
+
+    def __init__(self, h: np.ndarray, n_buckets: int, narrow: bool = False, keep_first: bool = False):
+        edges = np.arange(n_buckets + 1, dtype=np.uint64)
+        bucket = ((h >> U64(32)) * U64(n_buckets)) >> U64(32)
+        key = ((bucket << U64(32)) | (h & U64(0xFFFFFFFF))) & ~U64(1) if narrow else h & ~U64(1)
+        order = np.argsort(key, kind="stable" if keep_first else None)
+        v = key[order]
         new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (b[1:] != b[:-1])
-        first = np.flatnonzero(new)
-        self.first = order[first]  # lexsort is stable: the first occurrence
+        new[1:] = v[1:] != v[:-1]
+        at = np.flatnonzero(new)
+        self.first = order[at]
         self.inverse = np.empty(len(v), np.int64)
         self.inverse[order] = np.cumsum(new) - 1
-        self.count = np.diff(np.append(first, len(v)))
-        self.values = v[first]
-        self.bounds = np.searchsorted(b[first], np.arange(n_buckets + 1))
+        self.count = np.diff(np.append(at, len(v)))
+        values = v[at]
+        own = values >> U64(32) if narrow else ((values >> U64(32)) * U64(n_buckets)) >> U64(32)
+        self.bounds = np.searchsorted(own, edges)
+        self.values = values.astype(np.uint32) if narrow else values
 
     def flagged(self) -> np.ndarray:
         """Values with the lowest bit set on those found twice or more in the block."""
@@ -103,12 +117,13 @@ class Sent:
         return out
 
 
-def bucket_runs(blobs: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bucket_runs(blobs: pa.ChunkedArray, kind, keep_first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bounds of each block's values, order, run starts, run lengths, whether a run repeats) of one bucket."""
     buf, off = column_bytes(blobs)
     raw = np.frombuffer(buf.tobytes(), kind)
-    order = np.argsort(raw & ~kind(1), kind="stable")
-    first, count = runs((raw & ~kind(1))[order])
+    value = raw & ~kind(1)
+    order = np.argsort(value, kind="stable" if keep_first else None)
+    first, count = runs(value[order])
     many = (count > 1) | ((np.bitwise_or.reduceat(raw[order], first) & kind(1)) > 0) if len(first) else np.zeros(0, bool)
     return off // raw.itemsize, order, first, count, many
 

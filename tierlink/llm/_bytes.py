@@ -58,6 +58,12 @@ class Fingerprints:
         return mix(self.raw(start, end))
 
 
+    def every(self, size: int) -> np.ndarray:
+        """Scattered (not finalised) fingerprints of the range of ``size`` bytes at each position."""
+        n = max(0, len(self._sums) - size)
+        return (self._sums[size:] - self._sums[:n]) * (self._down[:n] * U64(0xD6E8FEB86659FD93))
+
+
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(buffer, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

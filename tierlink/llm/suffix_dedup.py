@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tierlink.llm._blocks import BLOB, BLOCK, BLOCK_BYTES, BUCKET, Sent, bucket_runs, buckets_for, in_blocks, packed_bits, unpack
 from tierlink.llm._bytes import U64, Fingerprints, binary_rows, column_bytes
+from tierlink.llm._columns import without
 
 # Perfect difference covers (modulus, residues).
 COVERS = {
@@ -45,9 +46,11 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
     133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109),
 }
-CHUNK_GRAM, CHUNK_MASK, CHUNK_SPAN = 24, 63, 8  # a cut every 64 bytes or so; a chunk spans 8 of them
+CHUNK_GRAM, CHUNK_BITS, CHUNK_SPAN = 24, 6, 8  # a cut every 64 bytes or so; a chunk spans 8 of them
 SENT = f"{BUCKET} int, {BLOCK} long, names binary, chunks binary"
 ANSWER = f"{BLOCK} long, {BUCKET} int, names binary, chunks binary, first binary"
+#: Result columns; input columns of these names are replaced.
+RESULT = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
 def cover_for(min_len: int) -> tuple[int, tuple[int, ...]]:
@@ -72,30 +75,24 @@ class Block:
         self.pos = np.flatnonzero(hit[inner % self.v] & (self.left >= self.t))
         self.begin = (self.pos - inner[self.pos]).astype(np.int64)  # of the position's document
 
-    def _sent(self, start: np.ndarray, end: np.ndarray, narrow: bool = False) -> Sent:
-        h = self.prints.of(start, end)
-        bucket = ((h * U64(0xD6E8FEB86659FD93)) >> U64(33)) % U64(self.n_buckets)
-        return Sent(bucket.astype(np.int32), (h.astype(np.uint32) & np.uint32(0xFFFFFFFE)) if narrow else h & ~U64(1), self.n_buckets)
-
     def tuples(self) -> Sent:
-        return self._sent(self.pos, self.pos + self.t, narrow=True)
+        return Sent(self.prints.of(self.pos, self.pos + self.t), self.n_buckets, narrow=True)
 
     def chunks(self) -> tuple[np.ndarray, np.ndarray, Sent]:
         """(start, end, names) of the content-defined chunks of ``min_len`` bytes or more."""
-        whole = np.flatnonzero(self.left >= CHUNK_GRAM)
-        h = self.prints.of(whole, whole + CHUNK_GRAM)
-        cut = whole[(h & U64(CHUNK_MASK)) == 0]
+        cut = np.flatnonzero(self.prints.every(CHUNK_GRAM) >> U64(64 - CHUNK_BITS) == 0)
+        cut = cut[self.left[cut] >= CHUNK_GRAM]
         start, end = cut[:-CHUNK_SPAN], cut[CHUNK_SPAN:]
         ok = (end - start >= self.min_len) & (end - start < self.left[start])
         start, end = start[ok], end[ok]
-        return start, end, self._sent(start, end)
+        return start, end, Sent(self.prints.of(start, end), self.n_buckets, keep_first=True)
 
     def windows(self, names: dict[int, bytes], chunks: dict[int, bytes], firsts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, Sent]:
         """(starts known to repeat, starts left, their names) once the first answers are in."""
         n = len(self.buf)
         sent = self.tuples()
-        pos = self.pos[sent.bits(names)[sent.inverse]]
-        begin = self.begin[sent.bits(names)[sent.inverse]]
+        again = sent.bits(names)[sent.inverse]
+        pos, begin = self.pos[again], self.begin[again]
         mark = np.zeros(n + 1, np.int32)
         np.add.at(mark, np.maximum(pos - (self.v - 1), begin), 1)
         np.add.at(mark, pos + 1, -1)
@@ -107,7 +104,7 @@ class Block:
         first[sent.first] = sent.bits(firsts)
         stay = left & (~known | self._inside(start, end, first)) & (self.left >= self.min_len)
         on = np.flatnonzero(stay)
-        return np.flatnonzero(known), on, self._sent(on, on + self.min_len)
+        return np.flatnonzero(known), on, Sent(self.prints.of(on, on + self.min_len), self.n_buckets)
 
     def _inside(self, start: np.ndarray, end: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Window starts whose window lies in one of those chunks."""
@@ -139,7 +136,7 @@ def answers(kind):
         t = t.sort_by(BLOCK)
         out = []
         for column, k in (("names", kind), ("chunks", U64)):
-            bounds, order, first, count, many = bucket_runs(t.column(column), k)
+            bounds, order, first, count, many = bucket_runs(t.column(column), k, keep_first=column == "chunks")
             flags, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
             flags[order] = np.repeat(many, count)
             leads[order[first]] = many
@@ -155,9 +152,7 @@ def by_bucket(t: pa.Table, column: str) -> dict[int, bytes]:
 
 def suffix_dedup(docs: DataFrame, text: str = "text", min_len: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` plus ``n_bytes, n_removed, n_spans`` (long) and ``kept`` (binary: the bytes that stay)."""
-    taken = {"n_bytes", "n_removed", "n_spans", "kept"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in use; rename them first")
+    docs = without(docs, RESULT)
     n_buckets = buckets_for(docs, text, block_bytes)
 
     def opened(t: pa.Table) -> tuple[pa.Table, Block]:
