@@ -17,11 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierlink.llm._columns import without
+
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-SAMPLE_ROWS = 2000  # documents that the order of the rules is estimated on
+SAMPLE_ROWS = 2000  # expected number of documents that the order of the rules is estimated on
+#: Result columns; input columns of these names are replaced.
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 @dataclass(frozen=True)
@@ -70,9 +74,9 @@ def base_columns(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejection per cost, measured on at most ``sample_rows`` documents with base counts."""
-    seen = docs.limit(sample_rows).agg(
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """Rules by rejection per cost, measured on sampled documents with base counts."""
+    seen = docs.agg(
         F.avg(F.length("__t")).alias("chars"),
         F.avg("n_words").alias("words"),
         *[F.avg(F.coalesce(F.expr(r.reject), F.lit(False)).cast("double")).alias(r.name) for r in rules],
@@ -85,17 +89,18 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` plus the base counts, ``base_failed``, ``kept`` and ``rejected_by`` (null if kept)."""
-    taken = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in use; rename them first")
+    docs = without(docs, RESULT)
     counted = base_columns(docs, text)
-    ordered = order_rules(base_columns(docs.select(text).limit(sample_rows), text), rules, sample_rows)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    ordered = order_rules(base_columns(docs.select(text).sample(fraction=share, seed=1), text), rules)
     failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
     verdict: Column = F.when(failed, F.lit("base"))
     for rule in ordered:
         verdict = verdict.when(F.expr(rule.reject), F.lit(rule.name))
-    out = counted.withColumn("base_failed", failed).withColumn("rejected_by", verdict)
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("__t", "__w", "__lines", "__h", "__g", "__s", "__p")
+    # a filter on the verdict must not be pushed below the counts: inlined there, they would be computed
+    # again at each of their uses; an expression that isn't deterministic keeps it above
+    out = counted.withColumns({"base_failed": failed, "rejected_by": verdict, "__row": F.monotonically_increasing_id()})
+    return out.withColumn("kept", F.col("rejected_by").isNull() & (F.col("__row") >= 0)).drop("__row", "__t", "__w", "__lines", "__h", "__g", "__s", "__p")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
