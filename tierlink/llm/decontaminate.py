@@ -48,36 +48,38 @@ def pair_hash(word: np.ndarray) -> np.ndarray:
     return mix(word[:-1] * U64(0x9E3779B97F4A7C15) + word[1:])
 
 
-def embed(seq: np.ndarray, walk: int, columns: np.ndarray) -> np.ndarray:
-    """Coordinates ``columns`` (sorted) of the CGK walk over each row of ``seq`` [window, n]."""
+def embed(seq: np.ndarray, walks: int, columns: np.ndarray) -> np.ndarray:
+    """[walk, window, column]: coordinates ``columns`` (sorted) of the CGK walks over each row of ``seq`` [window, n]."""
     rows, n = seq.shape
-    at = np.zeros(rows, np.int64)
-    out = np.zeros((rows, len(columns)), U64)
+    at = np.zeros((walks, rows), np.int64)
+    out = np.zeros((walks, rows, len(columns)), U64)
     each, k = np.arange(rows), 0
+    walk = np.arange(walks, dtype=U64)[:, None]
     for step in range(int(columns[-1]) + 1):
-        sym = np.where(at < n, seq[each, np.minimum(at, n - 1)], U64(0))
+        sym = seq[each, np.minimum(at, n - 1)]
+        sym[at >= n] = 0
         while k < len(columns) and columns[k] == step:
-            out[:, k] = sym
+            out[:, :, k] = sym
             k += 1
-        at += (mix(sym + U64((walk * 100003 + step + 1) * 0xC2B2AE3D27D4EB4F % 2**64)) >> U64(63)).astype(np.int64)
+        at += (mix(sym + (walk * U64(100003) + U64(step + 1)) * U64(0xC2B2AE3D27D4EB4F)) >> U64(63)).astype(np.int64)
     return out
 
 
 def table_keys(seq: np.ndarray, walks: int, tables: int, bits: int) -> np.ndarray:
     """[window, walk * table] LSH keys of windows of one length."""
     n = seq.shape[1]
-    keys = []
+    rng = np.random.default_rng(1000 * n)
+    chosen = rng.integers(0, 2 * n, (walks, tables, bits))  # a walk has read most of the text by step 2n
+    columns = np.unique(chosen)
+    out = embed(seq, walks, columns)
+    keys = np.empty((len(seq), walks * tables), U64)
     for walk in range(walks):
-        rng = np.random.default_rng(1000 * n + walk)
-        chosen = rng.integers(0, 2 * n, (tables, bits))  # the walk has read most of the text by step 2n
-        columns = np.unique(chosen)
-        out = embed(seq, walk, columns)
         for t in range(tables):
             key = np.full(len(seq), U64(walk * tables + t + 1))
-            for j in np.searchsorted(columns, chosen[t]):
-                key = mix(key ^ out[:, j])
-            keys.append(key)
-    return np.stack(keys, 1)
+            for j in np.searchsorted(columns, chosen[walk, t]):
+                key = mix(key ^ out[walk, :, j])
+            keys[:, walk * tables + t] = key
+    return keys
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,8 +124,8 @@ class Index:
         hit[on] = self.pairs[at] == h[on]
         return hit
 
-    def leaks(self, word: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-        """(window's first word, item id, distance, n) of all verified pairs."""
+    def candidates(self, word: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(n, first words of the windows of n words that the count filter leaves)."""
         if len(word) < 2 or not self.sizes:
             return
         hit = self.known_pairs(word) & (doc[1:] == doc[:-1])
@@ -139,7 +141,7 @@ class Index:
         if not len(near):
             return
         pair = pair_hash(word)
-        for n, (ids, seq, keys, order, most) in self.sizes.items():
+        for n, (*_, most) in self.sizes.items():
             first = near[near + n <= len(word)]
             need = max(1, n - 1 - 2 * most)
             first = first[(total[first + n - 1] - total[first] >= need) & (doc[first + n - 1] == doc[first])]
@@ -151,26 +153,30 @@ class Index:
                 extra = (known[:, self.cap :] == known[:, : -self.cap]) & (known[:, self.cap :] > 0) if n - 1 > self.cap else np.zeros((len(some), 0), bool)
                 some = some[(known > 0).sum(1) - extra.sum(1) >= need]  # a pair counts as often as an item has it at most
                 if len(some):
-                    yield from self._verified(word, some, n, ids, seq, keys, order, most)
-
-    def _verified(self, word, first, n, ids, seq, keys, order, most):
-        windows = word[first[:, None] + np.arange(n)]
-        own = table_keys(windows, *self.shape)
-        met = []
-        for c in range(keys.shape[1]):
-            lo, hi = (np.searchsorted(keys[:, c], own[:, c], side) for side in ("left", "right"))
-            count = hi - lo
-            w = np.repeat(np.arange(len(first)), count)
-            if len(w):
-                inner = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
-                met.append(w * len(ids) + order[lo[w] + inner, c])
-        if met:
-            w, item = np.divmod(np.unique(np.concatenate(met)), len(ids))
-            for i in range(0, len(w), 50_000):
-                x, y = w[i : i + 50_000], item[i : i + 50_000]
-                distance = edit_distances(windows[x], seq[y])
-                ok = distance <= most
-                yield first[x[ok]], ids[y[ok]], distance[ok], n
+                    yield n, some
+
+    def verified(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, item id, distance) of pairs that share a key and are within the distance."""
+        n = windows.shape[1]
+        ids, seq, keys, order, most = self.sizes[n]
+        for at in range(0, len(windows), 4096):
+            part = windows[at : at + 4096]
+            own = table_keys(part, *self.shape)
+            met = []
+            for c in range(keys.shape[1]):
+                lo, hi = (np.searchsorted(keys[:, c], own[:, c], side) for side in ("left", "right"))
+                count = hi - lo
+                w = np.repeat(np.arange(len(part)), count)
+                if len(w):
+                    inner = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
+                    met.append(w * len(ids) + order[lo[w] + inner, c])
+            if met:
+                w, item = np.divmod(np.unique(np.concatenate(met)), len(ids))
+                for i in range(0, len(w), 50_000):
+                    x, y = w[i : i + 50_000], item[i : i + 50_000]
+                    distance = edit_distances(part[x], seq[y])
+                    ok = distance <= most
+                    yield at + x[ok], ids[y[ok]], distance[ok]
 
 
 def item_chunks(benchmark: DataFrame, id_col: str, text: str, min_words: int, chunk_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -203,18 +209,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                 buf, off = column_bytes(batch.column(place))
                 before = batch.column(batch.num_columns - 1).to_pylist()
                 found: dict[tuple[int, int], tuple] = {}
+                pending: dict[int, list] = {}
                 for i, j in row_slices(off, SLICE_BYTES):
                     low, o = LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
                     start, end, doc = words(low, o)
                     hashes = Fingerprints(low).of(start, end)
                     base = np.searchsorted(doc, np.arange(j - i))
-                    for first, ids, distance, n in index.leaks(hashes, doc):
-                        for f, item, e in zip(first.tolist(), ids.tolist(), distance.tolist(), strict=True):
-                            d = int(doc[f])
-                            new = (e, f - int(base[d]), n, int(start[f] - o[d]), int(end[f + n - 1] - o[d]))
-                            old = found.get((i + d, item))
+                    for n, f in index.candidates(hashes, doc):
+                        d = doc[f]
+                        pending.setdefault(n, []).append((hashes[f[:, None] + np.arange(n)], i + d, f - base[d], start[f] - o[d], end[f + n - 1] - o[d]))
+                for n, parts in pending.items():  # windows of all slices together: longer arrays, fewer calls
+                    windows, row, first, b0, b1 = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    for w, ids, distance in index.verified(windows):
+                        for k, item, e in zip(w.tolist(), ids.tolist(), distance.tolist(), strict=True):
+                            new = (e, int(first[k]), n, int(b0[k]), int(b1[k]))
+                            old = found.get((int(row[k]), item))
                             if old is None or new < old:
-                                found[i + d, item] = new
+                                found[int(row[k]), item] = new
                 for (row, item), (e, w, n, b0, b1) in sorted(found.items()):
                     before[row].append({"item_id": item, "distance": e, "n_words": n, "word_start": w, "byte_start": b0, "byte_end": b1})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.list_(LEAK))], names=batch.schema.names)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlink.llm._bytes import LOWER, column_bytes, row_slices
+from tierlink.llm._columns import without
 
 # Language codes by family.
 FAMILIES = {
@@ -178,9 +179,7 @@ def fit(train: DataFrame, id_col: str, text: str, label: str, per_language: int
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred`` (string) and ``score`` (double, 0 to 1)."""
-    taken = {"lang_pred", "score"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are in use; rename them first")
+    docs = without(docs, {"lang_pred", "score"})
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,8 @@ Documents are cut where a window's quota ends; every token lies in exactly one p
 are full but the last, which is split into sequences of powers of two, so nothing is padded.
 
 Token counts of (block, source) are summed per source over blocks and then within a block, so a
-source with a third of all rows is spread over all blocks. Texts are tokenised twice rather than
-shuffling their ids.
+source with a third of all rows is spread over all blocks. Texts are tokenised once, on reading; blocks
+hold their compressed ids.
 
 Defined cases: a null or empty text is one end token; a null source is a queue of its own; repeated
 rows are packed as often as they occur; long texts are tokenised whole, word by word.
@@ -21,11 +21,14 @@ rows are packed as often as they occur; long texts are tokenised whole, word by
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,27 +40,89 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 
 
-class WordCache(dict):
-    """Packed little-endian ids of each white-space-delimited chunk; such chunks are encoded independently."""
+#: Chunks of these characters are split and lower-cased here just as the tokenizer does it (tests hold both
+#: against each other); others, and such with an apostrophe or ``<``, go through the tokenizer itself.
+PLAIN = regex.compile(r"[\n!-&(-;=-~\u00A1-\u012F\u0131-\u024F]+")
+PIECE = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 
-    MOST = 1 << 19
+
+class WordCache:
+    """Packed little-endian ids of white-space-delimited chunks, which are encoded independently.
+
+    A block's new chunks are put together of pieces (letters, a digit, other signs), and its new
+    pieces are encoded in one call. Both memos are bounded.
+    """
+
+    MOST = 1 << 18
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
+        state = json.loads(self._tokenizer.to_str())
+        byte_level = {p.get("type") for p in (state.get("pre_tokenizer") or {}).get("pretokenizers", [])} == {"Split", "ByteLevel"}
+        lower = [n.get("type") for n in (state.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self._bare = Tokenizer(self._tokenizer.model) if byte_level and lower and state["model"].get("end_of_word_suffix") else None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the character that stands for each byte, read off two-byte characters
+        self._bytes = {i: chr(i) for i in range(0x21, 0x7F)}
+        for code in range(0xA1, 0x250):
+            for byte, shown in zip(chr(code).encode(), level.pre_tokenize_str(chr(code))[0][0], strict=True):
+                self._bytes[byte] = shown
+        self._chunks, self._pieces = Generations(self.MOST), Generations(self.MOST)
+
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        if not chunks:
+            return {}
+        text = b"\n".join(chunks).decode("utf-8", "replace")  # chunks hold no white space
+        odd = set() if self._bare is not None else set(chunks)
+        if not odd and not PLAIN.fullmatch(text):
+            odd = {c for c in chunks if not PLAIN.fullmatch(c.decode("utf-8", "replace"))}
+        out = {c: np.array(self._tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for c in odd}
+        plain = [c for c in chunks if c not in odd] if odd else chunks
+        if plain:
+            text = b"\n".join(plain).decode().lower()
+            found = PIECE.findall(text + "\n")  # line ends are pieces of their own
+            ends = [i for i, p in enumerate(found) if p == "\n"]
+            get = self._pieces.upto(set(found) - {"\n"}, self._encode_pieces).__getitem__
+            start = 0
+            for c, end in zip(plain, ends, strict=True):
+                out[c] = b"".join(map(get, found[start:end]))
+                start = end + 1
+        return out
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        shown = "\n".join(pieces).encode().decode("latin-1").translate(self._bytes).split("\n")
+        if not pieces:
+            return {}
+        got = self._bare.encode(shown, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(got.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(np.array(got.word_ids), np.arange(len(pieces) + 1))).tolist()
+        return dict(zip(pieces, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def documents(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text with the end id."""
+        split = [t.split() for t in texts]
+        get = self._chunks.upto(set().union(*split), self._encode).__getitem__
+        return [b"".join(map(get, words)) + END for words in split]
+
+
+class Generations:
+    """A bounded memo: what is asked for moves to the young dictionary; a full one becomes the old one."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def upto(self, keys: set, make) -> dict:
+        """A dictionary that holds all ``keys``."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        missing = keys - self.young.keys()
+        known = missing & self.old.keys()
+        self.young.update((k, self.old[k]) for k in known)
+        self.young.update(make(list(missing - known)))
+        return self.young
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        packed = self[word] = np.array(ids, "<u4").tobytes()
-        return packed
-
-    def document(self, text: bytes) -> bytes:
-        get = self.__getitem__
-        return b"".join(map(get, text.split())) + END
 
 END = np.array([END_ID], "<u4").tobytes()
 _caches: dict[str, WordCache] = {}
@@ -124,21 +189,24 @@ def queue_pieces(position: int, length: int, before: int, own: int, total: int,
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", window: int = 2048, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids (binary)."""
     wanted = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"), F.col(source).cast("string").alias("__source"))
-    blocks = in_blocks(wanted, "__text", block_bytes).groupBy(BLOCK)
-
-    def texts(t: pa.Table) -> list[bytes]:
-        buf, off = column_bytes(t.column("__text"))
+    def encode(rows: pa.Table) -> pa.Table:
+        buf, off = column_bytes(rows.column("__text"))
         raw = buf.tobytes()
-        return [raw[off[i] : off[i + 1]] for i in range(len(off) - 1)]
+        ids = word_cache(vocabulary).documents([raw[off[i] : off[i + 1]] for i in range(len(off) - 1)])
+        return rows.drop_columns(["__text"]).append_column("__ids", pa.array(ids, pa.binary()))
+
+    blocks = materialize(in_blocks(wanted, "__text", block_bytes, encode))
 
-    def measure(t: pa.Table) -> pa.Table:
-        cache, rows = word_cache(vocabulary), unpack(t.column(BLOB)[0].as_py())
-        sums: dict[str | None, int] = {}
-        for x, s in zip(texts(rows), rows.column("__source").to_pylist(), strict=True):
-            sums[s] = sums.get(s, 0) + len(cache.document(x)) // 4
-        return pa.table({"block": pa.array([t.column(BLOCK)[0].as_py()] * len(sums), pa.int64()), "src": pa.array(list(sums), pa.string()), "tokens": pa.array(list(sums.values()), pa.int64())})
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = unpack(blob.as_buffer())
+                sums: dict[str | None, int] = {}
+                for n, s in zip(np.diff(column_bytes(rows.column("__ids"))[1]) // 4, rows.column("__source").to_pylist(), strict=True):
+                    sums[s] = sums.get(s, 0) + int(n)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(sums), pa.int64()), pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["block", "src", "tokens"])
 
-    sizes = materialize(blocks.applyInArrow(measure, "block long, src string, tokens long"))
+    sizes = materialize(blocks.mapInArrow(measure, "block long, src string, tokens long"))
     queue = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # running totals over sources in two levels, so that no task orders all of them
     own = sizes.groupBy("src").agg(F.sum("tokens").alias("own")).withColumn("part", F.pmod(F.xxhash64("src"), F.lit(1024)))
@@ -153,13 +221,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
     def cut(key, t: pa.Table, where: pa.Table) -> pa.Table:
-        cache = word_cache(vocabulary)
         at = {r["src"]: r for r in where.to_pylist()}
         t = unpack(t.column(BLOB)[0].as_py())
         out: dict[str, list] = {c: [] for c in ("row", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids")}
-        for i, (x, s) in enumerate(zip(texts(t), t.column("__source").to_pylist(), strict=True)):
+        for i, (ids, s) in enumerate(zip(t.column("__ids").to_pylist(), t.column("__source").to_pylist(), strict=True)):
             queue_at = at[s]
-            ids = cache.document(x)
             n, begin = len(ids) // 4, queue_at["position"]
             for q, sequence, offset, length in queue_pieces(begin, n, queue_at["before"], queue_at["own"], queue_at["total"], window):
                 piece = ids[4 * (q - begin) : 4 * (q - begin + length)]
@@ -171,7 +237,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
         columns |= {c: pa.array(v, pa.string() if c == "source" else pa.binary() if c == "ids" else pa.int64()) for c, v in out.items()}
         return pa.table(columns)
 
-    return blocks.cogroup(plan.groupBy("block")).applyInArrow(cut, schema)
+    return blocks.groupBy(BLOCK).cogroup(plan.groupBy("block")).applyInArrow(cut, schema)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
