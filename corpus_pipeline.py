@@ -5,35 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierlink.llm._columns import set_aside
 from tierlink.llm.decontaminate import find_leaks
+from tierlink.llm.near_dedup import RESULT as DEDUP_COLUMNS
 from tierlink.llm.near_dedup import near_dedup
 from tierlink.llm.packing import pack
+from tierlink.llm.quality_rules import RESULT as QUALITY_COLUMNS
 from tierlink.llm.quality_rules import quality_rules
+from tierlink.llm.suffix_dedup import RESULT as SUFFIX_COLUMNS
 from tierlink.llm.suffix_dedup import suffix_dedup
 from tierlink.session import materialize, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
-    return quality_rules(docs).where("kept").select(docs.columns)
+    return set_aside(docs, QUALITY_COLUMNS, lambda x: quality_rules(x).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity 0.8 or more)."""
-    return near_dedup(docs).where("kept").select(docs.columns)
+    return set_aside(docs, DEDUP_COLUMNS, lambda x: near_dedup(x).where("kept"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that occur elsewhere; a character cut in part goes whole."""
-    cut = suffix_dedup(docs)
-    text = F.when(F.col("text").isNull(), F.lit(None)).when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr("replace(decode(kept, 'UTF-8'), '�', '')"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    text = F.when(F.col("text").isNull(), F.lit(None)).when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr("replace(make_valid_utf8(cast(kept as string)), '\ufffd', '')"))
+    return set_aside(docs, SUFFIX_COLUMNS, lambda x: suffix_dedup(x).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_leaks(docs, benchmark).where(F.size("leaks") == 0).select(docs.columns)
+    return set_aside(docs, {"leaks"}, lambda x: find_leaks(x, benchmark).where(F.size("leaks") == 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
