@@ -177,11 +177,11 @@ for _kind, _f in (("sum", "sum"), ("mean", "avg"), ("max", "max"), ("min", "min"
 
 @query("g07_pna", WITH_B + """, a AS (SELECT node, dim, avg(m) AS x_mean, max(m) AS x_max, min(m) AS x_min, sqrt(greatest(avg(m * m) - avg(m) * avg(m), 1e-6)) AS x_std FROM mb GROUP BY ALL),
 dg AS (SELECT node, ln(count(*)) AS ld FROM (SELECT tail AS node FROM e UNION ALL SELECT DISTINCT node FROM x) GROUP BY 1), sc AS (SELECT node, ld / (SELECT avg(ld) FROM dg) AS s FROM dg)
-SELECT node, dim, round(x_mean, 5) AS x_mean, round(x_max * s, 5) AS x_max_amp, round(x_std / greatest(s, 0.01), 4) AS x_std_inv FROM a JOIN sc USING (node)""")
+SELECT node, dim, round(x_mean, 8) AS x_mean, round(x_max * s, 8) AS x_max_amp, round(x_std / greatest(s, 0.01), 7) AS x_std_inv FROM a JOIN sc USING (node)""")
 def _(s, d):
     e, x, r = _state(s, d)
     a = G.aggregate_messages(e, x, r, _boundary(x), "pna")
-    return a.select("node", "dim", F.round("x_mean", 5).alias("x_mean"), F.round("x_max_amp", 5).alias("x_max_amp"), F.round("x_std_inv", 4).alias("x_std_inv"))
+    return a.select("node", "dim", F.round("x_mean", 8).alias("x_mean"), F.round("x_max_amp", 8).alias("x_max_amp"), F.round("x_std_inv", 7).alias("x_std_inv"))
 
 
 def _layer(i, prev):
