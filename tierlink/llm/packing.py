@@ -53,7 +53,7 @@ class WordCache:
     pieces are encoded in one call. Both memos are bounded.
     """
 
-    MOST = 1 << 18
+    MOST = 1 << 17
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
