@@ -336,6 +336,21 @@ def test_html_extraction(spark, box):
     assert got[52] == "a b"
 
 
+def test_html_extraction_of_every_template_of_a_host(spark):
+    """Twelve article pages, and rarer templates with a named, an unnamed and a bare container, on one host."""
+    rows = [(i, f"<body><nav>n</nav><article><p>Story {i}</p><p>told {i}</p><p>Share this</p></article><footer>f</footer></body>") for i in range(12)]
+    rows += [(100 + i, f'<body><div class="content"><p>Note {i}</p></div><div class="x1"><p>else</p></div></body>') for i in range(3)]
+    rows += [(200, '<body><div class="q7"><p>A long text of its own</p></div><footer>f</footer></body>'), (201, "<body><p>bare words</p></body>")]
+    rows += [(300 + i, "<body><article><p>copied</p></article></body>") for i in range(4)]
+    for url in ("http://hot.example/p", None):
+        df = spark.createDataFrame([(i, url, h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
+        assert all(got[i] == f"Story {i} told {i} Share this" for i in range(12))
+        assert all(got[100 + i] == f"Note {i}" for i in range(3))
+        assert (got[200], got[201]) == ("A long text of its own", "bare words")
+        assert all(got[300 + i] == "copied" for i in range(4))
+
+
 def exact_base(tokens, held):
     c = collections.Counter(w for k, v in tokens.items() if not held[k] for w in v)
     n, v = sum(c.values()), len(c)

@@ -3,19 +3,21 @@
 A page is a stream of tokens: each block of text with the containers that are open around it.
 A wrapper of a host is a union-free regular expression over such tokens: a sequence of fields,
 each of which may be optional (``?``) or repeated (``+``) and holds a constant or a text slot.
-It is inferred by aligning the token streams of the host's sample pages one after another:
-runs of one token become repeated fields, tokens that only one side has become optional, and
-texts that differ become slots. Fields are then told apart: those under navigation, forms,
-adverts and the like are not main, nor are texts that stay the same over the sample; the main
-field group is the container named as content or else the one with most text outside links.
-
-Wrappers come from at most ``sample`` pages a host, chosen by hash; every page is extracted with
-its host's wrapper, and tokens that the wrapper hasn't seen follow the same rules of their own.
-A hot host's pages are never gathered: its few sample pages are. Wrappers are broadcast if they
-measure little, else joined to pages by host, a join whose skew AQE can split.
-
-Defined cases: a null or empty html gives an empty text; a page without a host (null or odd url)
-shares the wrapper of pages alike; repeated rows give equal rows; other columns pass through;
+It is inferred by aligning the token streams of pages one after another: runs of one token become
+repeated fields, tokens that only one side has become optional, and texts that differ become slots.
+Fields are then told apart: those under navigation, forms, adverts and the like are not main, nor
+are texts that stay the same over three pages or more while others differ; the main field group is
+the container named as content or else the one with most text outside links.
+
+A host may have many templates, so it has a wrapper for each structure of its pages: the outermost
+containers of the best content rank a page has, or all containers that may hold main text if none
+is named as content. Every page takes part: a task aligns its pages of a structure to one partial
+wrapper, and the partial wrappers of a structure, one a task or few, are aligned in turn. So a hot
+host's pages are never gathered. Wrappers are broadcast if they measure little, else joined to
+pages by host and structure, a join whose skew AQE can split.
+
+Defined cases: a null or empty html gives an empty text; pages without a host (null or odd url)
+share wrappers as if of one host; copies of a page count once towards texts that stay the same; repeated rows give equal rows; other columns pass through;
 pages are read whole, broken markup included.
 """
 
@@ -27,14 +29,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.session import broadcast_if_small
 
-SAMPLE = 8
+CONSTANT = 3  # distinct pages a text must stay the same on to be no main text
+HELD_CHARS = 16 << 20  # partial wrappers a task holds before it hands them on
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 # Element kinds of HTML.
@@ -126,6 +131,7 @@ def strip_raw(page: str) -> str:
     return re.sub(r"(?is)<(script|style|textarea|noscript|template|iframe|title|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)", " ", page)
 
 
+@lru_cache(20_000)
 def is_boilerplate(path: str) -> bool:
     for label in path.split("/"):
         tag, *names = label.split(".")
@@ -138,6 +144,7 @@ def is_boilerplate(path: str) -> bool:
     return False
 
 
+@lru_cache(20_000)
 def content_rank(path: str) -> int:
     """2: inside an article or main element, 1: inside a container named as content, 0: neither."""
     rank = 0
@@ -150,15 +157,15 @@ def content_rank(path: str) -> int:
     return rank
 
 
-def collapse(page: list[tuple[str, bool, str]]) -> list[dict]:
-    """Fields of one page: runs of one token are repeated."""
+def collapse(page: list[tuple[str, bool, str]], name: str = "") -> list[dict]:
+    """Fields of one page (``name`` tells it from others): runs of one token are repeated."""
     out: list[dict] = []
     for path, link, text in page:
         if out and out[-1]["path"] == path and out[-1]["link"] == link:
             out[-1]["many"] = True
             out[-1]["texts"].append(text)
         else:
-            out.append({"path": path, "link": link, "many": False, "optional": False, "texts": [text], "seen": 1})
+            out.append({"path": path, "link": link, "many": False, "optional": False, "texts": [text], "seen": [name]})
     for f in out:
         f["constant"] = " ".join(f.pop("texts"))
         f["chars"] = len(f["constant"])
@@ -166,31 +173,49 @@ def collapse(page: list[tuple[str, bool, str]]) -> list[dict]:
 
 
 def merge(wrapper: list[dict], page: list[dict]) -> list[dict]:
-    """The wrapper generalised to match the page too: mismatches become optional, repeated or slots."""
+    """The wrapper generalised to match the page (or other wrapper) too: mismatches become optional, repeated or slots."""
     keys = [[(f["path"], f["link"]) for f in w] for w in (wrapper, page)]
+    codes = [("equal", 0, len(wrapper), 0, len(page))] if keys[0] == keys[1] else SequenceMatcher(None, *keys, autojunk=False).get_opcodes()
     out: list[dict] = []
-    for kind, a, b, c, d in SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
+    for kind, a, b, c, d in codes:
         if kind == "equal":
             for f, g in zip(wrapper[a:b], page[c:d], strict=True):
-                out.append(f | {"many": f["many"] or g["many"], "chars": f["chars"] + g["chars"], "seen": f["seen"] + 1, "constant": f["constant"] if f["constant"] == g["constant"] else None})
+                constant = f["constant"] if f["constant"] == g["constant"] else None
+                out.append(f | {"many": f["many"] or g["many"], "optional": f["optional"] or g["optional"], "chars": f["chars"] + g["chars"], "seen": few(f["seen"], g["seen"]), "constant": constant})
         else:
             out += [f | {"optional": True} for f in wrapper[a:b]] + [g | {"optional": True} for g in page[c:d]]
     folded: list[dict] = []
     for f in out:  # neighbours of one kind that alignment set apart are one repeated field
         if folded and (folded[-1]["path"], folded[-1]["link"]) == (f["path"], f["link"]):
             g = folded[-1]
-            g |= {"many": True, "optional": g["optional"] and f["optional"], "chars": g["chars"] + f["chars"], "seen": max(g["seen"], f["seen"]), "constant": None}
+            g |= {"many": True, "optional": g["optional"] and f["optional"], "chars": g["chars"] + f["chars"], "seen": few(g["seen"], f["seen"]), "constant": None}
         else:
             folded.append(dict(f))
     return folded
 
 
-def infer(pages: list[str]) -> dict:
-    """Wrapper of pages of one host: its expression, and which tokens are main text."""
-    wrapper: list[dict] = []
-    for i, page in enumerate(pages):
-        fields = collapse(list(blocks(strip_raw(page))))
-        wrapper = merge(wrapper, fields) if i else fields
+def few(a: list[str], b: list[str]) -> list[str]:
+    """Names of up to ``CONSTANT`` distinct pages of both."""
+    return a if len(a) >= CONSTANT else sorted({*a, *b})[:CONSTANT]
+
+
+def structure(page: list[tuple[str, bool, str]]) -> str:
+    """Name of a page's structure: its outermost containers of the best content rank, or all that may hold main text."""
+    paths = {p for p, link, _ in page if not link and not is_boilerplate(p)}
+    top = max(map(content_rank, paths), default=0)
+    if top:
+        paths = {outermost(p, top) for p in paths if content_rank(p) == top}
+    return blake2b("\n".join((str(top), *sorted(paths))).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+@lru_cache(20_000)
+def outermost(path: str, rank: int) -> str:
+    labels = path.split("/")
+    return next(x for x in ("/".join(labels[: i + 1]) for i in range(len(labels))) if content_rank(x) == rank)
+
+
+def main_fields(wrapper: list[dict]) -> dict:
+    """The wrapper's expression, and which tokens are main text."""
     mass: Counter = Counter()
     for f in wrapper:
         if not is_boilerplate(f["path"]) and not f["link"]:
@@ -198,57 +223,86 @@ def infer(pages: list[str]) -> dict:
     top = max((content_rank(p) for p in mass), default=0)
     best = {p for p in mass if content_rank(p) == top} if top else set()
     if not top and mass:
-        lead = max(mass, key=lambda p: (mass[p], -len(p)))
+        lead = max(mass, key=lambda p: (mass[p], -len(p), p))
         best = {p for p in mass if p == lead or p.startswith(lead + "/")}
     slots = any(f["constant"] is None for f in wrapper if f["path"] in best)
-    fixed = {(f["path"], f["constant"]) for f in wrapper if f["seen"] >= 3 and f["constant"] and slots and f["path"] in best}
+    fixed = {(f["path"], f["constant"]) for f in wrapper if len(f["seen"]) >= CONSTANT and f["constant"] and slots and f["path"] in best}
     expression = "".join(f"({f['path']}{' a' if f['link'] else ''}: {'#text' if f['constant'] is None else f['constant'][:40]!r}){'+' if f['many'] else ''}{'?' if f['optional'] else ''}" for f in wrapper)
-    return {"top": top, "best": sorted(best), "fixed": sorted(fixed), "known": sorted({f["path"] for f in wrapper}), "expression": expression}
+    return {"best": sorted(best), "fixed": sorted(fixed), "expression": expression}
 
 
-def extract(page: str | None, wrapper: dict) -> str:
-    """Main text of a page by its host's wrapper."""
+def extract(page: str | None, wrapper: dict | None) -> str:
+    """Main text of a page by its structure's wrapper; by its own best container if that matches none of it."""
     if not page:
         return ""
-    best, known, fixed = set(wrapper["best"]), set(wrapper["known"]), {tuple(x) for x in wrapper["fixed"]}
-    out = []
-    for path, _, text in blocks(strip_raw(page)):
-        main = path in best if path in known else not is_boilerplate(path) and (content_rank(path) >= max(1, wrapper["top"]) or any(path.startswith(b + "/") for b in best))
-        if main and (path, text) not in fixed:
-            out.append(text)
-    return " ".join(out)
+    found = list(blocks(strip_raw(page)))
+    if wrapper is None or not {p for p, _, _ in found} & set(wrapper["best"]):
+        wrapper = main_fields(collapse(found))
+    best, fixed = set(wrapper["best"]), {tuple(x) for x in wrapper["fixed"]}
+    return " ".join(text for path, _, text in found if path in best and (path, text) not in fixed)
 
 
 def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper as JSON), inferred from at most ``sample`` pages a host."""
-    named = pages.select(host_of(url).alias("host"), F.xxhash64(url, id_col).alias("h"))
-    order = Window.partitionBy("host").orderBy("h")
-    chosen = named.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("host", "h")
-    chosen = broadcast_if_small(chosen)
-    picked = pages.select(host_of(url).alias("host"), F.xxhash64(url, id_col).alias("h"), F.col(html).alias("html")).where("html is not null").join(chosen, ["host", "h"], "left_semi")
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, structure, wrapper as JSON), inferred from all pages."""
+    named = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).where("html is not null")
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("h", "ascending"), ("html", "ascending")])
-        unique = list(dict.fromkeys(t.column("html").to_pylist()))[:sample]
-        return pa.table({"host": [t.column("host")[0].as_py()], "wrapper": [json.dumps(infer(unique))]})
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list[dict]] = {}
+        size = 0
 
-    return picked.groupBy("host").applyInArrow(run, "host string, wrapper string")
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"host": [h for h, _ in held], "structure": [t for _, t in held], "fields": [json.dumps(w) for w in held.values()]}, pa.schema([("host", pa.string()), ("structure", pa.string()), ("fields", pa.string())]))
 
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", sample: int = SAMPLE) -> DataFrame:
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                page = page.as_py()
+                found = list(blocks(strip_raw(page)))
+                key = host, structure(found)
+                fields = collapse(found, blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest())
+                if key in held:
+                    held[key] = merge(held[key], fields)
+                else:
+                    held[key] = fields
+                    size += len(page)
+                if size > HELD_CHARS:
+                    yield out()
+                    held, size = {}, 0
+        if held:
+            yield out()
+
+    def whole(t: pa.Table) -> pa.Table:
+        wrapper: list[dict] | None = None
+        for fields in sorted(t.column("fields").to_pylist()):
+            wrapper = json.loads(fields) if wrapper is None else merge(wrapper, json.loads(fields))
+        return pa.table({"host": [t.column("host")[0].as_py()], "structure": [t.column("structure")[0].as_py()], "wrapper": [json.dumps(main_fields(wrapper))]})
+
+    parts = named.mapInArrow(partial, "host string, structure string, fields string")
+    return parts.groupBy("host", "structure").applyInArrow(whole, "host string, structure string, wrapper string")
+
+
+def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` without ``html``, plus ``text`` (string) and ``n_chars`` (long)."""
     rest = [c for c in pages.columns if c != html]
     rest = [c for c in rest if c.lower() not in {"text", "n_chars"}]
-    found = wrappers(pages, id_col, url, html, sample).toDF("__host", "__wrapper")
+    found = wrappers(pages, url, html).toDF("__host", "__structure", "__wrapper")
     found = broadcast_if_small(found)
-    wide = pages.withColumn("__h", host_of(url)).join(found, F.col("__h") == F.col("__host"), "left").select(*[F.col(f"`{c}`") for c in rest], html, "__wrapper")
+    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [None if page is None else structure(list(blocks(strip_raw(page)))) for page in (x.as_py() for x in batch.column(batch.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "__s"])
+
+    wide = pages.select(*[F.col(f"`{c}`") for c in rest], host_of(url).alias("__h"), F.col(html).alias("__html"))
+    wide = wide.mapInArrow(name, ", ".join(x for x in (fields, "__h string, __html string, __s string") if x))
+    wide = wide.join(found, (F.col("__h") == F.col("__host")) & (F.col("__s") == F.col("__structure")), "left").select(*[F.col(f"`{c}`") for c in rest], "__html", "__wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str | None, dict] = {None: infer([])}
+        parsed: dict[str | None, dict | None] = {None: None}
         for batch in batches:
             n = batch.num_columns
             texts = []
@@ -256,12 +310,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url
                 w = w.as_py()
                 if w not in parsed:
                     if len(parsed) > 1000:
-                        parsed = {None: parsed[None]}
+                        parsed = {None: None}
                     parsed[w] = json.loads(w)
                 texts.append(extract(page.as_py(), parsed[w]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*batch.schema.names[: n - 2], "text", "n_chars"])
 
-    fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)
     return wide.mapInArrow(run, f"{fields}, text string, n_chars long")
 
 
