@@ -227,6 +227,22 @@ def test_decontamination_equals_brute_force(spark):
     assert all(found[k][0] == v[0] for k, v in want.items() if k in found and v[0] <= 1)
 
 
+def test_decontamination_finds_long_items_at_the_limit(spark):
+    """200 words with 40 of them replaced: sampled keys missed about half of these."""
+    rng = random.Random(16)
+    names = [f"w{i}" for i in range(5000)]
+    items = [[rng.choice(names) for _ in range(200)] for _ in range(3)]
+    docs = []
+    for i in range(30):
+        w = list(items[i % 3])
+        for k in rng.sample(range(200), 41 if i >= 27 else 40):
+            w[k] = "other"
+        docs.append((i, " ".join([rng.choice(names) for _ in range(20)] + w + [rng.choice(names) for _ in range(20)])))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    found = {(r["doc_id"], x["item_id"]): (x["distance"], x["word_start"]) for r in got.collect() for x in r["leaks"]}
+    assert found == {(i, i % 3): (40, 20) for i in range(27)}
+
+
 def test_embedding_keeps_equal_sequences_equal():
     seq = np.random.default_rng(0).integers(1, 2**60, (2, 30)).astype(np.uint64)
     seq[1] = seq[0]

@@ -1,4 +1,4 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination by a lossless count filter and exact edit verification.
 
 Texts are sequences of words (ASCII lower case). A document leaks an item of n words if one of its
 windows of n words has a word edit distance of at most ``floor(rate * n)`` to the item.
@@ -6,14 +6,13 @@ windows of n words has a word edit distance of at most ``floor(rate * n)`` to th
 1. *Count filter.* A window that close keeps at least n - 1 - 2 * floor(rate * n) of the item's
    word pairs. Windows with fewer pairs known from any item, each counted as often as an item has
    one at most, are skipped; this loses nothing.
-2. *CGK embedding.* Each window left, and each item, walks 3n random steps: step j writes the word
-   at the pointer and moves on by one random bit of (walk, j, word). Equal stretches bring the
-   walks of two sequences back together, so a small edit distance becomes a small Hamming distance.
-3. *Bit sampling.* ``walks`` independent walks with ``tables`` keys each of ``bits`` sampled
-   coordinates; a window meets the items of its own length that share a key. With the defaults
-   a window at the distance limit is found with a probability of about 0.97 and closer ones more
-   surely; a leak has several near windows, and exact copies always meet.
-4. *Verification* by the exact edit distance.
+2. *Count filter by item.* The windows left meet, by an inverted list of the items' pairs, each item
+   of their length that shares that many pairs with them; this loses nothing either.
+3. *Verification* by the exact edit distance.
+
+So the search is exact at any item length. Sampled keys (``table_keys``: coordinates of CGK walks)
+find a share of the pairs at the limit that falls with the length, from 0.97 at 40 words to about
+half at 200, so they choose no candidates.
 
 The items are the stated query set: they go to the tasks in chunks of at most ``chunk_words``
 words, one pass each, so no chunk grows with the benchmark. Documents aren't shuffled.
@@ -36,10 +35,10 @@ from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, row
 from tierlink.llm._columns import without
 
 RATE = 0.2
-WALKS, TABLES, BITS = 6, 10, 4
 MIN_WORDS = 5
 SPAN = 9
 SLICE_BYTES = 4 << 20
+MEETINGS = 2_000_000
 LEAK = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("word_start", pa.int64()), ("byte_start", pa.int64()), ("byte_end", pa.int64())])
 LEAK_SQL = "array<struct<item_id:bigint,distance:int,n_words:int,word_start:bigint,byte_start:bigint,byte_end:bigint>>"
 
@@ -83,11 +82,12 @@ def table_keys(seq: np.ndarray, walks: int, tables: int, bits: int) -> np.ndarra
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word edit distance of each row of ``a`` to that row of ``b`` (both [pair, n])."""
-    pairs, n = a.shape
+    """Word edit distance of each row of ``a`` to that row of ``b`` ([pair, words] each)."""
+    pairs, m = a.shape
+    n = b.shape[1]
     step = np.arange(n + 1)
     row = np.broadcast_to(step, (pairs, n + 1)).copy()
-    for i in range(n):
+    for i in range(m):
         new = np.empty_like(row)
         new[:, 0] = i + 1
         new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i : i + 1] != b))
@@ -96,10 +96,9 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items of one chunk by word count, with their known pairs and LSH keys."""
+    """Items of one chunk by word count, with their known pairs and inverted lists of them."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, walks: int, tables: int, bits: int):
-        self.shape = walks, tables, bits
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float):
         pairs = [pair_hash(w) for _, w in items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, U64)
         self.bitmap = np.zeros(1 << 20, bool)
@@ -109,9 +108,9 @@ class Index:
         for n in sorted({len(w) for _, w in items}):
             own = [(i, w) for i, w in items if len(w) == n]
             seq = np.stack([w for _, w in own])
-            keys = table_keys(seq, *self.shape)
-            order = np.argsort(keys, axis=0, kind="stable")
-            self.sizes[n] = (np.array([i for i, _ in own]), seq, np.take_along_axis(keys, order, 0), order, int(rate * n))
+            pair = pair_hash(seq.T).T
+            order = np.argsort(pair, axis=None, kind="stable")
+            self.sizes[n] = (np.array([i for i, _ in own]), seq, pair.ravel()[order], order // max(1, n - 1), int(rate * n))
 
         self.least = min((-(-max(1, n - 1 - 2 * int(rate * n)) // -(-(n - 1) // SPAN)) for n in self.sizes), default=1)
 
@@ -155,28 +154,30 @@ class Index:
                 if len(some):
                     yield n, some
 
-    def verified(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(window, item id, distance) of pairs that share a key and are within the distance."""
-        n = windows.shape[1]
-        ids, seq, keys, order, most = self.sizes[n]
+    def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, item id, distance) of pairs within the distance, items of n words."""
+        ids, seq, pairs, holder, most = self.sizes[n]
+        need = max(1, n - 1 - 2 * most)
         for at in range(0, len(windows), 4096):
             part = windows[at : at + 4096]
-            own = table_keys(part, *self.shape)
-            met = []
-            for c in range(keys.shape[1]):
-                lo, hi = (np.searchsorted(keys[:, c], own[:, c], side) for side in ("left", "right"))
-                count = hi - lo
-                w = np.repeat(np.arange(len(part)), count)
-                if len(w):
-                    inner = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)
-                    met.append(w * len(ids) + order[lo[w] + inner, c])
-            if met:
-                w, item = np.divmod(np.unique(np.concatenate(met)), len(ids))
+            own = pair_hash(part.T).T
+            lo, hi = (np.searchsorted(pairs, own, side) for side in ("left", "right"))
+            count = hi - lo
+            total = np.cumsum(count.sum(1))
+            first = 0
+            while first < len(part):  # some windows at a time: lists of common pairs are long
+                upto = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + MEETINGS, "right")))
+                c = count[first:upto].ravel()
+                w = np.repeat(np.repeat(np.arange(first, upto), own.shape[1]), c)
+                inner = np.arange(len(w)) - np.repeat(np.cumsum(c) - c, c)
+                met, shared = np.unique(w * len(ids) + holder[np.repeat(lo[first:upto].ravel(), c) + inner], return_counts=True)
+                w, item = np.divmod(met[shared >= need], len(ids))
                 for i in range(0, len(w), 50_000):
                     x, y = w[i : i + 50_000], item[i : i + 50_000]
                     distance = edit_distances(part[x], seq[y])
                     ok = distance <= most
                     yield at + x[ok], ids[y[ok]], distance[ok]
+                first = upto
 
 
 def item_chunks(benchmark: DataFrame, id_col: str, text: str, min_words: int, chunk_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -195,7 +196,7 @@ def item_chunks(benchmark: DataFrame, id_col: str, text: str, min_words: int, ch
         yield chunk
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, walks: int = WALKS, tables: int = TABLES, bits: int = BITS, min_words: int = MIN_WORDS, chunk_words: int = 200_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, chunk_words: int = 200_000) -> DataFrame:
     """``docs`` plus ``leaks``: for each leaked item its nearest window (first of equals)."""
     docs = without(docs, {"leaks"})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -204,7 +205,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     for items in item_chunks(benchmark, item_id, item_text, min_words, chunk_words):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, rate, walks, tables, bits)
+            index = Index(items, rate)
             for batch in batches:
                 buf, off = column_bytes(batch.column(place))
                 before = batch.column(batch.num_columns - 1).to_pylist()
@@ -220,7 +221,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                         pending.setdefault(n, []).append((hashes[f[:, None] + np.arange(n)], i + d, f - base[d], start[f] - o[d], end[f + n - 1] - o[d]))
                 for n, parts in pending.items():  # windows of all slices together: longer arrays, fewer calls
                     windows, row, first, b0, b1 = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    for w, ids, distance in index.verified(windows):
+                    for w, ids, distance in index.verified(n, windows):
                         for k, item, e in zip(w.tolist(), ids.tolist(), distance.tolist(), strict=True):
                             new = (e, int(first[k]), n, int(b0[k]), int(b1[k]))
                             old = found.get((int(row[k]), item))
