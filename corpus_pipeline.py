@@ -36,7 +36,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return set_aside(docs, {"leaks"}, lambda x: find_leaks(x, benchmark).where(F.size("leaks") == 0))
+    return set_aside(docs, {"leaks"}, lambda x: find_leaks(x, benchmark, free_ends=True).where(F.size("leaks") == 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,6 +243,35 @@ def test_decontamination_finds_long_items_at_the_limit(spark):
     assert found == {(i, i % 3): (40, 20) for i in range(27)}
 
 
+def test_decontamination_with_free_ends(spark):
+    """Passages of any length, cut off at a document's ends or alone in it, equal to brute force; short items exactly."""
+    rng = random.Random(17)
+    items = [sentence(rng, rng.randrange(10, 30)).split() for _ in range(6)] + [["zinc", "zebra"], ["yarrow"], ["xenon", "ox", "owl", "oak"]]
+    docs = []
+    for i in range(60):
+        w = list(items[i % 6])
+        for _ in range(rng.randrange(0, 6)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [], [rng.choice(WORDS)], [w[k], "extra"]])
+        w = [w[1:], w[:-1], w, w][i % 4]
+        docs.append(" ".join([[], sentence(rng, 12).split()][i % 3 > 0] + w + [[], sentence(rng, 9).split()][i % 5 > 2]))
+    docs += [" ".join(items[0][1:]), "a Zinc ZEBRA and zinc zebra", "zinc", "yarrow", "so xenon ox owl oak", "xenon ox owl", "", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").coalesce(1)
+    got = decontaminate.find_leaks(df, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"), free_ends=True)
+    found = {(r["doc_id"], x["item_id"]): (x["distance"], x["word_start"], x["n_words"], (r["text"] or "")[x["byte_start"] : x["byte_end"]]) for r in got.collect() for x in r["leaks"]}
+    want = {}
+    for i, t in enumerate(docs):
+        w = W.findall((t or "").translate(FOLD))
+        for j, v in enumerate(items):
+            most = int(0.2 * len(v))
+            near = [(plain_edit_distance(w[s : s + m], v), s, m) for m in range(len(v) - most, len(v) + most + 1) for s in range(len(w) - m + 1)]
+            if near and min(near)[0] <= most:
+                e, s, m = min(near)
+                want[i, j] = (e, s, m, " ".join((t or "").split()[s : s + m]))
+    assert found == want
+    assert len(want) > 35 and (60, 0) in want and {(61, 6), (63, 7), (64, 8)} <= set(want)
+
+
 def test_embedding_keeps_equal_sequences_equal():
     seq = np.random.default_rng(0).integers(1, 2**60, (2, 30)).astype(np.uint64)
     seq[1] = seq[0]

@@ -1,14 +1,20 @@
 """Benchmark decontamination by a lossless count filter and exact edit verification.
 
 Texts are sequences of words (ASCII lower case). A document leaks an item of n words if one of its
-windows of n words has a word edit distance of at most ``floor(rate * n)`` to the item.
+windows of n words has a word edit distance of at most ``floor(rate * n)`` to the item. With
+``free_ends`` (the queries) the window may have any length, so words dropped inside a passage or cut
+off by the document's ends cost one each; such windows lie in windows of ``floor(rate * n)`` more
+words, or fewer at a document's end, to which the filters below apply.
 
 1. *Count filter.* A window that close keeps at least n - 1 - 2 * floor(rate * n) of the item's
    word pairs. Windows with fewer pairs known from any item, each counted as often as an item has
    one at most, are skipped; this loses nothing.
 2. *Count filter by item.* The windows left meet, by an inverted list of the items' pairs, each item
    of their length that shares that many pairs with them; this loses nothing either.
-3. *Verification* by the exact edit distance.
+3. *Verification* by the exact edit distance; with free ends, one pass over each stretch of windows
+   that meet an item finds the nearest passage in it.
+
+Items of under ``min_words`` words are matched exactly, by hashes of as many words.
 
 So the search is exact at any item length. Sampled keys (``table_keys``: coordinates of CGK walks)
 find a share of the pairs at the limit that falls with the length, from 0.97 at 40 words to about
@@ -17,8 +23,7 @@ half at 200, so they choose no candidates.
 The items are the stated query set: they go to the tasks in chunks of at most ``chunk_words``
 words, one pass each, so no chunk grows with the benchmark. Documents aren't shuffled.
 
-Defined cases: null or empty texts leak nothing; null, empty or shorter items than ``min_words``
-words are not searched; repeated rows get the same result each; other columns pass through; long
+Defined cases: null or empty texts leak nothing; null or empty items are not searched; repeated rows get the same result each; other columns pass through; long
 texts are searched whole.
 """
 
@@ -95,10 +100,47 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def nearest_passages(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distance, start, end) of the passage of each text nearest to that item: first of equals, then shortest."""
+    size, need = np.array([len(x) for x in texts]), np.array([len(x) for x in items])
+    a, b = np.zeros((len(texts), size.max()), U64), np.zeros((len(texts), need.max()), U64)
+    for i, (x, y) in enumerate(zip(texts, items, strict=True)):
+        a[i, : len(x)], b[i, : len(y)] = x, y
+    one = np.int64(1 << 40)  # distances above, starts below
+    step = np.arange(b.shape[1] + 1) * one
+    row = np.broadcast_to(step, (len(a), len(step))).copy()
+    best, end, each = np.full(len(a), np.iinfo(np.int64).max), np.zeros(len(a), np.int64), np.arange(len(a))
+    for i in range(a.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + one, row[:, :-1] + (a[:, i : i + 1] != b) * one)
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        code = row[each, need]
+        better = (code < best) & (i < size)
+        best[better], end[better] = code[better], i + 1
+    return best // one, best % one, end
+
+
+def grams(word: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each n words in a row."""
+    h = word[: max(0, len(word) - n + 1)]
+    for j in range(1, n):
+        h = mix(h * U64(0x9E3779B97F4A7C15) + word[j : j + len(h)])
+    return h
+
+
 class Index:
     """Items of one chunk by word count, with their known pairs and inverted lists of them."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, min_words: int = MIN_WORDS, free_ends: bool = False):
+        self.short = {}
+        for n in sorted({len(w) for _, w in items if len(w) < min_words}):
+            own = [(i, w) for i, w in items if len(w) == n]
+            h = np.concatenate([grams(w, n) for _, w in own])
+            order = np.argsort(h, kind="stable")
+            self.short[n] = h[order], np.array([i for i, _ in own])[order]
+        items = [(i, w) for i, w in items if len(w) >= min_words]
+        self.free_ends = free_ends
         pairs = [pair_hash(w) for _, w in items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, U64)
         self.bitmap = np.zeros(1 << 20, bool)
@@ -112,7 +154,23 @@ class Index:
             order = np.argsort(pair, axis=None, kind="stable")
             self.sizes[n] = (np.array([i for i, _ in own]), seq, pair.ravel()[order], order // max(1, n - 1), int(rate * n))
 
-        self.least = min((-(-max(1, n - 1 - 2 * int(rate * n)) // -(-(n - 1) // SPAN)) for n in self.sizes), default=1)
+        self.least = min((-(-max(1, n - 1 - 2 * int(rate * n)) // -(-(self.reach(n) - 1) // SPAN)) for n in self.sizes), default=1)
+
+    def reach(self, n: int) -> int:
+        """Words of the windows that are counted for items of n words."""
+        return n + self.sizes[n][-1] if self.free_ends else n
+
+    def exact(self, word: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, item ids, first words) of the first copy of each short item in each document."""
+        for n, (known, ids) in self.short.items():
+            h = grams(word, n)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            first = np.flatnonzero((known[at] == h) & (doc[: len(h)] == doc[n - 1 :])) if len(h) else np.zeros(0, np.int64)
+            _, i = np.unique(np.stack([doc[first], at[first]]), axis=1, return_index=True)
+            first = first[i]
+            count = np.searchsorted(known, h[first], "right") - at[first]
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            yield n, ids[np.repeat(at[first], count) + inner], np.repeat(first, count)
 
     def known_pairs(self, word: np.ndarray) -> np.ndarray:
         h = pair_hash(word)
@@ -124,7 +182,7 @@ class Index:
         return hit
 
     def candidates(self, word: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(n, first words of the windows of n words that the count filter leaves)."""
+        """(n, first words of the windows of ``reach(n)`` words that the count filter leaves)."""
         if len(word) < 2 or not self.sizes:
             return
         hit = self.known_pairs(word) & (doc[1:] == doc[:-1])
@@ -132,7 +190,7 @@ class Index:
         # some SPAN neighbouring pairs of a window hold their share of the pairs it needs
         upto = np.minimum(np.arange(len(hit)) + SPAN, len(hit))
         dense = np.flatnonzero(total[upto] - total[:-1] >= self.least)
-        reach = max(self.sizes)
+        reach = max(map(self.reach, self.sizes))
         mark = np.zeros(len(word) + 1, np.int32)
         np.add.at(mark, np.maximum(dense - reach, 0), 1)
         np.add.at(mark, dense + 1, -1)
@@ -140,53 +198,79 @@ class Index:
         if not len(near):
             return
         pair = pair_hash(word)
+        last = np.searchsorted(doc, doc, "right") - 1  # last word of each word's document
         for n, (*_, most) in self.sizes.items():
-            first = near[near + n <= len(word)]
-            need = max(1, n - 1 - 2 * most)
-            first = first[(total[first + n - 1] - total[first] >= need) & (doc[first + n - 1] == doc[first])]
+            need, m = max(1, n - 1 - 2 * most), self.reach(n)
+            if self.free_ends:
+                first = near[total[np.minimum(near + m - 1, last[near])] - total[near] >= need]
+            else:
+                first = near[near + n <= len(word)]
+                first = first[(total[first + n - 1] - total[first] >= need) & (doc[first + n - 1] == doc[first])]
             for i in range(0, len(first), 20_000):
                 some = first[i : i + 20_000]
-                inside = some[:, None] + np.arange(n - 1)
-                known = np.where(hit[inside], pair[inside], U64(0))
+                inside = some[:, None] + np.arange(m - 1)
+                inside = np.where(inside < last[some][:, None], inside, len(hit) - 1)
+                known = np.where(hit[inside] & (inside < last[some][:, None]), pair[inside], U64(0))
                 known.sort(axis=1)
-                extra = (known[:, self.cap :] == known[:, : -self.cap]) & (known[:, self.cap :] > 0) if n - 1 > self.cap else np.zeros((len(some), 0), bool)
+                extra = (known[:, self.cap :] == known[:, : -self.cap]) & (known[:, self.cap :] > 0) if m - 1 > self.cap else np.zeros((len(some), 0), bool)
                 some = some[(known > 0).sum(1) - extra.sum(1) >= need]  # a pair counts as often as an item has it at most
                 if len(some):
                     yield n, some
 
-    def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(window, item id, distance) of pairs within the distance, items of n words."""
-        ids, seq, pairs, holder, most = self.sizes[n]
+    def met(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, place of the item) of windows that share enough pairs with an item of n words."""
+        ids, _, pairs, holder, most = self.sizes[n]
         need = max(1, n - 1 - 2 * most)
         for at in range(0, len(windows), 4096):
-            part = windows[at : at + 4096]
-            own = pair_hash(part.T).T
+            own = pair_hash(windows[at : at + 4096].T).T
             lo, hi = (np.searchsorted(pairs, own, side) for side in ("left", "right"))
             count = hi - lo
             total = np.cumsum(count.sum(1))
             first = 0
-            while first < len(part):  # some windows at a time: lists of common pairs are long
+            while first < len(own):  # some windows at a time: lists of common pairs are long
                 upto = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + MEETINGS, "right")))
                 c = count[first:upto].ravel()
                 w = np.repeat(np.repeat(np.arange(first, upto), own.shape[1]), c)
                 inner = np.arange(len(w)) - np.repeat(np.cumsum(c) - c, c)
-                met, shared = np.unique(w * len(ids) + holder[np.repeat(lo[first:upto].ravel(), c) + inner], return_counts=True)
-                w, item = np.divmod(met[shared >= need], len(ids))
-                for i in range(0, len(w), 50_000):
-                    x, y = w[i : i + 50_000], item[i : i + 50_000]
-                    distance = edit_distances(part[x], seq[y])
-                    ok = distance <= most
-                    yield at + x[ok], ids[y[ok]], distance[ok]
+                both, shared = np.unique(w * len(ids) + holder[np.repeat(lo[first:upto].ravel(), c) + inner], return_counts=True)
+                w, item = np.divmod(both[shared >= need], len(ids))
+                yield at + w, item
                 first = upto
 
-
-def item_chunks(benchmark: DataFrame, id_col: str, text: str, min_words: int, chunk_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, item id, distance) of pairs within the distance, items of n words."""
+        ids, seq, _, _, most = self.sizes[n]
+        for w, item in self.met(n, windows):
+            for i in range(0, len(w), 50_000):
+                x, y = w[i : i + 50_000], item[i : i + 50_000]
+                distance = edit_distances(windows[x], seq[y])
+                ok = distance <= most
+                yield x[ok], ids[y[ok]], distance[ok]
+
+    def stretches(self, n: int, word: np.ndarray, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place of the item, first word, end) of each run of windows from ``first`` on that meet an item of n words."""
+        m = self.reach(n)
+        end = np.minimum(first + m, np.searchsorted(doc, doc[first], "right"))
+        inside = first[:, None] + np.arange(m)
+        windows = np.where(inside < end[:, None], word[np.minimum(inside, len(word) - 1)], U64(0))
+        pairs = [np.stack(x) for x in self.met(n, windows)]
+        w, item = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        order = np.lexsort((first[w], item))
+        w, item = w[order], item[order]
+        new = np.ones(len(w), bool)
+        new[1:] = (item[1:] != item[:-1]) | (first[w[1:]] != first[w[:-1]] + 1) | (doc[first[w[1:]]] != doc[first[w[:-1]]])
+        begin = np.flatnonzero(new)
+        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(w)], strict=True) if len(w) else ():
+            yield int(item[i]), int(first[w[i]]), int(end[w[j - 1]])
+
+
+def item_chunks(benchmark: DataFrame, id_col: str, text: str, chunk_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Items as word hashes, streamed to the driver in chunks of bounded size."""
     chunk, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
         buf = LOWER[np.frombuffer(row["t"].encode(), np.uint8)]
         start, end, _ = words(buf, np.array([0, len(buf)]))
-        if len(start) >= min_words:
+        if len(start):
             chunk.append((row["i"], Fingerprints(buf).of(start, end)))
             size += len(start)
         if size >= chunk_words:
@@ -196,37 +280,56 @@ def item_chunks(benchmark: DataFrame, id_col: str, text: str, min_words: int, ch
         yield chunk
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, chunk_words: int = 200_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, chunk_words: int = 200_000, free_ends: bool = False) -> DataFrame:
     """``docs`` plus ``leaks``: for each leaked item its nearest window (first of equals)."""
     docs = without(docs, {"leaks"})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = docs.columns.index(text)
     out = docs.withColumn("leaks", F.array().cast(LEAK_SQL))
-    for items in item_chunks(benchmark, item_id, item_text, min_words, chunk_words):
+    for items in item_chunks(benchmark, item_id, item_text, chunk_words):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, rate)
+            index = Index(items, rate, min_words, free_ends)
             for batch in batches:
                 buf, off = column_bytes(batch.column(place))
                 before = batch.column(batch.num_columns - 1).to_pylist()
                 found: dict[tuple[int, int], tuple] = {}
+                near: list[tuple] = []
+
+                def note(row: int, item: int, new: tuple, found=found) -> None:
+                    if (row, item) not in found or new < found[row, item]:
+                        found[row, item] = new
+
                 pending: dict[int, list] = {}
                 for i, j in row_slices(off, SLICE_BYTES):
                     low, o = LOWER[buf[off[i] : off[j]]], off[i : j + 1] - off[i]
                     start, end, doc = words(low, o)
                     hashes = Fingerprints(low).of(start, end)
                     base = np.searchsorted(doc, np.arange(j - i))
+                    for n, ids, f in index.exact(hashes, doc):
+                        d = doc[f]
+                        for k, item, w, b0, b1 in zip((i + d).tolist(), ids.tolist(), (f - base[d]).tolist(), (start[f] - o[d]).tolist(), (end[f + n - 1] - o[d]).tolist(), strict=True):
+                            note(k, item, (0, w, n, b0, b1))
                     for n, f in index.candidates(hashes, doc):
                         d = doc[f]
+                        if free_ends:
+                            for item, a, b in index.stretches(n, hashes, doc, f):
+                                e = doc[a]
+                                near.append((hashes[a:b], n, item, int(i + e), int(a - base[e]), start[a:b] - o[e], end[a:b] - o[e]))
+                            continue
                         pending.setdefault(n, []).append((hashes[f[:, None] + np.arange(n)], i + d, f - base[d], start[f] - o[d], end[f + n - 1] - o[d]))
                 for n, parts in pending.items():  # windows of all slices together: longer arrays, fewer calls
                     windows, row, first, b0, b1 = (np.concatenate(x) for x in zip(*parts, strict=True))
                     for w, ids, distance in index.verified(n, windows):
                         for k, item, e in zip(w.tolist(), ids.tolist(), distance.tolist(), strict=True):
-                            new = (e, int(first[k]), n, int(b0[k]), int(b1[k]))
-                            old = found.get((int(row[k]), item))
-                            if old is None or new < old:
-                                found[int(row[k]), item] = new
+                            note(int(row[k]), item, (e, int(first[k]), n, int(b0[k]), int(b1[k])))
+                near.sort(key=lambda x: len(x[0]))
+                for at in range(0, len(near), 2000):  # alike in length
+                    part = near[at : at + 2000]
+                    for (_, n, item, row, first, b0, b1), e, x, y in zip(part, *(v.tolist() for v in nearest_passages([p[0] for p in part], [index.sizes[p[1]][1][p[2]] for p in part])), strict=True):
+                        ids, *_, most = index.sizes[n]
+                        if e <= most:
+                            note(row, int(ids[item]), (e, first + x, y - x, int(b0[x]), int(b1[y - 1])))
                 for (row, item), (e, w, n, b0, b1) in sorted(found.items()):
                     before[row].append({"item_id": item, "distance": e, "n_words": n, "word_start": w, "byte_start": b0, "byte_end": b1})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.list_(LEAK))], names=batch.schema.names)
@@ -239,4 +342,4 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
     """Every (document, item) leak with its distance and place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_leaks(docs, benchmark).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return find_leaks(docs, benchmark, free_ends=True).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
