@@ -22,9 +22,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return set_aside(docs, QUALITY_COLUMNS, lambda x: quality_rules(x).where("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies: each row counts as a document, whether its id is repeated or null; the least id stays."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so numbers stay
+    found = near_dedup(rows, "__row").select("component_id", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("first"))
+    chosen = found.groupBy("component_id").agg(F.min("first").alias("first")).select("first.__row")
+    return rows.join(chosen, "__row", "left_semi").drop("__row")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8 or more)."""
-    return set_aside(docs, DEDUP_COLUMNS, lambda x: near_dedup(x).where("kept"))
+    """One row of each group of near copies (5-word shingles, similarity 0.8 or more)."""
+    return set_aside(docs, DEDUP_COLUMNS, one_of_each)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

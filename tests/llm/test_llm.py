@@ -504,3 +504,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen["packing"]) == set(seen["decontaminate"])
     final = {(r["doc_id"], r["start"]) for r in corpus_pipeline.run(spark, folder).select("doc_id", "start").collect()}
     assert final == {(r["doc_id"], r["start"]) for r in stage.select("doc_id", "start").collect()}
+
+
+def test_pipeline_keeps_repeated_rows_once(spark, tmp_path):
+    """Repeated rows of an id and copies without an id leave one row with its text; other rows of an id stay."""
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (3, c), (None, c), (5, d), (5, sentence(rng, 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    folder = write_tables(spark, tmp_path, docs)
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["near_dedup"](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    once.write.parquet(str(tmp_path / "once"))
+    once = spark.read.parquet(str(tmp_path / "once"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in once.collect()) == sorted([(1, a), (0, b), (3, c), (5, d), (5, rows[-1][1])])
+    left = stages["suffix_dedup"](spark, once, folder).collect()
+    assert sorted(r["text"] for r in left) == sorted([a, b, c, d, rows[-1][1]])
