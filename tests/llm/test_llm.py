@@ -364,6 +364,19 @@ def test_license_scan_inherits_from_the_nearest_folder(spark):
     assert got[None] == (None, None)
 
 
+def test_license_scan_of_whole_files_and_wrapped_notices(spark):
+    full = dict(license_scan.full_texts())
+    rows = [(f"{k}/LICENSE", t) for k, t in full.items()] + [(f"{k}/src/a.py", "code") for k in full]
+    notices = {
+        "BSD-3-Clause": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n\nx = 1",
+    }
+    rows += [(f"notice/{k}", t) for k, t in notices.items()]
+    rows += [("notice/other", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.")]
+    got = {r["path"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert len(full) == 12
+    assert got == {f"{k}/{x}": k for k in full for x in ("LICENSE", "src/a.py")} | {f"notice/{k}": k for k in notices} | {"notice/other": None}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{a:1}}</style><script>var x="</p>";</script></head><body>
 <nav><ul><li><a href="/">home {i}</a></li><li><a href="/b">more</a></li></ul></nav><!-- note {i} --><div class="cookie-notice">We use cookies</div>
 <div class="{box}"><h1>Title {i}</h1><p>First &amp; <b>bold</b>er<i>!</i> text {i}.<br>line two<p>Second   para &copy; {i}</p><div class="ad">Buy {i}</div></div>
