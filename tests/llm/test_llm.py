@@ -369,6 +369,9 @@ def test_license_scan_of_whole_files_and_wrapped_notices(spark):
     rows = [(f"{k}/LICENSE", t) for k, t in full.items()] + [(f"{k}/src/a.py", "code") for k in full]
     notices = {
         "BSD-3-Clause": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n\nx = 1",
+        "CC-BY-NC-4.0": "text\nLicensed under CC BY-NC 4.0.",
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+        "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007",
     }
     rows += [(f"notice/{k}", t) for k, t in notices.items()]
     rows += [("notice/other", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.")]
