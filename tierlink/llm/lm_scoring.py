@@ -5,7 +5,9 @@ restaurant; that has a uniform base over the V known words and one unknown. A co
 customers of one dish (a word pair) sit at tables by the Chinese restaurant process; a pair's
 tables are customers of the parent. Seatings are sampled by Gibbs: customers are taken out and
 seated again, ``SWEEPS`` times after ``BURN_IN``, in every dish of up to ``MOST_SEATED`` customers;
-a larger dish, whose table number hardly varies, takes the expected number of sequential seating.
+a larger dish takes the mean that such sampling tends to, exact up to ``EXACT`` customers and
+within 2 % at the weights tested beyond. The parent seats each word at one table, and table sums travel in steps of
+5 %; neither is sampled.
 Within a sweep a dish sees the others through the restaurant's expected totals, so dishes are
 sampled apart and a frequent context is spread over all buckets. The predictive probability
 
@@ -27,7 +29,7 @@ texts are scored whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ END = U64(0x9D39247E33776D41)  # name of the end token; also the context of a fi
 DISCOUNT, THETA = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_THETA = 0.5, 1.0
 BURN_IN, SWEEPS, MOST_SEATED = 1, 3, 12
+EXACT = 256  # customers up to which mean tables are summed exactly
+LOG_WEIGHTS = (np.arange(256) - 128) / 4
 LM_BLOCK_BYTES = 2 << 20  # names, pairs and counts of a block take some 60 times its text in a worker
 SHORT = 48  # bits of a name where a clash only blurs an estimate
 LOG_STEP = 0.05  # table sums travel as logarithms in steps of 5 %
@@ -161,16 +165,38 @@ class Tokens:
         return c, w
 
 
+@cache
+def exact_tables(d: float) -> np.ndarray:
+    """[customers up to ``EXACT``, step of ``LOG_WEIGHTS``]: mean tables under p(t) ~ a^t S(c, t), S the Stirling numbers of discount d."""
+    t = np.arange(EXACT + 1)
+    log_s = np.full(EXACT + 1, -np.inf)
+    log_s[1] = 0.0
+    out = np.ones((EXACT + 1, len(LOG_WEIGHTS)))
+    for c in range(2, EXACT + 1):
+        stay = np.log(np.maximum(c - 1 - d * t, 1e-300)) + log_s
+        log_s[1:] = np.logaddexp(stay[1:], log_s[:-1])
+        p = log_s[1 : c + 1] + LOG_WEIGHTS[:, None] * t[1 : c + 1]
+        p = np.exp(p - p.max(1, keepdims=True))
+        out[c] = p @ t[1 : c + 1] / p.sum(1)
+    return out
+
+
 def expected_tables(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
-    """Expected tables of sequential seating of c customers: dt/dn = a / (a + n - d t), on a log grid."""
-    t, n = np.ones(len(c)), np.ones(len(c))
+    """Mean number of tables that Gibbs sampling of c customers tends to: exact up to ``EXACT``, beyond by the saddle point of exp(a (1 - (1 - z)^d) / d)."""
+    out = np.empty(len(c))
+    few = c <= EXACT
+    place = np.clip((np.log(a[few]) - LOG_WEIGHTS[0]) / (LOG_WEIGHTS[1] - LOG_WEIGHTS[0]), 0, len(LOG_WEIGHTS) - 1)
+    low = np.minimum(place.astype(np.int64), len(LOG_WEIGHTS) - 2)
+    n, table = c[few].astype(np.int64), exact_tables(d)
+    out[few] = table[n, low] + (place - low) * (table[n, low + 1] - table[n, low])
+    n, w = c[~few], a[~few]
+    lo, hi = np.minimum(0, np.log(w / n) / (1 - d)) - 1, np.full(len(n), -1e-12)  # log(1 - z)
     for _ in range(60):
-        step = np.minimum(n * 0.25, c - n)
-        if not (step > 0).any():
-            break
-        t = t + step * a / (a + n + step / 2 - d * t)
-        n = n + step
-    return np.minimum(t, c)
+        mid = (lo + hi) / 2
+        more = np.log(w) + np.log(-np.expm1(mid)) + (d - 1) * mid > np.log(n)
+        lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
+    out[~few] = 1 - w * np.expm1(d * lo) / d
+    return np.minimum(out, c)
 
 
 def gibbs_tables(c: np.ndarray, a: np.ndarray, d: float, seed: int) -> np.ndarray:
