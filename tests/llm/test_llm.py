@@ -6,7 +6,6 @@ import math
 import random
 import re
 import sys
-import zlib
 from pathlib import Path
 
 import numpy as np
@@ -146,12 +145,11 @@ def test_sketch_estimate_is_close():
         assert abs(near_dedup.estimate(ra, rb, np.array(2000.0), np.array(2000.0)) - true) < 0.2, n
 
 
-def test_packing_round_trip(spark):
+def read_back(docs, rows, window):
+    """Pieces against the tokenizer and sequences without gap or overlap; returns the sources' tokens in each full sequence."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(__import__("public_tokenizers").path(packing.VOCABULARY))
-    docs = awkward(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = packing.pack(docs, window=256, block_bytes=3000).collect()
     ids = {r["doc_id"]: tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in docs.collect()}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -162,32 +160,125 @@ def test_packing_round_trip(spark):
         assert np.frombuffer(b"".join(r["ids"] for r in own), "<u4").tolist() == want
         at = 0
         for r in own:
-            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(want), zlib.crc32(r["ids"]))
+            assert (r["start"], r["doc_tokens"], 4 * r["length"]) == (at, len(want), len(r["ids"]))
             at += r["length"]
-    total, source = sum(map(len, ids.values())), collections.Counter()
-    for r in rows:
-        source[r["source"]] += r["length"]
-    for own in sequences.values():
+    mixes = {}
+    for k, own in sequences.items():
         at = 0
         for r in sorted(own, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at == 256 or at & (at - 1) == 0
-        if at == 256:
-            mix = collections.Counter()
+        assert at == window or at & (at - 1) == 0
+        if at == window:
+            mixes[k] = collections.Counter()
             for r in own:
-                mix[r["source"]] += r["length"]
-            assert all(abs(mix[s] - 256 * n / total) < 2 for s, n in source.items())
+                mixes[k][r["source"]] += r["length"]
+    assert sorted(sequences) == list(range(len(sequences)))
+    return mixes
+
+
+def test_packing_round_trip(spark):
+    docs = awkward(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = packing.pack(docs, window=256, block_bytes=3000).collect()
+    mixes, source = read_back(docs, rows, 256), collections.Counter()
+    for r in rows:
+        source[r["source"]] += r["length"]
+    total = sum(source.values())
+    for mix in mixes.values():
+        assert all(abs(mix[s] - 256 * n / total) < 2 for s, n in source.items())
+
+
+def test_packing_to_a_target_mixture(spark):
+    """Windows hold the target until a queue runs dry; then the others share its part; a source without a weight has 1."""
+    docs = awkward(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = packing.pack(docs, window=64, block_bytes=3000, weights={"s0": 5.0, None: 0.5, "s1": 2.5}).collect()
+    mixes = read_back(docs, rows, 64)
+    left = collections.Counter()
+    for r in rows:
+        left[r["source"]] += r["length"]
+    weight = {"s0": 5.0, "s1": 2.5, "s2": 1.0, None: 0.5}
+    checked = 0
+    for k in sorted(mixes):
+        left.subtract(mixes[k])
+        if all(left[s] > 2 for s in weight):
+            checked += 1
+            assert all(abs(mixes[k][s] - 64 * w / 9) < 3 for s, w in weight.items())
+    assert checked and not any(mixes[max(mixes)][s] for s in ("s0", None) if left[s] == 0 and s == "s0")
+    with pytest.raises(ValueError):
+        packing.pack(docs, weights={"s0": 0.0})
+
+
+def whole_packing(size, weight, window, n_groups, rng):
+    """Sequences of all queues, each cut at random as blocks cut it: {sequence: [(offset, count, source)]}."""
+    groups = [[i for i in range(len(size)) if i % n_groups == g] for g in range(min(n_groups, len(size)))]
+    every = packing.Turns([sum(size[i] for i in g) for g in groups], [sum(weight[i] for i in g) for g in groups])
+    out = collections.defaultdict(list)
+    for k, g in enumerate(groups):
+        members = packing.Turns([size[i] for i in g], [weight[i] for i in g])
+        for m, i in enumerate(g):
+            cuts = sorted({0, size[i], *(rng.randrange(size[i] + 1) for _ in range(3))})
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                at = a
+                for first, sequence, offset, count in packing.queue_pieces(packing.Windows(every, window), k, members, m, a, b).tolist():
+                    assert first == at and count > 0
+                    at += count
+                    out[sequence].append((offset, count, i))
+                assert at == b
+    return out
+
+
+def test_sequences_are_gapless_and_disjoint_for_any_sources():
+    rng = random.Random(4)
+    cases = [([5, 1, 9], 4, 1024), ([50000, 37, 150000, 11, 9000], 2048, 1024), ([1, 30000], 2048, 1024)]
+    for _ in range(60):
+        cases.append(([max(1, min(20000, int(rng.paretovariate(0.5) * rng.randrange(1, 50)))) for _ in range(rng.randrange(1, 9))], rng.choice([1, 4, 7, 16, 256, 2048]), rng.choice([1, 2, 3, 1024])))
+    for n, (size, window, n_groups) in enumerate(cases):
+        own_share = n % 2 == 0
+        weight = [float(x) for x in size] if own_share else [rng.random() + 0.01 for _ in size]
+        got = whole_packing(size, weight, window, n_groups, rng)
+        full, rest = divmod(sum(size), window)
+        assert sorted(got) == list(range(full + bin(rest).count("1")))
+        for k, own in got.items():
+            at = 0
+            for offset, count, _ in sorted(own):
+                assert offset == at
+                at += count
+            assert at == window if k < full else at & (at - 1) == 0
+            if k < full and own_share and n_groups >= len(size):
+                for i, x in enumerate(size):
+                    assert abs(sum(c for _, c, j in own if j == i) - window * x / sum(size)) < 4
+
+
+def test_a_rare_source_costs_its_own_tokens_only():
+    groups = packing.Turns([10**14, 3, 10**13], [1e14, 3.0, 1e13])
+    rows = packing.queue_pieces(packing.Windows(groups, 2048), 1, packing.Turns([3], [3.0]), 0, 0, 3)
+    assert rows[:, 3].tolist() == [1, 1, 1] and rows[-1, 1] < groups.total // 2048
 
 
 def test_word_cache_agrees_with_the_tokenizer():
+    import pyarrow as pa
+
     cache = packing.word_cache(packing.VOCABULARY)
+    assert cache.by_words
     rng = random.Random(3)
-    letters = "abcXYZéÉßñ.,!'<>|#0129²½ªº×÷ǅǆİıſ­ ﬁΩσς́漢\x1c\x00"
-    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(3000)] + ["it's", "<|endoftext|>", ""]
-    got = cache.documents([w.encode() for w in words])
-    for w, g in zip(words, got, strict=True):
-        assert np.frombuffer(g, "<u4").tolist() == cache._tokenizer.encode(w, add_special_tokens=False).ids + [1], w
+    letters = "abcXYZéÉßñ.,!'<>|#0129²½ªº×÷ǅǆİıſ­ ﬁΩσς́漢\x1c\x00 \n\u00a0"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(3000)] + ["it's", "<|endoftext|>", "", None]
+    for most in (packing.Memo.MOST, 50):
+        cache._chunks.MOST = cache._pieces.MOST = most
+        for part in (words, words[::-1], words[100:900]):
+            got = cache.documents(pa.array(part, pa.string())).to_pylist()
+            for w, g in zip(part, got, strict=True):
+                assert np.frombuffer(g, "<u4").tolist() == cache._tokenizer.encode(w or "", add_special_tokens=False).ids + [1], w
+
+
+def test_other_vocabularies_get_whole_texts():
+    import pyarrow as pa
+
+    cache = packing.word_cache("byte_bpe_50k.json")
+    texts = ["two  words", "it's\n\nhere", ""]
+    assert not cache.by_words
+    for t, g in zip(texts, cache.documents(pa.array(texts)).to_pylist(), strict=True):
+        assert np.frombuffer(g, "<u4").tolist() == cache._tokenizer.encode(t, add_special_tokens=False).ids + [1]
 
 
 def plain_edit_distance(a, b):

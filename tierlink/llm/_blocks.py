@@ -39,22 +39,22 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
-def in_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, prepare: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
+def in_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, prepare: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, measured: int | None = None) -> DataFrame:
     """(block, blob): the rows of each partition in turn, ``block_bytes`` of text at a time.
 
-    ``prepare`` turns a block's rows into what is stored of them.
+    ``prepare`` turns a batch of rows into what is stored of them, ``measured`` names the column that counts then.
     """
-    place = docs.columns.index(text)
+    place = docs.columns.index(text) if measured is None else measured
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
 
         def emit() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            blob = pack_table(prepare(rows.combine_chunks()) if prepare else rows)
+            blob = pack_table(pa.Table.from_batches(held))
             return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([blob], pa.binary())], names=[BLOCK, BLOB])
 
         for batch in batches:
+            batch = prepare(batch) if prepare else batch
             _, off = column_bytes(batch.column(place))
             at = 0
             while at < batch.num_rows:
