@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -535,16 +536,25 @@ def test_lm_scores(spark):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """The model's distribution after a known context, over all words and an unknown one."""
-    train = [(i, "a b a c a b d") for i in range(6)]
-    probes = [(100 + i, f"a {w}") for i, w in enumerate(["b", "c", "d", "a", "unknown"])] + [(200, "a")]
-    df = spark.createDataFrame(train + probes, "doc_id long, text string").withColumn("held", F.col("doc_id") >= 100)
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_score(df, "held", ["doc_id"]).collect()}
-    tail = {w: lm_scoring for w in ()}
-    assert not tail
-    # P(a | start) P(w | a) P(end | w): compare with the same context by the ratio to P(a | start) P(end | a)
-    assert all(v < 0 for v in got.values())
-    assert got[100] > got[104]
+    """Over all texts of up to seven of two words and an unknown one; longer ones are next to impossible here."""
+    train = [(i, t) for i, t in enumerate(["a", "b", "a", "", "a b"] * 30)]
+    every = [" ".join(x) for n in range(8) for x in itertools.product(["a", "b", "new"], repeat=n)]
+    df = spark.createDataFrame(train + [(1000 + i, t) for i, t in enumerate(every)], "doc_id long, text string").withColumn("held", F.col("doc_id") >= 1000)
+    scores = [r["score"] for r in lm_scoring.lm_score(df, "held", ["doc_id"], block_bytes=5000).where("held_out").collect()]
+    assert len(scores) == len(every)
+    assert sum(10**x for x in scores) == pytest.approx(1, abs=2e-4)
+
+
+def test_lm_scores_do_not_depend_on_blocks(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, sentence(rng, 40) + " the of" * (i % 30)) for i in range(120)], "doc_id long, text string").withColumn("held", F.col("doc_id") % 4 == 1)
+    runs = [{r["doc_id"]: r["score"] for r in lm_scoring.lm_score(df.repartition(n), "held", ["doc_id"], block_bytes=size).collect()} for n, size in ((1, 1 << 20), (3, 700))]
+    assert runs[0].keys() == runs[1].keys()
+    assert all(runs[0][k] == pytest.approx(runs[1][k], abs=1e-9) for k in runs[0])
+
+
+def dish_names(n):
+    return lm_scoring.mix(np.arange(n, dtype=np.uint64))
 
 
 def test_gibbs_matches_exact_expectation():
@@ -565,13 +575,13 @@ def test_gibbs_matches_exact_expectation():
         weight = a ** len(p) * math.prod(math.prod(j - d for j in range(1, size)) for size in p)
         total += weight
         mean += weight * len(p)
-    got = lm_scoring.gibbs_tables(np.full(20_000, n), np.full(20_000, a), d, seed=3).mean()
+    got = lm_scoring.gibbs_tables(np.full(20_000, n), np.full(20_000, a), d, dish_names(20_000), range(4)).mean() / 4
     assert got == pytest.approx(mean / total, rel=0.02)
 
 
-@pytest.mark.parametrize(("n", "a"), [(13, 1.0), (30, 0.1), (100, 1.0), (256, 10.0), (300, 1.0), (300, 10.0), (400, 100.0), (400, 3000.0)])
-def test_large_dishes_take_the_mean_of_gibbs(n, a):
-    """Exact means by the recurrence over customers; sequential seating gave 2.5 times as many at (100, 1.0)."""
+@pytest.mark.parametrize(("n", "a"), [(2, 0.5), (12, 1.0), (13, 1.0), (30, 0.1), (100, 1.0), (256, 10.0), (300, 1.0), (300, 10.0), (400, 100.0), (400, 3000.0)])
+def test_sampled_tables_follow_the_exact_distribution(n, a):
+    """Exact means and deviations by the recurrence over customers; sequential seating gave 2.5 times as many at (100, 1.0)."""
     d = 0.75
     log_s = [-math.inf, 0.0]
     for c in range(1, n):
@@ -582,8 +592,11 @@ def test_large_dishes_take_the_mean_of_gibbs(n, a):
         log_s = new
     p = [x + t * math.log(a) for t, x in enumerate(log_s)]
     w = [math.exp(x - max(p)) for x in p]
-    got = lm_scoring.gibbs_tables(np.full(1, n), np.full(1, a), d, seed=3)[0]
-    assert got == pytest.approx(sum(t * x for t, x in enumerate(w)) / sum(w), rel=0.02)
+    got = lm_scoring.gibbs_tables(np.full(20_000, n), np.full(20_000, a), d, dish_names(20_000), range(1))
+    mean = sum(t * x for t, x in enumerate(w)) / sum(w)
+    assert got.min() >= 1 and got.max() <= n
+    assert got.mean() == pytest.approx(mean, rel=0.02)
+    assert got.std() == pytest.approx(math.sqrt(sum((t - mean) ** 2 * x for t, x in enumerate(w)) / sum(w)), rel=0.1)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

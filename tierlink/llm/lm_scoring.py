@@ -1,29 +1,36 @@
 """Hierarchical Pitman-Yor language model over words, trained and applied in blocks and buckets.
 
-Each word follows its predecessor in a context restaurant whose parent is the one unigram
-restaurant; that has a uniform base over the V known words and one unknown. A context restaurant's
-customers of one dish (a word pair) sit at tables by the Chinese restaurant process; a pair's
-tables are customers of the parent. Seatings are sampled by Gibbs: customers are taken out and
-seated again, ``SWEEPS`` times after ``BURN_IN``, in every dish of up to ``MOST_SEATED`` customers;
-a larger dish takes the mean that such sampling tends to, exact up to ``EXACT`` customers and
-within 2 % at the weights tested beyond. The parent seats each word at one table, and table sums travel in steps of
-5 %; neither is sampled.
-Within a sweep a dish sees the others through the restaurant's expected totals, so dishes are
-sampled apart and a frequent context is spread over all buckets. The predictive probability
+Each word follows its predecessor in a context restaurant; all context restaurants share one parent,
+the unigram restaurant, whose base is uniform over the V known words and one unknown. A context
+restaurant's customers of one dish (a word pair) sit at tables by the Chinese restaurant process; a
+pair's tables are customers of the parent, whose dishes (words) sit at tables of the root.
+
+Seatings are sampled by Gibbs, a dish at a time: given all other dishes, the number of tables t of a
+dish of c customers has probability in proportion to a^t S(c, t), with a = (theta + d t_u) P(w) the
+weight of a new table and S the Stirling numbers of discount d. Every dish is drawn from it, exactly
+up to ``EXACT`` customers, beyond by the normal law at the saddle point of the generating function.
+The draws of a dish are a function of its name, c, a and the sweep, so each block that holds a pair
+finds the same tables without being told. ``BURN_IN`` sweeps start from expected totals; their sampled
+totals of contexts, words and root are exchanged and enter the weights of the ``SWEEPS`` sweeps that
+are averaged. Within each of these two rounds a dish sees the others through the totals of the round
+before, so dishes are drawn apart and a frequent context is spread over all buckets. The predictive
+probability
 
     P(w | u) = (c_uw - d t_uw + (theta + d t_u) P(w)) / (theta + c_u)
 
 is affine in the seating, so the averages of t over the samples give the averaged predictive
-probability (but for the covariance of t_u and P(w)).
+probability (but for the covariance of t_u and P(w)). Sums of tables are exact integers, so the
+probabilities after any context sum to one.
 
-Three exchanges between blocks and buckets (see ``_blocks``), all in packed arrays: word counts
-(exact, 64-bit names); pair counts and tables (48-bit names; a clash only blurs one estimate); and
-the sums of tables by context and by word. Counts cover all training documents. Sorted names travel
-as compressed differences.
+Exchanges between blocks and buckets (see ``_blocks``), all in packed arrays: counts of words
+(64-bit names) and pairs (48-bit names; a clash only blurs one estimate), and twice the sums of
+tables by context and by word. Counts cover all training documents. Sorted names travel as
+compressed differences.
 
 Defined cases: null and empty texts are one end token; repeated rows count and score as often as
-they occur; with no training document the model is the uniform base over the unknown word; long
-texts are scored whole.
+they occur; with no training document the model is the uniform base over the unknown word; an empty
+table gives an empty result; long texts are scored whole; equal texts get equal scores (no ties are
+broken). The result holds the id columns only, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -43,12 +50,12 @@ from tierlink.session import materialize
 END = U64(0x9D39247E33776D41)  # name of the end token; also the context of a first word
 DISCOUNT, THETA = 0.75, 1.0
 ROOT_DISCOUNT, ROOT_THETA = 0.5, 1.0
-BURN_IN, SWEEPS, MOST_SEATED = 1, 3, 12
-EXACT = 256  # customers up to which mean tables are summed exactly
-LOG_WEIGHTS = (np.arange(256) - 128) / 4
+BURN_IN, SWEEPS = 2, 4
+EXACT = 256  # customers up to which table numbers are drawn from their exact distribution
+BANDS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, EXACT)  # customers that are drawn together
+DRAWN_AT_ONCE = 1 << 20
 LM_BLOCK_BYTES = 2 << 20  # names, pairs and counts of a block take some 60 times its text in a worker
 SHORT = 48  # bits of a name where a clash only blurs an estimate
-LOG_STEP = 0.05  # table sums travel as logarithms in steps of 5 %
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -63,8 +70,9 @@ def expand(raw: bytes, n: int, kind) -> np.ndarray:
 
 
 def small_ints(a: np.ndarray) -> np.ndarray:
-    """As bytes where they fit, else as 32-bit integers; the receiver tells by the size."""
-    return a.astype(np.uint8) if not len(a) or a.max() < 256 else a.astype(np.uint32)
+    """As bytes where they fit, else as 32- or 64-bit integers; the receiver tells by the size."""
+    most = a.max() if len(a) else 0
+    return a.astype(np.uint8 if most < 256 else np.uint32 if most < 1 << 32 else np.uint64)
 
 
 def pack_ints(a: np.ndarray) -> bytes:
@@ -73,7 +81,7 @@ def pack_ints(a: np.ndarray) -> bytes:
 
 
 def unpack_ints(raw: bytes, n: int) -> np.ndarray:
-    return expand(raw[1:], n, np.uint8 if raw[0] == 1 else np.uint32).astype(np.int64)
+    return expand(raw[1:], n, {1: np.uint8, 4: np.uint32, 8: np.uint64}[raw[0]]).astype(np.int64)
 
 
 def pack_sorted(names: np.ndarray, bits: int = 64) -> bytes:
@@ -88,17 +96,6 @@ def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(U64), dtype=U64)
 
 
-def log_steps(x: np.ndarray) -> np.ndarray:
-    """0 for 0, else 1 + the logarithm in steps, as one byte (0.01 to 3500) or two."""
-    out = np.zeros(len(x), np.uint16)
-    out[x > 0] = np.clip(np.rint(np.log(x[x > 0]) / LOG_STEP) + 100, 1, 65535)
-    return out
-
-
-def from_steps(a: np.ndarray) -> np.ndarray:
-    return np.where(a > 0, np.exp((a.astype(float) - 100) * LOG_STEP), 0.0)
-
-
 class Distinct:
     """Distinct names of a block in the order they are sent: by bucket (a range of names), then by name."""
 
@@ -108,9 +105,8 @@ class Distinct:
         self.bounds = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
 
     def slices(self):
-        for b, (i, j) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
-            if j > i:
-                yield b, slice(int(i), int(j))
+        for b in np.flatnonzero(np.diff(self.bounds)).tolist():
+            yield b, slice(int(self.bounds[b]), int(self.bounds[b + 1]))
 
 
 class Tokens:
@@ -166,93 +162,134 @@ class Tokens:
 
 
 @cache
-def exact_tables(d: float) -> np.ndarray:
-    """[customers up to ``EXACT``, step of ``LOG_WEIGHTS``]: mean tables under p(t) ~ a^t S(c, t), S the Stirling numbers of discount d."""
+def log_stirling(d: float) -> np.ndarray:
+    """[customers, tables] logarithms of the Stirling numbers S of discount d, up to ``EXACT`` customers."""
     t = np.arange(EXACT + 1)
-    log_s = np.full(EXACT + 1, -np.inf)
-    log_s[1] = 0.0
-    out = np.ones((EXACT + 1, len(LOG_WEIGHTS)))
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
     for c in range(2, EXACT + 1):
-        stay = np.log(np.maximum(c - 1 - d * t, 1e-300)) + log_s
-        log_s[1:] = np.logaddexp(stay[1:], log_s[:-1])
-        p = log_s[1 : c + 1] + LOG_WEIGHTS[:, None] * t[1 : c + 1]
-        p = np.exp(p - p.max(1, keepdims=True))
-        out[c] = p @ t[1 : c + 1] / p.sum(1)
+        stay = np.log(np.maximum(c - 1 - d * t, 1e-300)) + out[c - 1]
+        out[c, 1:] = np.logaddexp(stay[1:], out[c - 1, :-1])
+        out[c, c + 1 :] = -np.inf
     return out
 
 
-def expected_tables(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
-    """Mean number of tables that Gibbs sampling of c customers tends to: exact up to ``EXACT``, beyond by the saddle point of exp(a (1 - (1 - z)^d) / d)."""
-    out = np.empty(len(c))
-    few = c <= EXACT
-    place = np.clip((np.log(a[few]) - LOG_WEIGHTS[0]) / (LOG_WEIGHTS[1] - LOG_WEIGHTS[0]), 0, len(LOG_WEIGHTS) - 1)
-    low = np.minimum(place.astype(np.int64), len(LOG_WEIGHTS) - 2)
-    n, table = c[few].astype(np.int64), exact_tables(d)
-    out[few] = table[n, low] + (place - low) * (table[n, low + 1] - table[n, low])
-    n, w = c[~few], a[~few]
-    lo, hi = np.minimum(0, np.log(w / n) / (1 - d)) - 1, np.full(len(n), -1e-12)  # log(1 - z)
+def large_tables(c: np.ndarray, a: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of p(t) ~ a^t S(c, t) by the saddle point z of exp(a (1 - (1 - z)^d) / d)."""
+    lo, hi = np.minimum(0, np.log(a / c) / (1 - d)) - 1, np.full(len(c), -1e-12)  # log(1 - z)
     for _ in range(60):
         mid = (lo + hi) / 2
-        more = np.log(w) + np.log(-np.expm1(mid)) + (d - 1) * mid > np.log(n)
+        more = np.log(a) + np.log(-np.expm1(mid)) + (d - 1) * mid > np.log(c)
         lo, hi = np.where(more, mid, lo), np.where(more, hi, mid)
-    out[~few] = 1 - w * np.expm1(d * lo) / d
-    return np.minimum(out, c)
+    tables, z = -a * np.expm1(d * lo) / d, -np.expm1(lo)
+    return 1 + tables, np.sqrt(np.maximum(tables - a * z * np.exp(d * lo) / (1 - d * z), 0))
+
 
+def uniform(names: np.ndarray, k: int) -> np.ndarray:
+    """The k-th random number in (0, 1) of each name."""
+    return ((mix(names + U64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
-def gibbs_tables(c: np.ndarray, a: np.ndarray, d: float, seed: int) -> np.ndarray:
-    """Mean number of tables over Gibbs samples of each dish's seating.
+
+def gibbs_tables(c: np.ndarray, a: np.ndarray, d: float, names: np.ndarray, sweeps: range) -> np.ndarray:
+    """Sum over ``sweeps`` of the sampled numbers of tables of each dish.
 
     ``c``: customers of the dish, ``a``: weight of a new table, (theta + d t_u) P(w).
     """
-    out = np.minimum(c, 1).astype(float)
-    large = c > MOST_SEATED
-    out[large] = expected_tables(c[large].astype(float), a[large], d)
-    rng = np.random.default_rng(seed)
-    for size in range(2, MOST_SEATED + 1):
-        dish = np.flatnonzero(c == size)
-        for i in range(0, len(dish), 1 << 16):
-            own = dish[i : i + (1 << 16)]
-            n, rows, weight = len(own), np.arange(len(own)), a[own]
-            seat = np.zeros((n, size), np.int16)  # all customers start at one table
-            at = np.zeros((n, size), np.int32)
-            at[:, 0] = size
-            total = np.zeros(n)
-            for sweep in range(BURN_IN + SWEEPS):
-                for j in range(size):
-                    at[rows, seat[:, j]] -= 1
-                    p = np.where(at > 0, at - d, 0.0)
-                    free = np.argmax(at == 0, axis=1)
-                    p[rows, free] = weight
-                    cum = np.cumsum(p, axis=1)
-                    pick = (cum < (rng.random(n) * cum[:, -1])[:, None]).sum(1)
-                    seat[:, j] = np.minimum(pick, size - 1)
-                    at[rows, seat[:, j]] += 1
-                if sweep >= BURN_IN:
-                    total += (at > 0).sum(1)
-            out[own] = total / SWEEPS
+    out = np.minimum(c, 1) * len(sweeps)
+    for least, most in zip((2, *(b + 1 for b in BANDS[:-1])), BANDS, strict=True):
+        band = np.flatnonzero((c >= least) & (c <= most))
+        t = np.arange(1, most + 1)
+        step = max(1, DRAWN_AT_ONCE // most)
+        for i in range(0, len(band), step):
+            own = band[i : i + step]
+            p = log_stirling(d)[c[own], 1 : most + 1] + np.log(a[own])[:, None] * t
+            p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
+            for k in sweeps:
+                out[own] += (p < (uniform(names[own], 2 * k) * p[:, -1])[:, None]).sum(1)
+    own = np.flatnonzero(c > EXACT)
+    if len(own):
+        mean, deviation = large_tables(c[own].astype(float), a[own], d)
+        for k in sweeps:
+            normal = np.sqrt(-2 * np.log(uniform(names[own], 2 * k))) * np.cos(2 * np.pi * uniform(names[own], 2 * k + 1))
+            out[own] += np.clip(np.rint(mean + deviation * normal), 1, c[own]).astype(np.int64) - 1
     return out
 
 
-def merged(names: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of each entry's name among the distinct ones, sums of the values by name) over several blocks."""
-    _, inverse = np.unique(np.concatenate(names), return_inverse=True)
-    return inverse, np.bincount(inverse, np.concatenate(values))
+def merged(names: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct names, index of each entry's name among them, sums of the values by name) over several blocks."""
+    distinct, inverse = np.unique(np.concatenate(names), return_inverse=True)
+    return distinct, inverse, np.bincount(inverse, np.concatenate(values)).astype(np.int64)
 
 
-SENT = f"{BUCKET} int, {BLOCK} long, n int, names binary, a binary, b binary"
-ANSWER = f"{BLOCK} long, {BUCKET} int, a binary, b binary, c binary, n_tokens long, n_words long"
+SENT = f"{BUCKET} int, {BLOCK} long, kind string, n int, names binary, a binary, b binary, root double"
+ANSWER = f"{BLOCK} long, {BUCKET} int, kind string, a binary, b binary, c binary, total long, other long"
 
 
 def sent_table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    return pa.table({c: pa.array(v, k) for c, v, k in zip((BUCKET, BLOCK, "n", "names", "a", "b"), columns, kinds, strict=True)})
+    kinds = (pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    return pa.table({c: pa.array(v, k) for c, v, k in zip((BUCKET, BLOCK, "kind", "n", "names", "a", "b", "root"), columns, kinds, strict=True)})
 
 
 def answer_table(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-    return pa.table({c: pa.array(v, k) for c, v, k in zip((BLOCK, BUCKET, "a", "b", "c", "n_tokens", "n_words"), columns, kinds, strict=True)})
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+    return pa.table({c: pa.array(v, k) for c, v, k in zip((BLOCK, BUCKET, "kind", "a", "b", "c", "total", "other"), columns, kinds, strict=True)})
+
+
+def by_kind(replies: pa.Table) -> dict[str, list[dict]]:
+    out: dict[str, list[dict]] = {"words": [], "pairs": [], "first": [], "last": []}
+    for x in replies.to_pylist():
+        out[x["kind"]].append(x)
+    return out
+
+
+class Model:
+    """What a block knows of the model: counts, and the sums of tables after a round of ``sweeps`` sweeps."""
+
+    def __init__(self, tokens: Tokens, replies: dict[str, list[dict]], train_tokens: int, vocabulary: int):
+        self.tokens, self.train_tokens, self.vocabulary = tokens, train_tokens, vocabulary
+        self.count = self._by_word(replies["words"], "a")
+        self.customers, self.owner = self._pairs(replies["pairs"])
+        self.context, self.word = tokens.ends()
+
+    def _by_word(self, answers: list[dict], column: str) -> np.ndarray:
+        bounds = self.tokens.words.bounds
+        out = np.zeros(len(self.tokens.words.names), np.int64)
+        for x in answers:
+            i, j = int(bounds[x[BUCKET]]), int(bounds[x[BUCKET] + 1])
+            out[i:j] = unpack_ints(x[column], j - i)
+        return out
+
+    def _pairs(self, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """(customers of each distinct pair, whether this block speaks for it)."""
+        total = self.tokens.pair_counts()
+        owner = np.zeros(len(total), bool)
+        bounds = self.tokens.pairs.bounds
+        for x in answers:
+            i, j = int(bounds[x[BUCKET]]), int(bounds[x[BUCKET] + 1])
+            flags = np.unpackbits(np.frombuffer(x["a"], np.uint8), count=2 * (j - i)).reshape(-1, 2).astype(bool)
+            on = np.flatnonzero(flags[:, 0]) + i
+            total[on] = unpack_ints(x["b"], len(on))
+            owner[i:j] = flags[:, 1]
+        return total, owner
+
+    def expected(self) -> tuple[np.ndarray, np.ndarray]:
+        """(tables of each context, probability of each word by the parent) that the first sweeps start from."""
+        return np.maximum(1, self.count) ** 0.85, np.maximum(self.count, 0.5) / max(1, self.train_tokens)
+
+    def sampled(self, answers: list[dict], sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the sums of tables after a round."""
+        by_context, by_word, root_tables = (self._by_word(answers, c) / sweeps for c in "abc")
+        customers, tables = (answers[0][c] / sweeps if answers else 0.0 for c in ("all_customers", "all_tables"))
+        base = 1 / (self.vocabulary + 1)
+        parent = (by_word - ROOT_DISCOUNT * root_tables + (ROOT_THETA + ROOT_DISCOUNT * tables) * base) / (ROOT_THETA + customers)
+        return by_context, parent
+
+    def tables(self, tables_of: np.ndarray, parent: np.ndarray, sweeps: range, which: np.ndarray) -> np.ndarray:
+        """Sums over ``sweeps`` of the tables of the pairs ``which``, given the totals."""
+        weight = (THETA + DISCOUNT * tables_of[self.context[which]]) * parent[self.word[which]]
+        return gibbs_tables(self.customers[which], weight, DISCOUNT, self.tokens.pairs.names[which], sweeps)
 
 
 def lm_score(docs: DataFrame, held_out: str, id_cols: list[str], text: str = "text", block_bytes: int = LM_BLOCK_BYTES) -> DataFrame:
@@ -270,140 +307,98 @@ def lm_score(docs: DataFrame, held_out: str, id_cols: list[str], text: str = "te
         rows = unpack(t.column(BLOB)[0].as_py())
         return rows, Tokens(rows, "__text", "__held", n_buckets)
 
-    # 1. counts of words
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # 1. counts of words and pairs
+    def send_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = pa.Table.from_batches([batch.slice(i, 1)])
                 _, tokens = opened(one)
-                block, counts = one.column(BLOCK)[0].as_py(), tokens.word_counts()
-                sent = sent_table([(b, block, r.stop - r.start, pack_sorted(tokens.words.names[r]), pack_ints(counts[r]), b"") for b, r in tokens.words.slices()])
-                yield from sent.to_batches()
-
-    def count_words(t: pa.Table) -> pa.Table:
-        r = t.sort_by(BLOCK).to_pylist()
-        names = [unpack_sorted(x["names"], x["n"]) for x in r]
-        inverse, total = merged(names, [unpack_ints(x["a"], x["n"]) for x in r])
-        total = total.astype(np.int64)
-        cut = np.cumsum([0, *map(len, names)])
-        known = (int(total.sum()), int((total > 0).sum()))
-        return answer_table([(x[BLOCK], x[BUCKET], pack_ints(total[inverse[i:j]]), b"", b"", *known) for x, i, j in zip(r, cut[:-1], cut[1:], strict=True)])
-
-    word_answers = materialize(packed.mapInArrow(send_words, SENT).groupBy(BUCKET).applyInArrow(count_words, ANSWER))
-    sums = word_answers.groupBy(BUCKET).agg(F.max("n_tokens").alias("n"), F.max("n_words").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    train_tokens, vocabulary = int(sums["n"] or 0), int(sums["v"] or 0)
-
-    def counts_of(tokens: Tokens, answers: list[dict]) -> np.ndarray:
-        out = np.zeros(len(tokens.words.names), np.int64)
-        bounds = tokens.words.bounds
-        for x in answers:
-            i, j = bounds[x[BUCKET]], bounds[x[BUCKET] + 1]
-            out[i:j] = unpack_ints(x["a"], int(j - i))
-        return out
+                block, words, pairs = one.column(BLOCK)[0].as_py(), tokens.word_counts(), tokens.pair_counts()
+                sent = [(b, block, "words", r.stop - r.start, pack_sorted(tokens.words.names[r]), pack_ints(words[r]), b"", 0.0) for b, r in tokens.words.slices()]
+                sent += [(b, block, "pairs", r.stop - r.start, pack_sorted(tokens.pairs.names[r], SHORT), pack_ints(pairs[r]), b"", 0.0) for b, r in tokens.pairs.slices()]
+                yield from sent_table(sent).to_batches()
 
-    # 2. counts and tables of pairs
-    def send_pairs(key, t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return sent_table([])
-        _, tokens = opened(t)
-        count = counts_of(tokens, replies.to_pylist())
-        context, word = tokens.ends()
-        # expected seating stands in for the restaurant's totals
-        tables = np.maximum(1, count[context]) ** 0.85
-        new_table = (THETA + DISCOUNT * tables) * np.maximum(count[word], 0.5) / max(1, train_tokens)
-        level = np.clip(np.rint(np.log(np.maximum(new_table, 1e-9)) * 4) + 128, 0, 255).astype(np.uint8)
-        own = tokens.pair_counts()
-        return sent_table([(b, key[0].as_py(), r.stop - r.start, pack_sorted(tokens.pairs.names[r], SHORT), pack_ints(own[r]), squeeze(level[r])) for b, r in tokens.pairs.slices()])
-
-    def seat_pairs(t: pa.Table) -> pa.Table:
-        r = t.sort_by(BLOCK).to_pylist()
-        names = [unpack_sorted(x["names"], x["n"]) for x in r]
-        own = [unpack_ints(x["a"], x["n"]) for x in r]
-        level = np.concatenate([expand(x["b"], x["n"], np.uint8) for x in r])
-        inverse, total = merged(names, own)
-        first = np.zeros(len(total), np.int64)
-        every = np.arange(len(inverse))
-        first[inverse[::-1]] = every[::-1]
-        weight = np.exp((level[first].astype(float) - 128) / 4)
-        tables = gibbs_tables(total.astype(np.int64), weight, DISCOUNT, seed=int(r[0][BUCKET]) + 1)
-        owner = np.zeros(len(inverse), bool)
-        owner[first] = True
-        own_all = np.concatenate(own)
-        other = total[inverse] != own_all  # a block knows the rest by itself, but for tables of pairs of 2 or more
-        told = other | (total[inverse] > 1)
-        cut = np.cumsum([0, *[x["n"] for x in r]])
+    def sum_counts(t: pa.Table) -> pa.Table:
         out = []
-        for x, i, j in zip(r, cut[:-1], cut[1:], strict=True):
-            on = np.flatnonzero(told[i:j]) + i
-            flags = np.packbits(np.stack([told[i:j], owner[i:j]], 1)).tobytes()
-            out.append((x[BLOCK], x[BUCKET], flags, pack_ints(total[inverse[on]].astype(np.int64)), pack_ints(np.rint(tables[inverse[on]] * 16).astype(np.int64)), 0, 0))
+        for kind in ("words", "pairs"):
+            r = [x for x in t.sort_by(BLOCK).to_pylist() if x["kind"] == kind]
+            if not r:
+                continue
+            own = [unpack_ints(x["a"], x["n"]) for x in r]
+            _, inverse, total = merged([unpack_sorted(x["names"], x["n"]) for x in r], own)
+            cut = np.cumsum([0, *map(len, own)])
+            known = (int(total.sum()), int((total > 0).sum()))
+            if kind == "words":
+                out += [(x[BLOCK], x[BUCKET], kind, pack_ints(total[inverse[i:j]]), b"", b"", *known) for x, i, j in zip(r, cut[:-1], cut[1:], strict=True)]
+                continue
+            first = np.zeros(len(total), np.int64)
+            first[inverse[::-1]] = np.arange(len(inverse))[::-1]
+            owner = np.zeros(len(inverse), bool)
+            owner[first] = True
+            told = total[inverse] != np.concatenate(own)  # a block knows the rest by itself
+            for x, i, j in zip(r, cut[:-1], cut[1:], strict=True):
+                flags = np.packbits(np.stack([told[i:j], owner[i:j]], 1)).tobytes()
+                out.append((x[BLOCK], x[BUCKET], kind, flags, pack_ints(total[inverse[i:j][told[i:j]]]), b"", 0, 0))
         return answer_table(out)
 
-    pair_answers = blocks.cogroup(word_answers.groupBy(BLOCK)).applyInArrow(send_pairs, SENT).groupBy(BUCKET).applyInArrow(seat_pairs, ANSWER)
+    counts = materialize(packed.mapInArrow(send_counts, SENT).groupBy(BUCKET).applyInArrow(sum_counts, ANSWER))
+    sums = counts.where("kind = 'words'").groupBy(BUCKET).agg(F.max("total").alias("n"), F.max("other").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    train_tokens, vocabulary = int(sums["n"] or 0), int(sums["v"] or 0)
+    counts = counts.drop("total", "other")
+
+    def answered(*rounds: DataFrame) -> DataFrame:
+        """All replies to blocks; those of a round with its totals of the root restaurant."""
+        out = counts.withColumns({"all_customers": F.lit(0).cast("long"), "all_tables": F.lit(0).cast("long")})
+        for x in rounds:
+            totals = x.groupBy(BUCKET).agg(F.max("total").alias("s"), F.max("other").alias("t")).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("all_customers"), F.coalesce(F.sum("t"), F.lit(0)).alias("all_tables"))
+            out = out.unionByName(x.drop("total", "other").crossJoin(F.broadcast(totals)))  # one row
+        return out
 
-    def seating_of(tokens: Tokens, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(customers, mean tables, whether this block speaks for the pair) of each distinct pair."""
-        total = tokens.pair_counts().astype(float)
-        tables = (total > 0).astype(float)
-        owner = np.zeros(len(total), bool)
-        bounds = tokens.pairs.bounds
-        for x in answers:
-            i, j = int(bounds[x[BUCKET]]), int(bounds[x[BUCKET] + 1])
-            flags = np.unpackbits(np.frombuffer(x["a"], np.uint8), count=2 * (j - i)).reshape(-1, 2).astype(bool)
-            on = np.flatnonzero(flags[:, 0]) + i
-            total[on] = unpack_ints(x["b"], len(on))
-            tables[on] = unpack_ints(x["c"], len(on)) / 16
-            owner[i:j] = flags[:, 1]
-        return total, tables, owner
-
-    # 3. sums of tables by context and by word
-    def send_tables(key, t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return sent_table([])
-        _, tokens = opened(t)
-        total, tables, owner = seating_of(tokens, replies.to_pylist())
-        context, word = tokens.ends()
-        mine = owner & (total > 0)
-        n = len(tokens.words.names)
-        by_context = log_steps(np.bincount(context[mine], tables[mine], n))
-        by_word = log_steps(np.bincount(word[mine], tables[mine], n))
-        return sent_table([(b, key[0].as_py(), r.stop - r.start, pack_sorted(tokens.words.names[r], SHORT), squeeze(by_context[r]), squeeze(by_word[r])) for b, r in tokens.words.slices()])
-
-    def sum_tables(t: pa.Table) -> pa.Table:
-        r = t.sort_by(BLOCK).to_pylist()
-        names = [unpack_sorted(x["names"], x["n"]) for x in r]
-        cut = np.cumsum([0, *map(len, names)])
-        sums = []
-        for c in ("a", "b"):
-            inverse, s = merged(names, [from_steps(expand(x[c], x["n"], np.uint16)) for x in r])
-            sums.append(log_steps(s)[inverse])
-            whole = s
-        return answer_table([(x[BLOCK], x[BUCKET], squeeze(sums[0][i:j]), squeeze(sums[1][i:j]), b"", int(whole.sum()), int((whole > 0).sum())) for x, i, j in zip(r, cut[:-1], cut[1:], strict=True)])
-
-    table_answers = blocks.cogroup(pair_answers.groupBy(BLOCK)).applyInArrow(send_tables, SENT).groupBy(BUCKET).applyInArrow(sum_tables, ANSWER)
-
-    # 4. scores
+    # 2. rounds of sweeps, and their sums of tables by context and by word
+    def sampled(kind: str, before: DataFrame, burnt: bool) -> DataFrame:
+        sweeps = range(BURN_IN, BURN_IN + SWEEPS) if burnt else range(BURN_IN)
+
+        def send_tables(key, t: pa.Table, replies: pa.Table) -> pa.Table:
+            if not t.num_rows:
+                return sent_table([])
+            _, tokens = opened(t)
+            found = by_kind(replies)
+            model = Model(tokens, found, train_tokens, vocabulary)
+            mine = np.flatnonzero(model.owner & (model.customers > 0))
+            tables = model.tables(*(model.sampled(found["first"], BURN_IN) if burnt else model.expected()), sweeps, mine)
+            n = len(tokens.words.names)
+            by_context, by_word = (np.bincount(x[mine], tables, n).astype(np.int64) for x in (model.context, model.word))
+            root = found["first"][0]["all_tables"] / BURN_IN if burnt else float(vocabulary)
+            return sent_table([(b, key[0].as_py(), kind, r.stop - r.start, pack_sorted(tokens.words.names[r], SHORT), pack_ints(by_context[r]), pack_ints(by_word[r]), root) for b, r in tokens.words.slices()])
+
+        def sum_tables(t: pa.Table) -> pa.Table:
+            r = t.sort_by(BLOCK).to_pylist()
+            names = [unpack_sorted(x["names"], x["n"]) for x in r]
+            cut = np.cumsum([0, *map(len, names)])
+            _, _, by_context = merged(names, [unpack_ints(x["a"], x["n"]) for x in r])
+            distinct, inverse, by_word = merged(names, [unpack_ints(x["b"], x["n"]) for x in r])
+            # the root seats the mean number of customers; at first its tables are expected to be one a word
+            weight = np.full(len(by_word), (ROOT_THETA + ROOT_DISCOUNT * r[0]["root"]) / (vocabulary + 1))
+            root = gibbs_tables(np.rint(by_word / len(sweeps)).astype(np.int64), weight, ROOT_DISCOUNT, distinct << U64(64 - SHORT), sweeps)
+            whole = (int(by_word.sum()), int(root.sum()))
+            return answer_table([(x[BLOCK], x[BUCKET], kind, *(pack_ints(v[inverse[i:j]]) for v in (by_context, by_word, root)), *whole) for x, i, j in zip(r, cut[:-1], cut[1:], strict=True)])
+
+        return blocks.cogroup(before.groupBy(BLOCK)).applyInArrow(send_tables, SENT).groupBy(BUCKET).applyInArrow(sum_tables, ANSWER)
+
+    first = sampled("first", answered(), burnt=False)
+    last = sampled("last", answered(first), burnt=True)
+
+    # 3. scores
     def rate(key, t: pa.Table, replies: pa.Table) -> pa.Table:
         rows, tokens = opened(t)
-        kind = replies.column("kind").to_pylist()
-        by_kind = {k: [x for x, y in zip(replies.to_pylist(), kind, strict=True) if y == k] for k in ("words", "pairs", "tables")}
-        count = counts_of(tokens, by_kind["words"])
-        total, tables, _ = seating_of(tokens, by_kind["pairs"])
-        n = len(tokens.words.names)
-        by_context, by_word = np.zeros(n), np.zeros(n)
-        for x in by_kind["tables"]:
-            i, j = int(tokens.words.bounds[x[BUCKET]]), int(tokens.words.bounds[x[BUCKET] + 1])
-            by_context[i:j] = from_steps(expand(x["a"], j - i, np.uint16))
-            by_word[i:j] = from_steps(expand(x["b"], j - i, np.uint16))
-        root = next((float(x["root_customers"]) for x in by_kind["tables"]), 0.0)
-        by_word = np.where(count > 0, np.maximum(by_word, 1), 0)
-        root_tables = np.minimum(1, by_word)
-        base = 1 / (vocabulary + 1)
-        parent = (by_word - ROOT_DISCOUNT * root_tables + (ROOT_THETA + ROOT_DISCOUNT * vocabulary) * base) / (ROOT_THETA + max(root, vocabulary))
+        found = by_kind(replies)
+        model = Model(tokens, found, train_tokens, vocabulary)
         u, w, pair = tokens.context, tokens.word, tokens.pair
+        tables = model.tables(*model.sampled(found["first"], BURN_IN), range(BURN_IN, BURN_IN + SWEEPS), np.arange(len(model.customers))) / SWEEPS
+        seated, parent = model.sampled(found["last"], SWEEPS)
+        count = model.count
         customers = count[u].astype(float)  # a word is a context as often as it occurs, the end included
-        seated = np.minimum(by_context[u], customers)
-        p = (np.maximum(total[pair] - DISCOUNT * tables[pair], 0) + (THETA + DISCOUNT * seated) * parent[w]) / (THETA + customers)
+        p = (model.customers[pair] - DISCOUNT * tables[pair] + (THETA + DISCOUNT * seated[u]) * parent[w]) / (THETA + customers)
         score = np.bincount(tokens.doc, np.log10(np.maximum(p, 1e-300)), tokens.n_docs)
         plain = np.log10((count[w] + 1.0) / (train_tokens + 1.0 * (vocabulary + 1)))
         out = rows.drop_columns(["__text", "__held"]).append_column("held_out", rows.column("__held"))
@@ -412,11 +407,8 @@ def lm_score(docs: DataFrame, held_out: str, id_cols: list[str], text: str = "te
             out = out.append_column(name, pa.array(value, k))
         return out
 
-    root = table_answers.groupBy(BUCKET).agg(F.max("n_tokens").alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("root_customers"))
-    tagged = [x.withColumn("kind", F.lit(k)) for x, k in ((word_answers, "words"), (pair_answers, "pairs"), (table_answers, "tables"))]
-    replies = tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).crossJoin(F.broadcast(root))  # one row
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols)
-    return blocks.cogroup(replies.groupBy(BLOCK)).applyInArrow(rate, f"{fields}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.cogroup(answered(first, last).groupBy(BLOCK)).applyInArrow(rate, f"{fields}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:
