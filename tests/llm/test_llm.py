@@ -7,6 +7,7 @@ import math
 import random
 import re
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -504,6 +505,88 @@ def test_html_extraction_of_every_template_of_a_host(spark):
         assert all(got[300 + i] == "copied" for i in range(4))
 
 
+def inferred(pages):
+    """Wrapper of pages of one structure, aligned one after another."""
+    wrapper = None
+    for i, page in enumerate(pages):
+        fields = html_extract.collapse(list(html_extract.blocks(page)), str(i))
+        wrapper = fields if wrapper is None else html_extract.merge(wrapper, fields)
+    return html_extract.with_main(wrapper)
+
+
+def test_article_text_that_names_or_repeats_resemble_boilerplate():
+    """Literals inside the article stay, and so do containers whose names only hold such a word."""
+    desk = ['<body><nav>n</nav><article><div class="standfirst"><p>Reported by the desk.</p></div><p>story %d</p></article></body>' % i for i in range(8)]
+    wrapper = inferred(desk)
+    assert [html_extract.extract(p, wrapper) for p in desk] == [f"Reported by the desk. story {i}" for i in range(8)]
+    share = ['<body><ul><li><a href="/">x</a></ul><div class="share-price-story"><p>Prices rose %d</p></div><footer>f</footer></body>' % i for i in range(4)]
+    assert [html_extract.extract(p, inferred(share)) for p in share] == [f"Prices rose {i}" for i in range(4)]
+    legal = '<main><p>One</p><div class="legal-history"><p>Two</p></div><div class="share-buttons">like</div><div class="post-comments">hm</div></main>'
+    assert html_extract.extract(legal, inferred([legal])) == "One Two"
+    alone = '<body><div class="share"><p>All there is</p></div></body>'
+    assert html_extract.extract(alone, inferred([alone])) == "All there is"
+    bare = ["<body>Welcome to the site<hr><nav>n</nav><p>text %d</p><nav>m</nav>All rights with us</body>" % i for i in range(5)]
+    assert [html_extract.extract(p, inferred(bare)) for p in bare] == [f"text {i}" for i in range(5)]
+
+
+def test_repeated_groups_of_fields():
+    def page(n, i):
+        return "<main>" + "".join(f"<figure>picture {k}</figure><blockquote>words {k} {i}</blockquote>" for k in range(n)) + "</main>"
+
+    pages = [page(n, i) for i, n in enumerate((3, 1, 2, 5))]
+    wrapper = inferred(pages)
+    assert html_extract.expression(wrapper) == "((main/figure: #text)(main/blockquote: #text))+"
+    for n in (1, 2, 7):  # numbers of repeats that weren't seen too
+        found = html_extract.collapse(list(html_extract.blocks(page(n, 9))))
+        assert len(html_extract.matched(wrapper, found)) == 2 * n
+    other = html_extract.collapse(list(html_extract.blocks("<main><blockquote>a</blockquote></main>")))
+    assert html_extract.matched(wrapper, other) is None
+
+
+def test_wrappers_of_random_templates():
+    """Pages drawn from random templates with optional, repeated and fixed parts, against the text that went in."""
+    rng = random.Random(8)
+    hits = every = 0
+    for _ in range(60):
+        parts = [(rng.choice(["p", "group", "fixed", "quote"]), rng.random() < 0.4, rng.random() < 0.4) for _ in range(rng.randrange(1, 6))]
+        pages, texts = [], []
+        for i in range(rng.randrange(3, 9)):
+            body, text = [], []
+            for k, (kind, optional, many) in enumerate(parts):
+                if optional and rng.random() < 0.5:
+                    continue
+                for _ in range(rng.randrange(1, 4) if many else 1):
+                    words = [sentence(rng, rng.randrange(1, 6)) for _ in range(2)]
+                    if kind == "fixed":
+                        body.append(f"<section>part {k}</section>")
+                        text.append(f"part {k}")
+                    elif kind == "group":
+                        body.append(f"<figure>{words[0]}</figure><div>{words[1]}</div>")
+                        text += words
+                    else:
+                        tag = "p" if kind == "p" else "blockquote"
+                        body.append(f"<{tag}>{words[0]}</{tag}>")
+                        text.append(words[0])
+                body.append(rng.choice(["", "<aside>buy</aside>", f'<div class="ad-slot">ad {i}</div>']))
+            pages.append(f"<body><header>site</header><article>{''.join(body)}</article><footer>{i}</footer></body>")
+            texts.append(" ".join(text))
+        wrapper = inferred(pages)
+        for page, text in zip(pages, texts, strict=True):
+            hits += html_extract.matched(wrapper, html_extract.collapse(list(html_extract.blocks(page)))) is not None
+            every += 1
+            assert html_extract.extract(page, wrapper) == text
+    assert hits > 0.9 * every  # groups that overlap can be read in more than one way; such a page gets a wrapper of its own
+
+
+def test_broken_markup_takes_linear_time():
+    begun = time.process_time()
+    for x in ('<a "', "<script", '<a ">', "<!--", "<p>x<div>y</div>", "<", "<a x='", "<title>", "<![CDATA["):
+        html_extract.extract(x * 20_000 + ">end", None)
+    html_extract.extract("<div>x" * 3000, None)
+    assert time.process_time() - begun < 20
+    assert html_extract.extract('<p title="a > b">shown</p><p>1 < 2', None) == "shown 1 < 2"
+
+
 def exact_base(tokens, held):
     c = collections.Counter(w for k, v in tokens.items() if not held[k] for w in v)
     n, v = sum(c.values()), len(c)

@@ -1,13 +1,17 @@
 """Main text of web pages by union-free wrapper inference.
 
 A page is a stream of tokens: each block of text with the containers that are open around it.
-A wrapper of a host is a union-free regular expression over such tokens: a sequence of fields,
-each of which may be optional (``?``) or repeated (``+``) and holds a constant or a text slot.
-It is inferred by aligning the token streams of pages one after another: runs of one token become
-repeated fields, tokens that only one side has become optional, and texts that differ become slots.
-Fields are then told apart: those under navigation, forms, adverts and the like are not main, nor
-are texts that stay the same over three pages or more while others differ; the main field group is
-the container named as content or else the one with most text outside links.
+A wrapper of a host is a union-free regular expression over such tokens: a sequence of fields and of
+groups of fields, each of which may be optional (``?``) or repeated (``+``); a field holds a literal
+or a text slot. It is inferred by aligning the token streams of pages one after another: runs of one
+token become repeated fields, sequences of tokens that follow themselves become repeated groups,
+tokens that only one side has become optional, and texts that differ become slots. Then the wrapper
+says which fields are main text: those of the region that holds the article. That is the container
+that HTML or its names call content, else the one whose slots hold most text outside links. All of
+the region is main, literals too, but for what is marked up or named as navigation, forms, adverts
+and the like inside it; only where the region is the whole page, fields that stay the same over three
+pages or more are the template's. A page is then matched with its wrapper, literals with equal text
+only, and the texts that main fields take are its main text.
 
 A host may have many templates, so it has a wrapper for each structure of its pages: the outermost
 containers of the best content rank a page has, or all containers that may hold main text if none
@@ -17,8 +21,12 @@ host's pages are never gathered. Wrappers are broadcast if they measure little,
 pages by host and structure, a join whose skew AQE can split.
 
 Defined cases: a null or empty html gives an empty text; pages without a host (null or odd url)
-share wrappers as if of one host; copies of a page count once towards texts that stay the same; repeated rows give equal rows; other columns pass through;
-pages are read whole, broken markup included.
+share wrappers as if of one host; a page that its wrapper doesn't match gets one of its own; copies of a
+page count once towards texts that stay the same; repeated rows give equal rows; an empty table gives
+an empty result; ties between regions go to the shorter, then the later path; an input column named
+``text`` or ``n_chars`` is replaced, other columns pass through; pages are read whole in linear time,
+broken markup included: a tag that the page's end leaves open is text, and after one with an open quote
+quotes no longer hide the end of a tag.
 """
 
 from __future__ import annotations
@@ -31,6 +39,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,10 +49,14 @@ from tierlink.session import broadcast_if_small
 
 CONSTANT = 3  # distinct pages a text must stay the same on to be no main text
 HELD_CHARS = 16 << 20  # partial wrappers a task holds before it hands them on
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+DEEP = 256  # containers of a path; what is nested deeper counts to the last of them
+GROUP = 8  # fields that a repeated group may hold
+TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 # Element kinds of HTML.
-RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "math", "title", "object", "canvas", "noembed", "noframes", "xmp"}
+RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "title", "noembed", "noframes", "xmp"}
+HIDDEN = {"svg", "math", "object", "canvas"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINER = set("html head body main article section div nav header footer aside form ul ol dl table menu dialog details figure fieldset blockquote button select".split())
@@ -53,6 +66,8 @@ NOT_MAIN_WORDS = set(
     "cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login search share sharing social related recommended "
     "recommendations trending breadcrumb breadcrumbs pagination pager toolbar comment comments commentlist respond replies reply discussion disqus copyright legal disclaimer skip toc".split()
 )
+# Words that say nothing of a container's content beside those above.
+PLAIN_WORDS = set("area bar block box button buttons container content articles stories entries form group holder icon icons inner item items left link links list main outer panel posts right row section slot stories text title top bottom unit wrap wrapper policy this us the to".split())
 MAIN_WORDS = set("article content main post entry story body text maincontent articlebody postbody entrycontent articlecontent".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -69,77 +84,108 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) in page order: text as it stands, ``data`` (CDATA), start and end tags."""
+    i, n, quotes = 0, len(page), True
+    while i < n:
+        j = page.find("<", i)
+        if j < 0:
+            j = n
+        if j > i:
+            yield "text", page[i:j], ""
+        if j == n:
+            return
+        if page.startswith("<!--", j):
+            k = page.find("-->", j + 4)
+            i = n if k < 0 else k + 3
+            continue
+        if page.startswith("<![CDATA[", j):
+            k = page.find("]]>", j + 9)
+            yield "data", page[j + 9 : n if k < 0 else k], ""
+            i = n if k < 0 else k + 3
+            continue
+        tag = TAG.match(page, j + 1)
+        if tag is None and page[j + 1 : j + 2] not in ("!", "?", "/"):
+            yield "text", "<", ""
+            i = j + 1
+            continue
+        begin = tag.end() if tag else j + 1
+        k = REST.match(page, begin).end() if quotes else page.find(">", begin)
+        if quotes and page[k : k + 1] != ">":  # a quote without its other end
+            quotes, k = False, page.find(">", begin)
+        if k < 0:
+            yield "text", page[j:], ""
+            return
+        i = k + 1
+        if tag is None:
+            continue
+        name, attributes = tag[2].lower(), page[begin:k]
+        yield ("end" if tag[1] else "start"), name, attributes
+        if name in RAW and not tag[1] and not attributes.rstrip().endswith("/"):
+            close = closing(name).search(page, i)  # markup characters are text up to there
+            i = close.end() if close else n
+
+
+@lru_cache(100)
+def closing(name: str) -> re.Pattern:
+    return re.compile(f"</{name}(?:\\s[^>]*+)?>", re.I)
+
+
 def blocks(page: str) -> Iterator[tuple[str, bool, str]]:
     """(path of open containers, whether it is a link, text) of each block in page order."""
     open_tags: list[tuple[str, str]] = []
     held: list[str] = []
     link_chars = chars = depth = 0
-    raw = ""
-
-    def path() -> str:
-        return "/".join(label for _, label in open_tags)
+    hidden = ""
 
     def flush() -> Iterator[tuple[str, bool, str]]:
         nonlocal held, link_chars, chars
         text = " ".join("".join(held).split())
         if text:
-            yield path(), link_chars * 2 > chars, text
+            yield "/".join(label for _, label in open_tags[:DEEP]), link_chars * 2 > chars, text
         held, link_chars, chars = [], 0, 0
 
-    for m in TOKEN.finditer(page):
-        data = m[5] if m[5] is not None else m[1]
-        if data is not None:
-            if not raw:
-                text = entities.unescape(data) if m[5] is not None else data
-                held.append(text)
-                size = len(text.strip())
-                chars, link_chars = chars + size, link_chars + size * (depth > 0)
+    for kind, tag, attributes in tokens(page):
+        if hidden:
+            hidden = "" if kind == "end" and tag == hidden else hidden
             continue
-        if m[3] is None:
-            continue
-        tag, closing = m[3].lower(), bool(m[2])
-        if raw:
-            raw = "" if closing and tag == raw else raw
+        if kind in ("text", "data"):
+            held.append(entities.unescape(tag) if kind == "text" else tag)
+            size = len(held[-1].strip())
+            chars, link_chars = chars + size, link_chars + size * (depth > 0)
             continue
+        end = kind == "end"
         if tag == "a":
-            depth = max(0, depth + (-1 if closing else 1))
-        if tag in RAW:
-            if not closing and not m[4].rstrip().endswith("/"):
-                raw = tag
+            depth = max(0, depth + (-1 if end else 1))
+        if tag in HIDDEN and not end and not attributes.rstrip().endswith("/"):
+            hidden = tag
+        if tag in RAW or tag in HIDDEN or tag in VOID:
             held.append(" ")
             continue
         if tag in INLINE:
             continue
-        if tag in VOID:
-            held.append(" ")
-            continue
         yield from flush()
         if tag in CONTAINER:
-            if not closing:
-                label = ".".join((tag, *names_of(m[4])))
-                open_tags.append((tag, label))
+            if not end:
+                open_tags.append((tag, ".".join((tag, *names_of(attributes)))))
             elif any(t == tag for t, _ in open_tags):
                 while open_tags.pop()[0] != tag:
                     pass
-        elif not closing and tag not in ("p", "li", "tr", "td", "th", "dt", "dd", "tbody", "thead", "tfoot"):
-            held.append("")
     yield from flush()
 
 
-def strip_raw(page: str) -> str:
-    """Raw-text elements keep markup characters as text; drop their bodies before tokenising."""
-    return re.sub(r"(?is)<(script|style|textarea|noscript|template|iframe|title|noembed|noframes|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)", " ", page)
-
-
 @lru_cache(20_000)
-def is_boilerplate(path: str) -> bool:
+def is_boilerplate(path: str, by_name: bool = True) -> bool:
+    """Whether a container of the path is marked up, or (``by_name``) named by its last or all its words, as no main text."""
+    inside = False
     for label in path.split("/"):
         tag, *names = label.split(".")
-        if tag in NOT_MAIN or "hidden" in names:
+        if (tag in NOT_MAIN and not (tag == "header" and inside)) or "hidden" in names:
             return True
-        for name in names:
+        inside = inside or tag in ("article", "main")  # whose own header is theirs
+        for name in names if by_name else ():
             parts = [w.lower() for w in WORD.findall(name)]
-            if NOT_MAIN_WORDS & {*parts, "".join(parts)}:
+            if "".join(parts) in NOT_MAIN_WORDS or (parts and parts[-1] in NOT_MAIN_WORDS - {"header"}) or (NOT_MAIN_WORDS.intersection(parts) and NOT_MAIN_WORDS.union(PLAIN_WORDS).issuperset(parts)):
                 return True
     return False
 
@@ -157,46 +203,131 @@ def content_rank(path: str) -> int:
     return rank
 
 
+def key_of(x: dict) -> tuple:
+    return tuple(map(key_of, x["group"])) if "group" in x else (x["path"], x["link"])
+
+
 def collapse(page: list[tuple[str, bool, str]], name: str = "") -> list[dict]:
-    """Fields of one page (``name`` tells it from others): runs of one token are repeated."""
+    """Fields of one page (``name`` tells it from others); ``at`` holds the places of a field's blocks."""
     out: list[dict] = []
-    for path, link, text in page:
+    for i, (path, link, text) in enumerate(page):
         if out and out[-1]["path"] == path and out[-1]["link"] == link:
             out[-1]["many"] = True
-            out[-1]["texts"].append(text)
+            out[-1]["chars"] += len(text)
+            out[-1]["at"].append(i)
         else:
-            out.append({"path": path, "link": link, "many": False, "optional": False, "texts": [text], "seen": [name]})
+            out.append({"path": path, "link": link, "many": False, "optional": False, "literal": text, "chars": len(text), "seen": [name], "at": [i]})
     for f in out:
-        f["constant"] = " ".join(f.pop("texts"))
-        f["chars"] = len(f["constant"])
+        if f["many"]:  # several blocks are compared by a digest
+            f["literal"] = blake2b("\n".join(page[i][2] for i in f["at"]).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
     return out
 
 
+def folded(fields: list[dict]) -> list[dict]:
+    """Elements with sequences that follow themselves put together as repeated groups, short ones first."""
+    size = 2
+    while size <= min(GROUP, len(fields) // 2):
+        fewer = grouped(fields, repeats(fields, size))
+        size = 2 if len(fewer) < len(fields) else size + 1
+        fields = fewer
+    return fields
+
+
+def repeats(fields: list[dict], size: int) -> set[tuple]:
+    """Keys of sequences of ``size`` elements that follow themselves."""
+    keys = [key_of(f) for f in fields]
+    return {tuple(keys[i : i + size]) for i in range(len(keys) - 2 * size + 1) if keys[i : i + size] == keys[i + size : i + 2 * size]}
+
+
+def grouped(fields: list[dict], patterns: set[tuple]) -> list[dict]:
+    """Elements with each sequence of one of those keys put together as a group, repeated if it follows itself."""
+    sizes = sorted({len(p) for p in patterns}, reverse=True)
+    keys = [key_of(f) for f in fields] if sizes else []
+    out: list[dict] = []
+    i = 0
+    while i < len(fields):
+        n = next((n for n in sizes if tuple(keys[i : i + n]) in patterns), 0)
+        if not n:
+            out.append(fields[i])
+            i += 1
+            continue
+        out.append({"group": fields[i : i + n], "many": False, "optional": False})
+        i += n
+    return joined(out)
+
+
+def joined(fields: list[dict]) -> list[dict]:
+    """``fields``, where neighbours of one key are one repeated element."""
+    out = []
+    for _, run in groupby(fields, key_of):
+        run = list(run)
+        out.append(run[0] if len(run) == 1 else united(run) | {"many": True, "optional": all(x["optional"] for x in run)})
+    return out
+
+
+def united(some: list[dict]) -> dict:
+    """Element that takes what all of ``some``, of one key, take: literals that differ become a slot."""
+    first = some[0]
+    both = {"many": any(x["many"] for x in some), "optional": any(x["optional"] for x in some)}
+    if "group" in first:
+        return both | {"group": [united(list(x)) for x in zip(*(x["group"] for x in some), strict=True)]}
+    literal = first["literal"] if all(x["literal"] == first["literal"] for x in some) else None
+    both |= {"path": first["path"], "link": first["link"], "chars": sum(x["chars"] for x in some), "seen": few(*(x["seen"] for x in some)), "literal": literal}
+    return both | ({"at": [i for x in some for i in x["at"]]} if all("at" in x for x in some) else {})
+
+
+def group_keys(fields: list[dict]) -> set[tuple]:
+    out = {key_of(f) for f in fields if "group" in f}
+    return out.union(*(group_keys(f["group"]) for f in fields if "group" in f))
+
+
+def aligned(fields: list[dict], patterns: set[tuple]) -> list[dict]:
+    """Elements with the other side's groups put together too, smaller ones first."""
+    for p in sorted(patterns - group_keys(fields), key=lambda p: (depth_of(p), len(p), p)):
+        fields = grouped(fields, {p})
+    return fields
+
+
+def depth_of(key: tuple) -> int:
+    return 1 + max(map(depth_of, key)) if key and isinstance(key[0], tuple) else 0
+
+
 def merge(wrapper: list[dict], page: list[dict]) -> list[dict]:
-    """The wrapper generalised to match the page (or other wrapper) too: mismatches become optional, repeated or slots."""
-    keys = [[(f["path"], f["link"]) for f in w] for w in (wrapper, page)]
-    codes = [("equal", 0, len(wrapper), 0, len(page))] if keys[0] == keys[1] else SequenceMatcher(None, *keys, autojunk=False).get_opcodes()
+    """The wrapper generalised to match the page (or other wrapper) too: mismatches become optional, repeated or slots.
+
+    Where the token streams differ, sequences that follow themselves on either side are tried as
+    repeated groups; they stay if less is left over.
+    """
+    wrapper, page = aligned(wrapper, group_keys(page)), aligned(page, group_keys(wrapper))
+    codes, over = alignment(wrapper, page)
+    if over:
+        patterns = group_keys(folded(wrapper)) | group_keys(folded(page))
+        both = aligned(wrapper, patterns), aligned(page, patterns)
+        other, less = alignment(*both)
+        if less < over:
+            (wrapper, page), codes = both, other
     out: list[dict] = []
     for kind, a, b, c, d in codes:
         if kind == "equal":
-            for f, g in zip(wrapper[a:b], page[c:d], strict=True):
-                constant = f["constant"] if f["constant"] == g["constant"] else None
-                out.append(f | {"many": f["many"] or g["many"], "optional": f["optional"] or g["optional"], "chars": f["chars"] + g["chars"], "seen": few(f["seen"], g["seen"]), "constant": constant})
+            out += [united([f, g]) for f, g in zip(wrapper[a:b], page[c:d], strict=True)]
         else:
             out += [f | {"optional": True} for f in wrapper[a:b]] + [g | {"optional": True} for g in page[c:d]]
-    folded: list[dict] = []
-    for f in out:  # neighbours of one kind that alignment set apart are one repeated field
-        if folded and (folded[-1]["path"], folded[-1]["link"]) == (f["path"], f["link"]):
-            g = folded[-1]
-            g |= {"many": True, "optional": g["optional"] and f["optional"], "chars": g["chars"] + f["chars"], "seen": few(g["seen"], f["seen"]), "constant": None}
-        else:
-            folded.append(dict(f))
-    return folded
+    return joined(out)
 
 
-def few(a: list[str], b: list[str]) -> list[str]:
-    """Names of up to ``CONSTANT`` distinct pages of both."""
-    return a if len(a) >= CONSTANT else sorted({*a, *b})[:CONSTANT]
+def alignment(wrapper: list[dict], page: list[dict]) -> tuple[list[tuple], int]:
+    """(edit steps, fields that only one side has)."""
+    keys = [[key_of(f) for f in w] for w in (wrapper, page)]
+    if keys[0] == keys[1]:
+        return [("equal", 0, len(wrapper), 0, len(page))], 0
+    codes = SequenceMatcher(None, *keys, autojunk=False).get_opcodes()
+    rest = [wrapper[a:b] + page[c:d] for kind, a, b, c, d in codes if kind != "equal"]
+    return codes, sum(1 for part in rest for _ in leaves(part))
+
+
+def few(*names: list[str]) -> list[str]:
+    """Names of up to ``CONSTANT`` distinct pages of all."""
+    return sorted({x for some in names for x in some})[:CONSTANT]
 
 
 def structure(page: list[tuple[str, bool, str]]) -> str:
@@ -214,32 +345,79 @@ def outermost(path: str, rank: int) -> str:
     return next(x for x in ("/".join(labels[: i + 1]) for i in range(len(labels))) if content_rank(x) == rank)
 
 
-def main_fields(wrapper: list[dict]) -> dict:
-    """The wrapper's expression, and which tokens are main text."""
-    mass: Counter = Counter()
-    for f in wrapper:
-        if not is_boilerplate(f["path"]) and not f["link"]:
-            mass[f["path"]] += f["chars"]
-    top = max((content_rank(p) for p in mass), default=0)
-    best = {p for p in mass if content_rank(p) == top} if top else set()
-    if not top and mass:
-        lead = max(mass, key=lambda p: (mass[p], -len(p), p))
-        best = {p for p in mass if p == lead or p.startswith(lead + "/")}
-    slots = any(f["constant"] is None for f in wrapper if f["path"] in best)
-    fixed = {(f["path"], f["constant"]) for f in wrapper if len(f["seen"]) >= CONSTANT and f["constant"] and slots and f["path"] in best}
-    expression = "".join(f"({f['path']}{' a' if f['link'] else ''}: {'#text' if f['constant'] is None else f['constant'][:40]!r}){'+' if f['many'] else ''}{'?' if f['optional'] else ''}" for f in wrapper)
-    return {"best": sorted(best), "fixed": sorted(fixed), "expression": expression}
+def leaves(fields: list[dict]) -> Iterator[dict]:
+    for f in fields:
+        yield from leaves(f["group"]) if "group" in f else (f,)
 
 
-def extract(page: str | None, wrapper: dict | None) -> str:
-    """Main text of a page by its structure's wrapper; by its own best container if that matches none of it."""
+def expression(fields: list[dict]) -> str:
+    """The wrapper as a regular expression, to read."""
+    out = []
+    for f in fields:
+        inner = expression(f["group"]) if "group" in f else f"{f['path']}{' a' if f['link'] else ''}: {'#text' if f['literal'] is None else repr(f['literal'])}"
+        out.append(f"({inner}){'+' if f['many'] else ''}{'?' if f['optional'] else ''}")
+    return "".join(out)
+
+
+def with_main(wrapper: list[dict]) -> list[dict]:
+    """The wrapper with ``main`` on the fields of the region that holds the article."""
+    fields = list(leaves(wrapper))
+    open_ = [f for f in fields if not f["link"] and not is_boilerplate(f["path"])] or [f for f in fields if not f["link"] and not is_boilerplate(f["path"], False)]
+    template = {id(f) for f in fields if f["literal"] is not None and len(f["seen"]) >= CONSTANT}
+    varied = [f for f in open_ if id(f) not in template] or open_
+    names = any(not is_boilerplate(f["path"]) for f in open_)  # names count unless nothing is left then
+    top = max((content_rank(f["path"]) for f in open_), default=0)
+    best: set[str] = set()
+    whole = False
+    if top:
+        best = {outermost(f["path"], top) for f in open_ if content_rank(f["path"]) == top}
+    elif varied:
+        mass: Counter = Counter()
+        for f in varied:
+            mass[f["path"]] += f["chars"]
+        lead = max(mass, key=lambda p: (mass[p], -len(p), p))
+        best, whole = {lead}, {x.split(".")[0] for x in lead.split("/")} <= {"", "html", "body"}
+    for f in fields:
+        inside = any(f["path"] == p or f["path"].startswith(p + "/") for p in best) and not is_boilerplate(f["path"], names)
+        f["main"] = inside and not (whole and varied is not open_ and id(f) in template)
+    return wrapper
+
+
+def matched(wrapper: list[dict], page: list[dict]) -> list[int] | None:
+    """Places of the page's blocks that main fields of the wrapper take; None if the wrapper doesn't match the page."""
+
+    def takes(w: dict, x: dict) -> bool:
+        if key_of(w) != key_of(x) or (x["many"] and not w["many"]):
+            return False
+        if "group" in w:
+            return all(takes(a, b) for a, b in zip(w["group"], x["group"], strict=True))
+        return w["literal"] is None or w["literal"] == x["literal"]
+
+    out: list[int] = []
+    at = 0
+    for x in aligned(page, group_keys(wrapper)):
+        while at < len(wrapper) and not takes(wrapper[at], x):
+            if not wrapper[at]["optional"]:
+                return None
+            at += 1
+        if at == len(wrapper):
+            return None
+        for w, y in zip(leaves([wrapper[at]]), leaves([x]), strict=True):
+            out += y["at"] if w["main"] else []
+        at += 1
+    return out if all(w["optional"] for w in wrapper[at:]) else None
+
+
+def extract(page: str | None, wrapper: list[dict] | None) -> str:
+    """Main text of a page by its structure's wrapper, or by one of its own if that doesn't match."""
     if not page:
         return ""
-    found = list(blocks(strip_raw(page)))
-    if wrapper is None or not {p for p, _, _ in found} & set(wrapper["best"]):
-        wrapper = main_fields(collapse(found))
-    best, fixed = set(wrapper["best"]), {tuple(x) for x in wrapper["fixed"]}
-    return " ".join(text for path, _, text in found if path in best and (path, text) not in fixed)
+    found = list(blocks(page))
+    own = collapse(found)
+    places = matched(wrapper, own) if wrapper else None
+    if places is None:
+        places = matched(with_main(own), own) or []
+    return " ".join(found[i][2] for i in sorted(places))
 
 
 def host_of(url: str) -> F.Column:
@@ -260,9 +438,11 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = page.as_py()
-                found = list(blocks(strip_raw(page)))
+                found = list(blocks(page))
                 key = host, structure(found)
                 fields = collapse(found, blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest())
+                for f in leaves(fields):
+                    del f["at"]
                 if key in held:
                     held[key] = merge(held[key], fields)
                 else:
@@ -278,7 +458,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
         wrapper: list[dict] | None = None
         for fields in sorted(t.column("fields").to_pylist()):
             wrapper = json.loads(fields) if wrapper is None else merge(wrapper, json.loads(fields))
-        return pa.table({"host": [t.column("host")[0].as_py()], "structure": [t.column("structure")[0].as_py()], "wrapper": [json.dumps(main_fields(wrapper))]})
+        return pa.table({"host": [t.column("host")[0].as_py()], "structure": [t.column("structure")[0].as_py()], "wrapper": [json.dumps(with_main(wrapper))]})
 
     parts = named.mapInArrow(partial, "host string, structure string, fields string")
     return parts.groupBy("host", "structure").applyInArrow(whole, "host string, structure string, wrapper string")
@@ -294,7 +474,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html") ->
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [None if page is None else structure(list(blocks(strip_raw(page)))) for page in (x.as_py() for x in batch.column(batch.num_columns - 1))]
+            names = [None if page is None else structure(list(blocks(page))) for page in (x.as_py() for x in batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], names=[*batch.schema.names, "__s"])
 
     wide = pages.select(*[F.col(f"`{c}`") for c in rest], host_of(url).alias("__h"), F.col(html).alias("__html"))
