@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlink.llm._bytes import U64, column_bytes, runs
+from tierlink.llm._bytes import U64, column_bytes, releasing, runs
 
 BLOCK = "__tl_block"
 BLOB = "__tl_blob"
@@ -70,7 +70,7 @@ def in_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES, prepar
         if held:
             yield emit()
 
-    return docs.mapInArrow(run, f"{BLOCK} long, {BLOB} binary")
+    return docs.mapInArrow(releasing(run), f"{BLOCK} long, {BLOB} binary")
 
 
 def buckets_for(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> int:

@@ -6,7 +6,9 @@ tokenising, shingling and fingerprinting are numpy passes without a Python loop
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from inspect import isgeneratorfunction, signature
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +34,53 @@ TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
 
 
+_KEPT = 1 << 20
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse; grown once a process."""
-    if len(_powers["up"]) < n:
-        for key, b in (("up", _BASE), ("down", U64(pow(int(_BASE), -1, 1 << 64)))):
-            a = np.full(n, b, U64)
-            a[0] = 1
-            _powers[key] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"][:n]
+    """Powers 0..n-1 of the base and of its inverse; the first ``_KEPT`` are kept."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    out = []
+    for b in (_BASE, U64(pow(int(_BASE), -1, 1 << 64))):
+        a = np.full(n, b, U64)
+        a[0] = 1
+        out.append(np.multiply.accumulate(a, out=a))
+    _powers["up"], _powers["down"] = (a[:_KEPT].copy() if n > _KEPT else a for a in out)
+    return out[0], out[1]
+
+
+def release() -> None:
+    """Hand freed memory back to the system: allocators of a worker that waits for its next task hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def releasing(run: Callable) -> Callable:
+    """An Arrow function (of batches; of a group; of a key and two groups) that releases memory when it is done."""
+
+    def of_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    def of_group(table):
+        try:
+            return run(table)
+        finally:
+            release()
+
+    def of_two(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            release()
+
+    return of_batches if isgeneratorfunction(run) else of_group if len(signature(run).parameters) == 1 else of_two
 
 
 class Fingerprints:
@@ -57,7 +98,6 @@ class Fingerprints:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end))
 
-
     def every(self, size: int) -> np.ndarray:
         """Scattered (not finalised) fingerprints of the range of ``size`` bytes at each position."""
         n = max(0, len(self._sums) - size)

@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, row_slices, words
+from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, releasing, row_slices, words
 from tierlink.llm._columns import without
 
 RATE = 0.2
 MIN_WORDS = 5
 SPAN = 9
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 MEETINGS = 2_000_000
 LEAK = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("n_words", pa.int32()), ("word_start", pa.int64()), ("byte_start", pa.int64()), ("byte_end", pa.int64())])
 LEAK_SQL = "array<struct<item_id:bigint,distance:int,n_words:int,word_start:bigint,byte_start:bigint,byte_end:bigint>>"
@@ -334,7 +334,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                     before[row].append({"item_id": item, "distance": e, "n_words": n, "word_start": w, "byte_start": b0, "byte_end": b1})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(before, pa.list_(LEAK))], names=batch.schema.names)
 
-        out = out.mapInArrow(run, f"{fields}, leaks {LEAK_SQL}")
+        out = out.mapInArrow(releasing(run), f"{fields}, leaks {LEAK_SQL}")
     return out
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierlink.llm._bytes import LOWER, column_bytes, row_slices
+from tierlink.llm._bytes import LOWER, column_bytes, releasing, row_slices
 from tierlink.llm._columns import without
 
 # Language codes by family.
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(releasing(run), f"{fields}, lang_pred string, score double")
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.llm._blocks import BLOB, BLOCK, BUCKET, buckets_for, in_blocks, unpack
-from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, words
+from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, releasing, words
 from tierlink.session import materialize
 
 END = U64(0x9D39247E33776D41)  # name of the end token; also the context of a first word
@@ -341,7 +341,7 @@ def lm_score(docs: DataFrame, held_out: str, id_cols: list[str], text: str = "te
                 out.append((x[BLOCK], x[BUCKET], kind, flags, pack_ints(total[inverse[i:j][told[i:j]]]), b"", 0, 0))
         return answer_table(out)
 
-    counts = materialize(packed.mapInArrow(send_counts, SENT).groupBy(BUCKET).applyInArrow(sum_counts, ANSWER))
+    counts = materialize(packed.mapInArrow(releasing(send_counts), SENT).groupBy(BUCKET).applyInArrow(releasing(sum_counts), ANSWER))
     sums = counts.where("kind = 'words'").groupBy(BUCKET).agg(F.max("total").alias("n"), F.max("other").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     train_tokens, vocabulary = int(sums["n"] or 0), int(sums["v"] or 0)
     counts = counts.drop("total", "other")
@@ -383,7 +383,7 @@ def lm_score(docs: DataFrame, held_out: str, id_cols: list[str], text: str = "te
             whole = (int(by_word.sum()), int(root.sum()))
             return answer_table([(x[BLOCK], x[BUCKET], kind, *(pack_ints(v[inverse[i:j]]) for v in (by_context, by_word, root)), *whole) for x, i, j in zip(r, cut[:-1], cut[1:], strict=True)])
 
-        return blocks.cogroup(before.groupBy(BLOCK)).applyInArrow(send_tables, SENT).groupBy(BUCKET).applyInArrow(sum_tables, ANSWER)
+        return blocks.cogroup(before.groupBy(BLOCK)).applyInArrow(releasing(send_tables), SENT).groupBy(BUCKET).applyInArrow(releasing(sum_tables), ANSWER)
 
     first = sampled("first", answered(), burnt=False)
     last = sampled("last", answered(first), burnt=True)
@@ -408,7 +408,7 @@ def lm_score(docs: DataFrame, held_out: str, id_cols: list[str], text: str = "te
         return out
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols)
-    return blocks.cogroup(answered(first, last).groupBy(BLOCK)).applyInArrow(rate, f"{fields}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.cogroup(answered(first, last).groupBy(BLOCK)).applyInArrow(releasing(rate), f"{fields}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlink.llm._bytes import LOWER, U64, Fingerprints, binary_rows, column_bytes, distinct_per_doc, mix, row_slices, shingles, words
+from tierlink.llm._bytes import LOWER, U64, Fingerprints, binary_rows, column_bytes, distinct_per_doc, mix, releasing, row_slices, shingles, words
 from tierlink.llm._columns import without
 from tierlink.operators.components import connected_components
 from tierlink.session import materialize
@@ -36,7 +36,7 @@ from tierlink.session import materialize
 REGISTERS, ROWS = 96, 4
 MANTISSA = 10
 SALTS = 16
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 TILE = 512
 SMALL = 64
 #: Standard errors by which an estimate may fall short of the threshold before a pair is let go.
@@ -140,7 +140,7 @@ def sketch_table(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
                     names=["id", "n", "hi", "lo", "regs", "keys"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n long, hi long, lo long, regs binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(releasing(run), "id long, n long, hi long, lo long, regs binary, keys array<long>")
 
 
 def set_table(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
@@ -154,7 +154,7 @@ def set_table(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), binary_rows(h, cut)], names=["id", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, set binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(releasing(run), "id long, set binary")
 
 
 def screened(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -171,7 +171,7 @@ def screened(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFra
             keep = passes(estimate(ra, rb, na, nb), na, nb, similarity)
             yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
-    return wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return wide.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(releasing(run), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +187,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * both >= percent * (len(p) + len(q) - both)
             yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
 
-    return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return wide.select("a", "b", "sa", "sb").mapInArrow(releasing(run), "a long, b long")
 
 
 def pair_indices(size: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def small_key_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
                 pairs = np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def large_key_links(mixed: DataFrame, sets: DataFrame, similarity: float, percent: int) -> DataFrame:
@@ -302,7 +302,7 @@ def large_key_links(mixed: DataFrame, sets: DataFrame, similarity: float, percen
                 opened.clear()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(releasing(run), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

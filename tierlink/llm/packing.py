@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlink.llm._blocks import BLOB, BLOCK, BLOCK_BYTES, in_blocks, unpack
-from tierlink.llm._bytes import binary_rows, column_bytes, row_slices
+from tierlink.llm._bytes import binary_rows, column_bytes, releasing, row_slices
 from tierlink.session import materialize
 
 END_ID = 1
@@ -412,7 +412,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
         columns = {id_col: t.column("__id").take(pa.array(row)), "start": pa.array(start), "length": pa.array(found[:, 0]), "doc_tokens": pa.array(size[row]), "sequence_id": pa.array(found[:, 1]), "offset": pa.array(found[:, 2])}
         return pa.table(columns | {"source": t.column("__source").take(pa.array(row)), "ids": binary_rows(tokens, bounds)})
 
-    return blocks.groupBy(BLOCK).cogroup(plan.groupBy("block")).applyInArrow(cut, schema)
+    return blocks.groupBy(BLOCK).cogroup(plan.groupBy("block")).applyInArrow(releasing(cut), schema)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.llm._blocks import BLOB, BLOCK, BLOCK_BYTES, BUCKET, Sent, bucket_runs, buckets_for, in_blocks, packed_bits, unpack
-from tierlink.llm._bytes import U64, Fingerprints, binary_rows, column_bytes
+from tierlink.llm._bytes import U64, Fingerprints, binary_rows, column_bytes, releasing
 from tierlink.llm._columns import without
 
 # Perfect difference covers (modulus, residues).
@@ -143,7 +143,7 @@ def answers(kind):
             out += [packed_bits(flags, bounds)] + ([packed_bits(leads, bounds)] if column == "chunks" else [])
         return pa.table({BLOCK: t.column(BLOCK), BUCKET: t.column(BUCKET), "names": pa.array(out[0], pa.binary()), "chunks": pa.array(out[1], pa.binary()), "first": pa.array(out[2], pa.binary())})
 
-    return merge
+    return releasing(merge)
 
 
 def by_bucket(t: pa.Table, column: str) -> dict[int, bytes]:
@@ -187,10 +187,10 @@ def suffix_dedup(docs: DataFrame, text: str = "text", min_len: int = 200, block_
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     blocks = in_blocks(docs, text, block_bytes).groupBy(BLOCK)
-    first = blocks.applyInArrow(name_samples, SENT).groupBy(BUCKET).applyInArrow(answers(np.uint32), ANSWER)
-    second = blocks.cogroup(first.groupBy(BLOCK)).applyInArrow(name_windows, SENT).groupBy(BUCKET).applyInArrow(answers(U64), ANSWER)
+    first = blocks.applyInArrow(releasing(name_samples), SENT).groupBy(BUCKET).applyInArrow(answers(np.uint32), ANSWER)
+    second = blocks.cogroup(first.groupBy(BLOCK)).applyInArrow(releasing(name_windows), SENT).groupBy(BUCKET).applyInArrow(answers(U64), ANSWER)
     replies = first.withColumn("second", F.lit(False)).unionByName(second.withColumn("second", F.lit(True)))
-    return blocks.cogroup(replies.groupBy(BLOCK)).applyInArrow(cut, f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return blocks.cogroup(replies.groupBy(BLOCK)).applyInArrow(releasing(cut), f"{fields}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, row_slices, words
+from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, releasing, row_slices, words
 from tierlink.llm._columns import without
 
 # Sets of identity terms that are swapped for each other.
@@ -43,7 +43,7 @@ IDENTITY_SETS = (
 PREFIXES = (4, 5, 6, 7, 8)
 PER_CLASS = 3000
 FEATURES = 2048
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 EDGE = np.ones(256, bool)  # bytes that are stripped from both ends of a word
 EDGE[48:58] = EDGE[65:91] = EDGE[97:123] = EDGE[128:] = False
 
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*batch.schema.names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{name}` double")
+    return docs.mapInArrow(releasing(run), f"{fields}, `{name}` double")
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
