@@ -6,8 +6,10 @@ character and a word; rules run in falling rejection per cost, and one CASE expr
 the first that rejects. The order changes which rule is named and how much work is done, never
 which documents are kept.
 
-A null text has no words: it fails ``n_words < 10`` as an empty text does. Ties, repeated rows and
-any other columns pass through untouched.
+Defined cases: a null text has no words: it fails ``n_words < 10`` as an empty text does; repeated
+rows get equal results; rules of equal rejection per cost run in order of their names; an empty table
+gives an empty result; an input column named as a result is replaced, others pass through; very long
+texts are counted whole, in memory that grows with one text only.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ class Rule:
     """A rejecting condition and its work: units a character of text and a word."""
 
     name: str
-    reject: str  # SQL over text, __w (words), __lines and the base counts
+    reject: str  # SQL over __t (text), __w (words), __n_lines and the base counts
     per_char: float
     per_word: float
 
@@ -41,37 +43,43 @@ class Rule:
 RULES = (
     Rule("symbols", "100 * n_symbols > 8 * word_chars", 0.0, 0.01),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 25 * n_words", 0.0, 0.01),
-    Rule("repeated_lines", "100 * n_dup_lines > 40 * size(__lines)", 0.0, 0.05),
+    Rule("repeated_lines", "100 * n_dup_lines > 40 * __n_lines", 0.0, 0.05),
     Rule("capitals", "size(filter(__w, x -> x rlike '[A-Z][^A-Z]*[A-Z]' and not x rlike '[a-z]')) * 2 > n_words", 0.0, 3.0),
     Rule("stutter", "10 * size(filter(__w, (x, i) -> x = get(__w, i + 1))) > 3 * n_words", 0.0, 1.0),
     Rule("shouting", "10 * (length(__t) - length(replace(__t, '!!', ''))) > 3 * word_chars", 1.0, 0.0),
 )
 
 
+def let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``value``, computed once and never put in a row, under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def base_columns(docs: DataFrame, text: str) -> DataFrame:
-    """Adds __t, __w, __lines and the contract's counts."""
-    lag = WINDOW - 1
-    docs = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    docs = docs.withColumn("__w", F.expr(f"filter(split(__t, '{WORD_GAP.replace(chr(92), chr(92) * 2)}'), x -> x <> '')"))
+    """Adds __t, __w, __n_lines and the contract's counts.
+
+    A document's windows are hashed, and only if two hashes are equal sorted with their places; the
+    arrays live within one expression, so a row carries no more than its words.
+    """
+    words = f"filter(split(__t, '{WORD_GAP.replace(chr(92), chr(92) * 2)}'), x -> x <> '')"
+    lines = let("filter(split(__t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')", "l", "struct(size(l) as n, size(l) - size(array_distinct(l)) as dup)")
+    gets = ", ".join(f"get(h, i + {j})" for j in range(WINDOW))
+    windows = let("transform(__w, x -> xxhash64(x))", "h", f"transform(sequence(0, size(h) - {WINDOW}), i -> xxhash64({gets}))")
+    twice = "if(get(s, k - 1).h = x.h or get(s, k + 1).h = x.h, x.i, null)"
+    places = let("sort_array(transform(g, (x, i) -> struct(x as h, i as i)))", "s", f"sort_array(filter(transform(s, (x, k) -> {twice}), x -> x is not null))")
+    covered = let(places, "p", f"aggregate(transform(p, (x, k) -> least({WINDOW}, coalesce(get(p, k + 1) - x, {WINDOW}))), 0, (a, x) -> a + x)")
+    repeats = f"if(size(__w) >= {WINDOW}, {let(windows, 'g', f'if(size(array_distinct(g)) < size(g), {covered}, 0)')}, 0)"
+    docs = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__w", F.expr(words))
     docs = docs.withColumns(
         {
-            "__lines": F.expr("filter(split(__t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"),
-            "__h": F.expr("transform(__w, x -> xxhash64(x))"),
+            "__l": F.expr(lines),
             "n_words": F.size("__w").cast("long"),
             "word_chars": F.char_length(F.array_join("__w", "")).cast("long"),
             "n_symbols": F.expr("regexp_count(__t, '[#*$%&|<>]')").cast("long"),
+            "n_repeat_words": F.expr(repeats).cast("long"),
         }
     )
-    gets = ", ".join(f"get(__h, i + {j})" for j in range(WINDOW))
-    docs = docs.withColumn("__g", F.expr(f"if(size(__h) > {lag}, transform(sequence(0, size(__h) - {WINDOW}), i -> xxhash64({gets})), array())"))
-    docs = docs.withColumn("__s", F.expr("if(size(array_distinct(__g)) < size(__g), sort_array(transform(__g, (x, i) -> struct(x as h, i as i))), null)"))
-    docs = docs.withColumn("__p", F.expr("sort_array(filter(transform(__s, (x, k) -> if(get(__s, k - 1).h = x.h or get(__s, k + 1).h = x.h, x.i, null)), x -> x is not null))"))
-    return docs.withColumns(
-        {
-            "n_dup_lines": F.expr("size(__lines) - size(array_distinct(__lines))").cast("long"),
-            "n_repeat_words": F.expr(f"coalesce(aggregate(transform(__p, (x, k) -> least({WINDOW}, coalesce(get(__p, k + 1) - x, {WINDOW}))), 0, (a, x) -> a + x), 0)").cast("long"),
-        }
-    )
+    return docs.withColumns({"n_dup_lines": F.col("__l.dup").cast("long"), "__n_lines": F.col("__l.n")}).drop("__l")
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
@@ -100,7 +108,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     # a filter on the verdict must not be pushed below the counts: inlined there, they would be computed
     # again at each of their uses; an expression that isn't deterministic keeps it above
     out = counted.withColumns({"base_failed": failed, "rejected_by": verdict, "__row": F.monotonically_increasing_id()})
-    return out.withColumn("kept", F.col("rejected_by").isNull() & (F.col("__row") >= 0)).drop("__row", "__t", "__w", "__lines", "__h", "__g", "__s", "__p")
+    return out.withColumn("kept", F.col("rejected_by").isNull() & (F.col("__row") >= 0)).drop("__row", "__t", "__w", "__n_lines")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
