@@ -1,35 +1,40 @@
-"""Benchmark decontamination by a lossless count filter and exact edit verification.
+"""Benchmark decontamination by CGK walks, bit-sampling LSH and exact edit verification.
 
 Texts are sequences of words (ASCII lower case). A document leaks an item of n words if one of its
 windows of n words has a word edit distance of at most ``floor(rate * n)`` to the item. With
 ``free_ends`` (the queries) the window may have any length, so words dropped inside a passage or cut
 off by the document's ends cost one each; such windows lie in windows of ``floor(rate * n)`` more
-words, or fewer at a document's end, to which the filters below apply.
+words, or fewer at a document's end, to which the filter below applies.
 
 1. *Count filter.* A window that close keeps at least n - 1 - 2 * floor(rate * n) of the item's
    word pairs. Windows with fewer pairs known from any item, each counted as often as an item has
    one at most, are skipped; this loses nothing.
-2. *Count filter by item.* The windows left meet, by an inverted list of the items' pairs, each item
-   of their length that shares that many pairs with them; this loses nothing either.
-3. *Verification* by the exact edit distance; with free ends, one pass over each stretch of windows
-   that meet an item finds the nearest passage in it.
+2. *Embedding.* From each start that is left, the n words that follow (an item-sized window) are read
+   by CGK random walks: a walk puts out a word a step and moves on or stays by a coin that the word
+   and the step decide, so sequences of small edit distance come out with small Hamming distance.
+3. *Bit sampling.* A key is some sampled coordinates of a walk; windows and items that share a key of
+   one of the tables are candidates. The numbers of walks, tables and sampled coordinates follow from
+   the item's length and ``recall``: pairs at the limit of distance are drawn (replaced, added and
+   dropped words, and all three), and the cheapest plan whose chance to miss such a pair is at most
+   1 - ``recall`` for each kind is taken (``plan_for``). Closer pairs are missed less.
+4. *Verification* by the exact edit distance; with free ends, one pass over the words around the
+   candidates of an item finds the nearest passage there.
 
 Items of under ``min_words`` words are matched exactly, by hashes of as many words.
 
-So the search is exact at any item length. Sampled keys (``table_keys``: coordinates of CGK walks)
-find a share of the pairs at the limit that falls with the length, from 0.97 at 40 words to about
-half at 200, so they choose no candidates.
-
 The items are the stated query set: they go to the tasks in chunks of at most ``chunk_words``
 words, one pass each, so no chunk grows with the benchmark. Documents aren't shuffled.
 
-Defined cases: null or empty texts leak nothing; null or empty items are not searched; repeated rows get the same result each; other columns pass through; long
+Defined cases: null or empty texts leak nothing; null or empty items are not searched; an empty table
+on either side gives no leak; repeated rows get the same result each; of equally near windows the
+first counts, then the shortest; a column ``leaks`` is replaced, other columns pass through; long
 texts are searched whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,12 @@ from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, rel
 from tierlink.llm._columns import without
 
 RATE = 0.2
+RECALL = 0.999
+WALKS = (2, 4, 8, 16)
+TABLES = (2, 4, 8, 16, 32)  # of each walk
+BITS = (8, 6, 5, 4, 3, 2, 1)
+STRANGERS, VERIFY = 0.05, 500.0  # agreement of a coordinate by accident; cost of their verification in keys
+DRAWN = 200  # pairs of each kind that a plan is chosen on
 MIN_WORDS = 5
 SPAN = 9
 SLICE_BYTES = 2 << 20
@@ -86,6 +97,50 @@ def table_keys(seq: np.ndarray, walks: int, tables: int, bits: int) -> np.ndarra
     return keys
 
 
+def edited(rng: np.random.Generator, n: int, most: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A sequence of n distinct symbols, and the first n of it after ``most`` edits and with others behind."""
+    item = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+    kinds = ("replace", "insert", "delete") if kind == "all" else (kind,)
+    out = item.tolist()
+    for k in np.sort(rng.choice(n, most, replace=False))[::-1].tolist():  # from the end on, so places hold
+        new = int(rng.integers(1, 1 << 62))
+        how = kinds[int(rng.integers(len(kinds)))]
+        out[k : k + 1] = {"replace": [new], "insert": [out[k], new], "delete": []}[how]
+    out += rng.integers(1, 1 << 62, n, dtype=np.uint64).tolist()
+    return item, np.array(out[:n], np.uint64)
+
+
+@cache
+def agreement(n: int, most: int, walks: int) -> np.ndarray:
+    """[kind, pair, walk] share of a walk's coordinates that agree, over drawn pairs at distance ``most``."""
+    rng = np.random.default_rng(n)
+    columns = np.arange(2 * n)
+    out = []
+    for kind in ("replace", "insert", "delete", "all"):
+        a, b = (np.stack(x) for x in zip(*(edited(rng, n, most, kind) for _ in range(DRAWN)), strict=True))
+        out.append((embed(a, walks, columns) == embed(b, walks, columns)).mean(2).T)
+    return np.stack(out)
+
+
+@cache
+def plan_for(n: int, rate: float, recall: float) -> tuple[int, int, int]:
+    """(walks, tables of each, sampled coordinates) of the cheapest plan that reaches the recall at the limit of distance.
+
+    A plan costs its keys, and the verification of strangers: those that agree in each coordinate with
+    probability ``STRANGERS``. Half the misses allowed are kept in reserve, as drawn pairs are a sample.
+    """
+    most = int(rate * n)
+    if not most:
+        return 1, 1, 8  # equal windows have equal keys
+    share = agreement(n, most, max(WALKS))
+    plans = sorted((w * t * (1 + 0.3 * b) + VERIFY * min(1.0, w * t * STRANGERS**b), w, t, b) for w in WALKS for t in TABLES for b in BITS)
+    for _, w, t, b in plans:
+        missed = np.exp(np.log1p(-np.minimum(share[:, :, :w] ** b, 1 - 1e-12)).sum(2) * t).mean(1).max()
+        if missed <= (1 - recall) / 2:
+            return w, t, b
+    return max(WALKS), max(TABLES), 1
+
+
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Word edit distance of each row of ``a`` to that row of ``b`` ([pair, words] each)."""
     pairs, m = a.shape
@@ -130,9 +185,9 @@ def grams(word: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """Items of one chunk by word count, with their known pairs and inverted lists of them."""
+    """Items of one chunk by word count, with their known pairs and the keys of their tables."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, min_words: int = MIN_WORDS, free_ends: bool = False):
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, min_words: int = MIN_WORDS, free_ends: bool = False, recall: float = RECALL):
         self.short = {}
         for n in sorted({len(w) for _, w in items if len(w) < min_words}):
             own = [(i, w) for i, w in items if len(w) == n]
@@ -150,9 +205,10 @@ class Index:
         for n in sorted({len(w) for _, w in items}):
             own = [(i, w) for i, w in items if len(w) == n]
             seq = np.stack([w for _, w in own])
-            pair = pair_hash(seq.T).T
-            order = np.argsort(pair, axis=None, kind="stable")
-            self.sizes[n] = (np.array([i for i, _ in own]), seq, pair.ravel()[order], order // max(1, n - 1), int(rate * n))
+            plan = plan_for(n, rate, recall)
+            keys = table_keys(seq, *plan)
+            order = np.argsort(keys, axis=None, kind="stable")
+            self.sizes[n] = (np.array([i for i, _ in own]), seq, plan, keys.ravel()[order], order // keys.shape[1], int(rate * n))
 
         self.least = min((-(-max(1, n - 1 - 2 * int(rate * n)) // -(-(self.reach(n) - 1) // SPAN)) for n in self.sizes), default=1)
 
@@ -218,28 +274,26 @@ class Index:
                     yield n, some
 
     def met(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, place of the item) of windows that share enough pairs with an item of n words."""
-        ids, _, pairs, holder, most = self.sizes[n]
-        need = max(1, n - 1 - 2 * most)
+        """(window, place of the item) of windows that share a key with an item of n words."""
+        ids, _, plan, keys, holder, _ = self.sizes[n]
         for at in range(0, len(windows), 4096):
-            own = pair_hash(windows[at : at + 4096].T).T
-            lo, hi = (np.searchsorted(pairs, own, side) for side in ("left", "right"))
+            own = table_keys(windows[at : at + 4096, :n], *plan)
+            lo, hi = (np.searchsorted(keys, own, side) for side in ("left", "right"))
             count = hi - lo
             total = np.cumsum(count.sum(1))
             first = 0
-            while first < len(own):  # some windows at a time: lists of common pairs are long
+            while first < len(own):  # some windows at a time: lists of common keys are long
                 upto = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + MEETINGS, "right")))
                 c = count[first:upto].ravel()
                 w = np.repeat(np.repeat(np.arange(first, upto), own.shape[1]), c)
                 inner = np.arange(len(w)) - np.repeat(np.cumsum(c) - c, c)
-                both, shared = np.unique(w * len(ids) + holder[np.repeat(lo[first:upto].ravel(), c) + inner], return_counts=True)
-                w, item = np.divmod(both[shared >= need], len(ids))
+                w, item = np.divmod(np.unique(w * len(ids) + holder[np.repeat(lo[first:upto].ravel(), c) + inner]), len(ids))
                 yield at + w, item
                 first = upto
 
     def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, item id, distance) of pairs within the distance, items of n words."""
-        ids, seq, _, _, most = self.sizes[n]
+        ids, seq, *_, most = self.sizes[n]
         for w, item in self.met(n, windows):
             for i in range(0, len(w), 50_000):
                 x, y = w[i : i + 50_000], item[i : i + 50_000]
@@ -248,20 +302,25 @@ class Index:
                 yield x[ok], ids[y[ok]], distance[ok]
 
     def stretches(self, n: int, word: np.ndarray, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(place of the item, first word, end) of each run of windows from ``first`` on that meet an item of n words."""
-        m = self.reach(n)
-        end = np.minimum(first + m, np.searchsorted(doc, doc[first], "right"))
-        inside = first[:, None] + np.arange(m)
-        windows = np.where(inside < end[:, None], word[np.minimum(inside, len(word) - 1)], U64(0))
+        """(place of the item, first word, end) of the words around windows from ``first`` on that meet an item of n words."""
+        m, most = self.reach(n), self.sizes[n][-1]
+        begin, stop = (np.searchsorted(doc, doc[first], side) for side in ("left", "right"))
+        inside = first[:, None] + np.arange(n)
+        windows = np.where(inside < stop[:, None], word[np.minimum(inside, len(word) - 1)], U64(0))
         pairs = [np.stack(x) for x in self.met(n, windows)]
         w, item = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        order = np.lexsort((first[w], item))
-        w, item = w[order], item[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (item[1:] != item[:-1]) | (first[w[1:]] != first[w[:-1]] + 1) | (doc[first[w[1:]]] != doc[first[w[:-1]]])
-        begin = np.flatnonzero(new)
-        for i, j in zip(begin.tolist(), [*begin[1:].tolist(), len(w)], strict=True) if len(w) else ():
-            yield int(item[i]), int(first[w[i]]), int(end[w[j - 1]])
+        # a passage may begin some words beside a window that met its item
+        low, high = np.maximum(first - most, begin)[w], np.minimum(first + m + most, stop)[w]
+        order = np.lexsort((low, item))
+        item, low, high = item[order], low[order], high[order]
+        i = 0
+        while i < len(item):
+            j, end = i + 1, high[i]
+            while j < len(item) and item[j] == item[i] and low[j] < end:  # of one document: stretches end with it
+                end = max(end, high[j])
+                j += 1
+            yield int(item[i]), int(low[i]), int(end)
+            i = j
 
 
 def item_chunks(benchmark: DataFrame, id_col: str, text: str, chunk_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -280,8 +339,11 @@ def item_chunks(benchmark: DataFrame, id_col: str, text: str, chunk_words: int)
         yield chunk
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, chunk_words: int = 200_000, free_ends: bool = False) -> DataFrame:
-    """``docs`` plus ``leaks``: for each leaked item its nearest window (first of equals)."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, min_words: int = MIN_WORDS, chunk_words: int = 200_000, free_ends: bool = False, recall: float = RECALL) -> DataFrame:
+    """``docs`` plus ``leaks``: for each leaked item its nearest window (first of equals).
+
+    ``recall``: least chance to find a pair at the limit of distance; closer ones are found more often.
+    """
     docs = without(docs, {"leaks"})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     place = docs.columns.index(text)
@@ -289,7 +351,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     for items in item_chunks(benchmark, item_id, item_text, chunk_words):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, rate, min_words, free_ends)
+            index = Index(items, rate, min_words, free_ends, recall)
             for batch in batches:
                 buf, off = column_bytes(batch.column(place))
                 before = batch.column(batch.num_columns - 1).to_pylist()
