@@ -10,8 +10,10 @@ Learning uses a bounded sample of labelled rows, ``per_language`` of each langua
 the id; only features of these reach the driver. Language and family sets are bounded by the
 labels, the family table only groups known codes; any other code is a family of its own.
 
-Defined cases: a null text, or one without a letter, is ``und`` with score 0; null labels aren't
-learned; repeated rows get equal results; without labels everything is ``und``.
+Defined cases: a null text, or one without a letter, is ``und`` with score 0; null labels and ids aren't
+learned; rows of one id are learned once (least label, then least text); repeated rows get equal
+results; without labels, or on an empty table, everything is ``und``; equal votes and margins go to the
+later name; input columns named as a result are replaced, others pass through; long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.llm._bytes import LOWER, column_bytes, releasing, row_slices
 from tierlink.llm._columns import without
+from tierlink.llm._sample import least_hashes, sampled_texts
 
 # Language codes by family.
 FAMILIES = {
@@ -157,9 +160,8 @@ def has_letter(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def fit(train: DataFrame, id_col: str, text: str, label: str, per_language: int = PER_LANGUAGE) -> Model | None:
     """Model of a bounded sample of ``train``; None without a labelled text."""
-    order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = train.select(F.col(id_col).alias("i"), F.col(label).alias("l")).where("l is not null and i is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("i").distinct()
-    sample = train.where(F.col(label).isNotNull() & F.col(text).isNotNull()).join(chosen, F.col(id_col) == F.col("i"), "left_semi").select(F.col(label).alias("l"), F.col(text).alias("t"))
+    labelled = train.select(F.col(id_col).alias("i"), F.col(label).alias("l"))
+    sample = sampled_texts(train, id_col, text, least_hashes(labelled, per_language))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

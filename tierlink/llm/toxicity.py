@@ -2,8 +2,8 @@
 
 Logistic regression on the presence of words and word beginnings. Candidate features of a bounded
 sample of labelled rows are counted by class; the most telling are kept, besides those of all
-identity terms. For every sampled text that names a group, copies with the term swapped for each
-other term of its set are made, and training adds ``penalty`` times the squared change of the
+identity terms. For every sampled text that names a group, copies of the text with the term swapped for each
+other term of its set are made and counted like any text, and training adds ``penalty`` times the squared change of the
 score: naming one group rather than another may not move a score, so neutral mentions stay low.
 
 Learning uses at most ``per_class`` labelled rows of each class, chosen by the hash of the id; the
@@ -11,21 +11,26 @@ features counted and the sparse rows sent to the driver are bounded by that. Eve
 scored in one pass.
 
 Defined cases: null and empty texts have no feature and get the model's base score; rows without a
-label, or with a null one, aren't learned; repeated rows get equal scores; without labels, or with
-one class only, every score is 0.
+label, or with a null one, null texts and ids aren't learned; rows of one id are learned once (least
+label, then least text); repeated rows get equal scores; without labels, or with one class only, every
+score is 0; an empty table gives an empty result; features of equal gain go by their hash; an input
+column named as the score is replaced, others pass through; long texts are scored whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, releasing, row_slices, words
 from tierlink.llm._columns import without
+from tierlink.llm._sample import least_hashes, sampled_texts
 
 # Sets of identity terms that are swapped for each other.
 IDENTITY_SETS = (
@@ -41,6 +46,7 @@ IDENTITY_SETS = (
     ("mujeres", "hombres"), ("judíos", "cristianos", "musulmanes"),
 )
 PREFIXES = (4, 5, 6, 7, 8)
+CHANGE = pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32()))])
 PER_CLASS = 3000
 FEATURES = 2048
 SLICE_BYTES = 1 << 20
@@ -101,29 +107,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def swaps(rows: list[np.ndarray], known: Known) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(text, features lost, features gained) of each counterfactual copy of the texts that name a group."""
-    place = {t: np.searchsorted(known.table, features_of(t)) for terms in IDENTITY_SETS for t in terms}
+def swapped(low: bytes, have: np.ndarray, known: Known) -> list[tuple[list[int], list[int]]]:
+    """(features lost, features gained) of each copy of a lower-case text with one identity term put in place of another."""
+    own = set(have.tolist())
     out = []
-    for i, row in enumerate(rows):
-        have = set(row.tolist())
-        for terms in IDENTITY_SETS:
-            for t in terms:
-                if all(int(f) in have for f in place[t]):
-                    out += [(i, place[t], place[u]) for u in terms if u != t]
+    for terms in IDENTITY_SETS:
+        for t in terms:
+            if not own.issuperset(np.searchsorted(known.table, features_of(t)).tolist()) or not term_pattern(t).search(low):
+                continue
+            for u in terms:
+                if u != t:
+                    copy = np.frombuffer(term_pattern(t).sub(u.encode(), low), np.uint8)
+                    new = set(known.find(*word_features(copy, np.array([0, len(copy)])))[1].tolist())
+                    out.append((sorted(own - new), sorted(new - own)))
     return out
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, known: Known, ridge: float, penalty: float, steps: int = 800) -> tuple[np.ndarray, float]:
-    """Class-balanced logistic regression with the counterfactual penalty, by Adam on all rows."""
-    n, d = len(rows), len(known.table)
+@cache
+def term_pattern(term: str) -> re.Pattern:
+    inside = rb"[0-9A-Za-z\x80-\xff]"
+    return re.compile(rb"(?<!" + inside + rb")" + re.escape(term.encode()) + rb"(?!" + inside + rb")")
+
+
+def train(rows: list[np.ndarray], y: np.ndarray, changed: list[tuple[list[int], list[int]]], d: int, ridge: float, penalty: float, steps: int = 800) -> tuple[np.ndarray, float]:
+    """Class-balanced logistic regression of d features, by Adam on all rows; ``changed``: features lost and gained by swapped copies."""
+    n = len(rows)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     index = np.concatenate(rows) if n else np.zeros(0, np.int64)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    changed = swaps(rows, known)
-    sign = np.concatenate([[-1.0] * len(a) + [1.0] * len(b) for _, a, b in changed]) if changed else np.zeros(0)
-    swap_index = np.concatenate([np.concatenate([a, b]) for _, a, b in changed]) if changed else np.zeros(0, np.int64)
-    swap_owner = np.repeat(np.arange(len(changed)), [len(a) + len(b) for _, a, b in changed])
+    sign = np.concatenate([[-1.0] * len(a) + [1.0] * len(b) for a, b in changed]) if changed else np.zeros(0)
+    swap_index = np.array([f for a, b in changed for f in (*a, *b)], np.int64)
+    swap_owner = np.repeat(np.arange(len(changed)), [len(a) + len(b) for a, b in changed])
     w, m, v, bias = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), 0.0
     for t in range(1, steps + 1):
         z = np.bincount(owner, w[index], n) + w[d]
@@ -140,11 +154,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, known: Known, ridge: float, pen
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, per_class: int = PER_CLASS, features: int = FEATURES, ridge: float = 1e-5, penalty: float = 1.0) -> Model | None:
     """Model of a bounded sample of labelled ``docs`` (label 0 or 1); None without both classes."""
-    order = Window.partitionBy("y").orderBy(F.xxhash64("i"), "i")
-    ids = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").distinct()
-    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("i", "y")
-    # at most 2 * per_class rows, so the broadcast is bounded and the texts aren't shuffled
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("i")).select("y", F.col(text).alias("t"))
+    labelled = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("l")).where("l in (0, 1)")
+    sample = sampled_texts(docs, id_col, text, least_hashes(labelled, per_class)).select(F.col("l").alias("y"), "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,10 +190,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str,
                 d, f = known.find(*word_features(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["y", "f"])
-
-    seen = sorted((r["y"], r["f"]) for r in sample.mapInArrow(gather, "y int, f array<int>").toLocalIterator())
-    weights, bias = train([np.array(f, np.int64) for _, f in seen], np.array([y for y, _ in seen], float), known, ridge, penalty)
+                low = LOWER[buf]
+                copies = [swapped(low[off[r] : off[r + 1]].tobytes(), f[cut[r - i] : cut[r - i + 1]], known) for r in range(i, j)]
+                changes = pa.array([[{"lost": a, "gained": b} for a, b in some] for some in copies], pa.list_(CHANGE))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists, changes], names=["y", "f", "c"])
+
+    rows = sample.mapInArrow(gather, "y int, f array<int>, c array<struct<lost: array<int>, gained: array<int>>>").toLocalIterator()
+    seen = sorted((r["y"], r["f"], [(x["lost"], x["gained"]) for x in r["c"]]) for r in rows)
+    changed = [x for *_, c in seen for x in c]
+    weights, bias = train([np.array(f, np.int64) for _, f, _ in seen], np.array([y for y, *_ in seen], float), changed, len(known.table), ridge, penalty)
     return Model(known, weights, bias)
 
 
