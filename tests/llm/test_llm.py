@@ -136,6 +136,18 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
     assert got == components({i: shingle_set(t, 3) for i, t in enumerate(texts)}, 85)
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """The text with most shingles counts, whatever the order of the rows; copies beyond the salts' number are one class."""
+    rng = random.Random(41)
+    a, b = sentence(rng, 40), sentence(rng, 30)
+    rows = [(1, b), (1, a), (2, a), (3, b), (4, None), (4, b)] + [(100 + i, a) for i in range(150)]
+    for order in (rows, rows[::-1]):
+        got = {r["doc_id"]: (r["component_id"], r["kept"], r["n_shingles"]) for r in near_dedup.near_dedup(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()}
+        n, m = len({tuple(a.split()[i : i + 5]) for i in range(36)}), len({tuple(b.split()[i : i + 5]) for i in range(26)})
+        assert got[1] == (1, True, n) and got[2] == (1, False, n) and got[3] == (3, True, m) and got[4] == (3, False, m)
+        assert all(got[100 + i] == (1, False, n) for i in range(150))
+
+
 def test_sketch_estimate_is_close():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.8, 0.95):
@@ -432,6 +444,23 @@ def test_toxicity_and_its_counterfactuals(spark):
     assert toxicity.fit(docs, lab.where("toxic = 1"), "doc_id", "text", "toxic") is None
 
 
+def test_swapped_copies_are_counted_like_texts():
+    """A beginning that another word of the text still has isn't lost."""
+    text = b"the women and womenfolk met"
+    every = ["women", "men", "womenfolk", "girls", "the", "met"]
+    known = toxicity.Known(np.concatenate([toxicity.features_of(w) for w in every] + [toxicity.features_of(t) for terms in toxicity.IDENTITY_SETS for t in terms]))
+
+    def indices(t):
+        buf = np.frombuffer(t, np.uint8)
+        return known.find(*toxicity.word_features(buf, np.array([0, len(buf)])))[1]
+
+    copies = toxicity.swapped(text, indices(text), known)
+    assert len(copies) == len(toxicity.IDENTITY_SETS[0]) - 1
+    for lost, gained in copies:
+        assert set(lost).isdisjoint(indices(b"womenfolk").tolist()) and set(lost) <= set(indices(b"women").tolist())
+    assert any(set(indices(b"men").tolist()) <= set(gained) for _, gained in copies)
+
+
 def test_quality_rules_equal_plain_python(spark):
     rows = awkward_rows() + [(60, "\n".join(["same line here now ok"] * 8), "en", "s", 1), (61, "A## B** C$$ " * 20, "en", "s", 1), (62, "WORD!! NEXT!! MORE!! " + " ".join(f"UP{chr(65 + i)}X!!" for i in range(20)), "en", "s", 1)]
     got = quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit(7))).collect()

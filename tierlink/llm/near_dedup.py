@@ -15,8 +15,10 @@ members by joining their sets, in larger ones in tiles of bounded size that hold
 sets, best estimate first, where a pair whose components are joined by then needs no link.
 
 Defined cases: null or empty texts, and texts without words, have an empty set and are linked with
-nothing; null ids are linked with nothing and keep their row; rows of one id count as one
-document; any other columns pass through. Long texts are worked on whole.
+nothing; null ids are linked with nothing and keep their row; rows of one id count as one document,
+that of the text with most shingles (of the largest fingerprint among equals); an empty table gives an
+empty result; the least id of a component stands for it, so there are no ties; input columns named as
+a result are replaced, any others pass through. Long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -56,6 +58,15 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return distinct_per_doc(h, d)
 
 
+def fingerprint_of(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two 64-bit sums that stand for the set) of each document."""
+    count = np.bincount(doc, minlength=n)
+    cut = np.concatenate([[0], np.cumsum(count)])
+    sums = [np.concatenate([[U64(0)], np.cumsum(mix(h + U64(c)), dtype=U64)]) for c in (1, 2)]
+    hi, lo = (s[cut[1:]] - s[cut[:-1]] for s in sums)
+    return count, hi, lo
+
+
 def register_codes(h: np.ndarray) -> np.ndarray:
     """Code of a hash: larger for smaller hashes; 0 is left for empty registers."""
     g = mix(h ^ U64(0x5851F42D4C957F2D)) >> U64(12)
@@ -128,10 +139,7 @@ def sketch_table(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
             for i, j in row_slices(off, SLICE_BYTES):
                 h, d = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 n = j - i
-                count = np.bincount(d, minlength=n)
-                cut = np.concatenate([[0], np.cumsum(count)])
-                sums = [np.concatenate([[U64(0)], np.cumsum(mix(h + U64(c)), dtype=U64)]) for c in (1, 2)]
-                hi, lo = (s[cut[1:]] - s[cut[:-1]] for s in sums)
+                count, hi, lo = fingerprint_of(h, d, n)
                 regs = sketches(h, d, n)
                 keys = band_keys(regs)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
@@ -144,17 +152,17 @@ def sketch_table(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes as packed 64-bit integers."""
+    """(id, n, fingerprint, set): the sorted shingle hashes as packed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = column_bytes(batch.column(1))
             for i, j in row_slices(off, SLICE_BYTES):
                 h, d = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
-                cut = np.searchsorted(d, np.arange(j - i + 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), binary_rows(h, cut)], names=["id", "set"])
+                count, hi, lo = fingerprint_of(h, d, j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count, pa.int64()), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), binary_rows(h, np.concatenate([[0], np.cumsum(count)]))], names=["id", "n", "hi", "lo", "set"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(releasing(run), "id long, set binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(releasing(run), "id long, n long, hi long, lo long, set binary")
 
 
 def screened(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -305,16 +313,29 @@ def large_key_links(mixed: DataFrame, sets: DataFrame, similarity: float, percen
     return dealt.mapInArrow(releasing(run), "a long, b long").distinct()
 
 
+def one_text_each(linkable: DataFrame) -> DataFrame:
+    """Rows without those of ids that have a text with more shingles, or a larger fingerprint among equals."""
+    own = F.struct("n", "hi", "lo")
+    several = linkable.groupBy("id").agg(F.min(own).alias("least"), F.max(own).alias("best")).where("least <> best")
+    others = materialize(linkable.select("id", "n", "hi", "lo").join(several.select("id", "best"), "id").where(own != F.col("best")).select("id", "n", "hi", "lo").distinct())
+    return linkable.join(others, ["id", "n", "hi", "lo"], "left_anti") if others.limit(1).count() else linkable
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` plus ``n_shingles`` (long), ``component_id`` (long) and ``kept`` (boolean)."""
     docs = without(docs, RESULT)
     similarity = percent / 100
     sketched = materialize(sketch_table(docs, id_col, text, k))
     linkable = sketched.where("n > 0 and id is not null")
-    classes = linkable.groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"))
-    member = linkable.select("id", "hi", "lo", "n").join(classes, ["hi", "lo", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    reps = linkable.join(classes, ["hi", "lo", "n"], "left_semi").join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    reps = reps.dropDuplicates(["id", "hi", "lo"])
+    linkable = one_text_each(linkable)
+    # copies form stars in two steps, so a class with a third of all rows meets in no task
+    salted = linkable.select("id", "hi", "lo", "n", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).distinct()
+    hubs = materialize(salted.groupBy("hi", "lo", "n", "salt").agg(F.min("id").alias("hub"), F.max("id").alias("most")))
+    classes = materialize(hubs.groupBy("hi", "lo", "n").agg(F.min("hub").alias("rep"), F.max("most").alias("most")))
+    copied = classes.where("rep < most").select("hi", "lo", "n", "rep")
+    member = salted.join(hubs.where("hub < most").drop("most"), ["hi", "lo", "n", "salt"]).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    member = member.unionByName(hubs.join(copied, ["hi", "lo", "n"]).where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    reps = linkable.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
 
     keyed = reps.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
@@ -324,7 +345,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     pairs = stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(stars.where("id = hub").select(F.col("least").alias("a"), F.col("id").alias("b"))).where("a < b").distinct()
 
     near = materialize(reps.join(keyed.select("id").distinct(), "id", "left_semi"))
-    sets = materialize(set_table(docs.join(near.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text, k).dropDuplicates(["id"]))
+    sets = set_table(docs.join(near.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text, k)
+    sets = materialize(sets.groupBy("id").agg(F.max_by("set", F.struct("n", "hi", "lo")).alias("set")))
     tested = materialize(screened(pairs, near, similarity))
     links = materialize(confirmed(tested, sets, percent))
     labels = connected_components(links, "a", "b").withColumnRenamed("node", "id")
