@@ -33,7 +33,7 @@ def value(spark, column):
         (lambda: T.extract_json(F.lit("say {a b} end")), ""),
         (lambda: T.unquote(F.lit(' "a b" ')), "a b"),
         (lambda: T.grade_bucket(F.lit("Grade 7")), "G7-12"),
-        (lambda: T.grade_bucket(F.lit("x")), "unknown"),
+        (lambda: T.grade_bucket(F.lit("x")), "UNKNOWN"),
         (lambda: T.model_label(F.lit("label 5.")), "5"),
         (lambda: T.to_bool(F.lit(" Yes ")), True),
         (lambda: T.clean_list(F.array(F.lit(" a"), F.lit(" "), F.lit("a"), F.lit("b"))), ["a", "b"]),

@@ -1,9 +1,9 @@
 """Extension points for external models, with deterministic stand-ins that need no network.
 
 X1 entity recognition, X2 triple extraction, X7 text embedding and X8 generation are pandas UDFs
-over batches; real models replace the stand-ins by ``register``. X3-X6 and X9-X11 (linkers,
-matchers, rankers, losses, evaluators, constructors) are ordinary DataFrame functions of this
-package and need no registry.
+over batches; real models replace the stand-ins by ``register``, as functions of one text or of a
+whole batch. X3-X6 and X9-X11 (linkers, extractors, matchers, rankers, losses, evaluators,
+constructors) are DataFrame functions, named in ``tierlink.plans.components``.
 """
 
 from __future__ import annotations
@@ -48,28 +48,33 @@ def reply_to(prompt: str) -> str:
     return f"Answer: {lines[-1]}"
 
 
+def each(one: Callable) -> Callable:
+    """A function of a batch from a function of one text."""
+    return lambda texts: [one(t) for t in texts]
+
+
 _KINDS: dict[str, tuple[Callable, T.DataType]] = {
-    "ner": (names_in, T.ArrayType(T.StringType())),
-    "openie": (facts_in, T.ArrayType(T.ArrayType(T.StringType()))),
-    "embed": (vector_of, T.ArrayType(T.DoubleType())),
-    "generate": (reply_to, T.StringType()),
+    "ner": (each(names_in), T.ArrayType(T.StringType())),
+    "openie": (each(facts_in), T.ArrayType(T.ArrayType(T.StringType()))),
+    "embed": (each(vector_of), T.ArrayType(T.DoubleType())),
+    "generate": (each(reply_to), T.StringType()),
 }
 
 
-def register(kind: str, one: Callable) -> None:
-    """Replace a stand-in by a function of one text; it is loaded once a worker and called in batches."""
+def register(kind: str, model: Callable, batch: bool = False) -> None:
+    """Replace a stand-in by a function of one text, or with ``batch`` of a list of texts that returns as many results."""
     if kind not in _KINDS:
         raise KeyError(f"no hook {kind!r}; there are {sorted(_KINDS)}")
-    _KINDS[kind] = (one, _KINDS[kind][1])
+    _KINDS[kind] = (model if batch else each(model), _KINDS[kind][1])
 
 
 def apply(kind: str, text: Column | str) -> Column:
     """The hook as a column: an iterator pandas UDF, so a model is set up once for many batches."""
-    one, returned = _KINDS[kind]
+    model, returned = _KINDS[kind]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(one)
+            yield pd.Series(list(model(batch.tolist())), index=batch.index, dtype=object)
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, returned)(F.col(text) if isinstance(text, str) else text)

@@ -26,9 +26,15 @@ def softmax(df, x: str, keys: list[str], out: str, eps: float = 1e-12):
     return shifted.withColumn(out, F.col("__e") / (F.sum("__e").over(group) + eps)).drop("__e")
 
 
-def min_max(x: Column, over: WindowSpec, constant: float) -> Column:
-    """(x - min) / (max - min) in the group; ``constant`` where all are close."""
+def min_max(x: Column, over: WindowSpec, constant: float, with_zero: Column | None = None) -> Column:
+    """(x - min) / (max - min) in the group; ``constant`` where all are close.
+
+    ``with_zero``: groups where it is true for a row are scaled as if they held a 0 too.
+    """
     lo, hi = F.min(x).over(over), F.max(x).over(over)
+    if with_zero is not None:
+        has = F.max(with_zero).over(over)
+        lo, hi = F.when(has, F.least(lo, F.lit(0.0))).otherwise(lo), F.when(has, F.greatest(hi, F.lit(0.0))).otherwise(hi)
     return F.when(is_close(hi, lo), F.lit(constant)).otherwise((x - lo) / (hi - lo))
 
 

@@ -125,9 +125,18 @@ def tokens(c: Column | str) -> Column:
 
 
 def bag_overlap(a: Column, b: Column) -> Column:
-    """U4: size of the multiset intersection of two token arrays (two sorted arrays merged in one pass)."""
-    shared = F.array_distinct(F.array_intersect(a, b))
-    return F.aggregate(shared, F.lit(0), lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
+    """U4: size of the multiset intersection of two token arrays: both sorted once and merged in one pass."""
+
+    def step(z: Column, s: Column) -> Column:
+        x, y = F.get(z["a"], s["i"]), F.get(z["b"], s["j"])
+        on = F.struct((s["i"] + (x <= y).cast("int")).alias("i"), (s["j"] + (x >= y).cast("int")).alias("j"), (s["n"] + (x == y).cast("int")).alias("n"))
+        return F.when(x.isNull() | y.isNull(), s).otherwise(on)
+
+    zero = F.lit(0)
+    start = F.struct(zero.alias("i"), zero.alias("j"), zero.alias("n"))
+    both = F.array(F.struct(F.array_sort(a).alias("a"), F.array_sort(b).alias("b")))  # sorted arrays under a name
+    steps = F.sequence(F.lit(1), F.greatest(F.size(a) + F.size(b), F.lit(1)))
+    return F.get(F.transform(both, lambda z: F.aggregate(steps, start, lambda s, _: step(z, s), lambda s: s["n"])), zero)
 
 
 def token_f1(pred: Column | str, gold: Column | str) -> Column:
@@ -172,10 +181,26 @@ def unquote(c: Column | str) -> Column:
     return F.when(quoted, F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
 
 
+# Bucket names of subjects.
+SUBJECTS = {"natural science": "NAT", "social science": "Soc", "language science": "LAN"}
+
+
+def subject_bucket(c: Column | str) -> Column:
+    """The subject's short name, else ``OTHER``."""
+    known = F.create_map(*[F.lit(x) for pair in SUBJECTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, fold(c)), F.lit("OTHER"))
+
+
+def modality_bucket(image: Column | str, hint: Column | str) -> Column:
+    """``IMG`` with an image, ``TXT`` with a hint, else ``NO``."""
+    has_image = ~F.trim(F.coalesce(col(image), F.lit(""))).isin("", "null", "None")
+    return F.when(has_image, "IMG").when(F.trim(F.coalesce(col(hint), F.lit(""))) != "", "TXT").otherwise("NO")
+
+
 def grade_bucket(c: Column | str) -> Column:
-    """``gradeN`` as ``G1-6`` or ``G7-12``, else ``unknown``."""
-    n = F.replace(F.lower(F.trim(col(c))), F.lit("grade"), F.lit("")).try_cast("int")
-    return F.when(n.between(1, 6), "G1-6").when(n.between(7, 12), "G7-12").otherwise("unknown")
+    """``gradeN`` as ``G1-6`` up to 6 and ``G7-12`` beyond, else ``UNKNOWN``."""
+    n = F.trim(F.replace(F.lower(F.trim(F.coalesce(col(c), F.lit("")))), F.lit("grade"), F.lit(""))).try_cast("int")
+    return F.when(n <= 6, "G1-6").when(n > 6, "G7-12").otherwise("UNKNOWN")
 
 
 def model_label(c: Column | str, allowed: str = "025") -> Column:

@@ -86,14 +86,34 @@ def spmm(edges: DataFrame, x: DataFrame, relation: DataFrame, add: str = "sum",
     return wide.groupBy(F.col("dst").alias("node"), "dim").agg(f(message).alias("x"))
 
 
-def aggregate_messages(edges: DataFrame, x: DataFrame, relation: DataFrame, boundary: DataFrame, kind: str = "sum", mul: str = "mul") -> DataFrame:
+def rotated(edges: DataFrame, x: DataFrame, relation: DataFrame, size: int) -> DataFrame:
+    """(node, dim, m): messages of states as complex numbers turned by the relation's; the first half of the dims is real."""
+    half = size // 2
+
+    def halves(df: DataFrame, key: str, value: str) -> DataFrame:
+        pick = [F.max(F.when(F.col("dim") < half, F.col(value))), F.max(F.when(F.col("dim") >= half, F.col(value)))]
+        return df.groupBy(key, F.pmod("dim", F.lit(half)).alias("pair")).agg(pick[0].alias(f"{value}_re"), pick[1].alias(f"{value}_im"))
+
+    wide = edges.join(halves(x, "node", "x").withColumnRenamed("node", "src"), "src").join(halves(relation, "rel", "r"), ["rel", "pair"])
+    real = F.col("x_re") * F.col("r_re") - F.col("x_im") * F.col("r_im")
+    imaginary = F.col("x_re") * F.col("r_im") + F.col("x_im") * F.col("r_re")
+    parts = F.array(F.struct(F.col("pair").alias("dim"), (F.col("w") * real).alias("m")), F.struct((F.col("pair") + half).alias("dim"), (F.col("w") * imaginary).alias("m")))
+    return wide.select(F.col("dst").alias("node"), F.explode(parts).alias("p")).select("node", "p.dim", "p.m")
+
+
+def aggregate_messages(edges: DataFrame, x: DataFrame, relation: DataFrame, boundary: DataFrame, kind: str = "sum", mul: str = "mul", size: int | None = None) -> DataFrame:
     """Neighbourhood aggregate with the boundary state as a self-loop: sum, mean, max, min or pna.
 
+    ``mul``: ``mul``, ``add``, or ``rotate`` over ``size`` dims.
+
     ``pna`` gives mean, max, min and std, each times 1, s and 1 / max(s, 0.01), where s is the log
     in-degree (self-loop included) over its mean; columns ``x_mean`` ... ``x_std_inv``.
     """
     message = F.col("w") * (F.col("r") * F.col("x") if mul == "mul" else F.col("r") + F.col("x"))
-    m = edges.join(x.withColumnRenamed("node", "src"), "src").join(relation, ["rel", "dim"]).select(F.col("dst").alias("node"), "dim", message.alias("m"))
+    if mul == "rotate":
+        m = rotated(edges, x, relation, size)
+    else:
+        m = edges.join(x.withColumnRenamed("node", "src"), "src").join(relation, ["rel", "dim"]).select(F.col("dst").alias("node"), "dim", message.alias("m"))
     m = m.unionByName(boundary.select("node", "dim", F.col("x").alias("m")))
     g = m.groupBy("node", "dim")
     if kind != "pna":
@@ -123,6 +143,31 @@ def propagate(edges: DataFrame, boundary: DataFrame, relation: DataFrame, layers
     return x
 
 
+def linear(x: DataFrame, weight: DataFrame, bias: DataFrame, relu: bool = False) -> DataFrame:
+    """(node, dim, x) after a dense layer of weights (dim, out, w) and biases (out, b); absent states count as 0."""
+    y = x.join(F.broadcast(weight), "dim").groupBy("node", F.col("out").alias("dim")).agg(F.sum(F.col("x") * F.col("w")).alias("x"))  # weights are a model's
+    y = y.join(F.broadcast(bias.withColumnRenamed("out", "dim")), "dim").select("node", "dim", (F.col("x") + F.col("b")).alias("x"))
+    return y.withColumn("x", F.greatest("x", F.lit(0.0))) if relu else y
+
+
+def score_nodes(x: DataFrame, query: DataFrame, size: int, layers: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(node, score): a perceptron over each node's state (dims below ``size``) followed by the query's (dim, q)."""
+    both = x.select("node", "dim", "x").unionByName(x.select("node").distinct().crossJoin(F.broadcast(query)).select("node", (F.col("dim") + size).alias("dim"), F.col("q").alias("x")))
+    for i, (weight, bias) in enumerate(layers):
+        both = linear(both, weight, bias, relu=i < len(layers) - 1)
+    return both.where("dim = 0").select("node", F.col("x").alias("score"))
+
+
+def score_triples(edges: DataFrame, batch: DataFrame, boundary: DataFrame, relation: DataFrame, query: DataFrame, layers: int) -> DataFrame:
+    """(node, score) of every reached node as a tail, with the batch's own edges out of the way.
+
+    ``edges`` and ``batch``: (head, relation, tail); the score is the product of state and query (dim, q).
+    """
+    rest = remove_easy_edges(edges, batch).select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.col("relation").alias("rel"), F.lit(1.0).alias("w"))
+    state = propagate(rest, boundary, relation, layers)
+    return state.join(F.broadcast(query), "dim").groupBy("node").agg(F.sum(F.col("x") * F.col("q")).alias("score"))
+
+
 # -- G10, G11: equivalence ------------------------------------------------------------------------
 def canonical_names(equivalent: DataFrame, a: str = "head", b: str = "tail") -> DataFrame:
     """(name, canonical): the smallest name of each class of the equivalence closure."""

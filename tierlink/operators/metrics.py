@@ -10,9 +10,33 @@ from pyspark.sql.types import DoubleType
 from tierlink.functions.numeric import sigmoid, softmax
 
 
+PARTS = 64
+
+
+def in_parts(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``scores`` with ``__part``: ranges of falling score in each group, equal scores together.
+
+    So a group's ranks come from parts that are ordered apart and shifted by those before, and no task
+    orders a whole group.
+    """
+    at = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    cuts = scores.groupBy(*keys).agg(F.percentile_approx("score", at, 1000).alias("__cuts"))
+    placed = scores.join(cuts, keys)
+    return placed.withColumn("__part", F.size(F.filter("__cuts", lambda c: c > F.col("score")))).drop("__cuts")
+
+
+def shifts(parts: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, __part, __before): sum of ``value`` over the parts before."""
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.groupBy(*keys, "__part").agg(value.alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+
+
 def raw_ranks(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Rank by falling score, smallest id among equals."""
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "id")))
+    parts = in_parts(scores, keys)
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(F.col("score").desc(), "id"))
+    ranked = parts.withColumn("rank", own).join(shifts(parts, keys, F.count("*")), [*keys, "__part"])
+    return ranked.withColumn("rank", (F.col("rank") + F.col("__before")).cast("int")).drop("__part", "__before")
 
 
 def filtered_ranks(scores: DataFrame, keys: list[str], answer: Column) -> DataFrame:
@@ -23,8 +47,10 @@ def filtered_ranks(scores: DataFrame, keys: list[str], answer: Column) -> DataFr
 
 def pessimistic_ranks(scores: DataFrame, keys: list[str]) -> DataFrame:
     """1 + number of a group's negatives that score at least as much; ``target`` marks positives."""
-    order = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    return scores.withColumn("rank", F.sum(1 - F.col("target")).over(order) + 1).where("target = 1")
+    parts = in_parts(scores, keys)
+    order = Window.partitionBy(*keys, "__part").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    ranked = parts.withColumn("rank", F.sum(1 - F.col("target")).over(order) + 1).where("target = 1").join(shifts(parts, keys, F.sum(1 - F.col("target"))), [*keys, "__part"])
+    return ranked.withColumn("rank", F.col("rank") + F.col("__before")).drop("__part", "__before")
 
 
 def link_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 10), rank: str = "rank") -> DataFrame:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierlink.functions.text import is_wildcard  # noqa: F401  (re-exported: the wildcard rule of patterns)
+from tierlink.session import materialize
 
 GATE = 0.6
 REVERSE_PENALTY = 0.25
@@ -122,7 +122,7 @@ def match_pattern(pattern: list[tuple[str, str, str]], facts: DataFrame, node_ca
     for reverse in (False, True):
         adj = adjacency(facts, reverse)
         found = reduce(DataFrame.unionByName, [match_component(c, adj, own, relation_candidates, sizes) for c in components_of(pattern)])
-        best = found.orderBy("score", "reuse", "edges").limit(k)
+        best = materialize(found.orderBy("score", "reuse", "edges").limit(k))  # k rows
         if reverse or not best.isEmpty():
             return best.withColumn("position", F.row_number().over(Window.orderBy("score", "reuse", "edges")))  # k rows
     return empty

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 PATTERN_PROMPT = "Rewrite the question as triples (head, relation, tail). Write UNKNOWN with a number for what is asked or not named."
 IMAGE_TRIPLE_PROMPT = "List the facts that this image shows as triples (head, relation, tail)."
+NER_PROMPT = 'List the names of people, places, works, organisations, dates and other things in the text. Reply with JSON: {"named_entities": [...]}'
+OPENIE_PROMPT = 'State what the text says of the listed names as triples of head, relation and tail; each has one of the names at least, and pronouns are resolved. Reply with JSON: {"triples": [[...], ...]}'
+ONE_SHOT = ("Ada Lovelace published notes in 1843.", '{"named_entities": ["Ada Lovelace", "1843"]}', '{"triples": [["Ada Lovelace", "published", "notes"], ["notes", "published in", "1843"]]}')
 MAX_PATH_LINKS = 1
 
 
@@ -16,6 +19,17 @@ def chat_prompt(messages: DataFrame, system: str) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.concat(F.lit(f"system: {system}\n"), turns).alias("prompt"))
 
 
+def ner_prompt(text: Column) -> Column:
+    """Instruction, one worked example and the text for entity recognition."""
+    return F.concat_ws("\n", F.lit(NER_PROMPT), F.lit(f"Text: {ONE_SHOT[0]}"), F.lit(ONE_SHOT[1]), F.concat(F.lit("Text: "), text))
+
+
+def openie_prompt(text: Column, entities: Column) -> Column:
+    """Instruction, one worked example, the text and its names for triple extraction."""
+    names = F.to_json(F.struct(entities.alias("named_entities")))
+    return F.concat_ws("\n", F.lit(OPENIE_PROMPT), F.lit(f"Text: {ONE_SHOT[0]}"), F.lit(ONE_SHOT[1]), F.lit(ONE_SHOT[2]), F.concat(F.lit("Text: "), text), names)
+
+
 def path_prompt(question: Column, docs: Column, links: Column, slots: int = 5) -> Column:
     """Numbered document slots (missing ones empty), links and the question."""
     lines = [F.concat(F.lit(f"doc{i + 1}: "), F.coalesce(F.get(docs, F.lit(i)), F.lit(""))) for i in range(slots)]

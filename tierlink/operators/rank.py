@@ -24,6 +24,11 @@ def idf(doc_entity: DataFrame) -> DataFrame:
     return doc_entity.groupBy("entity").agg((1.0 / F.count("*")).alias("idf"))
 
 
+def of_entities(doc_entity: DataFrame, scores: DataFrame) -> DataFrame:
+    """Rows of the entities that scores name; all of an entity's, so its document frequency stays."""
+    return doc_entity.join(scores.select("entity").distinct(), "entity", "left_semi")
+
+
 def simple_rank(entity_scores: DataFrame, doc_entity: DataFrame) -> DataFrame:
     """(sample_id, doc_id, score): sparse product of entity scores and the incidence table."""
     return entity_scores.join(doc_entity, "entity").groupBy("sample_id", "doc_id").agg(F.sum("w").alias("score"))
@@ -31,8 +36,8 @@ def simple_rank(entity_scores: DataFrame, doc_entity: DataFrame) -> DataFrame:
 
 def idf_rank(entity_scores: DataFrame, doc_entity: DataFrame) -> DataFrame:
     """A2: the same with each entity's score times its idf."""
-    weighted = entity_scores.join(idf(doc_entity), "entity").withColumn("w", F.col("w") * F.col("idf"))
-    return simple_rank(weighted, doc_entity)
+    own = of_entities(doc_entity, entity_scores)
+    return simple_rank(entity_scores.join(idf(own), "entity").withColumn("w", F.col("w") * F.col("idf")), own)
 
 
 def best_entities(entity_scores: DataFrame, k: int) -> DataFrame:
@@ -46,8 +51,9 @@ def top_k_rank(entity_scores: DataFrame, doc_entity: DataFrame, k: int = 10) ->
 
 def top_k_idf_rank(entity_scores: DataFrame, doc_entity: DataFrame, k: int = 20) -> DataFrame:
     """A4: sum of the idf of a sample's top-k entities in a document; the entity score only selects."""
-    chosen = best_entities(entity_scores, k).join(idf(doc_entity), "entity").select("sample_id", "entity", F.col("idf").alias("w"))
-    return simple_rank(chosen, doc_entity)
+    best = best_entities(entity_scores, k)
+    own = of_entities(doc_entity, best)
+    return simple_rank(best.join(idf(own), "entity").select("sample_id", "entity", F.col("idf").alias("w")), own)
 
 
 def densify(scores: DataFrame, samples: DataFrame, ids: DataFrame, key: str = "sample_id", id_col: str = "doc_id") -> DataFrame:
@@ -104,14 +110,38 @@ def capped_select(ranked: DataFrame, keys: list[str], k: int, cap: int | None) -
     return ranked.withColumn("__late", late).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).drop("__late")
 
 
-def fuse(branches: DataFrame, k: int = 5, cap: int | None = None, micro: DataFrame | None = None, scale: float = 0.333333) -> DataFrame:
+def unreached(branches: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The first ``2 * k`` documents by id of either kind that a sample's branches lack, with scores of 0.
+
+    A sample that has reached all of them has reached k documents of that kind, so no more are needed
+    to fill its selection; the lists are bounded and broadcast.
+    """
+    first = [docs.where(c).orderBy("doc_id").limit(2 * k) for c in (F.col("is_image"), ~F.col("is_image"))]
+    both = first[0].unionByName(first[1]).select("doc_id", "is_image")
+    zero = F.lit(0.0)
+    every = branches.select("sample_id").distinct().crossJoin(F.broadcast(both))
+    return every.join(branches.select("sample_id", "doc_id"), ["sample_id", "doc_id"], "left_anti").withColumns({"text_score": zero, "image_score": zero})
+
+
+def fuse(branches: DataFrame, k: int = 5, cap: int | None = None, micro: DataFrame | None = None, scale: float = 0.333333, docs: DataFrame | None = None) -> DataFrame:
     """Dual-branch fusion of (sample_id, doc_id, text_score, image_score, is_image).
 
     Each branch is scaled to 0..1 over the sample; with ``micro`` candidates (sample_id, doc_id,
     score) their scaled micro score replaces the image branch and others' image score shrinks.
+
+    ``docs`` (doc_id, is_image), each document once: those that ``branches`` lacks count with scores of
+    0, as if all were listed: 0 enters the scales, and they fill a selection of fewer than k.
     """
     group = Window.partitionBy("sample_id")
-    x = branches.withColumn("text_norm", min_max(F.col("text_score"), group, 0.0)).withColumn("image_norm", min_max(F.col("image_score"), group, 0.0))
+    if docs is not None:
+        own = branches.select("sample_id", "doc_id", "text_score", "image_score", "is_image")
+        total = docs.agg(F.count("*").alias("__all"))
+        some_zero = F.count("*").over(group) < F.col("__all")
+        own = own.crossJoin(F.broadcast(total)).withColumn("__zero", some_zero).drop("__all")  # one row
+        branches = own.unionByName(unreached(branches, docs, k).withColumn("__zero", F.lit(True)))
+        x = branches.withColumns({f"{c}_norm": min_max(F.col(f"{c}_score"), group, 0.0, F.col("__zero")) for c in ("text", "image")}).drop("__zero")
+    else:
+        x = branches.withColumn("text_norm", min_max(F.col("text_score"), group, 0.0)).withColumn("image_norm", min_max(F.col("image_score"), group, 0.0))
     if micro is not None:
         m = micro.withColumn("micro_norm", min_max(F.col("score"), group, 1.0)).select("sample_id", "doc_id", "micro_norm")
         x = x.join(m, ["sample_id", "doc_id"], "left").withColumn("image_norm", F.coalesce("micro_norm", F.col("image_norm") * scale))

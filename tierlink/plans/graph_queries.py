@@ -64,11 +64,7 @@ def _(s, d):
 
 
 # -- link prediction ----------------------------------------------------------------------------------
-SMALL = "e AS (SELECT DISTINCT head, relation, tail FROM v_triples WHERE relation IN ('in region', 'in nation') AND seq < 2000000000)"
-
-
-def _geo(s, d):
-    return V.triples(s, d).where("relation in ('in region', 'in nation') and seq < 2000000000").select("head", "relation", "tail").distinct()
+EDGE = "e AS (SELECT DISTINCT head, relation, tail FROM v_triples)"
 
 
 BATCH = "b AS (SELECT n_nationkey AS qid, lower(n_name) AS head, 'in region' AS relation, lower(r_name) AS tail FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -90,29 +86,29 @@ def _(s, d):
     return G.match_counts(V.triples(s, d).select(F.col("tail").alias("k")), _batch(s, d).select("qid", F.col("head").alias("k")), ["k"])
 
 
-@query("j02_strict_negatives", f"WITH {V.TRIPLES}, {SMALL}, {BATCH}, nodes AS (SELECT head AS node FROM e UNION SELECT tail FROM e) SELECT qid, node AS candidate FROM b, nodes WHERE (head, relation, node) NOT IN (SELECT (head, relation, tail) FROM e)")
+@query("j02_strict_negatives", f"WITH {V.TRIPLES}, {EDGE}, {BATCH}, nodes AS (SELECT head AS node FROM e UNION SELECT tail FROM e) SELECT qid, node AS candidate FROM b, nodes WHERE (head, relation, node) NOT IN (SELECT (head, relation, tail) FROM e)")
 def _(s, d):
-    e = _geo(s, d)
+    e = _triples(s, d)
     nodes = e.select(F.explode(F.array("head", "tail")).alias("node")).distinct()
     return G.strict_negatives(_batch(s, d), e, nodes).select("qid", "candidate")
 
 
-@query("j03_all_negatives", f"WITH {V.TRIPLES}, {SMALL}, {BATCH} SELECT qid, node AS candidate FROM b, (SELECT head AS node FROM e UNION SELECT tail FROM e)")
+@query("j03_all_negatives", f"WITH {V.TRIPLES}, {EDGE}, {BATCH} SELECT qid, node AS candidate FROM b, (SELECT head AS node FROM e UNION SELECT tail FROM e)")
 def _(s, d):
-    nodes = _geo(s, d).select(F.explode(F.array("head", "tail")).alias("node")).distinct()
+    nodes = _triples(s, d).select(F.explode(F.array("head", "tail")).alias("node")).distinct()
     return G.all_negatives(_batch(s, d), nodes).select("qid", "candidate")
 
 
-@query("f08_remove_easy_edges", f"WITH {V.TRIPLES}, {SMALL} SELECT '3' AS kind, head, relation, tail FROM e WHERE NOT (relation = 'in region' AND tail = 'asia') UNION ALL SELECT '2', head, relation, tail FROM e WHERE (head, tail) NOT IN (SELECT (head, tail) FROM e WHERE tail = 'asia')")
+@query("f08_remove_easy_edges", f"WITH {V.TRIPLES}, {EDGE} SELECT '3' AS kind, head, relation, tail FROM e WHERE NOT (relation = 'in region' AND tail = 'asia') UNION ALL SELECT '2', head, relation, tail FROM e WHERE (head, tail) NOT IN (SELECT (head, tail) FROM e WHERE tail = 'asia')")
 def _(s, d):
-    e = _geo(s, d)
+    e = _triples(s, d)
     batch = e.where("tail = 'asia'")
     return G.remove_easy_edges(e, batch).select(F.lit("3").alias("kind"), "head", "relation", "tail").unionByName(G.remove_easy_edges(e, batch, True).select(F.lit("2").alias("kind"), "head", "relation", "tail"))
 
 
-@query("f09_beam_edge_mask", f"WITH {V.TRIPLES}, {SMALL} SELECT head, tail FROM e WHERE head <> 'nation_1'")
+@query("f09_beam_edge_mask", f"WITH {V.TRIPLES}, {EDGE} SELECT head, tail FROM e WHERE head <> 'nation_1'")
 def _(s, d):
-    return _geo(s, d).where(F.col("head") != "nation_1").select("head", "tail")
+    return _triples(s, d).where(F.col("head") != "nation_1").select("head", "tail")
 
 
 @query("f10_limit_nodes", f"WITH {V.SCORE} SELECT sample, id, score FROM v_score WHERE id IN (SELECT doc_id FROM labels)")
@@ -120,10 +116,10 @@ def _(s, d):
     return V.scores(s, d).join(table(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").select("sample", "id", "score")
 
 
-@query("g18_negatives", f"""WITH {V.TRIPLES}, {SMALL}, {BATCH}, nodes AS (SELECT head AS node FROM e UNION SELECT tail FROM e), neg AS (SELECT qid, node AS candidate, row_number() OVER (PARTITION BY qid ORDER BY node) - 1 AS k, count(*) OVER (PARTITION BY qid) AS m FROM b, nodes WHERE (head, relation, node) NOT IN (SELECT (head, relation, tail) FROM e)),
+@query("g18_negatives", f"""WITH {V.TRIPLES}, {EDGE}, {BATCH}, nodes AS (SELECT head AS node FROM e UNION SELECT tail FROM e), neg AS (SELECT qid, node AS candidate, row_number() OVER (PARTITION BY qid ORDER BY node) - 1 AS k, count(*) OVER (PARTITION BY qid) AS m FROM b, nodes WHERE (head, relation, node) NOT IN (SELECT (head, relation, tail) FROM e)),
 dr AS (SELECT DISTINCT qid, m, draw, floor(('0x' || left(md5(qid || '|' || draw || '|42'), 8))::BIGINT / 4294967296.0::DOUBLE * m)::BIGINT AS k FROM neg, (SELECT unnest(generate_series(0, 4)) AS draw)) SELECT qid, draw, candidate FROM dr JOIN neg USING (qid, k)""")
 def _(s, d):
-    e = _geo(s, d)
+    e = _triples(s, d)
     nodes = e.select(F.explode(F.array("head", "tail")).alias("node")).distinct()
     return G.sample_negatives(_batch(s, d), e, nodes, 5).select("qid", F.col("draw").cast("long").alias("draw"), "candidate")
 
@@ -140,7 +136,7 @@ def _(s, d):
 
 
 # -- message passing ------------------------------------------------------------------------------------
-STATE = E_SQL + """, x AS (SELECT node, dim, ((ascii(node) * 31 + length(node) * 7 + dim) % 10)::DOUBLE / 10 AS x FROM (SELECT head AS node FROM e UNION SELECT tail FROM e), (SELECT unnest([0, 1]) AS dim)),
+STATE = E_SQL + """, x AS (SELECT node, dim, sqrt(((ascii(node) * 31 + length(node) * 7 + dim) % 10 + 1)::DOUBLE) / 3 AS x FROM (SELECT head AS node FROM e UNION SELECT tail FROM e), (SELECT unnest([0, 1]) AS dim)),
 rl AS (SELECT relation AS rel, dim, ((length(relation) * 3 + dim) % 5)::DOUBLE / 5 + 0.1 AS r FROM (SELECT DISTINCT relation FROM e), (SELECT unnest([0, 1]) AS dim)),
 m AS (SELECT e.tail AS node, x.dim, r AS r, x AS x FROM e JOIN x ON e.head = x.node JOIN rl ON rl.rel = e.relation AND rl.dim = x.dim)"""
 
@@ -149,7 +145,8 @@ def _state(s, d):
     e = _triples(s, d)
     dims = F.explode(F.array(F.lit(0), F.lit(1))).alias("dim")
     x = e.select(F.explode(F.array("head", "tail")).alias("node")).distinct().select("node", dims)
-    x = x.withColumn("x", ((F.ascii("node") * 31 + F.length("node") * 7 + F.col("dim")) % 10).cast("double") / 10)
+    # square roots, so that no rounded mean is a tie
+    x = x.withColumn("x", F.sqrt(((F.ascii("node") * 31 + F.length("node") * 7 + F.col("dim")) % 10 + 1).cast("double")) / 3)
     rel = e.select(F.col("relation").alias("rel")).distinct().select("rel", dims)
     rel = rel.withColumn("r", ((F.length("rel") * 3 + F.col("dim")) % 5).cast("double") / 5 + 0.1)
     edges = e.select(F.col("head").alias("src"), F.col("tail").alias("dst"), F.col("relation").alias("rel"), F.lit(1.0).alias("w"))
@@ -202,13 +199,15 @@ def _(s, d):
 
 
 # -- equivalence, flows, walks ------------------------------------------------------------------------
-EQ = "q AS (SELECT 'n' || o_custkey AS a, 'n' || (o_custkey + 1 + o_orderkey % 3) AS b FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 10 < 7)"
+EQ = "q AS (SELECT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION ALL SELECT 'c' || o_custkey, 'g' || (o_custkey // 3) FROM orders)"
 
 
 @query("g10_components", f"WITH RECURSIVE {EQ}, und AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT a AS name, a AS reach FROM und UNION SELECT r.name, und.b FROM r JOIN und ON r.reach = und.a) SELECT name, min(reach) AS canonical FROM r GROUP BY name")
 def _(s, d):
-    o = table(s, d, "orders").where("o_orderstatus = 'F' and o_custkey % 10 < 7")
-    e = o.select(F.concat(F.lit("n"), F.col("o_custkey").cast("string")).alias("head"), F.concat(F.lit("n"), (F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).cast("string")).alias("tail"))
+    o = table(s, d, "orders")
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    customer = name("c", F.col("o_custkey")).alias("head")
+    e = o.select(customer, name("o", F.col("o_orderkey")).alias("tail")).unionByName(o.select(customer, name("g", F.floor(F.col("o_custkey") / 3)).alias("tail")))
     return G.canonical_names(e)
 
 
@@ -301,15 +300,16 @@ def _(s, d):
 
 
 # -- pattern matching -----------------------------------------------------------------------------------
-PAT = E_SQL + """, kn AS (SELECT head AS n FROM e UNION SELECT tail FROM e), nc AS (SELECT q, n AS name, (abs(length(n) - length(q)) % 4)::DOUBLE / 5 AS distance FROM kn, (SELECT unnest(['asia', 'nation_1', 'building']) AS q) WHERE left(n, 1) = left(q, 1) AND length(n) < 12),
+PAT = E_SQL + """, kn AS (SELECT head AS n FROM e UNION SELECT tail FROM e), nc AS (SELECT q, n AS name, (abs(length(n) - length(q)) % 4)::DOUBLE / 5 AS distance FROM kn, (SELECT unnest(['asia', 'nation_1', 'building']) AS q) WHERE left(n, 1) = left(q, 1)),
 rc AS (SELECT q, relation AS name, CASE WHEN relation = q THEN 0.0 ELSE 0.7 END::DOUBLE AS distance FROM (SELECT DISTINCT relation FROM e), (SELECT unnest(['in region', 'in nation']) AS q))"""
 
 
 def _candidates(s, d):
+    """Names with the initial of a pattern's name stand in for those that vector search would find."""
     e = _triples(s, d)
     kn = e.select(F.explode(F.array("head", "tail")).alias("name")).distinct()
     q = s.range(1).select(F.explode(F.array(F.lit("asia"), F.lit("nation_1"), F.lit("building"))).alias("q"))
-    nc = kn.join(q, F.substring("name", 1, 1) == F.substring("q", 1, 1)).where("length(name) < 12").select("q", "name", ((F.abs(F.length("name") - F.length("q")) % 4).cast("double") / 5).alias("distance"))
+    nc = kn.join(q, F.substring("name", 1, 1) == F.substring("q", 1, 1)).select("q", "name", ((F.abs(F.length("name") - F.length("q")) % 4).cast("double") / 5).alias("distance"))
     rq = s.range(1).select(F.explode(F.array(F.lit("in region"), F.lit("in nation"))).alias("q"))
     rc = e.select(F.col("relation").alias("name")).distinct().join(F.broadcast(rq)).select("q", "name", F.when(F.col("name") == F.col("q"), 0.0).otherwise(0.7).alias("distance"))
     return e, nc, rc
@@ -337,7 +337,10 @@ def _two_edge(s, d):
     return m.select(F.round("score", 6).alias("score"), "edges")
 
 
-QUERIES["g01_pattern_2edge"] = _two_edge
+BACKWARD = "bw AS (SELECT src, rel, dst, min(p) AS p FROM (SELECT head AS src, relation AS rel, tail AS dst, 0.0::DOUBLE AS p FROM e UNION ALL SELECT tail, relation, head, 0.25 FROM e) GROUP BY ALL)"
+query("g01_pattern_2edge", PAT + f", {BACKWARD}, cu AS (SELECT DISTINCT head AS name, (length(head) % 3)::DOUBLE AS nd FROM e WHERE relation = 'in nation'), m AS (SELECT round(x.p + r1.distance + nd + CASE WHEN nd <= 0.6 THEN r2.distance ELSE 0 END + y.p, 6) AS score, y.dst = x.src OR y.dst = x.dst OR x.dst = x.src AS reuse, x.src || '>' || x.rel || '>' || x.dst || ';' || y.src || '>' || y.rel || '>' || y.dst AS edges FROM bw x JOIN rc r1 ON r1.q = 'in region' AND r1.name = x.rel JOIN bw y ON y.src = x.dst JOIN cu ON cu.name = y.dst JOIN rc r2 ON r2.q = 'in nation' AND r2.name = y.rel WHERE x.src = 'asia') SELECT score, edges FROM m ORDER BY score, reuse, edges LIMIT 20")(_two_edge)
+
+
 def _reverse(s, d):
     e, nc, rc = _candidates(s, d)
     m = P.match_pattern([("asia", "in region", "UNKNOWN nation")], e, nc.where("q = 'asia' and name = 'asia'"), rc, k=20)

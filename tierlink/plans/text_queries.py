@@ -153,9 +153,18 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", T.unquote(t).alias("name"))
 
 
-@query("c19_buckets", "SELECT doc_id, CASE WHEN g BETWEEN 1 AND 6 THEN 'G1-6' WHEN g BETWEEN 7 AND 12 THEN 'G7-12' ELSE 'unknown' END AS grade FROM (SELECT doc_id, doc_id % 15 AS g FROM labels)")
+@query("c19_buckets", "SELECT doc_id, CASE WHEN g = 14 THEN 'UNKNOWN' WHEN g <= 6 THEN 'G1-6' ELSE 'G7-12' END AS grade, CASE WHEN g % 5 = 4 THEN 'OTHER' WHEN g % 3 = 0 THEN 'NAT' WHEN g % 3 = 1 THEN 'Soc' ELSE 'OTHER' END AS subject, CASE WHEN quality = 1 THEN 'IMG' WHEN toxic = 1 THEN 'TXT' ELSE 'NO' END AS modality FROM (SELECT *, doc_id % 15 AS g FROM labels)")
 def _(s, d):
-    return table(s, d, "labels").select("doc_id", T.grade_bucket(F.concat(F.lit("Grade"), (F.col("doc_id") % 15).cast("string"))).alias("grade"))
+    g = F.col("doc_id") % 15
+    grade = F.when(g == 14, "x").otherwise(F.concat(F.lit("Grade"), g.cast("string")))
+    subject = F.when(g % 5 == 4, F.lit(None)).when(g % 3 == 0, "Natural Science").when(g % 3 == 1, " social science").otherwise("Art")
+    x = table(s, d, "labels").select("doc_id", grade.alias("g"), subject.alias("s"), F.when(F.col("quality") == 1, "a.png").otherwise("null").alias("i"), F.when(F.col("toxic") == 1, "hint").otherwise(" ").alias("h"))
+    return x.select("doc_id", T.grade_bucket("g").alias("grade"), T.subject_bucket("s").alias("subject"), T.modality_bucket("i", "h").alias("modality"))
+
+
+@query("c17_normalize_text", "SELECT conv_id, turn, lower(trim(text)) AS folded, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS collapsed FROM conversations")
+def _(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", T.fold("text").alias("folded"), T.collapse_spaces("text").alias("collapsed"))
 
 
 @query("c20_model_label", "SELECT doc_id, CASE quality WHEN 1 THEN '5' ELSE '0' END AS label FROM labels")

@@ -62,11 +62,12 @@ def doc_entities(spark: SparkSession, d: str) -> DataFrame:
 DOC_ENT = """v_doc_ent AS (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^A-Za-z0-9 ]', ' ', 'g')), ' ')) AS entity FROM documents) WHERE length(entity) >= 4)"""
 
 
-def seeds(spark: SparkSession, d: str) -> DataFrame:
-    """(sample_id, entity, w): term frequencies of benchmark tokens that documents contain."""
+def seeds(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
+    """(sample_id, entity, w): term frequencies of benchmark tokens that documents contain; ``docs``: a stored ``doc_entities``."""
     words = F.explode(F.filter(F.split(T.normalize_phrase("text"), " "), lambda w: F.length(w) >= 4))
     raw = table(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), words.alias("entity")).groupBy("sample_id", "entity").agg(F.count("*").cast("double").alias("w"))
-    return raw.join(doc_entities(spark, d).select("entity").distinct(), "entity", "left_semi").select("sample_id", "entity", "w")
+    known = (docs if docs is not None else doc_entities(spark, d)).select("entity")
+    return raw.join(known.join(raw.select("entity").distinct(), "entity", "left_semi").distinct(), "entity", "left_semi").select("sample_id", "entity", "w")
 
 
 SEEDS = DOC_ENT + """, v_seed AS (SELECT sample_id, entity, count(*)::DOUBLE AS w FROM (SELECT item_id AS sample_id, unnest(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^A-Za-z0-9 ]', ' ', 'g')), ' ')) AS entity FROM benchmark)

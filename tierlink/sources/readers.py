@@ -18,9 +18,13 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
 def multimodal(spark: SparkSession, path: str) -> DataFrame:
     """S3: documents of a JSON list, or of an object keyed by id; other items are skipped."""
     raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
-    listed = raw.where(F.col("value").startswith("[")).select(F.posexplode(F.from_json("value", f"array<{MULTIMODAL}>")).alias("pos", "d"))
+    # items are parsed apart, so one that is no object doesn't spoil the others
+    def parsed(items: DataFrame, *keys: str) -> DataFrame:
+        return items.where(F.ltrim("v").startswith("{")).select("pos", *keys, F.from_json("v", MULTIMODAL).alias("d"))
+
+    listed = parsed(raw.where(F.col("value").startswith("[")).select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "v")))
     listed = listed.where("d is not null").select("pos", F.coalesce("d.doc_id", "d.title", F.concat(F.lit("doc_"), F.col("pos").cast("string"))).alias("doc_id"), "d.title", "d.text", "d.images", "d.tables")
-    keyed = raw.where(F.col("value").startswith("{")).select(F.posexplode(F.from_json("value", f"map<string,{MULTIMODAL}>")).alias("pos", "key", "d"))
+    keyed = parsed(raw.where(F.col("value").startswith("{")).select(F.posexplode(F.from_json("value", "map<string,string>")).alias("pos", "key", "v")), "key")
     keyed = keyed.where("d is not null").select("pos", F.coalesce("d.doc_id", "key").alias("doc_id"), F.coalesce("d.title", "key").alias("title"), "d.text", "d.images", "d.tables")
     return listed.unionByName(keyed)
 
@@ -30,6 +34,16 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, stric
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def stream_json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines of a folder as a stream; malformed ones are dropped."""
+    return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def last_titles(items: DataFrame) -> DataFrame:
+    """(title in lower case, doc_id) of media metadata (doc_id, title, pos); the last of a title wins."""
+    return items.where(F.trim("title") != "").groupBy(F.lower(F.trim("title")).alias("title")).agg(F.max_by("doc_id", "pos").alias("doc_id"))
+
+
 def triple_file(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """(seq, head, relation, tail) of lines with exactly three parts; file order in ``seq``."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"), F.split("value", delimiter, -1).alias("p"))

@@ -35,6 +35,26 @@ def write_metrics_csv(metrics: DataFrame, path: str, digits: int = 4) -> None:
     metrics.select("metric", F.round("value", digits).alias("value")).orderBy("metric").write.mode("append").csv(path, header=True)
 
 
+def metric_lines(metrics: DataFrame, digits: int = 4) -> DataFrame:
+    """(line) ``metric: value`` with as many digits, by name."""
+    return metrics.orderBy("metric").select(F.concat("metric", F.lit(": "), F.format_string(f"%.{digits}f", "value")).alias("line"))
+
+
+def write_predictions(predictions: DataFrame, metrics: DataFrame, folder: str) -> None:
+    """Predictions and their metrics as JSON lines side by side."""
+    write_json(predictions, f"{folder}/prediction")
+    write_json(metrics, f"{folder}/metrics")
+
+
+def judge_slice(rows: DataFrame, done: DataFrame, key: str, start: int, most: int) -> DataFrame:
+    """K9: the rows at places ``start`` to ``start + most`` by key that aren't done."""
+    from tierlink.sources.encode import numbered
+
+    placed = numbered(rows.select(key).distinct().withColumn("__o", F.col(key)), key, "__o")
+    wanted = placed.where((F.col("id") >= start) & (F.col("id") < start + most)).select(key)
+    return rows.join(wanted, key, "left_semi").join(done.select(key).distinct(), key, "left_anti")
+
+
 def content_key(*columns: str) -> F.Column:
     """K5, K6: ``doc|modality|source|md5(content)`` keys; the last column is hashed as JSON."""
     *head, body = columns
