@@ -9,7 +9,8 @@ words, or fewer at a document's end, to which the filter below applies.
 1. *Count filter.* A window that close keeps at least n - 1 - 2 * floor(rate * n) of the item's
    word pairs. Windows with fewer pairs known from any item, each counted as often as an item has
    one at most, are skipped; this loses nothing.
-2. *Embedding.* From each start that is left, the n words that follow (an item-sized window) are read
+2. *Embedding.* From the starts that are left (with free ends each second of those in a row, for items of
+   24 words or more), the n words that follow (an item-sized window) are read
    by CGK random walks: a walk puts out a word a step and moves on or stays by a coin that the word
    and the step decide, so sequences of small edit distance come out with small Hamming distance.
 3. *Bit sampling.* A key is some sampled coordinates of a walk; windows and items that share a key of
@@ -17,8 +18,8 @@ words, or fewer at a document's end, to which the filter below applies.
    the item's length and ``recall``: pairs at the limit of distance are drawn (replaced, added and
    dropped words, and all three), and the cheapest plan whose chance to miss such a pair is at most
    1 - ``recall`` for each kind is taken (``plan_for``). Closer pairs are missed less.
-4. *Verification* by the exact edit distance; with free ends, one pass over the words around the
-   candidates of an item finds the nearest passage there.
+4. *Verification* by the exact edit distance; with free ends, of candidates that hold enough of that
+   item's word pairs, one pass over the words around them finds the nearest passage there.
 
 Items of under ``min_words`` words are matched exactly, by hashes of as many words.
 
@@ -46,11 +47,11 @@ from tierlink.llm._columns import without
 
 RATE = 0.2
 RECALL = 0.999
-WALKS = (2, 4, 8, 16)
+WALKS = (2, 3, 4, 6, 8, 12, 16)
 TABLES = (2, 4, 8, 16, 32)  # of each walk
 BITS = (8, 6, 5, 4, 3, 2, 1)
-STRANGERS, VERIFY = 0.05, 500.0  # agreement of a coordinate by accident; cost of their verification in keys
-DRAWN = 200  # pairs of each kind that a plan is chosen on
+STRANGERS, VERIFY, STEP = 0.05, 200.0, 0.15  # agreement of a coordinate by accident; cost of a verification and of a walk's step, in keys
+DRAWN = 120  # pairs of each kind that a plan is chosen on
 MIN_WORDS = 5
 SPAN = 9
 SLICE_BYTES = 2 << 20
@@ -63,20 +64,30 @@ def pair_hash(word: np.ndarray) -> np.ndarray:
     return mix(word[:-1] * U64(0x9E3779B97F4A7C15) + word[1:])
 
 
+def with_item(pair: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return mix(pair ^ ((item.astype(U64) + U64(1)) * U64(0xC2B2AE3D27D4EB4F)))
+
+
 def embed(seq: np.ndarray, walks: int, columns: np.ndarray) -> np.ndarray:
-    """[walk, window, column]: coordinates ``columns`` (sorted) of the CGK walks over each row of ``seq`` [window, n]."""
+    """[column, walk, window]: coordinates ``columns`` (sorted) of the CGK walks over each row of ``seq`` [window, n]."""
     rows, n = seq.shape
-    at = np.zeros((walks, rows), np.int64)
-    out = np.zeros((walks, rows, len(columns)), U64)
-    each, k = np.arange(rows), 0
-    walk = np.arange(walks, dtype=U64)[:, None]
+    flat = np.concatenate([seq, np.zeros((rows, 1), U64)], axis=1).ravel()  # past the end a walk reads 0
+    at = np.zeros((walks, rows), np.int32) + (np.arange(rows, dtype=np.int32) * (n + 1))
+    last = np.arange(rows, dtype=np.int32) * (n + 1) + n
+    out = np.empty((len(columns), walks, rows), U64)
+    k = 0
+    coin = mix(np.arange(1, walks * (int(columns[-1]) + 1) + 1, dtype=np.uint64)).reshape(-1, walks, 1) | U64(1)
     for step in range(int(columns[-1]) + 1):
-        sym = seq[each, np.minimum(at, n - 1)]
-        sym[at >= n] = 0
+        sym = flat[at]
         while k < len(columns) and columns[k] == step:
-            out[:, :, k] = sym
+            out[k] = sym
             k += 1
-        at += (mix(sym + (walk * U64(100003) + U64(step + 1)) * U64(0xC2B2AE3D27D4EB4F)) >> U64(63)).astype(np.int64)
+        sym += coin[step] << U64(1)  # an odd number of the step keeps the coins of its symbols apart
+        sym *= coin[step]
+        sym ^= sym >> U64(29)
+        sym *= U64(0xBF58476D1CE4E5B9)
+        at += (sym >> U64(63)).astype(np.int32)
+        np.minimum(at, last, out=at)
     return out
 
 
@@ -85,20 +96,21 @@ def table_keys(seq: np.ndarray, walks: int, tables: int, bits: int) -> np.ndarra
     n = seq.shape[1]
     rng = np.random.default_rng(1000 * n)
     chosen = rng.integers(0, 2 * n, (walks, tables, bits))  # a walk has read most of the text by step 2n
+    factor = mix(np.arange(1, walks * tables * bits + 1, dtype=np.uint64)).reshape(chosen.shape) | U64(1)
     columns = np.unique(chosen)
     out = embed(seq, walks, columns)
-    keys = np.empty((len(seq), walks * tables), U64)
+    place = np.searchsorted(columns, chosen)
+    keys = np.zeros((walks * tables, len(seq)), U64)
     for walk in range(walks):
         for t in range(tables):
-            key = np.full(len(seq), U64(walk * tables + t + 1))
-            for j in np.searchsorted(columns, chosen[walk, t]):
-                key = mix(key ^ out[walk, :, j])
-            keys[:, walk * tables + t] = key
-    return keys
+            own = keys[walk * tables + t]
+            for j in range(bits):  # coordinates are hashes, so sums of multiples tell keys apart
+                own += out[place[walk, t, j], walk] * factor[walk, t, j]
+    return keys.T
 
 
-def edited(rng: np.random.Generator, n: int, most: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """A sequence of n distinct symbols, and the first n of it after ``most`` edits and with others behind."""
+def edited(rng: np.random.Generator, n: int, most: int, kind: str, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A sequence of n distinct symbols, and the first n of it after ``most`` edits, with ``lead`` others before and more behind."""
     item = rng.integers(1, 1 << 62, n, dtype=np.uint64)
     kinds = ("replace", "insert", "delete") if kind == "all" else (kind,)
     out = item.tolist()
@@ -106,34 +118,35 @@ def edited(rng: np.random.Generator, n: int, most: int, kind: str) -> tuple[np.n
         new = int(rng.integers(1, 1 << 62))
         how = kinds[int(rng.integers(len(kinds)))]
         out[k : k + 1] = {"replace": [new], "insert": [out[k], new], "delete": []}[how]
-    out += rng.integers(1, 1 << 62, n, dtype=np.uint64).tolist()
+    out = rng.integers(1, 1 << 62, lead, dtype=np.uint64).tolist() + out + rng.integers(1, 1 << 62, n, dtype=np.uint64).tolist()
     return item, np.array(out[:n], np.uint64)
 
 
 @cache
-def agreement(n: int, most: int, walks: int) -> np.ndarray:
+def agreement(n: int, most: int, walks: int, lead: int) -> np.ndarray:
     """[kind, pair, walk] share of a walk's coordinates that agree, over drawn pairs at distance ``most``."""
     rng = np.random.default_rng(n)
     columns = np.arange(2 * n)
     out = []
     for kind in ("replace", "insert", "delete", "all"):
-        a, b = (np.stack(x) for x in zip(*(edited(rng, n, most, kind) for _ in range(DRAWN)), strict=True))
-        out.append((embed(a, walks, columns) == embed(b, walks, columns)).mean(2).T)
+        a, b = (np.stack(x) for x in zip(*(edited(rng, n, most, kind, lead) for _ in range(DRAWN)), strict=True))
+        out.append((embed(a, walks, columns) == embed(b, walks, columns)).mean(0).T)
     return np.stack(out)
 
 
 @cache
-def plan_for(n: int, rate: float, recall: float) -> tuple[int, int, int]:
+def plan_for(n: int, rate: float, recall: float, lead: int = 0) -> tuple[int, int, int]:
     """(walks, tables of each, sampled coordinates) of the cheapest plan that reaches the recall at the limit of distance.
 
-    A plan costs its keys, and the verification of strangers: those that agree in each coordinate with
-    probability ``STRANGERS``. Half the misses allowed are kept in reserve, as drawn pairs are a sample.
+    A plan costs the steps of its walks, its keys, and the verification of strangers: those that agree
+    in each coordinate with probability ``STRANGERS``. Half the misses allowed are kept in reserve, as
+    drawn pairs are a sample. ``lead``: words by which a window may begin before the passage.
     """
     most = int(rate * n)
-    if not most:
+    if not most and not lead:
         return 1, 1, 8  # equal windows have equal keys
-    share = agreement(n, most, max(WALKS))
-    plans = sorted((w * t * (1 + 0.3 * b) + VERIFY * min(1.0, w * t * STRANGERS**b), w, t, b) for w in WALKS for t in TABLES for b in BITS)
+    share = agreement(n, most, max(WALKS), lead)
+    plans = sorted((w * 2 * n * STEP + w * t * (1 + 0.15 * b) + VERIFY * min(1.0, w * t * STRANGERS**b), w, t, b) for w in WALKS for t in TABLES for b in BITS)
     for _, w, t, b in plans:
         missed = np.exp(np.log1p(-np.minimum(share[:, :, :w] ** b, 1 - 1e-12)).sum(2) * t).mean(1).max()
         if missed <= (1 - recall) / 2:
@@ -141,6 +154,11 @@ def plan_for(n: int, rate: float, recall: float) -> tuple[int, int, int]:
     return max(WALKS), max(TABLES), 1
 
 
+def lead_of(n: int, free_ends: bool) -> int:
+    """Words that windows for items of n words may begin before a passage: of neighbouring starts only some are read."""
+    return int(free_ends and n >= 24)
+
+
 def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Word edit distance of each row of ``a`` to that row of ``b`` ([pair, words] each)."""
     pairs, m = a.shape
@@ -187,7 +205,7 @@ def grams(word: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Items of one chunk by word count, with their known pairs and the keys of their tables."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, min_words: int = MIN_WORDS, free_ends: bool = False, recall: float = RECALL):
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, min_words: int = MIN_WORDS, free_ends: bool = False, recall: float = RECALL, plans: dict[int, tuple[int, int, int]] | None = None):
         self.short = {}
         for n in sorted({len(w) for _, w in items if len(w) < min_words}):
             own = [(i, w) for i, w in items if len(w) == n]
@@ -200,15 +218,18 @@ class Index:
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, U64)
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.pairs & U64((1 << 20) - 1)).astype(np.int64)] = True
-        self.sizes = {}
+        self.sizes, self.item_pairs = {}, {}
         self.cap = max((int(np.unique(p, return_counts=True)[1].max()) for p in pairs), default=1)
         for n in sorted({len(w) for _, w in items}):
             own = [(i, w) for i, w in items if len(w) == n]
             seq = np.stack([w for _, w in own])
-            plan = plan_for(n, rate, recall)
+            plan = plans[n] if plans else plan_for(n, rate, recall, lead_of(n, free_ends))
             keys = table_keys(seq, *plan)
             order = np.argsort(keys, axis=None, kind="stable")
-            self.sizes[n] = (np.array([i for i, _ in own]), seq, plan, keys.ravel()[order], order // keys.shape[1], int(rate * n))
+            self.item_pairs[n] = np.unique(with_item(pair_hash(seq.T).T, np.arange(len(own))[:, None]))
+            known = np.zeros(1 << 16, bool)
+            known[keys.ravel() >> U64(48)] = True
+            self.sizes[n] = (np.array([i for i, _ in own]), seq, plan, known, keys.ravel()[order], order // keys.shape[1], int(rate * n))
 
         self.least = min((-(-max(1, n - 1 - 2 * int(rate * n)) // -(-(self.reach(n) - 1) // SPAN)) for n in self.sizes), default=1)
 
@@ -274,23 +295,39 @@ class Index:
                     yield n, some
 
     def met(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, place of the item) of windows that share a key with an item of n words."""
-        ids, _, plan, keys, holder, _ = self.sizes[n]
+        """(window, place of the item) of windows that share a key with an item of n words; a pair may come twice."""
+        ids, _, plan, known, keys, holder, _ = self.sizes[n]
         for at in range(0, len(windows), 4096):
             own = table_keys(windows[at : at + 4096, :n], *plan)
-            lo, hi = (np.searchsorted(keys, own, side) for side in ("left", "right"))
-            count = hi - lo
-            total = np.cumsum(count.sum(1))
+            window, table = np.nonzero(known[own >> U64(48)])  # most keys are none of the items'
+            own = own[window, table]
+            lo = np.searchsorted(keys, own)
+            hit = keys[np.minimum(lo, len(keys) - 1)] == own
+            window, own, lo = window[hit], own[hit], lo[hit]
+            count = np.searchsorted(keys, own, "right") - lo
+            total = np.cumsum(count)
             first = 0
-            while first < len(own):  # some windows at a time: lists of common keys are long
+            while first < len(own):  # some keys at a time: lists of common keys are long
                 upto = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + MEETINGS, "right")))
-                c = count[first:upto].ravel()
-                w = np.repeat(np.repeat(np.arange(first, upto), own.shape[1]), c)
-                inner = np.arange(len(w)) - np.repeat(np.cumsum(c) - c, c)
-                w, item = np.divmod(np.unique(w * len(ids) + holder[np.repeat(lo[first:upto].ravel(), c) + inner]), len(ids))
+                c = count[first:upto]
+                inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                w, item = np.divmod(np.unique(np.repeat(window[first:upto], c) * len(ids) + holder[np.repeat(lo[first:upto], c) + inner]), len(ids))
                 yield at + w, item
                 first = upto
 
+    def enough(self, n: int, word: np.ndarray, first: np.ndarray, stop: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether the words from ``first`` on hold as many pairs of that item as a passage within the distance does; loses nothing."""
+        m, known = self.reach(n), self.item_pairs[n]
+        need = n - 1 - 2 * self.sizes[n][-1] - lead_of(n, True)
+        out = np.ones(len(first), bool)
+        for i in range(0, len(first) if need > 0 else 0, 20_000):
+            r = slice(i, i + 20_000)
+            inside = first[r, None] + np.arange(m)
+            pair = with_item(pair_hash(word[np.minimum(inside, len(word) - 1)].T).T, item[r, None])
+            at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+            out[r] = ((known[at] == pair) & (inside[:, 1:] < stop[r, None])).sum(1) >= need
+        return out
+
     def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, item id, distance) of pairs within the distance, items of n words."""
         ids, seq, *_, most = self.sizes[n]
@@ -304,13 +341,20 @@ class Index:
     def stretches(self, n: int, word: np.ndarray, doc: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(place of the item, first word, end) of the words around windows from ``first`` on that meet an item of n words."""
         m, most = self.reach(n), self.sizes[n][-1]
+        # of starts in a row each (lead + 1)-th is read: the one before a passage's own begins some words early
+        new = np.ones(len(first), bool)
+        new[1:] = (first[1:] != first[:-1] + 1) | (doc[first[1:]] != doc[first[:-1]])
+        at = np.arange(len(first))
+        first = first[(at - np.maximum.accumulate(np.where(new, at, 0))) % (lead_of(n, True) + 1) == 0]
         begin, stop = (np.searchsorted(doc, doc[first], side) for side in ("left", "right"))
         inside = first[:, None] + np.arange(n)
         windows = np.where(inside < stop[:, None], word[np.minimum(inside, len(word) - 1)], U64(0))
         pairs = [np.stack(x) for x in self.met(n, windows)]
         w, item = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        some = self.enough(n, word, first[w], stop[w], item)
+        w, item = w[some], item[some]
         # a passage may begin some words beside a window that met its item
-        low, high = np.maximum(first - most, begin)[w], np.minimum(first + m + most, stop)[w]
+        low, high = np.maximum(first - most, begin)[w], np.minimum(first + m + most + lead_of(n, True), stop)[w]
         order = np.lexsort((low, item))
         item, low, high = item[order], low[order], high[order]
         i = 0
@@ -349,9 +393,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     place = docs.columns.index(text)
     out = docs.withColumn("leaks", F.array().cast(LEAK_SQL))
     for items in item_chunks(benchmark, item_id, item_text, chunk_words):
+        plans = {n: plan_for(n, rate, recall, lead_of(n, free_ends)) for n in sorted({len(w) for _, w in items if len(w) >= min_words})}
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items, rate, min_words, free_ends, recall)
+        def run(batches: Iterator[pa.RecordBatch], items=items, plans=plans) -> Iterator[pa.RecordBatch]:
+            index = Index(items, rate, min_words, free_ends, recall, plans)
             for batch in batches:
                 buf, off = column_bytes(batch.column(place))
                 before = batch.column(batch.num_columns - 1).to_pylist()
