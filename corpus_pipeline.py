@@ -1,4 +1,8 @@
-"""Corpus pipeline: five stages from raw documents to packed training sequences."""
+"""Corpus pipeline: five stages from raw documents to packed training sequences.
+
+In every stage: an empty table gives an empty one; rows count one by one, whether their ids repeat or
+are null; columns that operators use as results come back as they were; texts are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ from tierlink.session import materialize, ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule; a null or empty text has too few words. Equal texts fare alike."""
     return set_aside(docs, QUALITY_COLUMNS, lambda x: quality_rules(x).where("kept"))
 
 
@@ -31,24 +35,30 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (5-word shingles, similarity 0.8 or more)."""
+    """One row of each group of near copies (5-word shingles, similarity 0.8 or more), that of the least id.
+
+    Of rows of one id (or of null ids, which come last) the first in the table stays. Texts without words, null ones among them, are in no group.
+    """
     return set_aside(docs, DEDUP_COLUMNS, one_of_each)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 200-byte strings that occur elsewhere; a character cut in part goes whole."""
-    text = F.when(F.col("text").isNull(), F.lit(None)).when(F.col("n_removed") == 0, F.col("text")).otherwise(F.expr("replace(make_valid_utf8(cast(kept as string)), '\ufffd', '')"))
-    return set_aside(docs, SUFFIX_COLUMNS, lambda x: suffix_dedup(x).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))
+    """Documents without the 200-byte strings that occur elsewhere; a character cut in part goes whole.
+
+    Every place of such a string goes, the first too. A null text stays null, one that loses all is empty; no row goes.
+    """
+    text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("kept").cast("string"))
+    return set_aside(docs, SUFFIX_COLUMNS, lambda x: suffix_dedup(x, characters=True).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; null and empty texts leak none, null and empty items are leaked by none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return set_aside(docs, {"leaks"}, lambda x: find_leaks(x, benchmark, free_ends=True).where(F.size("leaks") == 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixture-controlled training sequences."""
+    """Pieces of the mixture-controlled training sequences; a null or empty text is one end token, a null source a queue of its own."""
     return pack(docs).drop("ids")
 
 

@@ -82,6 +82,19 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert got == want
 
 
+def test_suffix_dedup_at_200_bytes(spark):
+    """The cover of 200 bytes, on passages of lengths around it at any distance, within documents and across."""
+    rng = random.Random(33)
+    passages = [sentence(rng, 80)[:n] for n in (199, 200, 201, 260, 333, 420)]
+    texts = []
+    for i in range(40):
+        parts = [sentence(rng, rng.randrange(0, 25)), rng.choice(passages), sentence(rng, rng.randrange(1, 20)), rng.choice(passages)[rng.randrange(0, 60) :]]
+        texts.append(" ".join(parts[: rng.randrange(1, 5)]))
+    texts += ["ab" * 300, "x" * 200, "y" * 201, "z" * 199]
+    rows = suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), block_bytes=3000).collect()
+    assert {r["doc_id"]: r["kept"].decode() for r in rows} == dict(enumerate(without_repeats(texts)))
+
+
 @pytest.mark.parametrize("cover", sorted(suffix_dedup.COVERS))
 def test_difference_covers_are_perfect(cover):
     d = suffix_dedup.COVERS[cover]
@@ -769,6 +782,102 @@ def test_pipeline_stages(spark, tmp_path):
     assert final == {(r["doc_id"], r["start"]) for r in stage.select("doc_id", "start").collect()}
 
 
+def plain_verdict(text):
+    """Whether a text passes the quality rules, in plain Python."""
+    t = text or ""
+    w = W.findall(t)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    count = collections.Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(5)}
+    lines = [x for x in t.split("\n") if W.search(x)]
+    chars = sum(map(len, w))
+    if len(w) < 10 or 100 * len(covered) > 20 * len(w):
+        return False
+    shouted = [x for x in w if re.search("[A-Z][^A-Z]*[A-Z]", x) and not re.search("[a-z]", x)]
+    return not (
+        100 * len(re.findall(r"[#*$%&|<>]", t)) > 8 * chars
+        or chars < 2 * len(w)
+        or chars > 25 * len(w)
+        or 100 * (len(lines) - len(set(lines))) > 40 * len(lines)
+        or 2 * len(shouted) > len(w)
+        or 10 * sum(a == b for a, b in zip(w[:-1], w[1:], strict=True)) > 3 * len(w)
+        or 10 * (len(t) - len(t.replace("!!", ""))) > 3 * chars
+    )
+
+
+def without_repeats(texts, size=200):
+    """Texts without the bytes under strings of ``size`` bytes that start twice or more, less characters cut in part."""
+    raw = [(t or "").encode() for t in texts]
+    seen = collections.Counter(b[i : i + size] for b in raw for i in range(len(b) - size + 1))
+    out = []
+    for t, b in zip(texts, raw, strict=True):
+        gone = bytearray(len(b))
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                gone[i : i + size] = b"\1" * size
+        kept, at = [], 0
+        for c in t or "":
+            n = len(c.encode())
+            kept += [c] * (not any(gone[at : at + n]))
+            at += n
+        out.append("".join(kept))
+    return out
+
+
+def plain_leaks(text, item):
+    w, v = W.findall((text or "").translate(FOLD)), item.split()
+    most = int(0.2 * len(v))
+    return any(plain_edit_distance(w[s : s + m], v) <= most for m in range(len(v) - most, len(v) + most + 1) for s in range(len(w) - m + 1))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() against all five stages in plain Python, on copies, near copies, shared passages with odd characters, leaks and junk."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    item = sentence(rng, 15)
+    passage = "é\ufffd漢" * 8 + sentence(rng, 40) + "ß漢"
+    base = [sentence(rng, rng.randrange(40, 90)) for _ in range(10)]
+    texts = list(base)
+    texts += [base[0], base[0], base[1] + " more", base[1] + " again"]
+    for _ in range(4):
+        w = base[2].split()
+        w[rng.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [sentence(rng, 30) + " " + passage + " " + sentence(rng, 30 + i) for i in range(3)]
+    texts += [sentence(rng, 20) + " " + item + " " + sentence(rng, 20), sentence(rng, 25) + " " + " ".join(item.split()[1:]), "keep \ufffd this " + sentence(rng, 30)]
+    texts += [None, "", "too short", "## ** $$ " * 30, "same words here again and " * 12]
+    rows = [(i, t, "en", f"s{i % 3}", 0) for i, t in enumerate(texts)]
+    folder = write_tables(spark, tmp_path, spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    left = {i: t for i, t in enumerate(texts) if plain_verdict(t)}
+    same = components({i: shingle_set(t, 5) for i, t in left.items()}, 80)
+    left = {i: t for i, t in left.items() if same[i] == i}
+    left = dict(zip(left, without_repeats(list(left.values())), strict=True))
+    left = {i: t for i, t in left.items() if not plain_leaks(t, item)}
+    assert 10 < len(left) < len(texts) - 12 and any("\ufffd" in t for t in left.values())
+    got = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got[r["doc_id"]].append((r["start"], r["length"], r["doc_tokens"]))
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(__import__("public_tokenizers").path(packing.VOCABULARY))
+    assert set(got) == set(left)
+    for i, pieces in got.items():
+        n = len(tokenizer.encode(left[i], add_special_tokens=False).ids) + 1
+        assert sum(p[1] for p in pieces) == n and {p[2] for p in pieces} == {n}
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts) if plain_verdict(t) and same[i] == i], SCHEMA)
+    docs.write.parquet(str(tmp_path / "distinct"))
+    cut = stages["suffix_dedup"](spark, spark.read.parquet(str(tmp_path / "distinct")), folder)
+    assert {r["doc_id"]: r["text"] for r in cut.collect() if r["doc_id"] in left} == left
+
+
+def test_pipeline_of_empty_tables(spark, nothing):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
 def test_pipeline_keeps_repeated_rows_once(spark, tmp_path):
     """Repeated rows of an id and copies without an id leave one row with its text; other rows of an id stay."""
     import corpus_pipeline
