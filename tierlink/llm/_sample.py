@@ -29,4 +29,4 @@ def sampled_texts(docs: DataFrame, id_col: str, text: str, chosen: DataFrame) ->
     """(l, t): label and text of each chosen id, one row an id, in a table; texts aren't shuffled but for the chosen ones."""
     own = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("i"), F.col(text).alias("t"))
     found = own.join(F.broadcast(chosen), "i")  # bounded by the parameter of ``least_hashes`` and the number of labels
-    return materialize(found.groupBy("i").agg(F.min(F.struct("l", "t")).alias("x")).select("x.l", "x.t"))
+    return materialize(found.repartition(32, "i").groupBy("i").agg(F.min(F.struct("l", "t")).alias("x")).select("x.l", "x.t"))

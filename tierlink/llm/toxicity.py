@@ -82,9 +82,16 @@ class Known:
 
     def __init__(self, hashes: np.ndarray):
         self.table = np.unique(hashes)
+        self.terms: dict[str, frozenset[int]] = {}
         self.bitmap = np.zeros(1 << 20, bool)
         self.bitmap[(self.table & U64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def term(self, term: str) -> frozenset[int]:
+        """Indices of an identity term's features."""
+        if term not in self.terms:
+            self.terms[term] = frozenset(np.searchsorted(self.table, features_of(term)).tolist())
+        return self.terms[term]
+
     def find(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, index of feature) pairs."""
         on = self.bitmap[(h & U64((1 << 20) - 1)).astype(np.int64)]
@@ -113,7 +120,7 @@ def swapped(low: bytes, have: np.ndarray, known: Known) -> list[tuple[list[int],
     out = []
     for terms in IDENTITY_SETS:
         for t in terms:
-            if not own.issuperset(np.searchsorted(known.table, features_of(t)).tolist()) or not term_pattern(t).search(low):
+            if not own.issuperset(known.term(t)) or not term_pattern(t).search(low):
                 continue
             for u in terms:
                 if u != t:
