@@ -146,7 +146,7 @@ def fuse(branches: DataFrame, k: int = 5, cap: int | None = None, micro: DataFra
         m = micro.withColumn("micro_norm", min_max(F.col("score"), group, 1.0)).select("sample_id", "doc_id", "micro_norm")
         x = x.join(m, ["sample_id", "doc_id"], "left").withColumn("image_norm", F.coalesce("micro_norm", F.col("image_norm") * scale))
     x = x.withColumn("merged", F.greatest("text_norm", "image_norm")).withColumn("score", F.greatest("text_score", "image_score"))
-    order = Window.partitionBy("sample_id").orderBy(F.col("merged").desc(), "doc_id")
+    order = Window.partitionBy("sample_id").orderBy(F.round("merged", 9).desc(), "doc_id")  # sums in another order differ beyond
     return capped_select(x.withColumn("rank", F.row_number().over(order)), ["sample_id"], k, cap)
 
 

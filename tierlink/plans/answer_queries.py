@@ -171,7 +171,7 @@ al AS (SELECT i.item_id AS sample_id, d.doc_id, d.doc_id % 4 = 0 AS is_image FRO
 sc AS (SELECT b.sample_id, v.doc_id, sum(f.idf) AS s FROM best b JOIN v_doc_ent v USING (entity) JOIN dfs f ON f.entity = v.entity AND f.i = (v.doc_id % 4 = 0) GROUP BY ALL),
 dn AS (SELECT al.*, CASE WHEN is_image THEN 0 ELSE coalesce(s, 0) END AS ts, CASE WHEN is_image THEN coalesce(s, 0) ELSE 0 END AS iv FROM al LEFT JOIN sc USING (sample_id, doc_id) WHERE sample_id IN (SELECT sample_id FROM sc)),
 nm AS (SELECT *, min(ts) OVER w AS tl, max(ts) OVER w AS th, min(iv) OVER w AS il, max(iv) OVER w AS ih FROM dn WINDOW w AS (PARTITION BY sample_id)),
-fu AS (SELECT sample_id, doc_id, is_image, round(greatest(CASE WHEN th - tl <= 1e-8 THEN 0 ELSE (ts - tl) / (th - tl) END, CASE WHEN ih - il <= 1e-8 THEN 0 ELSE (iv - il) / (ih - il) END), 6) AS merged FROM nm),
+fu AS (SELECT sample_id, doc_id, is_image, round(greatest(CASE WHEN th - tl <= 1e-8 THEN 0 ELSE (ts - tl) / (th - tl) END, CASE WHEN ih - il <= 1e-8 THEN 0 ELSE (iv - il) / (ih - il) END), 9) AS merged FROM nm),
 rk AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY merged DESC, doc_id) AS rank FROM fu), ca AS (SELECT *, is_image AND sum(is_image::INT) OVER (PARTITION BY sample_id ORDER BY rank) > 1 AS late FROM rk)"""
 
 
@@ -182,15 +182,11 @@ def _index(s, d) -> tuple[pipelines.Index, object, object]:
     return index, V.seeds(s, d, de), table(s, d, "documents").select("doc_id", (F.col("doc_id") % 4 == 0).alias("is_image"))
 
 
-@query("r05_retrieve_all", f"WITH {R05} SELECT sample_id, doc_id, merged, row_number() OVER (PARTITION BY sample_id ORDER BY late, rank) AS position FROM ca QUALIFY position <= 5")
+@query("r05_retrieve_all", f"WITH {R05} SELECT sample_id, doc_id, round(merged, 6) AS merged, row_number() OVER (PARTITION BY sample_id ORDER BY late, rank) AS position FROM ca QUALIFY position <= 5")
 def _(s, d):
     index, seeds, docs = _index(s, d)
-    # scores are rounded before ranks are taken, as in the SQL
-    text, image = (R.top_k_idf_rank(R.best_entities(seeds, 20), x, 20) for x in (index.doc_entity, index.image_entity))
-    both = text.withColumnRenamed("score", "text_score").unionByName(image.withColumnRenamed("score", "image_score"), allowMissingColumns=True).fillna(0.0, ["text_score", "image_score"]).join(docs, "doc_id")
-    full = R.fuse(both, 50, 50, docs=docs).select("sample_id", "doc_id", "is_image", F.round("merged", 6).alias("merged"))
-    ranked = R.top_k(full, ["sample_id"], 50, "merged", "doc_id")
-    return R.capped_select(ranked, ["sample_id"], 5, 1).select("sample_id", "doc_id", "merged", F.col("position").cast("long").alias("position"))
+    got = pipelines.rank_documents(R.best_entities(seeds, 20), index, 5, 20, 1, docs=docs)
+    return got.select("sample_id", "doc_id", F.round("merged", 6).alias("merged"), F.col("position").cast("long").alias("position"))
 
 
 SPARSE = """few AS (SELECT 1 AS sample_id, 3 AS doc_id, 2.0::DOUBLE AS ts, 0.0::DOUBLE AS iv UNION ALL SELECT 1, 8, 0.0, 1.0), al AS (SELECT 1 AS sample_id, doc_id, doc_id % 4 = 0 AS is_image FROM documents), dn AS (SELECT al.*, coalesce(ts, 0) AS ts, coalesce(iv, 0) AS iv FROM al LEFT JOIN few USING (sample_id, doc_id)),
