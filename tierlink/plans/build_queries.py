@@ -225,10 +225,10 @@ def _(s, d):
     return B.incident_triples(V.micro_normalized(s, d))
 
 
-@query("j08_supporting_entities", f"WITH {V.DOC_ENT} SELECT id AS sample_id, doc_id, entity FROM (SELECT DISTINCT o_orderkey AS id, o_custkey % 200 AS doc_id FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT o_orderkey, o_orderkey % 200 FROM orders WHERE o_orderpriority = '1-URGENT') JOIN v_doc_ent USING (doc_id)")
+@query("j08_supporting_entities", f"WITH {V.DOC_ENT} SELECT id AS sample_id, doc_id, entity FROM (SELECT doc_id AS id, doc_id FROM labels UNION SELECT doc_id, doc_id + 1 FROM labels) JOIN v_doc_ent USING (doc_id)")
 def _(s, d):
-    o = table(s, d, "orders").where("o_orderpriority = '1-URGENT'")
-    samples = o.select(F.col("o_orderkey").alias("sample_id"), F.array(F.col("o_custkey") % 200, F.col("o_orderkey") % 200, F.col("o_custkey") % 200).alias("supporting_facts"))
+    x = F.col("doc_id")
+    samples = table(s, d, "labels").select(x.alias("sample_id"), F.array(x, x + 1, x).alias("supporting_facts"))
     return B.supporting_entities(samples, V.doc_entities(s, d))
 
 
