@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tierlink.llm.decontaminate import op5_query
+from tierlink.llm.filter_audit import OP12_SQL, op12_query
 from tierlink.llm.html_extract import op10_query
 from tierlink.llm.language_id import op1_query
 from tierlink.llm.license_scan import OP7_SQL, op7_query
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_quality_rules": op8_query,
     "op9_suffix_dedup": op9_query,
     "op10_html_extract": op10_query,
+    "op12_filter_audit": op12_query,
 }
 
 ORACLE_SQL = {
     "op7_license_scan": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
