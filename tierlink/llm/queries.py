@@ -10,6 +10,7 @@ from tierlink.llm.license_scan import OP7_SQL, op7_query
 from tierlink.llm.lm_scoring import op3_query
 from tierlink.llm.near_dedup import op2_query
 from tierlink.llm.packing import op4_query
+from tierlink.llm.pattern_packing import op11_query
 from tierlink.llm.quality_rules import OP8_SQL, op8_query
 from tierlink.llm.suffix_dedup import op9_query
 from tierlink.llm.toxicity import op6_query
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_query,
     "op9_suffix_dedup": op9_query,
     "op10_html_extract": op10_query,
+    "op11_pattern_packing": op11_query,
     "op12_filter_audit": op12_query,
 }
 
