@@ -11,6 +11,7 @@ from tierlink.llm.lm_scoring import op3_query
 from tierlink.llm.near_dedup import op2_query
 from tierlink.llm.packing import op4_query
 from tierlink.llm.pattern_packing import op11_query
+from tierlink.llm.prefix_trie import op13_query
 from tierlink.llm.quality_rules import OP8_SQL, op8_query
 from tierlink.llm.suffix_dedup import op9_query
 from tierlink.llm.toxicity import op6_query
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_html_extract": op10_query,
     "op11_pattern_packing": op11_query,
     "op12_filter_audit": op12_query,
+    "op13_prefix_trie": op13_query,
 }
 
 ORACLE_SQL = {
