@@ -33,11 +33,12 @@ def awkward(spark, seed=1):
     return spark.createDataFrame(awkward_rows(seed), SCHEMA)
 
 
-def write_tables(spark, folder, docs=None, benchmark=None, labels=None, pages=None):
+def write_tables(spark, folder, docs=None, benchmark=None, labels=None, pages=None, conversations=None):
     """Parquet tables of one query directory; what isn't given is empty."""
     docs = docs if docs is not None else spark.createDataFrame([], SCHEMA)
     docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
     (benchmark if benchmark is not None else spark.createDataFrame([], "item_id long, text string")).write.parquet(f"{folder}/benchmark.parquet")
     (labels if labels is not None else spark.createDataFrame([], "doc_id long, quality int, toxic int")).write.parquet(f"{folder}/labels.parquet")
     (pages if pages is not None else spark.createDataFrame([], "page_id long, url string, html string")).write.parquet(f"{folder}/pages.parquet")
+    (conversations if conversations is not None else spark.createDataFrame([], "conv_id long, turn long, role string, text string")).write.parquet(f"{folder}/conversations.parquet")
     return str(folder)

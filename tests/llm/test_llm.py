@@ -41,7 +41,8 @@ def tables(spark, tmp_path_factory):
     bench = spark.createDataFrame([(1, sentence(rng, 25)), (2, ""), (3, None), (4, "short one")], "item_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([(1, "http://a.b/x", "<p>hi</p>"), (2, None, None), (3, "odd", ""), (None, "http://a.b/y", "<div>x<p>y")], "page_id long, url string, html string")
-    return write_tables(spark, tmp_path_factory.mktemp("awkward"), awkward(spark), bench, labels, pages)
+    talks = spark.createDataFrame([(100, 0, "user", "hi"), (101, 0, "user", "hi"), (101, None, None, None), (107, 0, "user", "hi"), (107, 0, "user", "hi"), (None, 1, "user", "x")], "conv_id long, turn long, role string, text string")
+    return write_tables(spark, tmp_path_factory.mktemp("awkward"), awkward(spark), bench, labels, pages, talks)
 
 
 @pytest.fixture(scope="module")
@@ -53,8 +54,12 @@ def nothing(spark, tmp_path_factory):
 def test_awkward_tables(spark, tables, name):
     n = 4 if name.startswith("op10_") else len(awkward_rows())
     got = QUERIES[name](spark, tables).collect()
-    if name.startswith("op4_"):
+    if name.startswith(("op4_", "op11_")):
         assert sum(r["length"] for r in got if r["start"] == 0) > 0
+    elif name.startswith("op12_"):
+        assert len(got) == 1200 and {r["part"] for r in got} == {"de", "en"}
+    elif name.startswith("op13_"):
+        assert {r["conv_id"] for r in got} <= {100, 101, 107} and sum(r["depth"] == 0 for r in got) == 1
     elif not name.startswith("op5_"):
         assert len(got) == n
 
