@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tierlink.functions.numeric import softmax
 from tierlink.operators.components import connected_components
 from tierlink.session import materialize
+from tierlink.sources.encode import numbered
 
 
 # -- J1-J3, F8, F9, G18, G19: link prediction ----------------------------------------------------
@@ -54,6 +55,35 @@ def sample_negatives(batch: DataFrame, edges: DataFrame, nodes: DataFrame, n: in
     return draws.join(numbered, ["qid", "k"]).select("qid", "draw", "candidate")
 
 
+def draw_negatives(batch: DataFrame, edges: DataFrame, nodes: DataFrame, n: int, seed: int = 42, rounds: int = 64) -> DataFrame:
+    """(q, draw, candidate, attempt): ``n`` strict negatives of each batch row (q, head, relation), drawn with replacement by rejection.
+
+    Nodes are numbered once, in order of a hash; a draw is a number by hash, and those that hit a true edge (head, relation, candidate) draw
+    again in the next round, so the work is in proportion to the draws. What ``rounds`` rounds don't settle (rows
+    with next to no negatives) is an error.
+    """
+    def number(*parts: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("long")
+
+    ordered = nodes.select("node").distinct().withColumn("p", number(F.col("node")))
+    ids = materialize(numbered(ordered, "node", "p"))
+    size = ids.count()
+    true = edges.select("head", "relation", F.col("tail").alias("candidate")).distinct()
+    open_ = batch.select("q", "head", "relation").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    settled = []
+    for attempt in range(rounds):
+        at = number(F.col("q"), F.col("draw"), F.lit(attempt), F.lit(seed)) % max(size, 1)
+        drawn = open_.withColumn("id", at).join(ids.select("id", F.col("node").alias("candidate")), "id").drop("id")
+        hit = drawn.join(true.withColumn("__true", F.lit(True)), ["head", "relation", "candidate"], "left")
+        hit = materialize(hit.withColumn("attempt", F.lit(attempt)))
+        settled.append(hit.where("__true is null").select("q", "draw", "candidate", "attempt"))
+        open_ = hit.where("__true").select("q", "head", "relation", "draw")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+    left = ", ".join(str(r["q"]) for r in open_.select("q").distinct().limit(5).collect())
+    raise ValueError(f"no negative found in {rounds} rounds for {left}")
+
+
 def to_tail_form(samples: DataFrame, n_relations: int) -> DataFrame:
     """Head-corrupted rows (``corrupt_head``) turned round with the inverse relation."""
     flip = F.col("corrupt_head")
