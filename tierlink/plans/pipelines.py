@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from tierlink.functions import hooks
 from tierlink.functions import text as T
-from tierlink.operators import answers, micro
+from tierlink.operators import answers, micro, neighbours
 from tierlink.operators import build as B
 from tierlink.operators import graph as G
 from tierlink.operators import prompts as A
 from tierlink.operators import rank as R
 from tierlink.sources import sinks
+from tierlink.session import materialize
 from tierlink.sources.readers import graph_entities
 
 
@@ -45,9 +46,19 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def synonymy(entities: DataFrame, threshold: float = 0.8, k: int = 100) -> DataFrame:
-    """J9 over all phrases of more than two letters or digits, vectors by the embedding hook, queries in blocks."""
-    own = entities.where(T.alnum_len("entity") > 2).select(F.col("entity").alias("name"), hooks.apply("embed", "entity").alias("v"))
-    return G.synonymy_edges(G.nearest(own.select(F.col("name").alias("q"), "v"), own, k, "cosine"), threshold)
+    """J9 over all phrases of more than two letters or digits, vectors by the embedding hook, as a join of cells with halos."""
+    own = materialize(entities.where(T.alnum_len("entity") > 2).select(F.col("entity").alias("name")).distinct().select("name", hooks.apply("embed", "name").alias("v")))
+    return neighbours.synonyms(own, threshold, k)
+
+
+def linked(mentions: DataFrame, entities: DataFrame, k: int = 1, threshold: float = 0.0) -> DataFrame:
+    """(mention, entity, norm_score): a mention that is an entity is itself, others get their ``k`` nearest entities by the embedding hook."""
+    names = mentions.select("mention").distinct()
+    same = names.join(entities.select("entity").distinct(), F.col("mention") == F.col("entity"), "left_semi").select("mention", F.col("mention").alias("entity"), F.lit(1.0).alias("norm_score"))
+    rest = names.join(entities.select(F.col("entity").alias("mention")), "mention", "left_anti").select(F.col("mention").alias("q"), hooks.apply("embed", "mention").alias("v"))
+    index = entities.select(F.col("entity").alias("name")).distinct().select("name", hooks.apply("embed", "name").alias("v"))
+    near = G.link_scores(neighbours.knn_join(rest, index, k, "cosine")).where(F.col("norm_score") >= threshold)
+    return same.unionByName(near.select(F.col("q").alias("mention"), F.col("name").alias("entity"), "norm_score"))
 
 
 def build_index(extracted: DataFrame, facts: DataFrame, doc_ids: DataFrame, image_ids: DataFrame, synonyms: DataFrame | None = None, descriptions: DataFrame | None = None, candidates: DataFrame | None = None) -> Index:
