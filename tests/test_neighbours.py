@@ -74,3 +74,20 @@ def test_linking_and_synonyms(spark):
         assert edges == {("ada", "equivalent", "ada l"), ("ada l", "equivalent", "ada"), ("grace", "equivalent", "gracie"), ("gracie", "equivalent", "grace")}
     finally:
         hooks._KINDS["embed"] = old
+
+
+def test_graph_index(spark):
+    from tierlink.operators import neighbour_graph as NG
+
+    x = vectors(3000, 8)
+    index, queries = frame(spark, x), frame(spark, vectors(40, 8, seed=7), "q")
+    graph = NG.build_graph(index, degree=10, rounds=2, per_cell=300)
+    out = {}
+    for r in graph.collect():
+        out[r["a"]] = out.get(r["a"], 0) + 1
+        assert r["a"] != r["b"] and np.isclose(r["d"], ((x[r["a"]] - x[r["b"]]) ** 2).sum())
+    assert len(out) == 3000 and max(out.values()) <= 20
+    found, read = NG.search_graph(queries, index, graph, 5)
+    want = set(brute(vectors(40, 8, seed=7), x, 5, "l2"))
+    got = {(r["q"], r["name"]) for r in found.collect()}
+    assert len(got & want) >= 0.9 * len(want) and read < 0.6 * 40 * 3000

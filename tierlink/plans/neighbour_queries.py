@@ -60,3 +60,16 @@ def _(s, d):
     q, x = _all(s, d)
     found = N.knn_join(q, x, 10, recall=0.95, per_cell=50)
     return N.measured_recall(q, x, found, 10).withColumn("recall", F.round("recall", 6))
+
+
+@query("v02_graph_recall")
+def _(s, d):
+    """(n, recall, share): the graph index's ten neighbours of the queries of ``v01`` against exact search, and the share of vectors that its searches read."""
+    from tierlink.operators import neighbour_graph as NG
+    from tierlink.operators import vectors as VX
+    from tierlink.plans.graph_queries import _vectors
+
+    queries, index = _vectors(s, d)
+    found, read = NG.search_graph(queries, index, NG.build_graph(index), 10)
+    share = F.round(F.lit(float(read)) / (F.col("n") * index.count()), 6).alias("share")
+    return queries.agg(F.count("*").alias("n")).crossJoin(VX.recall(found, G.nearest(queries, index, 10))).select("n", F.round("recall", 6).alias("recall"), share)
