@@ -42,6 +42,11 @@ def vector_of(text: str) -> list[float]:
     return (v / max(np.linalg.norm(v), 1e-12)).astype(float).tolist()
 
 
+def token_vectors_of(text: str) -> list[tuple[str, list[float]]]:
+    """Each lower-case word with its vector."""
+    return [(w, vector_of(w)) for w in (text or "").lower().split()]
+
+
 def reply_to(prompt: str) -> str:
     """The last line of the prompt as the answer."""
     lines = (prompt or "").strip().split("\n")
@@ -57,6 +62,7 @@ _KINDS: dict[str, tuple[Callable, T.DataType]] = {
     "ner": (each(names_in), T.ArrayType(T.StringType())),
     "openie": (each(facts_in), T.ArrayType(T.ArrayType(T.StringType()))),
     "embed": (each(vector_of), T.ArrayType(T.DoubleType())),
+    "embed_tokens": (each(token_vectors_of), T.ArrayType(T.StructType().add("token", T.StringType()).add("v", T.ArrayType(T.DoubleType())))),
     "generate": (each(reply_to), T.StringType()),
 }
 
@@ -78,3 +84,54 @@ def apply(kind: str, text: Column | str) -> Column:
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, returned)(F.col(text) if isinstance(text, str) else text)
+
+
+def attempt(kind: str, text: Column | str) -> Column:
+    """The hook as a column of (value, error): a text that it fails on has the error's words and no value.
+
+    A batch that fails as a whole is tried text by text, so one bad text spoils no other.
+    """
+    model, returned = _KINDS[kind]
+
+    def one(text: str) -> tuple:
+        try:
+            return next(iter(model([text]))), None
+        except Exception as e:  # whatever a model raises is a result here, told by the caller's failure table
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch.tolist()
+            try:
+                out = [(v, None) for v in model(texts)]
+            except Exception:
+                out = [one(t) for t in texts]
+            yield pd.DataFrame({"value": pd.Series([v for v, _ in out], dtype=object), "error": pd.Series([e for _, e in out], dtype=object)})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    found = T.StructType().add("value", returned).add("error", T.StringType())
+    return F.pandas_udf(run, found)(F.col(text) if isinstance(text, str) else text)
+
+
+def with_fallbacks(make: Callable, settings: list[dict]) -> Callable:
+    """A batch function that makes its model where it runs, once a process, by the first of ``settings`` that works.
+
+    Equal settings are tried once; if none works, the error tells why each failed.
+    """
+    kept: list = []
+    once = [s for i, s in enumerate(settings) if s not in settings[:i]]
+
+    def run(texts: list) -> list:
+        if not kept:
+            errors = []
+            for s in once:
+                try:
+                    kept.append(make(**s))
+                    break
+                except Exception as e:
+                    errors.append(f"{s}: {e}")
+            else:
+                raise RuntimeError("no setting works: " + "; ".join(errors))
+        return [kept[0](t) for t in texts]
+
+    return run

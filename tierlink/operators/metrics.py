@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tierlink.functions.numeric import sigmoid, softmax
+from tierlink.session import materialize
 
 
 PARTS = 64
@@ -194,3 +196,52 @@ def rouge_l(pred: pd.Series, gold: pd.Series) -> pd.Series:
         return 2.0 * same / (len(p) + len(g)) if same else 0.0
 
     return pd.Series([one(p, g) for p, g in zip(pred, gold, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("precision", "recall", "f1")]))
+def matched(pred: pd.Series, ref: pd.Series, pred_w: pd.Series, ref_w: pd.Series) -> pd.DataFrame:
+    """Greedy matching of two texts' token vectors, either way by the most similar token of the other; weighted means."""
+    def unit(v) -> np.ndarray:
+        x = np.stack(v)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+    out = []
+    for p, r, wp, wr in zip(pred, ref, pred_w, ref_w, strict=True):
+        if p is None or r is None or not len(p) or not len(r):
+            out.append((0.0, 0.0, 0.0))
+            continue
+        a, b = unit(p), unit(r)
+        by_pred, by_ref = np.full(len(a), -np.inf), np.full(len(b), -np.inf)
+        for i in range(0, len(a), 1024):  # texts of any length in bounded memory
+            for j in range(0, len(b), 1024):
+                s = a[i : i + 1024] @ b[j : j + 1024].T
+                by_pred[i : i + 1024] = np.maximum(by_pred[i : i + 1024], s.max(1))
+                by_ref[j : j + 1024] = np.maximum(by_ref[j : j + 1024], s.max(0))
+        precision, recall = (float(m @ w / w.sum()) if w.sum() > 0 else 0.0 for m, w in ((by_pred, np.asarray(wp, float)), (by_ref, np.asarray(wr, float))))
+        out.append((precision, recall, 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0))
+    return pd.DataFrame(out, columns=["precision", "recall", "f1"])
+
+
+def bert_score(rows: DataFrame, idf: bool = True) -> DataFrame:
+    """(id, precision, recall, f1) of ``rows`` (id, prediction, references): the reference of the best F1, the first among equals.
+
+    Token vectors come from the ``embed_tokens`` hook. With ``idf`` a token weighs ln((M + 1) / (df + 1)) over the M references. Blank
+    references count as none; a blank prediction or none at all scores 0.
+    """
+    from tierlink.functions import hooks
+
+    refs = rows.select("id", "prediction", F.posexplode("references").alias("ref", "reference")).where("trim(reference) <> '' and trim(prediction) <> ''")
+    both = materialize(refs.select("id", "ref", hooks.apply("embed_tokens", "prediction").alias("p"), hooks.apply("embed_tokens", "reference").alias("r")))
+    if idf:
+        at = both.select("id", "ref", F.lit("p").alias("side"), F.posexplode("p.token").alias("i", "token")).unionByName(both.select("id", "ref", F.lit("r").alias("side"), F.posexplode("r.token").alias("i", "token")))
+        df = at.where("side = 'r'").select("id", "ref", "token").distinct().groupBy("token").agg(F.count("*").alias("df"))
+        size = both.agg(F.count("*").alias("m"))  # one row
+        weighted = at.join(df, "token", "left").join(F.broadcast(size)).withColumn("w", F.ln((F.col("m") + 1) / (F.coalesce("df", F.lit(0)) + 1)))
+        lists = weighted.groupBy("id", "ref").pivot("side", ["p", "r"]).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]))
+        both = both.join(lists.select("id", "ref", F.col("p").alias("wp"), F.col("r").alias("wr")), ["id", "ref"], "left")
+    else:
+        both = both.withColumns({"wp": F.transform("p", lambda x: F.lit(1.0)), "wr": F.transform("r", lambda x: F.lit(1.0))})
+    scored = both.select("id", "ref", matched(F.transform("p", lambda x: x["v"]), F.transform("r", lambda x: x["v"]), "wp", "wr").alias("s"))
+    best = scored.groupBy("id").agg(F.max(F.struct(F.round("s.f1", 12).alias("f"), (-F.col("ref")).alias("o"), "s")).alias("x")).select("id", "x.s.*")
+    found = rows.select("id").distinct().join(best, "id", "left")
+    return found.select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])

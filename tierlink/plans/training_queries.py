@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierlink.operators import graph as G
+from tierlink.operators import metrics as M
 from tierlink.operators import training as T
 from tierlink.operators import walks as W
 from tierlink.plans import views as V
@@ -152,3 +153,33 @@ def _(s, d):
     params, _losses = T.fit(edges, links, nodes, at, steps=2, dims=2, layers=3, negatives=3, batches=8)
     T.save_bundle(params, {"dims": 2, "layers": 3}, f"{at}/bundle")
     return T.load_bundle(s, f"{at}/bundle")[0].select("name", "key", "dim", F.round("value", 9).alias("value"))
+
+
+# -- A27: BERTScore over the token vectors of the hook --------------------------------------------------
+BERT = f"""WITH {V.PRED}, tx AS (SELECT id, 0 AS ref, response AS p, answer AS r FROM v_pred UNION ALL SELECT id, 1, response, string_split(answer, '.')[1] FROM v_pred),
+ok AS (SELECT id, ref, string_split_regex(trim(lower(p)), '\\s+') AS p, string_split_regex(trim(lower(r)), '\\s+') AS r FROM tx WHERE trim(p) <> '' AND trim(r) <> ''),
+tk AS (SELECT id, ref, 'p' AS side, unnest(p) AS token, generate_subscripts(p, 1) AS i FROM ok UNION ALL SELECT id, ref, 'r', unnest(r), generate_subscripts(r, 1) FROM ok),
+df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT id, ref, token FROM tk WHERE side = 'r') GROUP BY 1),
+v AS (SELECT tk.*, ln(((SELECT count(*) FROM ok) + 1)::DOUBLE / (coalesce(df, 0) + 1)) AS w, ('0x' || substr(md5(token), 1, 2))::INT % 64 AS d, ('0x' || substr(md5(token), 3, 2))::INT % 2 AS s FROM tk LEFT JOIN df USING (token)),
+m AS (SELECT a.id, a.ref, a.side, a.i, a.w, max(CASE WHEN a.d <> b.d THEN 0 WHEN a.s = b.s THEN 1 ELSE -1 END) AS m FROM v a JOIN v b ON a.id = b.id AND a.ref = b.ref AND a.side <> b.side GROUP BY ALL),
+x AS (SELECT id, ref, sum(m * w) FILTER (side = 'p') / sum(w) FILTER (side = 'p') AS pr, sum(m * w) FILTER (side = 'r') / sum(w) FILTER (side = 'r') AS re FROM m GROUP BY ALL),
+f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM x)
+SELECT v_pred.id, coalesce(round(pr, 6), 0) AS precision, coalesce(round(re, 6), 0) AS recall, coalesce(round(f1, 6), 0) AS f1 FROM v_pred LEFT JOIN (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(f1, 12) DESC, ref) = 1) USING (id)"""
+
+
+@query("a27_bert_score", BERT)
+def _(s, d):
+    p = V.predictions(s, d).select("id", F.col("response").alias("prediction"), F.array("answer", F.get(F.split("answer", "\\."), F.lit(0))).alias("references"))
+    found = M.bert_score(p)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# -- M16: calls in rounds ----------------------------------------------------------------------------
+@query("m16_called_in_rounds", f"WITH {V.PRED} SELECT id, 'Answer: ' || string_split(trim(response, chr(10)), chr(10))[-1] AS value FROM v_pred")
+def _(s, d):
+    """Every assistant turn as a prompt, the results of all rounds."""
+    import uuid
+
+    from tierlink.operators.calls import call_model
+
+    return call_model(V.predictions(s, d), "id", "response", f"{shared_dir(s)}/calls-{uuid.uuid4().hex}")[0].select("id", "value")
