@@ -241,6 +241,30 @@ def test_pattern_matching_is_exact(spark, pattern):
     assert sorted((round(r["score"], 9), r["reuse"], r["edges"]) for r in got.collect()) == brute_matches(pattern, facts, nodes, rels)
 
 
+@pytest.mark.parametrize("pattern", [[("P", "r", "Q")], [("P", "r", "UNKNOWN1"), ("UNKNOWN1", "s", "Q")], [("P", "r", "Q"), ("Q", "s", "UNKNOWN"), ("UNKNOWN", "r", "P")], [("UNKNOWN1", "r", "P"), ("P", "s", "Q"), ("P", "t", "UNKNOWN2")], [("P", "r", "P")]])
+@pytest.mark.parametrize("k", [1, 4])
+def test_bounded_matching_keeps_the_best(spark, pattern, k):
+    """Costs in few steps, so that many matches tie at the threshold."""
+    rng = random.Random(k + len(pattern))
+    names = [f"n{i}" for i in range(9)]
+    facts = {(rng.choice(names), rng.choice("rst"), rng.choice(names)) for _ in range(40)} | {("n1", "r", "n1")}
+    nodes = {"P": {n: rng.choice((0.0, 0.25, 0.75)) for n in names[:5]}, "Q": {n: rng.choice((0.0, 0.25, 0.75)) for n in names[2:]}}
+    rels = {"r": {"r": 0.0, "s": 0.5}, "s": {"s": 0.0, "t": 0.5}, "t": {"t": 0.0}}
+    got = P.match_pattern(pattern, *frames(spark, facts, nodes, rels), k=k)
+    assert sorted((round(r["score"], 9), r["reuse"], r["edges"]) for r in got.collect()) == brute_matches(pattern, facts, nodes, rels)[:k]
+
+
+def test_bounded_matching_makes_few_rows(spark):
+    facts = {(f"a{i}", "r", f"h{i % 20}") for i in range(400)} | {(f"h{i}", "s", f"z{j}") for i in range(20) for j in range(30)}
+    nodes = {"P": {f"a{i}": i / 400 for i in range(400)}, "Q": {f"z{j}": j / 31 for j in range(30)} | {f"y{i}": 0.0 for i in range(500)}}
+    pattern = [("P", "r", "UNKNOWN"), ("UNKNOWN", "s", "Q")]
+    f, n, r = frames(spark, facts, nodes, {"r": {"r": 0.0}, "s": {"s": 0.0}})
+    adj, rows = P.adjacency(f, False), []
+    best = P.match_component(pattern, adj, n, r, {"P": 400, "Q": 530}, 3, rows)
+    assert sum(rows) < 60 and P.match_component(pattern, adj, n, r, {"P": 400, "Q": 530}).count() == 400 * 30
+    assert sorted(round(x["score"], 9) for x in best.collect())[:3] == sorted(round(i / 400 + j / 31, 9) for i in range(400) for j in range(30))[:3]
+
+
 def test_gate_makes_the_far_node_cheaper(spark):
     facts = {("R", "any", "x1"), ("R", "any", "x2"), ("x1", "k", "y1"), ("x2", "k", "y2")}
     nodes = {"R": {"R": 0.0}, "X": {"x1": 0.1, "x2": 0.3}, "Y": {"y1": 0.5, "y2": 0.7}}

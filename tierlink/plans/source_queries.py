@@ -252,10 +252,10 @@ def _(s, d):
     return rows.crossJoin(F.broadcast(readers.json_lines(s, f"{path}/metrics", "em double")))
 
 
-@query("k12_ranking_export", f"WITH {V.SCORE}, r AS (SELECT sample AS sample_id, id, score, row_number() OVER (PARTITION BY sample ORDER BY score DESC, id) AS rank FROM v_score QUALIFY rank <= 3) SELECT sample_id, string_agg(id || ':' || coalesce(left(text, 5), ''), ',' ORDER BY rank) AS ranking FROM r LEFT JOIN documents ON doc_id = id GROUP BY 1")
+@query("k12_ranking_export", f"WITH {V.SCORE}, r AS (SELECT sample AS sample_id, id, score, row_number() OVER (PARTITION BY sample ORDER BY score DESC, id) AS rank FROM v_score QUALIFY rank <= 3) SELECT sample_id, string_agg(id || ':' || coalesce(text, ''), ',' ORDER BY rank) AS ranking FROM r LEFT JOIN documents ON doc_id = id GROUP BY 1")
 def _(s, d):
     x = V.scores(s, d).select(F.col("sample").alias("sample_id"), F.col("id").alias("doc_id"), "score")
-    out = sinks.export_ranking(x, table(s, d, "documents").select("doc_id", F.substring("text", 1, 5).alias("content")), 3)
+    out = sinks.export_ranking(x, table(s, d, "documents").select("doc_id", F.col("text").alias("content")), 3)
     return out.select("sample_id", F.array_join(F.transform("ranking", lambda r: F.concat(r["doc_id"].cast("string"), F.lit(":"), F.coalesce(r["content"], F.lit("")))), ",").alias("ranking"))
 
 
