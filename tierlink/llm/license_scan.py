@@ -10,8 +10,7 @@ ancestors with the folders that have one.
 ``scan`` also compares whole paragraphs that hold a cue (notices wrapped over lines), against wordings
 of more licenses (``WORDINGS``) and full texts (``license_texts``). There version numbers and variant
 words (lesser, affero, NonCommercial and so on) decide: a template with others than the notice, or
-than the first lines of a license file, is no match. ``op7_license_scan`` leaves this out
-(``lines_only``), as its SQL compares single lines and license files with ``TEMPLATES`` alone.
+than the first lines of a license file, is no match. ``lines_only`` leaves all this out.
 
 Only distinct cue lines are exploded into words, so copies of a header cost one comparison, and the
 templates are a small fixed table (broadcast). Folders are joined once each, not once a file. Texts are
@@ -172,36 +171,17 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", threshold: fl
     return out.withColumns({"license": best["license"], "similarity": best["similarity"], "found_in": F.when(F.col("__own").isNotNull(), "header").when(F.col("__inherited").isNotNull(), "folder")}).drop("__folder", "__mark", "__lines", "__keys", "__salt", "__own", "__inherited")
 
 
-FIRST_LINE = "^[^\n]*"
-
-
 def op7_query(spark, sf_dir: str) -> DataFrame:
-    """License of every document at ``source/lang/part{n}/doc_id.txt``; documents whose first line has a cue are ``source/lang/LICENSE-doc_id``."""
+    """License of every document by ``scan``, with a path made up of its columns.
+
+    A document that begins or ends with a cue line is its folder's LICENSE-doc_id, in ``source/lang`` or in one of
+    the folders ``source/lang/part0`` to ``part7``, where the others lie; so folders have licenses of their own, or those above, or none.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     name = F.col("doc_id").cast("string")
-    notice = F.coalesce(F.regexp_extract(F.coalesce("text", F.lit("")), FIRST_LINE, 0).rlike(CUE), F.lit(False))
-    file = F.when(notice, F.concat(F.lit("LICENSE-"), name)).otherwise(F.concat(F.lit("part"), F.pmod("doc_id", F.lit(8)).cast("string"), F.lit("/"), name, F.lit(".txt")))
-    out = scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", file)), lines_only=True)
-    return out.select("doc_id", "path", "license", "similarity", "found_in")
-
-
-_VALUES = ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(TEMPLATES))
-OP7_SQL = f"""
-WITH tpl(template, license, text) AS (VALUES {_VALUES}),
-tc AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM tpl) GROUP BY ALL),
-idf AS (SELECT term, ln(1 + {float(len(TEMPLATES))} / count(*)) AS idf FROM tc GROUP BY term),
-tw AS (SELECT template, license, term, (1 + ln(tf::DOUBLE)) * idf AS w FROM tc JOIN idf USING (term)),
-tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY 1),
-dm AS (SELECT doc_id, source, lang, text, regexp_matches(string_split(coalesce(text, ''), chr(10))[1], '{CUE}') AS mark FROM documents),
-d AS (SELECT doc_id, mark, text, concat_ws('/', source, lang) AS lang_folder, CASE WHEN mark THEN concat_ws('/', source, lang, 'LICENSE-' || doc_id) ELSE concat_ws('/', source, lang, 'part' || (doc_id % 8) || '/' || doc_id || '.txt') END AS path FROM dm),
-dl AS (SELECT DISTINCT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d UNION ALL SELECT doc_id, text FROM d WHERE mark) WHERE regexp_matches(line, '{CUE}')),
-lt AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{WORD}')) AS term FROM (SELECT DISTINCT line FROM dl)) GROUP BY ALL),
-lw AS (SELECT line, term, (1 + ln(tf::DOUBLE)) * coalesce(idf, ln(1 + {float(len(TEMPLATES))})) AS v FROM lt LEFT JOIN idf USING (term)),
-ln_ AS (SELECT line, sqrt(sum(v * v)) AS n FROM lw GROUP BY 1),
-cs AS (SELECT line, template, license, round(sum(v * w) / (any_value(norm) * any_value(n)), 6) AS similarity FROM lw JOIN tw USING (term) JOIN tn USING (template) JOIN ln_ USING (line) GROUP BY ALL),
-lb AS (SELECT line, license, similarity FROM cs WHERE similarity >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY line ORDER BY similarity DESC, template) = 1),
-own AS (SELECT doc_id, license, similarity FROM dl JOIN lb USING (line) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) = 1),
-fl AS (SELECT lang_folder, license, similarity FROM d JOIN own USING (doc_id) WHERE mark QUALIFY row_number() OVER (PARTITION BY lang_folder ORDER BY similarity DESC, license) = 1)
-SELECT d.doc_id, path, coalesce(own.license, fl.license) AS license, coalesce(own.similarity, fl.similarity) AS similarity, CASE WHEN own.license IS NOT NULL THEN 'header' WHEN fl.license IS NOT NULL THEN 'folder' END AS found_in
-FROM d LEFT JOIN own USING (doc_id) LEFT JOIN fl USING (lang_folder)
-"""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    notice = F.coalesce(F.get(lines, F.lit(0)).rlike(CUE) | F.get(lines, F.size(lines) - 1).rlike(CUE), F.lit(False))
+    part = F.concat(F.lit("part"), F.pmod("doc_id", F.lit(8)).cast("string"))
+    folder = F.when(notice & (F.pmod("doc_id", F.lit(3)) == 0), F.lit(None)).otherwise(part)
+    path = F.concat_ws("/", "source", "lang", folder, F.when(notice, F.concat(F.lit("LICENSE-"), name)).otherwise(F.concat(name, F.lit(".txt"))))
+    return scan(docs.withColumn("path", path)).select("doc_id", "path", "license", "similarity", "found_in")

@@ -6,7 +6,7 @@ from tierlink.llm.decontaminate import op5_query
 from tierlink.llm.filter_audit import OP12_SQL, op12_query
 from tierlink.llm.html_extract import op10_query
 from tierlink.llm.language_id import op1_query
-from tierlink.llm.license_scan import OP7_SQL, op7_query
+from tierlink.llm.license_scan import op7_query
 from tierlink.llm.lm_scoring import op3_query
 from tierlink.llm.near_dedup import op2_query
 from tierlink.llm.packing import op4_query
@@ -33,7 +33,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op7_license_scan": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
     "op12_filter_audit": OP12_SQL,
 }
