@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierlink.llm._blocks import BLOCK_BYTES
 from tierlink.llm._columns import set_aside
 from tierlink.llm.decontaminate import find_leaks
 from tierlink.llm.near_dedup import RESULT as DEDUP_COLUMNS
@@ -21,6 +22,10 @@ from tierlink.llm.suffix_dedup import suffix_dedup
 from tierlink.session import materialize, ship
 
 
+#: Smaller blocks than the operator's own, as executors hold what earlier stages left in their heap.
+SUFFIX_BLOCK = BLOCK_BYTES // 2
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule; a null or empty text has too few words. Equal texts fare alike."""
     return set_aside(docs, QUALITY_COLUMNS, lambda x: quality_rules(x).where("kept"))
@@ -48,7 +53,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Every place of such a string goes, the first too. A null text stays null, one that loses all is empty; no row goes.
     """
     text = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("kept").cast("string"))
-    return set_aside(docs, SUFFIX_COLUMNS, lambda x: suffix_dedup(x, characters=True).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))
+    return set_aside(docs, SUFFIX_COLUMNS, lambda x: suffix_dedup(x, block_bytes=SUFFIX_BLOCK, characters=True).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
