@@ -162,13 +162,34 @@ def soft_size(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(F.when(p > 0.5, p).otherwise(0.0)).alias("size"))
 
 
+def with_nulls(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` with the other columns of ``b`` where all keys are the same, null keys too."""
+    names = {k: f"__b{i}" for i, k in enumerate(keys)}
+    other = b.withColumnsRenamed(names)
+    return a.join(other, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]).drop(*names.values())
+
+
 def interval_union(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Maximal disjoint [start, stop) intervals that cover the given ones."""
-    events = spans.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("d")))).alias("e")).groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    run = Window.partitionBy(*keys).orderBy("at")
-    depth = events.withColumn("depth", F.sum("d").over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("depth") - F.col("d"))
-    cuts = depth.where("(before = 0) <> (depth = 0)").withColumn("stop", F.lead("at").over(run))
-    return cuts.where("depth > 0").select(*keys, F.col("at").alias("start"), "stop")
+    """Maximal disjoint [start, stop) intervals that cover the given ones; empty and null ones cover nothing.
+
+    A group's places are cut into ranges by quantiles. Depths run within a range from the sum of those before; an interval
+    that a range leaves open ends at the first stop of a later one. Windows over a whole group see a row a range.
+    """
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("d")))
+    events = spans.where("start < stop").select(*keys, F.explode(ends).alias("e")).groupBy(*keys, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    events = materialize(events.where("d <> 0"))  # a place where as many begin as end doesn't change the depth
+    quantiles = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    cuts = events.groupBy(*keys).agg(F.percentile_approx("at", quantiles, 1000).alias("__cuts"))
+    placed = with_nulls(events, cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("at")))).drop("__cuts")
+    parts = placed.groupBy(*keys, "__part").agg(F.sum("d").alias("__n"))
+    before = parts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    run = Window.partitionBy(*keys, "__part").orderBy("at")
+    depth = with_nulls(placed, before, [*keys, "__part"]).withColumn("depth", F.col("__before") + F.sum("d").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = depth.where("(depth - d = 0) <> (depth = 0)").withColumn("stop", F.lead("at").over(run))
+    later = edges.groupBy(*keys, "__part").agg(F.min(F.when(F.col("depth") == 0, F.col("at"))).alias("__first"))
+    after = later.withColumn("__after", F.min("__first").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(1, Window.unboundedFollowing))).drop("__first")
+    starts = edges.where("depth > 0")
+    return with_nulls(starts, after, [*keys, "__part"]).select(*keys, F.col("at").alias("start"), F.coalesce("stop", "__after").alias("stop"))
 
 
 def variadic_concat(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

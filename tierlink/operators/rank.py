@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierlink.functions import text as T
-from tierlink.functions.numeric import min_max
+from tierlink.functions.numeric import is_close
+from tierlink.operators.metrics import with_nulls
 
 
 def top_k(scores: DataFrame, keys: list[str], k: int, score: str = "score", tie: str = "id") -> DataFrame:
@@ -99,15 +100,35 @@ def merge_sum(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("sample_id", "doc_id", "score").unionByName(b.select("sample_id", "doc_id", "score")).groupBy("sample_id", "doc_id").agg(F.sum("score").alias("score"))
 
 
-def capped_select(ranked: DataFrame, keys: list[str], k: int, cap: int | None) -> DataFrame:
-    """Walk by rank, skip images beyond ``cap``, stop at k, then fill up with the skipped ones by rank.
+def capped_select(ranked: DataFrame, keys: list[str], k: int, cap: int | None, by: list[Column | str] = ["rank"]) -> DataFrame:
+    """Walk in the order ``by``, skip images beyond ``cap``, stop at k, then fill up with the skipped ones in order.
 
-    ``ranked``: (keys, rank, is_image, ...); adds ``position``.
+    ``ranked``: (keys, is_image, ...); adds ``position``. Either kind is taken in its order, so only its
+    first k rows can be: they are told apart before the exchange, and no task orders all rows of a group.
     """
-    images = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    late = (F.col("is_image") & (F.sum(F.col("is_image").cast("int")).over(images) > cap)) if cap is not None else F.lit(False)
-    order = Window.partitionBy(*keys).orderBy("__late", "rank")
-    return ranked.withColumn("__late", late).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).drop("__late")
+    kind = Window.partitionBy(*keys, "is_image").orderBy(*by)
+    first = ranked.withColumn("__n", F.row_number().over(kind)).where(F.col("__n") <= k)
+    late = (F.col("is_image") & (F.col("__n") > cap)) if cap is not None else F.lit(False)
+    order = Window.partitionBy(*keys).orderBy("__late", *by)
+    return first.withColumn("__late", late).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).drop("__late", "__n")
+
+
+def scaled(scores: DataFrame, keys: list[str], columns: dict[str, str], constant: float, zero: DataFrame | None = None) -> DataFrame:
+    """``scores`` plus each named column scaled to 0..1 over its group, ``constant`` where all are close.
+
+    Least and greatest come by aggregation and join, so a large group isn't gathered. ``zero`` (keys,
+    __zero): groups that count as if they held a 0 too.
+    """
+    ends = scores.groupBy(*keys).agg(*[f(c).alias(f"__{n}_{end}") for n, c in columns.items() for end, f in (("lo", F.min), ("hi", F.max))])
+    if zero is not None:
+        ends = ends.join(zero, keys, "left")
+        bound = {"lo": F.least, "hi": F.greatest}
+        ends = ends.withColumns({f"__{n}_{end}": F.when(F.col("__zero"), f(F.col(f"__{n}_{end}"), F.lit(0.0))).otherwise(F.col(f"__{n}_{end}")) for n in columns for end, f in bound.items()}).drop("__zero")
+    out = with_nulls(scores, ends, keys)
+    for n, c in columns.items():
+        lo, hi = F.col(f"__{n}_lo"), F.col(f"__{n}_hi")
+        out = out.withColumn(n, F.when(is_close(hi, lo), F.lit(constant)).otherwise((F.col(c) - lo) / (hi - lo))).drop(lo, hi)
+    return out
 
 
 def unreached(branches: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -132,22 +153,21 @@ def fuse(branches: DataFrame, k: int = 5, cap: int | None = None, micro: DataFra
     ``docs`` (doc_id, is_image), each document once: those that ``branches`` lacks count with scores of
     0, as if all were listed: 0 enters the scales, and they fill a selection of fewer than k.
     """
-    group = Window.partitionBy("sample_id")
+    own = branches.select("sample_id", "doc_id", "text_score", "image_score", "is_image")
     if docs is not None:
-        own = branches.select("sample_id", "doc_id", "text_score", "image_score", "is_image")
+        reached = own.groupBy("sample_id").agg(F.count("*").alias("__own"))
         total = docs.agg(F.count("*").alias("__all"))
-        some_zero = F.count("*").over(group) < F.col("__all")
-        own = own.crossJoin(F.broadcast(total)).withColumn("__zero", some_zero).drop("__all")  # one row
-        branches = own.unionByName(unreached(branches, docs, k).withColumn("__zero", F.lit(True)))
-        x = branches.withColumns({f"{c}_norm": min_max(F.col(f"{c}_score"), group, 0.0, F.col("__zero")) for c in ("text", "image")}).drop("__zero")
+        zero = reached.crossJoin(F.broadcast(total)).select("sample_id", (F.col("__own") < F.col("__all")).alias("__zero"))  # one row
+        x = own.unionByName(unreached(own, docs, k))
     else:
-        x = branches.withColumn("text_norm", min_max(F.col("text_score"), group, 0.0)).withColumn("image_norm", min_max(F.col("image_score"), group, 0.0))
+        x, zero = own, None
+    x = scaled(x, ["sample_id"], {"text_norm": "text_score", "image_norm": "image_score"}, 0.0, zero)
     if micro is not None:
-        m = micro.withColumn("micro_norm", min_max(F.col("score"), group, 1.0)).select("sample_id", "doc_id", "micro_norm")
+        m = scaled(micro, ["sample_id"], {"micro_norm": "score"}, 1.0).select("sample_id", "doc_id", "micro_norm")
         x = x.join(m, ["sample_id", "doc_id"], "left").withColumn("image_norm", F.coalesce("micro_norm", F.col("image_norm") * scale))
     x = x.withColumn("merged", F.greatest("text_norm", "image_norm")).withColumn("score", F.greatest("text_score", "image_score"))
-    order = Window.partitionBy("sample_id").orderBy(F.round("merged", 9).desc(), "doc_id")  # sums in another order differ beyond
-    return capped_select(x.withColumn("rank", F.row_number().over(order)), ["sample_id"], k, cap)
+    order = [F.round("merged", 9).desc(), F.col("doc_id")]  # sums in another order differ beyond
+    return capped_select(x, ["sample_id"], k, cap, order)
 
 
 def expand_seeds(seeds: DataFrame, extra: DataFrame, vocabulary: DataFrame) -> DataFrame:

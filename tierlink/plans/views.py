@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierlink.functions import text as T
+from tierlink.operators.containment import containing
 from tierlink.session import table
 
 BIG = 1_000_000_000
@@ -124,8 +125,8 @@ SCORE = "v_score AS (SELECT event_type AS sample, event_id AS id, value::DOUBLE
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, doc_id): documents that hold a benchmark text whole."""
-    b = F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), F.col("text").alias("t")))
-    return table(spark, d, "documents").join(b, F.expr("contains(text, t)")).select("sample_id", "doc_id")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("sample_id"), "text")
+    return containing(table(spark, d, "documents").select("doc_id", "text"), items, "doc_id", "sample_id").select("sample_id", "doc_id")
 
 
 GOLD = "v_gold AS (SELECT item_id AS sample_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
