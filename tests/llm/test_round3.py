@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import SCHEMA, awkward, awkward_rows, sentence, write_tables  # noqa: E402
 
-from tierlink.llm import filter_audit, pattern_packing, prefix_trie  # noqa: E402
+from tierlink.llm import decontaminate, filter_audit, pattern_packing, prefix_trie  # noqa: E402
 
 ODD = ["", "<|endoftext|> in a text <|endoftext|>", "it's we'll  two  spaces\n\n\ttabs \r\n", "ünï cödé 漢字 🙂🙂  x y", "a" * 3000, "1234567 12.5e-7", "\x00\x01 \x7f", "'Tis 'S 'LL ''", " lead", "trail  "]
 
@@ -272,3 +272,30 @@ def test_awkward_documents_pack_alike_in_any_order(spark):
     docs = awkward(spark).select("doc_id", "text")
     a, b = (pattern_packing.pack_patterns(d).select("sequence_id").distinct().count() for d in (docs.coalesce(1), docs.repartition(4, "text")))
     assert a == b
+
+
+@pytest.mark.parametrize("free_ends", [False, True])
+@pytest.mark.parametrize("sizes", [(24, 100, 500), (800, 1500), (5000,)])
+def test_long_items_are_found_at_the_limit(spark, free_ends, sizes):
+    """Items of 24 to 5,000 words after edits of one fifth: each kind is found, also where no plan reaches the recall."""
+    rng = np.random.default_rng(12)
+    docs, items, want = [], [], set()
+    for n in sizes:
+        for kind in ("replace", "insert", "delete", "all") if n < 5000 else ("insert", "delete"):
+            item = rng.integers(1, 1 << 62, n).tolist()
+            changed = list(item)  # windows of n words lose at their end what is put in
+            for k in sorted(rng.choice(n, int((0.2 if free_ends or kind == "replace" else 0.08) * n), replace=False).tolist(), reverse=True):
+                new, how = int(rng.integers(1, 1 << 62)), kind if kind != "all" else ("replace", "insert", "delete")[k % 3]
+                changed[k : k + 1] = {"replace": [new], "insert": [changed[k], new], "delete": []}[how]
+            around = rng.integers(1, 1 << 62, 40 + n // 5).tolist()
+            docs.append((len(docs), " ".join(map(str, [*around, *changed, *around]))))
+            items.append((len(items), " ".join(map(str, item))))
+            want.add((docs[-1][0], items[-1][0]))
+    docs += [(len(docs), " ".join(map(str, rng.integers(1, 1 << 62, 6000).tolist()))), (len(docs) + 1, None)]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), free_ends=free_ends)
+    assert {(r["doc_id"], x["item_id"]) for r in found.collect() for x in r["leaks"]} == want
+
+
+def test_plans_end_where_none_reaches_the_recall():
+    assert decontaminate.plan_for(5000, 0.2, 0.999, 1) is None and decontaminate.plan_for(60, 0.2, 1.0) is None
+    assert decontaminate.plan_for(60, 0.2, 0.999, 1) is not None

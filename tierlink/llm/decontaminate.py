@@ -52,6 +52,8 @@ TABLES = (2, 4, 8, 16, 32)  # of each walk
 BITS = (8, 6, 5, 4, 3, 2, 1)
 STRANGERS, VERIFY, STEP = 0.05, 200.0, 0.15  # agreement of a coordinate by accident; cost of a verification and of a walk's step, in keys
 DRAWN = 120  # pairs of each kind that a plan is chosen on
+PLANNED = 1024  # words; no plan is looked for beyond, as none fits from some 800 on
+CELLS = 4_000_000  # numbers of an array of windows
 MIN_WORDS = 5
 SPAN = 9
 SLICE_BYTES = 2 << 20
@@ -135,14 +137,19 @@ def agreement(n: int, most: int, walks: int, lead: int) -> np.ndarray:
 
 
 @cache
-def plan_for(n: int, rate: float, recall: float, lead: int = 0) -> tuple[int, int, int]:
+def plan_for(n: int, rate: float, recall: float, lead: int = 0) -> tuple[int, int, int] | None:
     """(walks, tables of each, sampled coordinates) of the cheapest plan that reaches the recall at the limit of distance.
 
+    None if no plan does, as for items of about 800 words and more, or with a recall of 1: such items are
+    searched exactly, by the count filters, which lose nothing, and verification.
+
     A plan costs the steps of its walks, its keys, and the verification of strangers: those that agree
     in each coordinate with probability ``STRANGERS``. Half the misses allowed are kept in reserve, as
     drawn pairs are a sample. ``lead``: words by which a window may begin before the passage.
     """
     most = int(rate * n)
+    if recall >= 1 or n > PLANNED:
+        return None
     if not most and not lead:
         return 1, 1, 8  # equal windows have equal keys
     share = agreement(n, most, max(WALKS), lead)
@@ -151,7 +158,12 @@ def plan_for(n: int, rate: float, recall: float, lead: int = 0) -> tuple[int, in
         missed = np.exp(np.log1p(-np.minimum(share[:, :, :w] ** b, 1 - 1e-12)).sum(2) * t).mean(1).max()
         if missed <= (1 - recall) / 2:
             return w, t, b
-    return max(WALKS), max(TABLES), 1
+    return None
+
+
+def at_a_time(width: int, most: int = 20_000) -> int:
+    """Rows of that width in an array of bounded size."""
+    return max(1, min(most, CELLS // max(1, width)))
 
 
 def lead_of(n: int, free_ends: bool) -> int:
@@ -205,7 +217,7 @@ def grams(word: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """Items of one chunk by word count, with their known pairs and the keys of their tables."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, min_words: int = MIN_WORDS, free_ends: bool = False, recall: float = RECALL, plans: dict[int, tuple[int, int, int]] | None = None):
+    def __init__(self, items: list[tuple[int, np.ndarray]], rate: float, min_words: int = MIN_WORDS, free_ends: bool = False, recall: float = RECALL, plans: dict[int, tuple[int, int, int] | None] | None = None):
         self.short = {}
         for n in sorted({len(w) for _, w in items if len(w) < min_words}):
             own = [(i, w) for i, w in items if len(w) == n]
@@ -224,7 +236,7 @@ class Index:
             own = [(i, w) for i, w in items if len(w) == n]
             seq = np.stack([w for _, w in own])
             plan = plans[n] if plans else plan_for(n, rate, recall, lead_of(n, free_ends))
-            keys = table_keys(seq, *plan)
+            keys = table_keys(seq, *plan) if plan else np.zeros((len(seq), 1), U64)
             order = np.argsort(keys, axis=None, kind="stable")
             self.item_pairs[n] = np.unique(with_item(pair_hash(seq.T).T, np.arange(len(own))[:, None]))
             known = np.zeros(1 << 16, bool)
@@ -283,8 +295,9 @@ class Index:
             else:
                 first = near[near + n <= len(word)]
                 first = first[(total[first + n - 1] - total[first] >= need) & (doc[first + n - 1] == doc[first])]
-            for i in range(0, len(first), 20_000):
-                some = first[i : i + 20_000]
+            step = at_a_time(m)
+            for i in range(0, len(first), step):
+                some = first[i : i + step]
                 inside = some[:, None] + np.arange(m - 1)
                 inside = np.where(inside < last[some][:, None], inside, len(hit) - 1)
                 known = np.where(hit[inside] & (inside < last[some][:, None]), pair[inside], U64(0))
@@ -295,10 +308,18 @@ class Index:
                     yield n, some
 
     def met(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, place of the item) of windows that share a key with an item of n words; a pair may come twice."""
+        """(window, place of the item) of windows that share a key with an item of n words, or all without a plan; a pair may come twice."""
         ids, _, plan, known, keys, holder, _ = self.sizes[n]
-        for at in range(0, len(windows), 4096):
-            own = table_keys(windows[at : at + 4096, :n], *plan)
+        if plan is None:
+            step = max(1, MEETINGS // len(ids))
+            for at in range(0, len(windows), step):
+                w, item = np.divmod(np.arange(min(step, len(windows) - at) * len(ids)), len(ids))
+                yield at + w, item
+            return
+        walks, tables, bits = plan
+        step = max(64, min(4096, (1 << 24) // (walks * tables * bits * walks)))
+        for at in range(0, len(windows), step):
+            own = table_keys(windows[at : at + step, :n], *plan)
             window, table = np.nonzero(known[own >> U64(48)])  # most keys are none of the items'
             own = own[window, table]
             lo = np.searchsorted(keys, own)
@@ -320,8 +341,9 @@ class Index:
         m, known = self.reach(n), self.item_pairs[n]
         need = n - 1 - 2 * self.sizes[n][-1] - lead_of(n, True)
         out = np.ones(len(first), bool)
-        for i in range(0, len(first) if need > 0 else 0, 20_000):
-            r = slice(i, i + 20_000)
+        step = at_a_time(m)
+        for i in range(0, len(first) if need > 0 else 0, step):
+            r = slice(i, i + step)
             inside = first[r, None] + np.arange(m)
             pair = with_item(pair_hash(word[np.minimum(inside, len(word) - 1)].T).T, item[r, None])
             at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
@@ -331,9 +353,15 @@ class Index:
     def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(window, item id, distance) of pairs within the distance, items of n words."""
         ids, seq, *_, most = self.sizes[n]
+        step, need, known = at_a_time(n, 50_000), n - 1 - 2 * most, self.item_pairs[n]
         for w, item in self.met(n, windows):
-            for i in range(0, len(w), 50_000):
-                x, y = w[i : i + 50_000], item[i : i + 50_000]
+            for i in range(0, len(w), step):
+                x, y = w[i : i + step], item[i : i + step]
+                if self.sizes[n][2] is None:
+                    pair = with_item(pair_hash(windows[x].T).T, y[:, None])
+                    held = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
+                    some = held.sum(1) >= need
+                    x, y = x[some], y[some]
                 distance = edit_distances(windows[x], seq[y])
                 ok = distance <= most
                 yield x[ok], ids[y[ok]], distance[ok]
@@ -346,15 +374,20 @@ class Index:
         new[1:] = (first[1:] != first[:-1] + 1) | (doc[first[1:]] != doc[first[:-1]])
         at = np.arange(len(first))
         first = first[(at - np.maximum.accumulate(np.where(new, at, 0))) % (lead_of(n, True) + 1) == 0]
-        begin, stop = (np.searchsorted(doc, doc[first], side) for side in ("left", "right"))
-        inside = first[:, None] + np.arange(n)
-        windows = np.where(inside < stop[:, None], word[np.minimum(inside, len(word) - 1)], U64(0))
-        pairs = [np.stack(x) for x in self.met(n, windows)]
-        w, item = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        some = self.enough(n, word, first[w], stop[w], item)
-        w, item = w[some], item[some]
-        # a passage may begin some words beside a window that met its item
-        low, high = np.maximum(first - most, begin)[w], np.minimum(first + m + most + lead_of(n, True), stop)[w]
+        parts = [np.zeros((3, 0), np.int64)]
+        step = at_a_time(m)
+        for i in range(0, len(first), step):
+            some = first[i : i + step]
+            begin, stop = (np.searchsorted(doc, doc[some], side) for side in ("left", "right"))
+            inside = some[:, None] + np.arange(n)
+            windows = np.where(inside < stop[:, None], word[np.minimum(inside, len(word) - 1)], U64(0))
+            for w, item in self.met(n, windows):
+                ok = self.enough(n, word, some[w], stop[w], item)
+                w, item = w[ok], item[ok]
+                # a passage may begin some words beside a window that met its item
+                low, high = np.maximum(some - most, begin)[w], np.minimum(some + m + most + lead_of(n, True), stop)[w]
+                parts.append(np.stack([item, low, high]))
+        item, low, high = np.concatenate(parts, axis=1)
         order = np.lexsort((low, item))
         item, low, high = item[order], low[order], high[order]
         i = 0
@@ -431,8 +464,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                         for k, item, e in zip(w.tolist(), ids.tolist(), distance.tolist(), strict=True):
                             note(int(row[k]), item, (e, int(first[k]), n, int(b0[k]), int(b1[k])))
                 near.sort(key=lambda x: len(x[0]))
-                for at in range(0, len(near), 2000):  # alike in length
+                at = 0
+                while at < len(near):  # alike in length
                     part = near[at : at + 2000]
+                    part = part[: at_a_time(len(part[-1][0]), 2000)]
+                    at += len(part)
                     for (_, n, item, row, first, b0, b1), e, x, y in zip(part, *(v.tolist() for v in nearest_passages([p[0] for p in part], [index.sizes[p[1]][1][p[2]] for p in part])), strict=True):
                         ids, *_, most = index.sizes[n]
                         if e <= most:
