@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, releasing, row_slices, words
+from tierlink.llm._bytes import LOWER, U64, Fingerprints, column_bytes, mix, releasing, row_slices
 from tierlink.llm._columns import without
 from tierlink.llm._sample import least_hashes, sampled_texts
 
@@ -48,21 +48,21 @@ IDENTITY_SETS = (
 PREFIXES = (4, 5, 6, 7, 8)
 CHANGE = pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32()))])
 PER_CLASS = 3000
-FEATURES = 2048
+FEATURES = 512
 SLICE_BYTES = 1 << 20
-EDGE = np.ones(256, bool)  # bytes that are stripped from both ends of a word
+EDGE = np.ones(256, bool)  # bytes that words don't hold
 EDGE[48:58] = EDGE[65:91] = EDGE[97:123] = EDGE[128:] = False
 
 
 def word_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(feature hash, document) of each word and of its beginnings; lower case, no outer punctuation."""
+    """(feature hash, document) of each word and of its beginnings; lower case, words end at any punctuation."""
     low = LOWER[buf]
-    start, end, doc = words(low, off)
-    inner = np.concatenate([[0], np.cumsum(~EDGE[low])])
-    solid = np.flatnonzero(~EDGE[low])
-    ok = inner[end] > inner[start]
-    start, end, doc = start[ok], end[ok], doc[ok]
-    start, end = solid[inner[start]], solid[inner[end] - 1] + 1
+    solid = np.concatenate([[False], ~EDGE[low], [False]])
+    first = np.zeros(len(low) + 1, bool)
+    first[off] = True  # a word ends with its document
+    start = np.flatnonzero(solid[1:] & (~solid[:-1] | first))
+    end = np.flatnonzero(solid[:-1] & (~solid[1:] | first))
+    doc = np.searchsorted(off, start, "right") - 1
     prints = Fingerprints(low)
     hashes, docs = [prints.of(start, end)], [doc]
     for k in PREFIXES:
@@ -159,7 +159,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, changed: list[tuple[list[int],
     return w[:d], float(w[d])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, per_class: int = PER_CLASS, features: int = FEATURES, ridge: float = 1e-5, penalty: float = 1.0) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, per_class: int = PER_CLASS, features: int = FEATURES, ridge: float = 1e-4, penalty: float = 1.0) -> Model | None:
     """Model of a bounded sample of labelled ``docs`` (label 0 or 1); None without both classes."""
     labelled = labels.select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("l")).where("l in (0, 1)")
     sample = sampled_texts(docs, id_col, text, least_hashes(labelled, per_class)).select(F.col("l").alias("y"), "t")
