@@ -6,22 +6,27 @@ groups of fields, each of which may be optional (``?``) or repeated (``+``); a f
 or a text slot. It is inferred by aligning the token streams of pages one after another: runs of one
 token become repeated fields, sequences of tokens that follow themselves become repeated groups,
 tokens that only one side has become optional, and texts that differ become slots. Then the wrapper
-says which fields are main text: those of the region that holds the article. That is the container
-that HTML or its names call content, else the one whose slots hold most text outside links. All of
-the region is main, literals too, but for what is marked up or named as navigation, forms, adverts
-and the like inside it; only where the region is the whole page, fields that stay the same over three
-pages or more are the template's. A page is then matched with its wrapper, literals with equal text
-only, and the texts that main fields take are its main text.
+says which fields are main text: those of the region that holds the article. Regions are weighed by
+the text their fields hold outside links: text that stays the same over three pages or more is the
+template's and weighs next to nothing, so a box of fixed words is not the article, whatever it is
+called, and a box whose text varies from page to page can be, even if it is called a sidebar. Names
+and HTML elements multiply that weight (``NAMED``) and so decide between regions that vary alike. All of
+the region is main but for what is marked up or named as navigation, forms, adverts and the like
+inside it; in a region that nothing names as content, fields that stay the same are left out too. A
+page is then matched with its wrapper, literals with equal text only, and the texts that main fields
+take are its main text. Where groups can be read in more than one way and the page's reading isn't
+the wrapper's, each field of the page goes by the wrapper's field of the same container and text.
 
 A host may have many templates, so it has a wrapper for each structure of its pages: the outermost
 containers of the best content rank a page has, or all containers that may hold main text if none
 is named as content. Every page takes part: a task aligns its pages of a structure to one partial
-wrapper, and the partial wrappers of a structure, one a task or few, are aligned in turn. So a hot
-host's pages are never gathered. Wrappers are broadcast if they measure little, else joined to
+wrapper, and the partial wrappers of a structure, one a task or few, are aligned in a tree that takes
+the wrappers of ``FAN_IN`` tasks at a time. So neither a hot host's pages nor its partial wrappers are
+ever gathered in one task. Wrappers are broadcast if they measure little, else joined to
 pages by host and structure, a join whose skew AQE can split.
 
 Defined cases: a null or empty html gives an empty text; pages without a host (null or odd url)
-share wrappers as if of one host; a page that its wrapper doesn't match gets one of its own; copies of a
+share wrappers as if of one host; a page with a container that its wrapper lacks gets one of its own; copies of a
 page count once towards texts that stay the same; repeated rows give equal rows; an empty table gives
 an empty result; ties between regions go to the shorter, then the later path; an input column named
 ``text`` or ``n_chars`` is replaced, other columns pass through; pages are read whole in linear time,
@@ -41,16 +46,19 @@ from functools import lru_cache
 from hashlib import blake2b
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.session import broadcast_if_small
 
-CONSTANT = 3  # distinct pages a text must stay the same on to be no main text
+CONSTANT = 3  # distinct pages a text must stay the same on to be the template's
+FIXED = 1 / 16384  # weight of a character of such text: so little that a box named as content loses to a varying one named otherwise
+NAMED = {2: 256, 1: 4, 0: 1, -1: 1 / 1024}  # weight of a region by its content rank; -1: named as no main text
+FAN_IN = 256  # tasks whose partial wrappers one task aligns
 HELD_CHARS = 16 << 20  # partial wrappers a task holds before it hands them on
-DEEP = 256  # containers of a path; what is nested deeper counts to the last of them
-GROUP = 8  # fields that a repeated group may hold
+DEEP = 256  # containers of a path that are spelled out; those nested deeper stand in it as one digest
 TAG = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -69,6 +77,7 @@ NOT_MAIN_WORDS = set(
 # Words that say nothing of a container's content beside those above.
 PLAIN_WORDS = set("area bar block box button buttons container content articles stories entries form group holder icon icons inner item items left link links list main outer panel posts right row section slot stories text title top bottom unit wrap wrapper policy this us the to".split())
 MAIN_WORDS = set("article content main post entry story body text maincontent articlebody postbody entrycontent articlecontent".split())
+LETTERS = str.maketrans("0123456789abcdef", "bcdfghjklmnpqrst")  # digests without digits and vowels spell none of these words
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -131,6 +140,21 @@ def closing(name: str) -> re.Pattern:
     return re.compile(f"</{name}(?:\\s[^>]*+)?>", re.I)
 
 
+def deeper(outer: str, label: str) -> str:
+    """One label for a container below ``DEEP`` others and those around it there: a digest, and what their names say."""
+    names = outer.split(".")[2:]
+    if is_boilerplate(label) and "hidden" not in names:
+        names.append("hidden")
+    if content_rank(label) == 2 and "main" not in names:
+        names.append("main")
+    return ".".join(("div", blake2b(f"{outer}/{label}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest().translate(LETTERS), *names))
+
+
+def path_of(open_tags: list[tuple[str, str]]) -> str:
+    """Path of the open containers; the last label tells of all those below ``DEEP``."""
+    return "/".join(label for _, label in open_tags[:DEEP] + open_tags[DEEP:][-1:])
+
+
 def blocks(page: str) -> Iterator[tuple[str, bool, str]]:
     """(path of open containers, whether it is a link, text) of each block in page order."""
     open_tags: list[tuple[str, str]] = []
@@ -142,7 +166,7 @@ def blocks(page: str) -> Iterator[tuple[str, bool, str]]:
         nonlocal held, link_chars, chars
         text = " ".join("".join(held).split())
         if text:
-            yield "/".join(label for _, label in open_tags[:DEEP]), link_chars * 2 > chars, text
+            yield path_of(open_tags), link_chars * 2 > chars, text
         held, link_chars, chars = [], 0, 0
 
     for kind, tag, attributes in tokens(page):
@@ -167,7 +191,8 @@ def blocks(page: str) -> Iterator[tuple[str, bool, str]]:
         yield from flush()
         if tag in CONTAINER:
             if not end:
-                open_tags.append((tag, ".".join((tag, *names_of(attributes)))))
+                label = ".".join((tag, *names_of(attributes)))
+                open_tags.append((tag, label if len(open_tags) < DEEP else deeper(open_tags[-1][1] if len(open_tags) > DEEP else "", label)))
             elif any(t == tag for t, _ in open_tags):
                 while open_tags.pop()[0] != tag:
                     pass
@@ -225,18 +250,29 @@ def collapse(page: list[tuple[str, bool, str]], name: str = "") -> list[dict]:
 
 def folded(fields: list[dict]) -> list[dict]:
     """Elements with sequences that follow themselves put together as repeated groups, short ones first."""
-    size = 2
-    while size <= min(GROUP, len(fields) // 2):
-        fewer = grouped(fields, repeats(fields, size))
+    size, names = 2, numbered(fields)
+    while size <= len(fields) // 2:
+        starts = repeats(names, size)
+        if not len(starts):
+            size += 1
+            continue
+        keys = [key_of(f) for f in fields]
+        fewer = grouped(fields, {tuple(keys[i : i + size]) for i in starts})
         size = 2 if len(fewer) < len(fields) else size + 1
-        fields = fewer
+        fields, names = fewer, numbered(fewer)
     return fields
 
 
-def repeats(fields: list[dict], size: int) -> set[tuple]:
-    """Keys of sequences of ``size`` elements that follow themselves."""
-    keys = [key_of(f) for f in fields]
-    return {tuple(keys[i : i + size]) for i in range(len(keys) - 2 * size + 1) if keys[i : i + size] == keys[i + size : i + 2 * size]}
+def numbered(fields: list[dict]) -> np.ndarray:
+    """A number for each element's key, equal for equal keys."""
+    known: dict[tuple, int] = {}
+    return np.array([known.setdefault(key_of(f), len(known)) for f in fields], dtype=np.int64)
+
+
+def repeats(names: np.ndarray, size: int) -> np.ndarray:
+    """First places of the sequences of ``size`` elements that follow themselves."""
+    run = np.concatenate(([0], np.cumsum(names[:-size] == names[size:])))
+    return np.flatnonzero(run[size:] - run[:-size] == size)
 
 
 def grouped(fields: list[dict], patterns: set[tuple]) -> list[dict]:
@@ -359,27 +395,37 @@ def expression(fields: list[dict]) -> str:
     return "".join(out)
 
 
+@lru_cache(20_000)
+def region_of(path: str) -> tuple[str, int]:
+    """(container that stands for the path's region, its rank in ``NAMED``)."""
+    labels = path.split("/")
+    if is_boilerplate(path):
+        return next(x for x in ("/".join(labels[: i + 1]) for i in range(len(labels))) if is_boilerplate(x)), -1
+    rank = content_rank(path)
+    return (outermost(path, rank) if rank else path), rank
+
+
 def with_main(wrapper: list[dict]) -> list[dict]:
     """The wrapper with ``main`` on the fields of the region that holds the article."""
     fields = list(leaves(wrapper))
-    open_ = [f for f in fields if not f["link"] and not is_boilerplate(f["path"])] or [f for f in fields if not f["link"] and not is_boilerplate(f["path"], False)]
+    varied: Counter = Counter()
+    fixed: Counter = Counter()
     template = {id(f) for f in fields if f["literal"] is not None and len(f["seen"]) >= CONSTANT}
-    varied = [f for f in open_ if id(f) not in template] or open_
-    names = any(not is_boilerplate(f["path"]) for f in open_)  # names count unless nothing is left then
-    top = max((content_rank(f["path"]) for f in open_), default=0)
-    best: set[str] = set()
-    whole = False
-    if top:
-        best = {outermost(f["path"], top) for f in open_ if content_rank(f["path"]) == top}
-    elif varied:
-        mass: Counter = Counter()
-        for f in varied:
-            mass[f["path"]] += f["chars"]
-        lead = max(mass, key=lambda p: (mass[p], -len(p), p))
-        best, whole = {lead}, {x.split(".")[0] for x in lead.split("/")} <= {"", "html", "body"}
     for f in fields:
-        inside = any(f["path"] == p or f["path"].startswith(p + "/") for p in best) and not is_boilerplate(f["path"], names)
-        f["main"] = inside and not (whole and varied is not open_ and id(f) in template)
+        if not f["link"] and not is_boilerplate(f["path"], False):
+            (fixed if id(f) in template else varied)[region_of(f["path"])] += f["chars"]
+    weight = {r: (varied[r] + fixed[r] * FIXED) * NAMED[r[1]] for r in {*varied, *fixed}}
+    if not weight:
+        for f in fields:
+            f["main"] = False
+        return wrapper
+    lead, rank = max(weight, key=lambda r: (weight[r], -len(r[0]), r[0]))
+    best = {p for p, r in weight if r == rank and (varied[p, r] or not varied[lead, rank])} if rank > 0 else {lead}
+    drops = rank < 1 and varied[lead, rank] > fixed[lead, rank] * FIXED  # fixed text of a region that nothing names as content
+    for f in fields:
+        path = f["path"]
+        inside = any(path == p or path.startswith(p + "/") for p in best)
+        f["main"] = inside and not is_boilerplate(path if rank >= 0 else path[len(lead) + 1 :]) and not (drops and id(f) in template)
     return wrapper
 
 
@@ -408,13 +454,30 @@ def matched(wrapper: list[dict], page: list[dict]) -> list[int] | None:
     return out if all(w["optional"] for w in wrapper[at:]) else None
 
 
+def by_fields(wrapper: list[dict], page: list[dict]) -> list[int] | None:
+    """Places of the blocks in main fields, each field by the wrapper's of its container, with equal text or else a slot; None if there is none."""
+    known: dict[tuple, dict[str | None, bool]] = {}
+    for w in leaves(wrapper):
+        of = known.setdefault(key_of(w), {})
+        of[w["literal"]] = of.get(w["literal"], False) or w["main"]
+    out: list[int] = []
+    for x in leaves(page):
+        of = known.get(key_of(x))
+        if of is None or (x["literal"] not in of and None not in of):
+            return None
+        out += x["at"] if of.get(x["literal"], of.get(None)) else []
+    return out
+
+
 def extract(page: str | None, wrapper: list[dict] | None) -> str:
-    """Main text of a page by its structure's wrapper, or by one of its own if that doesn't match."""
+    """Main text of a page by its structure's wrapper, or by one of its own if there is none that knows its fields."""
     if not page:
         return ""
     found = list(blocks(page))
     own = collapse(found)
     places = matched(wrapper, own) if wrapper else None
+    if places is None and wrapper:
+        places = by_fields(wrapper, own)
     if places is None:
         places = matched(with_main(own), own) or []
     return " ".join(found[i][2] for i in sorted(places))
@@ -454,13 +517,22 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
         if held:
             yield out()
 
-    def whole(t: pa.Table) -> pa.Table:
+    def aligned_partials(t: pa.Table) -> list[dict]:
         wrapper: list[dict] | None = None
         for fields in sorted(t.column("fields").to_pylist()):
             wrapper = json.loads(fields) if wrapper is None else merge(wrapper, json.loads(fields))
-        return pa.table({"host": [t.column("host")[0].as_py()], "structure": [t.column("structure")[0].as_py()], "wrapper": [json.dumps(with_main(wrapper))]})
+        return wrapper
+
+    def some(t: pa.Table) -> pa.Table:
+        first = {c: [t.column(c)[0].as_py()] for c in ("host", "structure", "task")}
+        return pa.table(first | {"fields": [json.dumps(aligned_partials(t))]}, pa.schema([("host", pa.string()), ("structure", pa.string()), ("task", pa.int32()), ("fields", pa.string())]))
+
+    def whole(t: pa.Table) -> pa.Table:
+        return pa.table({"host": [t.column("host")[0].as_py()], "structure": [t.column("structure")[0].as_py()], "wrapper": [json.dumps(with_main(aligned_partials(t)))]})
 
-    parts = named.mapInArrow(partial, "host string, structure string, fields string")
+    parts = named.mapInArrow(partial, "host string, structure string, fields string").withColumn("task", F.spark_partition_id())
+    for _ in range(2):  # the wrappers of FAN_IN ** 3 tasks
+        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("host", "structure", "task").applyInArrow(some, "host string, structure string, task int, fields string")
     return parts.groupBy("host", "structure").applyInArrow(whole, "host string, structure string, wrapper string")
 
 
