@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
 Base counts come out for every document. The verdict is a cascade: each rule's rejection share is
-measured on a sample and its cost follows from the sample's mean text size and the rule's work a
-character and a word; rules run in falling rejection per cost, and one CASE expression stops at
-the first that rejects. The order changes which rule is named and how much work is done, never
-which documents are kept.
+measured on a sample, and so is its cost: the least time of a few runs over the stored sample, less
+that of a run without a rule, in steps of powers of four, so that noise changes the order of rules
+of about equal worth at most; rules run in falling rejection per cost, and one CASE expression stops
+at the first that rejects. The order changes which rule is named (so ``rejected_by`` may differ from
+run to run where several reject) and how much work is done, never which documents are kept.
 
 Defined cases: a null text has no words: it fails ``n_words < 10`` as an empty text does; repeated
 rows get equal results; rules of equal rejection per cost run in order of their names; an empty table
@@ -14,39 +15,43 @@ texts are counted whole, in memory that grows with one text only.
 
 from __future__ import annotations
 
+import math
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierlink.llm._columns import without
+from tierlink.session import materialize
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
+BASE_FAILED = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
 SAMPLE_ROWS = 2000  # expected number of documents that the order of the rules is estimated on
+RUNS = 3  # timed runs of a rule over the sample; the least counts
+LEAST_SECONDS = 0.02  # a shorter time can't be told from a job's own
 #: Result columns; input columns of these names are replaced.
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rejecting condition and its work: units a character of text and a word."""
+    """A rejecting condition."""
 
     name: str
     reject: str  # SQL over __t (text), __w (words), __n_lines and the base counts
-    per_char: float
-    per_word: float
 
 
 RULES = (
-    Rule("symbols", "100 * n_symbols > 8 * word_chars", 0.0, 0.01),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 25 * n_words", 0.0, 0.01),
-    Rule("repeated_lines", "100 * n_dup_lines > 40 * __n_lines", 0.0, 0.05),
-    Rule("capitals", "size(filter(__w, x -> x rlike '[A-Z][^A-Z]*[A-Z]' and not x rlike '[a-z]')) * 2 > n_words", 0.0, 3.0),
-    Rule("stutter", "10 * size(filter(__w, (x, i) -> x = get(__w, i + 1))) > 3 * n_words", 0.0, 1.0),
-    Rule("shouting", "10 * (length(__t) - length(replace(__t, '!!', ''))) > 3 * word_chars", 1.0, 0.0),
+    Rule("symbols", "100 * n_symbols > 8 * word_chars"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 25 * n_words"),
+    Rule("repeated_lines", "100 * n_dup_lines > 40 * __n_lines"),
+    Rule("capitals", "size(filter(__w, x -> x rlike '[A-Z][^A-Z]*[A-Z]' and not x rlike '[a-z]')) * 2 > n_words"),
+    Rule("stutter", "10 * size(filter(__w, (x, i) -> x = get(__w, i + 1))) > 3 * n_words"),
+    Rule("shouting", "10 * (length(__t) - length(replace(__t, '!!', ''))) > 3 * word_chars"),
 )
 
 
@@ -82,26 +87,57 @@ def base_columns(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumns({"n_dup_lines": F.col("__l.dup").cast("long"), "__n_lines": F.col("__l.n")}).drop("__l")
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """Rules by rejection per cost, measured on sampled documents with base counts."""
-    seen = docs.agg(
-        F.avg(F.length("__t")).alias("chars"),
-        F.avg("n_words").alias("words"),
-        *[F.avg(F.coalesce(F.expr(r.reject), F.lit(False)).cast("double")).alias(r.name) for r in rules],
-    )
-    row = seen.first()
-    chars, n_words = row["chars"] or 0.0, row["words"] or 0.0
-    value = {r.name: (row[r.name] or 0.0) / (1e-9 + 1 + r.per_char * chars + r.per_word * n_words) for r in rules}
+def rejects(rule: Rule) -> Column:
+    return F.coalesce(F.expr(rule.reject), F.lit(False)).cast("double")
+
+
+def rule_seconds(stored: DataFrame, rules: tuple[Rule, ...] = RULES) -> dict[str, float]:
+    """Seconds of each rule over a stored sample, beyond a run that reads the same columns and no more."""
+    read = F.sum(F.length("__t") + F.size("__w") + F.coalesce(F.col("__n_lines"), F.lit(0)))
+
+    def least(*more: Column) -> float:
+        times = []
+        for _ in range(RUNS):
+            begun = time.perf_counter()
+            stored.agg(read, *more).first()
+            times.append(time.perf_counter() - begun)
+        return min(times)
+
+    least()  # the first run also compiles
+    alone = least()
+    return {r.name: max(LEAST_SECONDS, least(F.avg(rejects(r))) - alone) for r in rules}
+
+
+def step(seconds: float) -> float:
+    """Seconds as a power of four."""
+    return 4.0 ** round(math.log(seconds, 4))
+
+
+def order_rules(stored: DataFrame, rules: tuple[Rule, ...] = RULES, seconds: dict[str, float] | None = None) -> list[Rule]:
+    """Rules by rejection per cost over a stored sample with base counts; costs are measured unless given."""
+    seconds = rule_seconds(stored, rules) if seconds is None else seconds
+    row = stored.agg(*[F.avg(rejects(r)).alias(r.name) for r in rules]).first()
+    value = {r.name: (row[r.name] or 0.0) / step(seconds[r.name]) for r in rules}
     return sorted(rules, key=lambda r: (-value[r.name], r.name))
 
 
+def work_saved(stored: DataFrame, ordered: list[Rule], seconds: dict[str, float]) -> float:
+    """Share of the rules' seconds on the sample that stopping at the first rejection saves in this order; base failures run no rule."""
+    gone, spent = F.expr(BASE_FAILED), []
+    for r in ordered:
+        spent.append(F.avg((~gone).cast("double")).alias(r.name))
+        gone = gone | (rejects(r) > 0)
+    row = stored.agg(*spent).first()
+    return 1 - sum((row[r.name] or 0.0) * seconds[r.name] for r in ordered) / sum(seconds[r.name] for r in ordered)
+
+
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` plus the base counts, ``base_failed``, ``kept`` and ``rejected_by`` (null if kept)."""
     docs = without(docs, RESULT)
     counted = base_columns(docs, text)
     share = min(1.0, sample_rows / max(1, docs.count()))
-    ordered = order_rules(base_columns(docs.select(text).sample(fraction=share, seed=1), text), rules)
-    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
+    ordered = order_rules(materialize(base_columns(docs.select(text).sample(fraction=share, seed=1), text)), rules)
+    failed = F.expr(BASE_FAILED)
     verdict: Column = F.when(failed, F.lit("base"))
     for rule in ordered:
         verdict = verdict.when(F.expr(rule.reject), F.lit(rule.name))
