@@ -59,3 +59,10 @@ def test_token_f1(spark, pred, gold, want):
 def test_model_label_without_label_is_an_error(spark):
     with pytest.raises(Exception, match="no label"):
         value(spark, T.model_label(F.lit("none")))
+
+
+def test_edge_order_is_depth_first_by_degree():
+    from tierlink.operators.pattern import edge_order
+
+    edges = [("a", "r1", "hub"), ("hub", "r2", "b"), ("hub", "r3", "d"), ("b", "r4", "c")]
+    assert edge_order(edges, "a") == [("a", "r1", "hub"), ("hub", "r2", "b"), ("b", "r4", "c"), ("hub", "r3", "d")]

@@ -16,7 +16,7 @@ from tierlink.operators import pattern as P
 from tierlink.operators import prompts as A
 from tierlink.operators import rank as R
 from tierlink.operators import vectors as VX
-from tierlink.plans import build_queries, graph_queries, rank_queries
+from tierlink.plans import build_queries, graph_queries, rank_queries, text_queries
 from tierlink.plans import views as V
 from tierlink.plans.components import component
 from tierlink.session import materialize, shared_dir, table
@@ -227,18 +227,18 @@ def _(s, d):
     return component("loss", "list_ce")(rank_queries._logits(s, d)).select(F.round("loss", 9).alias("loss"))
 
 
-@query("x10_evaluator_by_name", f"WITH {V.PRED} SELECT count(*) > 0 AS scored FROM v_pred")
+@query("x10_evaluator_by_name", text_queries.ORACLE_SQL["a26_em_f1_summary"])
 def _(s, d):
     m = component("evaluator", "answers")(V.predictions(s, d))
-    return m.select(F.col("em").between(0, 1).alias("scored"))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("em", "f1", "precision", "recall")])
 
 
-@query("x11_constructor_by_name", "SELECT count(DISTINCT (lower(n_name), lower(r_name))) AS n_edges FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("x11_constructor_by_name", "SELECT DISTINCT regexp_replace(lower(n_name), '[^a-z0-9 ]', ' ', 'g') AS head, 'in region' AS relation, lower(r_name) AS tail FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(s, d):
     n = _named(s, d).select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("seq"), F.col("n_nationkey").cast("string").alias("doc_id"), F.array("n_name", F.lit("in region"), "r_name").alias("items"))
     facts = V.micro(s, d).where("false")
     index = component("constructor", "default")(n, facts, n.select("doc_id"), n.select("doc_id").where("false"))
-    return index.edges.agg(F.count("*").alias("n_edges"))
+    return index.edges.select("head", "relation", "tail")
 
 
 # -- message passing and patterns -------------------------------------------------------------------------
@@ -289,10 +289,12 @@ def _(s, d):
     return P.adjacency(V.triples(s, d), True)
 
 
-@query("g03_edge_order", "SELECT * FROM (VALUES (0, 'a', 'r1', 'hub'), (1, 'hub', 'r2', 'b'), (2, 'b', 'r4', 'c'), (3, 'hub', 'r3', 'd')) t(position, source, relation, target)")
+@query("g03_edge_order", "SELECT row_number() OVER (ORDER BY -c, r_name, n_name NULLS FIRST)::INT - 1 AS position, CASE WHEN n_name IS NULL THEN 'world' ELSE r_name END AS source, CASE WHEN n_name IS NULL THEN 'part' ELSE 'nation' END AS relation, coalesce(n_name, r_name) AS target FROM (SELECT r_name, unnest(list_append(list(n_name), NULL)) AS n_name, count(*) AS c FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)")
 def _(s, d):
-    order = P.edge_order([("a", "r1", "hub"), ("hub", "r2", "b"), ("hub", "r3", "d"), ("b", "r4", "c")], "a")
-    return s.createDataFrame([(i, *e) for i, e in enumerate(order)], "position int, source string, relation string, target string")
+    """The pattern of all regions and their nations from one root: regions by degree, each followed by its nations."""
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").collect()
+    edges = [("world", "part", r) for r in sorted({x["r_name"] for x in n})] + [(x["r_name"], "nation", x["n_name"]) for x in n]
+    return s.createDataFrame([(i, *e) for i, e in enumerate(P.edge_order(edges, "world"))], "position int, source string, relation string, target string")
 
 
 def _one_edge(s, d):

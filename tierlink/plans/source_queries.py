@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,12 +117,18 @@ def _(s, d):
     return prepare.split_of(table(s, d, "orders"), "O", "o_orderstatus").select("o_orderkey")
 
 
-@query("s18_question_images", "SELECT * FROM (VALUES ('q1', 'image.png', 1), ('q1', 'a.jpg', 2), ('q2', 'b.jpeg', 1), ('q2', 'c.png', 2)) t(folder, name, rank)")
+IMAGES = "f AS (SELECT r_name AS folder, unnest([n_name || CASE WHEN n_nationkey % 2 = 0 THEN '.png' ELSE '.jpg' END, 'image.png']) AS name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query("s18_question_images", f"WITH {IMAGES} SELECT folder, name, row_number() OVER (PARTITION BY folder ORDER BY name <> 'image.png', name) AS rank FROM (SELECT DISTINCT * FROM f)")
 def _(s, d):
+    """A folder for each region with an image for each nation; the files (a fixed table's rows) are made by the driver."""
     root = folder(s)
-    for f in ("q1/a.jpg", "q1/image.png", "q1/notes.txt", "q2/c.png", "q2/b.jpeg"):
-        touch(s, f"{root}/{f}")
-    return readers.question_images(s, root).select("folder", "name", "rank")
+    n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", "n_nationkey")
+    for r in n.collect():
+        for name in (f"{r['n_name']}.{'jpg' if r['n_nationkey'] % 2 else 'png'}", f"{r['n_name']}.txt", "image.png"):
+            touch(s, f"{root}/{r['r_name']}/{name}")
+    return readers.question_images(s, root).select(F.regexp_replace("folder", "%20", " ").alias("folder"), "name", "rank")
 
 
 @query("s20_stored_or_built", "SELECT n_nationkey, n_name FROM nation")
@@ -197,14 +204,18 @@ def _(s, d):
     return s.read.parquet(path)
 
 
-@query("k02_index_artifacts", "SELECT * FROM (VALUES ('edges'), ('micro'), ('align'), ('doc_entity'), ('image_entity'), ('stats')) t(name)")
+ARTIFACTS = {"edges": ("nation", "n_name"), "micro": ("documents", "text"), "align": ("supplier", "s_name"), "doc_entity": ("benchmark", "text"), "image_entity": ("part", "p_name"), "stats": ("region", "r_name")}
+
+
+@query("k02_index_artifacts", " UNION ALL ".join(f"SELECT '{a}' AS name, coalesce({c}, '') AS value FROM {t}" for a, (t, c) in ARTIFACTS.items()))
 def _(s, d):
+    """Six artifacts of different rows, written together and read back each by its name."""
     from tierlink.plans.pipelines import Index
 
-    root, x = folder(s), table(s, d, "region").select("r_regionkey")
-    Index(x, x, x, x, x, x).write(root)
-    names = [n for n in ("edges", "micro", "align", "doc_entity", "image_entity", "stats") if s.read.parquet(f"{root}/{n}").count() == x.count()]
-    return s.createDataFrame([(n,) for n in names], "name string")
+    root = folder(s)
+    Index(**{a: table(s, d, t).select(F.coalesce(c, F.lit("")).alias("value")) for a, (t, c) in ARTIFACTS.items()}).write(root)
+    back = [s.read.parquet(f"{root}/{a}").select(F.lit(a).alias("name"), "value") for a in ARTIFACTS]
+    return reduce(DataFrame.unionByName, back)
 
 
 @query("k03_json_sink", "SELECT n_nationkey, n_name FROM nation")
