@@ -1,61 +1,76 @@
 """Nearest-neighbour joins of two tables of any size: cells with halos, in blocks of bounded size, without queries on the driver.
 
 Centres of cells are fitted on a bounded sample. Every index row lies in the cell of its nearest centre; every query
-visits that cell and a halo of further ones, as many as a sample needs for the stated recall (all of them: exact).
-Cells of more rows than a block holds are cut into blocks by hash, on either side, and each pair of blocks is
-one bounded task of matrix products that keeps k rows a query; a ranked window joins the blocks' rows.
+looks into that cell and a halo of further ones, as many as a sample needs for the stated recall (all of them: exact).
+Queries of near cells form blocks of bounded size, and the rows of the cells that a block looks into pass through its tasks
+in slices (``closest``). Index rows are sent once a block and queries once a slice, never once a cell; a ranked window joins the slices' rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from tierlink.operators import graph as G
 from tierlink.operators import vectors as VX
+from tierlink.operators.closest import QUERIES, best_in_tasks, matrix, number_of_parts, paired, unit
 from tierlink.session import materialize
 
-BLOCK = 2048  # rows of either side in one task's product
+BLOCK = 2048  # rows of the index in a task at least, if there are enough
+SLICE = 1024  # vectors whose distances to all centres are in memory
 PER_CELL = 4096  # rows of a cell that are aimed at
 MOST_CELLS = 1024
 
 
-def matrix(col: pa.Array | pa.ChunkedArray, dims: int | None = None) -> np.ndarray:
-    """[row, dim] of a list column; vectors of different sizes are an error."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    size = pc.unique(pc.list_value_length(col)).to_pylist()
-    if len(size) > 1 or (dims is not None and size and size[0] != dims):
-        raise ValueError(f"vectors of {sorted(x or 0 for x in size)} numbers, {dims or 'one size'} expected")
-    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-
-
-def placed(rows: DataFrame, centres: np.ndarray, most: int) -> DataFrame:
-    """Rows (id, v) with cell, once for each of their ``most`` nearest cells; vectors as they are."""
+def placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Rows (id, v) with cell, that of their nearest centre; vectors as they are."""
     schema = StructType([*rows.schema.fields]).add("cell", IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            d = VX.squared_distances(matrix(batch.column(1), centres.shape[1]), centres)
-            near = np.argsort(d, axis=1, kind="stable")[:, :most]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], names=[*batch.schema.names, "cell"])
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                own = VX.squared_distances(matrix(part.column(1), centres.shape[1]), centres).argmin(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own.astype(np.int32))], names=[*batch.schema.names, "cell"])
 
     return rows.mapInArrow(run, schema)
 
 
+def looked_into(centres: np.ndarray, halo: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Of vectors, which cells [vector, cell] are among their ``halo`` nearest."""
+    def run(x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(centres)), bool)
+        for lo in range(0, len(x), SLICE):
+            d = VX.squared_distances(x[lo : lo + SLICE], centres)
+            out[lo : lo + SLICE] = d <= np.partition(d, halo - 1, axis=1)[:, halo - 1 : halo]
+        return out
+
+    return run
+
+
+def regions(centres: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, parts) of each cell: near cells share a block of about ``most`` rows; one of more rows has ``parts`` blocks from ``first`` on."""
+    first, parts = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
+    n, open_ = 0, [np.arange(len(centres))]
+    while open_:
+        own = open_.pop()
+        if len(own) == 1 or counts[own].sum() <= most:
+            parts[own] = max(1, -(-int(counts[own].sum()) // most))
+            first[own] = n
+            n += int(parts[own[0]])
+        else:
+            own = own[np.argsort(centres[own, centres[own].var(0).argmax()], kind="stable")]
+            upto = np.cumsum(counts[own])
+            half = min(max(1, int(np.searchsorted(upto, upto[-1] / 2))), len(own) - 1)
+            open_ += [own[half:], own[:half]]
+    return first, parts
+
+
 def best_of(scores: np.ndarray, names: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, columns) of the ``k`` largest scores of each row, by name among scores equal to nine digits."""
     rounded = np.round(scores, 9)
@@ -72,60 +87,83 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int, metric: str = "l2", r
     ``recall``: share of neighbours that the halo is to hold, estimated on a sample of the index; None: all cells, exactly.
     ``l2``: squared distance, ``cosine``: normalised product. Rows without a vector are left out; names are unique.
     """
-    index = materialize(index.where("v is not null").select("name", F.col("v").cast("array<double>").alias("v")))
-    queries = queries.where("v is not null").select("q", F.col("v").cast("array<double>").alias("v"))
+    index = materialize(index.where("v is not null").select("name", vector_column(index)))
+    queries = queries.where("v is not null").select("q", vector_column(queries))
+    if recall is None:
+        return in_blocks(queries, index.withColumn("cell", F.lit(0)), k, metric, block=block)
     if metric == "cosine":
         index, queries = (normalised(x) for x in (index, queries))
     cells = max(1, min(MOST_CELLS, index.count() // per_cell))
     centres = VX.fit_cells(index, cells)
     if not len(centres):
-        return queries.select("q", F.lit(None).cast(index.schema["name"].dataType).alias("name"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
-    halo = len(centres) if recall is None else VX.probes_for(index, centres, k, recall)
-    at_home, visiting = materialize(placed(index, centres, 1)), materialize(placed(queries, centres, halo))
-
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        """(cell, name): number of blocks of each cell, as many rows as there are cells."""
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-    sizes = materialize(parts(at_home, "n_own").join(parts(visiting, "n_visit"), "cell"))
-
-    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        """Each row goes to one block of its side and meets all blocks of the other."""
-        x = df.join(F.broadcast(sizes), "cell")
-        x = x.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
-        return x.select("cell", "own", "visit", key, "v")
-
-    left, right = dealt(visiting, "q", "visit", "own"), dealt(at_home, "name", "own", "visit")
-    schema = StructType([queries.schema["q"], index.schema["name"]]).add("score", "double")
-
-    def product(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        q, x = matrix(a.column("v")) if a.num_rows else None, matrix(b.column("v")) if b.num_rows else None
-        rows, columns, found = [], [], []
-        if q is not None and x is not None:
-            if q.shape[1] != x.shape[1]:
-                raise ValueError(f"vectors of {q.shape[1]} numbers, index of {x.shape[1]}")
-            if metric == "l2":
-                scores = -np.stack([((x - v) ** 2).sum(1) for v in q])
-            else:
-                scores = q @ x.T
-            names = b.column("name").to_numpy()
-            for i, at in best_of(scores, names, k):
-                rows.append(np.full(len(at), i))
-                columns.append(at)
-                found.append(scores[i, at])
-        rows, columns, found = (np.concatenate(p) if p else np.zeros(0, t) for p, t in ((rows, np.int64), (columns, np.int64), (found, float)))
-        return pa.table({"q": a.column("q").take(pa.array(rows)), "name": b.column("name").take(pa.array(columns)), "score": pa.array(found)})
-
-    keys = ["cell", "own", "visit"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, schema)
+        return in_blocks(queries, index.withColumn("cell", F.lit(0)), k, metric, block=block)
+    return in_blocks(queries, materialize(placed(index, centres)), k, metric, centres, VX.probes_for(index, centres, k, recall), block)
+
+
+def vector_column(rows: DataFrame) -> Column:
+    """v as doubles, or as floats where it is stored so."""
+    return F.col("v").cast("array<float>" if dict(rows.dtypes)["v"] == "array<float>" else "array<double>").alias("v")
+
+
+def in_blocks(queries: DataFrame, index: DataFrame, k: int, metric: str = "l2", centres: np.ndarray | None = None, halo: int = 0, block: int = BLOCK) -> DataFrame:
+    """(q, name, score, rank): the ``k`` nearest rows of ``index`` (name, v, cell) among those of each query's ``halo`` nearest cells, or all without ``centres``.
+
+    A task holds a block of queries of near cells and lets a slice of the rows of the cells pass that any of them looks into;
+    a row of the index is sent once to each block that needs it, a query once for each slice.
+    """
+    n_queries, n_rows = queries.count(), index.count()
+    blocks, slices = number_of_parts(n_queries, n_rows, block)
+    seen, dims = None, None
+    if centres is None or blocks == 1 or halo >= len(centres):
+        if centres is not None:
+            dims = centres.shape[1]
+            seen = looked_into(centres, halo) if halo < len(centres) else None
+        block_of, blocks_of = F.pmod(F.xxhash64("q"), F.lit(blocks)), F.sequence(F.lit(0), F.lit(blocks - 1))
+    else:
+        dims, seen = centres.shape[1], looked_into(centres, halo)
+        queries = materialize(placed(queries, centres))
+        counts = np.zeros(len(centres), np.int64)
+        for r in queries.groupBy("cell").count().collect():  # one row a cell
+            counts[r["cell"]] = r["count"]
+        first, parts = regions(centres, counts, QUERIES)
+        blocks = int((first + parts).max())
+        begin, number = (F.array(*[F.lit(int(x)) for x in a]) for a in (first, parts))
+        block_of = F.get(begin, F.col("cell")) + F.pmod(F.xxhash64("q"), F.get(number, F.col("cell")))
+        queries = queries.withColumn("b", block_of.cast("int"))
+        block_of = F.col("b")
+
+        def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            met: dict[int, np.ndarray] = {}
+            for batch in batches:
+                if batch.num_rows:
+                    own, open_ = batch.column("b").to_numpy(), seen(matrix(batch.column("v"), dims))
+                    for b in np.unique(own).tolist():
+                        met[b] = met.get(b, False) | open_[own == b].any(0)
+            for b, cells in met.items():
+                at = np.flatnonzero(cells)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), b, np.int32))], names=["cell", "b"])
+
+        meets = queries.select("b", "v").mapInArrow(needed, "cell int, b int").groupBy("cell").agg(F.sort_array(F.collect_set("b")).alias("blocks"))  # one row a cell
+        index = index.join(F.broadcast(materialize(meets)), "cell")
+        blocks_of = F.col("blocks")
+    near = best_in_tasks(paired(queries, index, block_of, blocks_of, slices, blocks * slices), k, metric, seen, dims)
     order = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "name")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.withColumn("score", -F.col("score")) if metric == "l2" else ranked
 
 
 def normalised(rows: DataFrame) -> DataFrame:
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return rows.withColumn("__size", F.greatest(size, F.lit(1e-30))).withColumn("v", F.transform("v", lambda x: x / F.col("__size"))).drop("__size")
+    """v of length 1, in doubles."""
+    schema = StructType([rows.schema.fields[0]]).add("v", ArrayType(DoubleType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(matrix(batch.column(1)))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=batch.schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def measured_recall(queries: DataFrame, index: DataFrame, found: DataFrame, k: int, metric: str = "l2", sample: int = 256) -> DataFrame:
