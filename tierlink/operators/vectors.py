@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierlink.functions import hooks
-from tierlink.functions.numeric import dot, squared_l2
+from tierlink.functions.numeric import dot
+from tierlink.session import materialize
 from tierlink.sources import sinks
 
 SAMPLE = 4096  # vectors that cell centres are fitted on
@@ -53,28 +54,21 @@ def fit_cells(index: DataFrame, cells: int, sample: int = SAMPLE, rounds: int =
     return centres
 
 
-def nearest_cells(v: Column, centres: np.ndarray, most: int) -> Column:
-    """The ``most`` cells of a vector, nearest first; the centres are literals of bounded number."""
-    table = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(centres)])
-    near = F.array_sort(F.transform(table, lambda t: F.struct(squared_l2(v, t["c"]).alias("d"), t["cell"].alias("cell"))))
-    return F.transform(F.slice(near, 1, most), lambda t: t["cell"])
-
-
 def in_cells(index: DataFrame, centres: np.ndarray) -> DataFrame:
-    """V2: (name, v, cell) of every row of ``index`` (name, v)."""
-    return index.select("name", "v", nearest_cells(F.col("v"), centres, 1)[0].alias("cell"))
+    """V2: (name, v, cell) of every row of ``index`` (name, v), written once."""
+    from tierlink.operators import neighbours as N
+
+    return materialize(N.placed(index.where("v is not null").select("name", N.vector_column(index)), centres))
 
 
 def approximate(queries: DataFrame, cells: DataFrame, centres: np.ndarray, k: int, probes: int) -> DataFrame:
     """V2: (q, name, score, rank): the k rows of least squared distance among those of each query's ``probes`` nearest cells.
 
-    An inverted file: a query meets the rows of some cells only, in a join whose skewed cells AQE can
-    split; partial ranks keep k rows a query and task. All probes give the exact result.
+    An inverted file: a query meets the rows of some cells only; tasks keep k rows a query. All probes give the exact result.
     """
-    probed = queries.select("q", F.col("v").alias("w"), F.explode(nearest_cells(F.col("v"), centres, probes)).alias("cell"))
-    near = probed.join(cells, "cell").select("q", "name", squared_l2(F.col("w"), F.col("v")).alias("score"))
-    order = Window.partitionBy("q").orderBy(F.round("score", 9), "name")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    from tierlink.operators import neighbours as N
+
+    return N.in_blocks(queries.where("v is not null").select("q", N.vector_column(queries)), cells, k, "l2", centres, probes)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
