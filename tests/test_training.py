@@ -258,3 +258,14 @@ def test_flow_walks_equal_walks_with_paths(spark):
     a = {(r["node"], r["rank"] + 1): (round(r["score"], 9), [tuple(h) for h in r["path"]]) for r in walks.flow_walks(flows, prior, 4, 3, targets).collect()}
     b = {(r["node"], r["rank"]): (round(r["score"], 9), [tuple(h) for h in r["path"]]) for r in graph.viterbi(flows, prior, 4, 3, targets).collect()}
     assert a == b
+
+
+def test_close_walks_all_count_without_apart(spark):
+    """Walks whose scores differ by less than 1e-5 of themselves are different walks to the SQL; the operator's rule would drop all but the first."""
+    edges = [(f"a{i}", "r", "m", 1.0 + i * 1e-6) for i in range(4)] + [("m", "r", "t", 0.5)]
+    frame = spark.createDataFrame([(f"{a}{b}", a, b, r) for a, r, b, _ in edges], "edge string, src string, dst string, rel string")
+    layer = spark.createDataFrame([("t", f"{a}{b}", g) for a, _, b, g in edges], "t string, edge string, g double")
+    sources = spark.createDataFrame([(f"a{i}",) for i in range(4)], "node string")
+    targets = spark.createDataFrame([("t",)], "t string")
+    count = lambda apart: walks.gradient_walks(frame, [layer, layer], sources, targets, 10, apart)[1].where("node = 't'").count()
+    assert (count(True), count(False)) == (1, 4)

@@ -69,10 +69,11 @@ def flow_walks(flows: DataFrame, prior: DataFrame, layers: int, beam: int, targe
     return traced(tables, tables[-1].select("node", "rank", "score"))
 
 
-def gradient_walks(edges: DataFrame, by_layer: list[DataFrame], sources: DataFrame, targets: DataFrame, beam: int = 10) -> list[DataFrame]:
+def gradient_walks(edges: DataFrame, by_layer: list[DataFrame], sources: DataFrame, targets: DataFrame, beam: int = 10, apart: bool = True) -> list[DataFrame]:
     """Tables of the walks from ``sources`` (node) with the largest sums of gradients (t, edge, g), one table a layer.
 
     Each target t (``targets``) has walks of its own, none of which goes on from t; edges without a gradient count 0.
+    ``apart``: as in ``walk_tables``.
     """
     def hop(front: DataFrame, layer: int) -> DataFrame:
         step = front.where("src <> t").join(edges.select("edge", "src", "rel", "dst"), "src").join(by_layer[layer].select("t", "edge", "g"), ["t", "edge"], "left")
@@ -80,7 +81,7 @@ def gradient_walks(edges: DataFrame, by_layer: list[DataFrame], sources: DataFra
 
     # the stated targets times the query's sources
     start = targets.select("t").distinct().join(sources.select("node").distinct()).withColumn("score", F.lit(0.0))
-    return walk_tables(start, hop, len(by_layer), beam, ["t"], apart=True)
+    return walk_tables(start, hop, len(by_layer), beam, ["t"], apart)
 
 
 def average_length(tables: list[DataFrame], k: int = 10) -> DataFrame:
@@ -94,15 +95,15 @@ def average_length(tables: list[DataFrame], k: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("t", "place", "mean", "path")
 
 
-def explained(edges: DataFrame, boundary: DataFrame, relation: DataFrame, query: DataFrame, targets: DataFrame, layers: int, beam: int = 10, k: int = 10) -> DataFrame:
+def explained(edges: DataFrame, boundary: DataFrame, relation: DataFrame, query: DataFrame, targets: DataFrame, layers: int, beam: int = 10, k: int = 10, apart: bool = True) -> DataFrame:
     """``average_length`` walks of the model of ``forward``: the score of a target is its state times ``query`` (dim, q).
 
-    All targets (t) go back through the layers together. Sources are the nodes of ``boundary``.
+    All targets (t) go back through the layers together. Sources are the nodes of ``boundary``. Without ``apart``, walks of close scores all count.
     """
     states = forward(edges, boundary, relation, layers)
     top = targets.select("t", F.col("t").alias("node")).distinct().join(F.broadcast(query)).select("t", "node", "dim", F.col("q").alias("g"))  # one vector a target
     by_layer = backward_targets(edges, states, relation, top)
-    return average_length(gradient_walks(edges, by_layer, boundary.select("node"), targets, beam), k)
+    return average_length(gradient_walks(edges, by_layer, boundary.select("node"), targets, beam, apart), k)
 
 
 def backward_targets(edges: DataFrame, states: list[DataFrame], relation: DataFrame, top: DataFrame) -> list[DataFrame]:
