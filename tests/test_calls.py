@@ -110,3 +110,16 @@ def test_bert_score(spark, hook, idf):
         each = [scored(p.split(), r.split(), known, weight) for r in rs if p and p.strip() and r and r.strip()]
         want = max(each, key=lambda x: x[2]) if each else (0.0, 0.0, 0.0)
         assert np.allclose([got[i]["precision"], got[i]["recall"], got[i]["f1"]], want), i
+
+
+def test_token_vectors_stay_in_the_task(spark, hook):
+    """The hook sees a few texts at a time and no vector is written; before, a batch of all rows was held and stored."""
+    def model(texts):
+        assert len(texts) <= metrics.PAIRS
+        return [[(w, [1.0, float(len(w))]) for w in t.split()] for t in texts]
+
+    hooks.register("embed_tokens", model, batch=True)
+    rows = spark.createDataFrame([(i, "a bb", ["a cc"]) for i in range(500)], "id int, prediction string, references array<string>").coalesce(1)
+    assert metrics.bert_score(rows, False).where("f1 > 0.99").count() == 500
+    pairs = rows.selectExpr("id", "0 as ref", "prediction", "references[0] as reference")
+    assert dict(metrics.token_matches(pairs).dtypes)["p"] == "array<struct<token:string,m:double>>"

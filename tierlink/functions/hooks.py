@@ -74,6 +74,11 @@ def register(kind: str, model: Callable, batch: bool = False) -> None:
     _KINDS[kind] = (model if batch else each(model), _KINDS[kind][1])
 
 
+def model_of(kind: str) -> Callable:
+    """The hook as a function of a list of texts, for tasks that don't keep all it returns."""
+    return _KINDS[kind][0]
+
+
 def apply(kind: str, text: Column | str) -> Column:
     """The hook as a column: an iterator pandas UDF, so a model is set up once for many batches."""
     model, returned = _KINDS[kind]
