@@ -72,3 +72,23 @@ def test_cell_search_works_in_products(spark):
     plan = found._jdf.queryExecution().toString()
     assert "zip_with" not in plan and "MapInArrow" in plan
     assert {(r["q"], r["name"]): r["rank"] for r in found.collect()} == brute(vectors(30, seed=5), vectors(500), 5, "l2")
+
+
+def test_neighbours_meet_at_their_edges(spark):
+    """All neighbours' neighbours that are near enough, and vectors are sent once an edge: no join has a row a pair with vectors."""
+    from tierlink.operators import neighbour_graph as NG
+
+    x = vectors(60)
+    rng = np.random.default_rng(1)
+    d = lambda a, b: float(((x[a] - x[b]) ** 2).sum())
+    graph = {(a, int(b)): d(a, b) for a in range(60) for b in rng.choice([i for i in range(60) if i != a], 3 if a else 2, replace=False)}
+    graph |= {(a, 7): d(a, 7) for a in range(40) if a != 7}  # a popular row
+    edges = spark.createDataFrame([(a, b, v) for (a, b), v in graph.items()], "a int, b int, d double")
+    last, count = {}, {}
+    for (a, _), v in graph.items():
+        last[a], count[a] = max(last.get(a, 0.0), v), count.get(a, 0) + 1
+    bar = {a: last[a] if count[a] >= 3 else float("inf") for a in last}
+    want = {(a, c) for a, b in graph for b2, c in graph if b == b2 and a != c and round(d(a, c), 9) <= round(bar[a], 9)}
+    found = NG.introduced(edges, edges, frame(spark, x), 3)
+    got = {(r["a"], r["b"]): r["d"] for r in found.collect()}
+    assert set(got) == want and all(np.isclose(v, d(*k)) for k, v in got.items())
