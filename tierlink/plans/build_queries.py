@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tierlink.functions import text as T
 from tierlink.operators import build as B
 from tierlink.plans import views as V
-from tierlink.session import table
+from tierlink.session import materialize, table
 from tierlink.sources import encode, readers
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -237,7 +237,7 @@ tab AS (SELECT doc_id, min(entity) AS entity FROM v_doc_ent GROUP BY 1), allowed
 
 
 def _branch(s, d):
-    de, lab = V.doc_entities(s, d), table(s, d, "labels")
+    de, lab = materialize(V.doc_entities(s, d)), table(s, d, "labels")  # read four times
     macro = de.groupBy("entity").agg(F.count("*").alias("n")).where("n between 5 and 50").select("entity")
     image = de.join(lab.where("quality = 0").select("doc_id"), "doc_id")
     return de, macro, image, de.groupBy("doc_id").agg(F.min("entity").alias("entity")), lab.select("doc_id")
