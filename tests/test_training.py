@@ -269,3 +269,23 @@ def test_close_walks_all_count_without_apart(spark):
     targets = spark.createDataFrame([("t",)], "t string")
     count = lambda apart: walks.gradient_walks(frame, [layer, layer], sources, targets, 10, apart)[1].where("node = 't'").count()
     assert (count(True), count(False)) == (1, 4)
+
+
+def test_states_of_heads_alike_are_worked_out_once(spark):
+    """Rows of states follow the kinds of nodes and heads, not their product, and scores are those of the graph as it is."""
+    pairs = [(f"u{i}", "in", f"n{i % 2}") for i in range(40)] + [(f"u{i}", "is", f"s{i % 3}") for i in range(8, 40)]
+    pairs += [(t, f"inv {r}", h) for h, r, t in pairs] + [("u1", "in", "n0"), ("u1", "knows", "u3"), ("u5", "knows", "u5")]
+    edges = spark.createDataFrame([(i, h, t, r, 0.5) for i, (h, r, t) in enumerate(pairs)], "edge int, src string, dst string, rel string, w double")
+    batch = spark.createDataFrame([(i, f"u{i}", "is") for i in range(30)] + [(30, "outside", "is")], "q int, head string, rel string")
+    params = training.initial(edges, 2)
+    candidates = batch.select("q").join(spark.createDataFrame([(n,) for n in ("s0", "s1", "n0", "u0", "u2", "u3", "u5", "outside")], "node string")).withColumn("target", F.lit(0))
+    rows, _, states = training.scored(edges, params, batch, candidates, 3)
+    assert states[-1].count() < 400  # 2,600 of all queries at all nodes
+    boundary = batch.join(training.array_of(params, "query", "rel", "x"), "rel").select("q", F.col("head").alias("node"), "dim", "x")
+    plain = training.forward(edges, boundary, training.array_of(params, "relation", "rel", "r"), 3, ["q"])[-1]
+    out = {r["dim"]: r["o"] for r in training.array_of(params, "out", "__all", "o").collect()}
+    want = {}
+    for r in plain.collect():
+        want[r["q"], r["node"]] = want.get((r["q"], r["node"]), 0.0) + r["x"] * out[r["dim"]]
+    got = {(r["q"], r["node"]): r["score"] for r in rows.collect()}
+    assert len(got) == 31 * 8 and all(abs(v - want.get(k, 0.0)) < 1e-9 for k, v in got.items()) and sum(v > 0 for v in got.values()) > 100
