@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tierlink.operators import closest as C
@@ -92,3 +93,42 @@ def test_neighbours_meet_at_their_edges(spark):
     found = NG.introduced(edges, edges, frame(spark, x), 3)
     got = {(r["a"], r["b"]): r["d"] for r in found.collect()}
     assert set(got) == want and all(np.isclose(v, d(*k)) for k, v in got.items())
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 200])
+def test_late_interaction_equals_all_pairs(spark, monkeypatch, cells):
+    """Phrases of one row and of many, tokens of two rows, ties and rows without a vector; no pair of rows leaves a task."""
+    monkeypatch.setattr(C, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    asked = [(q, t % 3, rng.integers(-3, 4, 4).tolist()) for q in range(7) for t in range(4)]  # token 0 has two rows
+    rows = [(n, rng.integers(-3, 4, 4).tolist()) for n in range(60) for _ in range(1 if n % 5 else 40)] + [(60, None)]
+    best = {}
+    for q, t, v in asked:
+        for n, w in rows:
+            if w is not None:
+                best[q, n, t] = max(best.get((q, n, t), -1e9), float(np.dot(v, w)))
+    want = {}
+    for q in range(7):
+        score = sorted((-sum(best[q, n, t] for t in range(3)), n) for n in range(60))
+        want |= {(q, r + 1): (n, -s) for r, (s, n) in enumerate(score[:6])}
+    queries = spark.createDataFrame([(q, t, [float(x) for x in v]) for q, t, v in asked], "q long, token int, v array<float>")
+    index = spark.createDataFrame([(n, None if v is None else [float(x) for x in v]) for n, v in rows], "name long, v array<float>").repartition(3)
+    found = VX.late_interaction(queries, index, 6)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert {(r["q"], r["rank"]): (r["name"], r["score"]) for r in found.collect()} == want
+    top = phrases(asked, rows, cells)
+    assert top == want
+
+
+def phrases(asked, rows, cells):
+    """The same in one task, rows in batches of 7."""
+    at = C.Phrases(np.array([v for *_, v in asked], float), np.array([q for q, *_ in asked]), np.array([t for _, t, _ in asked]), 6)
+    own = [r for r in rows if r[1] is not None]
+    for lo in range(0, len(own), 7):
+        at.add(np.array([v for _, v in own[lo : lo + 7]], float), np.array([n for n, _ in own[lo : lo + 7]]))
+    table = at.finish().table(pa.array(at.ids), pa.int64()).to_pylist()
+    out = {}
+    for q in range(7):
+        mine = sorted((-r["score"], r["name"]) for r in table if r["q"] == q)
+        out |= {(q, i + 1): (n, -s) for i, (s, n) in enumerate(mine)}
+    return out

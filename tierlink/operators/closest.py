@@ -81,15 +81,19 @@ class Closest:
 
     def _merge(self, i: np.ndarray, j: np.ndarray, x: np.ndarray, names: np.ndarray) -> None:
         score = np.concatenate([self._exact(self.q[i[a : a + EXACT]], x[j[a : a + EXACT]]) for a in range(0, len(i), EXACT)])
+        self.take(i, score, names[j])
+
+    def take(self, i: np.ndarray, score: np.ndarray, names: np.ndarray) -> None:
+        """Scores of queries ``i`` with the rows ``names``, of which the best are kept."""
         good = np.round(score, 9) >= self.bar[i]
-        i, j, score = i[good], j[good], score[good]
+        i, names, score = i[good], names[good], score[good]
         if not len(i):
             return
         touched = np.zeros(len(self.q), bool)
         touched[i] = True
         again = touched[self.row]
         held = self.name if self.name is not None else names[:0]
-        row, new, name = np.concatenate([self.row[again], i]), np.concatenate([self.score[again], score]), np.concatenate([held[again], names[j]])
+        row, new, name = np.concatenate([self.row[again], i]), np.concatenate([self.score[again], score]), np.concatenate([held[again], names])
         rounded = np.round(new, 9)
         order = np.lexsort((name, -rounded, row))
         first = np.flatnonzero(np.r_[True, np.diff(row[order]) > 0])
@@ -107,6 +111,52 @@ class Closest:
         return pa.RecordBatch.from_arrays([queries.take(pa.array(self.row)), found, pa.array(self.score)], names=["q", "name", "score"])
 
 
+class Phrases:
+    """Late interaction: the ``k`` names of largest score of each query, the sum over its tokens of the best product with a name's rows.
+
+    ``vectors`` are those of the pairs of ``q`` and ``token``. Rows pass in order of their names; besides those that are kept, only
+    the best products of the name that is open are held, so a name may have any number of rows.
+    """
+
+    def __init__(self, vectors: np.ndarray, q: np.ndarray, token: np.ndarray, k: int) -> None:
+        order = np.lexsort((token, q))
+        q, token = q[order], token[order]
+        fresh = np.r_[True, q[1:] != q[:-1]]
+        self.q = vectors[order]
+        self.tokens = np.flatnonzero(fresh | np.r_[True, token[1:] != token[:-1]])  # a token of several rows counts once
+        self.starts = np.flatnonzero(fresh[self.tokens])
+        self.ids = q[fresh]
+        self.best = Closest(np.zeros((len(self.ids), 1)), k, "dot")
+        self.open, self.top = None, None
+
+    def add(self, x: np.ndarray, names: np.ndarray) -> None:
+        step = max(1, CELLS // len(self.q))
+        for at in range(0, len(x), step):
+            own = names[at : at + step]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            top, named = np.maximum.reduceat(self.q @ x[at : at + step].T, first, axis=1), own[first]
+            if self.top is not None:
+                if named[0] == self.open:
+                    np.maximum(top[:, 0], self.top, out=top[:, 0])
+                else:
+                    top, named = np.column_stack([self.top, top]), np.concatenate([np.array([self.open], named.dtype), named])
+            self._close(top[:, :-1], named[:-1])
+            self.open, self.top = named[-1], top[:, -1].copy()
+
+    def _close(self, top: np.ndarray, names: np.ndarray) -> None:
+        if top.shape[1]:
+            score = np.add.reduceat(np.maximum.reduceat(top, self.tokens, axis=0), self.starts, axis=0)
+            i, j = np.nonzero(score >= self.best.bar[:, None] - 0.51e-9)
+            for lo in range(0, len(i), 1 << 20):
+                self.best.take(i[lo : lo + (1 << 20)], score[i[lo : lo + (1 << 20)], j[lo : lo + (1 << 20)]], names[j[lo : lo + (1 << 20)]])
+
+    def finish(self) -> Closest:
+        if self.top is not None:
+            self._close(self.top[:, None], np.array([self.open]))
+            self.top = None
+        return self.best
+
+
 # -- tasks ------------------------------------------------------------------------------------------
 def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Runs of rows with equal keys, cut at batches, of batches that are ordered by them."""
@@ -162,3 +212,28 @@ def best_in_tasks(pairs: DataFrame, k: int, metric: str, seen: Callable[[np.ndar
                 yield best.table(ids, part.column("name").type)
 
     return pairs.mapInArrow(run, f"q {q}, name {name}, score double")
+
+
+def phrases_in_tasks(pairs: DataFrame, k: int, q: str) -> DataFrame:
+    """(q, name, score) of each task of ``paired``, whose q is a struct of q, of type ``q``, and token: ``k`` names a query at most by late interaction."""
+    name = dict(pairs.dtypes)["name"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in groupby(segments(batches, ["task", "side"]), key=lambda part: part[0][0]):
+            held, best = [], None
+            for (_, side), part in parts:
+                if side == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue  # index rows without a query
+                if best is None:
+                    own = pa.Table.from_batches(held)
+                    key = own.column("q").combine_chunks()
+                    best = Phrases(matrix(own.column("v")), *[key.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], k)
+                    kind = key.field(0).type
+                best.add(matrix(part.column("v"), best.q.shape[1]), part.column("name").to_numpy(zero_copy_only=False))
+            if best is not None:
+                yield best.finish().table(pa.array(best.ids, kind), part.column("name").type)
+
+    return pairs.mapInArrow(run, f"q {q}, name {name}, score double")

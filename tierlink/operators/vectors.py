@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierlink.functions import hooks
-from tierlink.functions.numeric import dot
 from tierlink.session import materialize
 from tierlink.sources import sinks
 
@@ -80,11 +79,17 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
 def late_interaction(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """V5: (q, name, score, norm_score, rank): sum over a query's token vectors of the best product with a phrase's.
 
-    ``queries``: (q, token, v), the stated set, broadcast; ``index``: (name, v) a token each.
+    ``queries``: (q, token, v), the stated set; ``index``: (name, v) a token each. Blocks of queries stay in a task while a slice of
+    the names passes, and a task leaves k names a query; rows without a vector don't count.
     """
-    pairs = index.withColumnRenamed("v", "w").crossJoin(F.broadcast(queries.select("q", "token", "v")))
-    best = pairs.groupBy("q", "token", "name").agg(F.max(dot(F.col("v"), F.col("w"))).alias("m"))
-    scores = best.groupBy("q", "name").agg(F.sum("m").alias("score"))
+    from tierlink.operators import closest as C
+
+    asked = queries.where("v is not null").select(F.struct("q", "token").alias("q"), "v")
+    rows = index.where("v is not null").select("name", "v", F.lit(0).alias("cell"))
+    blocks, slices = C.number_of_parts(asked.count(), rows.count(), 4096)
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    pairs = C.paired(asked, rows, F.pmod(F.xxhash64("q.q"), F.lit(blocks)), every, slices, blocks * slices)
+    scores = C.phrases_in_tasks(pairs, k, dict(queries.dtypes)["q"])
     group = Window.partitionBy("q")
     ranked = scores.withColumn("rank", F.row_number().over(group.orderBy(F.round("score", 9).desc(), "name"))).where(F.col("rank") <= k)
     return ranked.withColumn("norm_score", F.coalesce(F.try_divide(F.col("score"), F.max("score").over(group)), F.lit(0.0)))
