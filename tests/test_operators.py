@@ -370,3 +370,34 @@ def test_incremental_stream_appends_new_keys_once(spark, tmp_path):
             spark.createDataFrame(extra, "id long, v string").write.mode("append").parquet(source)
         incremental.append_new(spark.readStream.schema(df.schema).parquet(source), sink, ["id"], str(tmp_path / "ckpt"), lambda x: x)
     assert rows(spark.read.parquet(sink), "id") == [(1,), (2,), (3,)]
+
+
+def test_components_contract(spark, monkeypatch):
+    """Paths in and against order, stars around large and small names, loops and random graphs; leaves are written in the first round only."""
+    import random
+
+    from tierlink.operators import components as module
+
+    rng = random.Random(5)
+    path = list(range(1000, 1040))
+    mixed = rng.sample(range(2000, 2040), 40)
+    edges = list(zip(path, path[1:])) + list(zip(mixed, mixed[1:])) + [(3099, i) for i in range(3000, 3020)] + [(4000, i) for i in range(4001, 4020)] + [(7, 7), (7, 7), (8, 8), (8, 9)]
+    edges += [(rng.randrange(5000, 5060), rng.randrange(5000, 5060)) for _ in range(45)]
+    want = {n: n for e in edges for n in e}
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    sizes, plain = [], module.materialize
+
+    def counted(df):
+        out = plain(df)
+        sizes.append(out.count())
+        return out
+
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long"))
+    pairs = [(r["node"], r["component"]) for r in got.collect()]
+    assert len(pairs) == len(want) and dict(pairs) == want
+    monkeypatch.setattr(module, "materialize", counted)
+    stars = [(f"c{i // 10}", f"o{i}") for i in range(300)] + [(f"c{i}", f"g{i // 3}") for i in range(30)]
+    assert connected_components(spark.createDataFrame(stars, "src string, dst string")).count() == 340
+    assert sum(sizes) < 1500  # 1,700 at least when every round writes every node
