@@ -401,3 +401,24 @@ def test_components_contract(spark, monkeypatch):
     stars = [(f"c{i // 10}", f"o{i}") for i in range(300)] + [(f"c{i}", f"g{i // 3}") for i in range(30)]
     assert connected_components(spark.createDataFrame(stars, "src string, dst string")).count() == 340
     assert sum(sizes) < 1500  # 1,700 at least when every round writes every node
+
+
+def test_documents_of_the_same_nodes_are_scored_once(spark):
+    """Samples, an anchor with two nodes of a document, distances beyond the cut, and 200 documents of two sets of nodes, whose product with the anchors isn't shuffled."""
+    rows_ = [(1, f"anchor {a}", n, 0.1 * a + (0.5 if n == "y" else 0.0)) for a in range(12) for n in "xy"] + [(2, "anchor 3", "x", 0.2), (2, "anchor 4", "z", 0.1)]
+    near = spark.createDataFrame(rows_, "sample_id int, anchor string, node string, distance double")
+    facts = spark.createDataFrame([(f"t{d}{n}", f"d{d}") for d in range(200) for n in ("xy" if d % 2 else "x")] + [("tz", "d0")], "triple_id string, doc_id string")
+    incident = spark.createDataFrame([(n, f"t{d}{n}") for d in range(200) for n in ("xy" if d % 2 else "x")] + [("z", "tz"), ("x", "tz"), ("w", "tz")], "node string, triple_id string")
+    want = {}
+    nodes = {f"d{d}": ("xy" if d % 2 else "x") + ("z" if d == 0 else "") for d in range(200)}
+    for doc, own in nodes.items():
+        best = {}
+        for sample, anchor, n, far in rows_:
+            if n in own and far <= 1.0:
+                best[sample, anchor] = max(best.get((sample, anchor), 0.0), 0.9 / (1 + far))
+        for (sample, _), s in best.items():
+            want[sample, doc] = want.get((sample, doc), 0.0) + s
+    got = R.anchor_doc_scores(near, incident, facts)
+    assert {(r["sample_id"], r["doc_id"]): round(r["score"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "m1" in plan and "Aggregate [sample_id" in plan and not any("Aggregate [" in line and "doc_id" in line.split("]")[0] and "anchor" in line.split("]")[0] for line in plan.splitlines())
