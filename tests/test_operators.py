@@ -422,3 +422,17 @@ def test_documents_of_the_same_nodes_are_scored_once(spark):
     assert {(r["sample_id"], r["doc_id"]): round(r["score"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "m1" in plan and "Aggregate [sample_id" in plan and not any("Aggregate [" in line and "doc_id" in line.split("]")[0] and "anchor" in line.split("]")[0] for line in plan.splitlines())
+
+
+def test_ranking_tasks_are_bounded(spark, monkeypatch):
+    """The pairs of scores and documents are dealt to tasks by their number; common words don't meet in one."""
+    monkeypatch.setattr(R, "PAIRS", 64)
+    docs = spark.createDataFrame([(d, f"w{w}") for d in range(60) for w in range(4) if w == 0 or d % w == 0], "doc_id int, entity string")
+    seeds = spark.createDataFrame([(s, f"w{w}", 1.0 + w) for s in range(10) for w in range(3)], "sample_id int, entity string, w double")
+    parts = R.in_parts(seeds, docs)
+    n = 10 * (60 + 60 + 30)
+    assert parts.count() == n and parts.rdd.getNumPartitions() >= n / 64
+    got = {(r["sample_id"], r["doc_id"]): r["score"] for r in R.simple_rank(seeds, docs).collect()}
+    assert got == {(s, d): 3.0 + 3.0 * (d % 2 == 0) for s in range(10) for d in range(60)}
+    empty = R.simple_rank(seeds.where("false"), docs)
+    assert empty.count() == 0

@@ -14,6 +14,8 @@ from tierlink.functions.numeric import is_close
 from tierlink.operators.metrics import with_nulls
 from tierlink.session import broadcast_if_small, materialize
 
+PAIRS = 1 << 21  # of entity scores and documents in a task, about
+
 
 def top_k(scores: DataFrame, keys: list[str], k: int, score: str = "score", tie: str = "id") -> DataFrame:
     """Rows of rank <= k in each group, best score first, smallest id among equals."""
@@ -33,7 +35,19 @@ def of_entities(doc_entity: DataFrame, scores: DataFrame) -> DataFrame:
 
 def simple_rank(entity_scores: DataFrame, doc_entity: DataFrame) -> DataFrame:
     """(sample_id, doc_id, score): sparse product of entity scores and the incidence table."""
-    return entity_scores.join(doc_entity, "entity").groupBy("sample_id", "doc_id").agg(F.sum("w").alias("score"))
+    return in_parts(broadcast_if_small(entity_scores), doc_entity).groupBy("sample_id", "doc_id").agg(F.sum("w").alias("score"))
+
+
+def in_parts(entity_scores: DataFrame, doc_entity: DataFrame) -> DataFrame:
+    """Both tables joined by entity, dealt by sample and document to tasks of about ``PAIRS`` rows: they are counted first.
+
+    Nothing is summed before, where next to no two rows have a sample and document in common.
+    """
+    asked = entity_scores.groupBy("entity").agg(F.count("*").alias("__n"))
+    pairs = doc_entity.select("entity").join(asked, "entity").agg(F.sum("__n").alias("n")).first()["n"] or 0
+    few = int(doc_entity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-pairs // PAIRS), min(few, -(-pairs // (PAIRS // 16))))
+    return doc_entity.join(entity_scores, "entity").repartition(parts, "sample_id", "doc_id")
 
 
 def idf_rank(entity_scores: DataFrame, doc_entity: DataFrame) -> DataFrame:
@@ -48,7 +62,7 @@ def best_entities(entity_scores: DataFrame, k: int) -> DataFrame:
 
 def top_k_rank(entity_scores: DataFrame, doc_entity: DataFrame, k: int = 10) -> DataFrame:
     """A3: number of a sample's top-k entities that a document has."""
-    return best_entities(entity_scores, k).join(doc_entity, "entity").groupBy("sample_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
+    return in_parts(broadcast_if_small(best_entities(entity_scores, k)), doc_entity).groupBy("sample_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
 
 
 def top_k_idf_rank(entity_scores: DataFrame, doc_entity: DataFrame, k: int = 20) -> DataFrame:
