@@ -67,7 +67,7 @@ def top_k_rank(entity_scores: DataFrame, doc_entity: DataFrame, k: int = 10) ->
 
 def top_k_idf_rank(entity_scores: DataFrame, doc_entity: DataFrame, k: int = 20) -> DataFrame:
     """A4: sum of the idf of a sample's top-k entities in a document; the entity score only selects."""
-    best = best_entities(entity_scores, k)
+    best = broadcast_if_small(best_entities(entity_scores, k))  # read several times
     own = of_entities(doc_entity, best)
     return simple_rank(best.join(idf(own), "entity").select("sample_id", "entity", F.col("idf").alias("w")), own)
 
